@@ -41,14 +41,14 @@ def event_time(df: DataFrame, column: str = "event_timestamp") -> Column:
 def left_join_spread(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:
     """Left join on ``key`` that does not send all null keys to one task.
 
-    Many clicks have no product. Their second key is a hash of ``spread_by``, which
-    never matches, so they spread over all partitions; real keys use 0. Whether the
-    catalogue is broadcast stays Spark's choice from its size; a hot product in a
-    shuffled join is split by adaptive execution.
+    Many clicks have no product. The second key is a hash of the key, or of
+    ``spread_by`` where the key is null; those rows match nothing and spread over all
+    partitions. Whether the right side is broadcast stays Spark's choice from its
+    size, and adaptive execution splits a hot key of a shuffled join.
     """
-    spread = F.when(F.col(key).isNull(), F.xxhash64(spread_by)).otherwise(F.lit(0).cast("long"))
+    spread = F.when(F.col(key).isNull(), F.xxhash64(spread_by)).otherwise(F.xxhash64(key))
     joined = left.withColumn(SPREAD, spread).join(
-        right.withColumn(SPREAD, F.lit(0).cast("long")), [key, SPREAD], "left"
+        right.withColumn(SPREAD, F.xxhash64(key)), [key, SPREAD], "left"
     )
     return joined.drop(SPREAD)
 

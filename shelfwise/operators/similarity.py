@@ -65,28 +65,26 @@ def text_similarity(texts: DataFrame, queries: DataFrame) -> DataFrame:
     query_words = _word_counts(queries, ["block"], F.col("text"))
 
     total = texts.select(F.count("*")).scalar()
-    idf = text_words.groupBy("word").agg(F.log((total + 1) / (F.count("*") + 1)).alias("idf"))
+    # Reading ``times`` here lets both uses of the words share one shuffle.
+    products = F.count_if(F.col("times") > 0)
+    idf = text_words.groupBy("word").agg(F.log((total + 1) / (products + 1)).alias("idf"))
 
     # A query word no product has still counts towards the length of the query.
-    asked = query_words.join(idf, "word", "left").select(
-        "block", "word", (F.col("times") * F.coalesce(F.col("idf"), F.log(total + 1))).alias("asked")
-    )
-    query_length = asked.groupBy("block").agg(F.sqrt(F.sum(F.col("asked") ** 2)).alias("query_norm"))
+    asked = F.col("times") * F.coalesce(F.col("idf"), F.log(total + 1))
+    length = F.sqrt(F.sum(F.col("asked") ** 2).over(Window.partitionBy("block")))
+    weighed = query_words.join(idf, "word", "left").withColumn("asked", asked)
+    unit = weighed.withColumn("asked", F.try_divide(F.col("asked"), length))
+
+    # One row per word with its weight in each block's query, so that the words of
+    # the catalogue are shuffled to it once.
+    by_block = F.map_from_entries(F.collect_list(F.struct("block", "asked"))).alias("by_block")
+    lexicon = idf.join(unit.groupBy("word").agg(by_block), "word", "left")
 
     weight = F.col("times") * F.col("idf")
-    per_text = (
-        text_words.join(idf, "word")
-        .join(asked, ["block", "word"], "left")
-        .groupBy("product_id", "block")
-        .agg(
-            F.sum(weight * F.col("asked")).alias("shared"),
-            F.sqrt(F.sum(weight**2)).alias("norm"),
-        )
-    )
-    similarity = F.try_divide(F.col("shared"), F.col("norm") * F.col("query_norm"))
-    return per_text.join(query_length, "block").select(
-        "product_id", F.round(similarity, SIMILARITY_PLACES).alias("similarity")
-    )
+    shared = F.sum(weight * F.try_element_at(F.col("by_block"), F.col("block")))
+    similarity = F.try_divide(shared, F.sqrt(F.sum(weight**2)))
+    scored = text_words.join(lexicon, "word").groupBy("product_id").agg(similarity.alias("similarity"))
+    return scored.withColumn("similarity", F.round("similarity", SIMILARITY_PLACES))
 
 
 def _with_similarity(products: DataFrame, similarity: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,7 @@ from shelfwise.operators.golden import golden_record
 from shelfwise.operators.intent import category_intent
 from shelfwise.operators.segments import segments
 from shelfwise.sources import files
+from shelfwise.sources.scratch import cut_lineage
 from shelfwise.sources.tables import publish_table
 
 # Names of the input files.
@@ -29,15 +31,39 @@ class Bronze:
     purchases: DataFrame
 
 
-@dataclass(frozen=True)
 class Medallion:
-    """All layers. Unpublished ones are plans that run when something reads them."""
+    """Silver and gold over ``bronze``: plans that run when something reads them."""
+
+    def __init__(self, bronze: Bronze, as_of: AsOf = None, window: str = "calendar"):
+        self.bronze = bronze
+        self.as_of = as_of
+        self.window = window
+
+    @cached_property
+    def enriched(self) -> DataFrame:
+        return enrich_clicks(self.bronze.clicks, self.bronze.products)
+
+    @cached_property
+    def golden(self) -> DataFrame:
+        return golden_record(self.bronze.customers, self.bronze.purchases, self.as_of)
+
+    @cached_property
+    def intent(self) -> DataFrame:
+        return category_intent(self.enriched, self.as_of, self.window)
 
-    bronze: Bronze
-    enriched: DataFrame
-    golden: DataFrame
-    intent: DataFrame
-    segments: DataFrame
+    @cached_property
+    def segments(self) -> DataFrame:
+        return segments(self.golden, self.intent)
+
+    def settle(self) -> Medallion:
+        """Write the two gold tables to the scratch folder and go on from there.
+
+        For plans that read them several times: the clicks are scored once, and later
+        joins know the real sizes. Published layers do not need it.
+        """
+        self.intent = cut_lineage(self.intent, "intent")
+        self.segments = cut_lineage(self.segments, "segments")
+        return self
 
 
 def read_bronze(spark: SparkSession, folder: str) -> Bronze:
@@ -50,44 +76,33 @@ def read_bronze(spark: SparkSession, folder: str) -> Bronze:
     )
 
 
-def build(bronze: Bronze, as_of: AsOf = None, window: str = "calendar") -> Medallion:
-    """Silver and gold over ``bronze``, without running anything."""
-    enriched = enrich_clicks(bronze.clicks, bronze.products)
-    golden = golden_record(bronze.customers, bronze.purchases, as_of)
-    intent = category_intent(enriched, as_of, window)
-    return Medallion(bronze, enriched, golden, intent, segments(golden, intent))
-
-
 def publish(bronze: Bronze, database: str, as_of: AsOf = None, window: str = "calendar") -> Medallion:
     """Write every layer as a table; each later layer reads the stored one before it."""
 
     def stored(df: DataFrame, name: str, layer: str, comment: str) -> DataFrame:
         return publish_table(df, f"{database}.{name}", layer, comment)
 
-    raw = replace(
-        bronze,
-        clicks=stored(bronze.clicks, "bronze_clickstream", "bronze", "Raw click events"),
-        products=stored(bronze.products, "bronze_products", "bronze", "Raw product catalogue"),
-        customers=stored(bronze.customers, "bronze_customers", "bronze", "Raw customer profiles"),
-        purchases=stored(bronze.purchases, "bronze_purchases", "bronze", "Raw purchase history"),
+    layers = Medallion(
+        Bronze(
+            clicks=stored(bronze.clicks, "bronze_clickstream", "bronze", "Raw click events"),
+            products=stored(bronze.products, "bronze_products", "bronze", "Raw product catalogue"),
+            customers=stored(bronze.customers, "bronze_customers", "bronze", "Raw customer profiles"),
+            purchases=stored(bronze.purchases, "bronze_purchases", "bronze", "Raw purchase history"),
+        ),
+        as_of,
+        window,
     )
-    enriched = stored(
-        enrich_clicks(raw.clicks, raw.products),
-        "silver_clickstream_enriched",
-        "silver",
-        "Typed click events with product columns",
+    layers.enriched = stored(
+        layers.enriched, "silver_clickstream_enriched", "silver", "Typed click events with product columns"
     )
-    golden = stored(
-        golden_record(raw.customers, raw.purchases, as_of),
+    layers.golden = stored(
+        layers.golden,
         "silver_customer_golden_record",
         "silver",
         "One masked row per customer with purchase aggregates",
     )
-    intent = stored(
-        category_intent(enriched, as_of, window),
-        "gold_category_intent_scores",
-        "gold",
-        "Recent interest per customer and category",
+    layers.intent = stored(
+        layers.intent, "gold_category_intent_scores", "gold", "Recent interest per customer and category"
     )
-    tagged = stored(segments(golden, intent), "gold_high_value_segments", "gold", "Customer segments")
-    return Medallion(raw, enriched, golden, intent, tagged)
+    layers.segments = stored(layers.segments, "gold_high_value_segments", "gold", "Customer segments")
+    return layers

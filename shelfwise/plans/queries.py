@@ -30,9 +30,7 @@ from shelfwise.plans.medallion import (
     CUSTOMERS_FILE,
     PRODUCTS_FILE,
     PURCHASES_FILE,
-    Bronze,
     Medallion,
-    build,
     read_bronze,
 )
 from shelfwise.plans.recommendations import Recommendations
@@ -51,55 +49,53 @@ LAPSED_CATEGORY = "PROMO"
 STREAM_DELAY = "1 hour"
 
 
-class Samples:
-    """The retail tables and their layers over one sample folder."""
+class SampleBronze:
+    """The retail tables of one sample folder, each opened when first used."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
     @cached_property
-    def layers(self) -> Medallion:
-        tables = sample_tables
-        bronze = Bronze(
-            clicks=tables.clickstream(self.spark, self.sf_dir),
-            products=tables.products(self.spark, self.sf_dir),
-            customers=tables.customers(self.spark, self.sf_dir),
-            purchases=tables.purchases(self.spark, self.sf_dir),
-        )
-        return build(bronze, AS_OF)
-
-    @property
     def clicks(self) -> DataFrame:
-        return self.layers.bronze.clicks
+        return sample_tables.clickstream(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def products(self) -> DataFrame:
-        return self.layers.bronze.products
+        return sample_tables.products(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def customers(self) -> DataFrame:
-        return self.layers.bronze.customers
+        return sample_tables.customers(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def purchases(self) -> DataFrame:
-        return self.layers.bronze.purchases
+        return sample_tables.purchases(self.spark, self.sf_dir)
+
+
+class Samples(Medallion):
+    """All layers over one sample folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(SampleBronze(spark, sf_dir), AS_OF)
+        self.spark = spark
+        self.sf_dir = sf_dir
 
     @property
-    def enriched(self) -> DataFrame:
-        return self.layers.enriched
+    def clicks(self) -> DataFrame:
+        return self.bronze.clicks
 
     @property
-    def golden(self) -> DataFrame:
-        return self.layers.golden
+    def products(self) -> DataFrame:
+        return self.bronze.products
 
     @property
-    def intent(self) -> DataFrame:
-        return self.layers.intent
+    def customers(self) -> DataFrame:
+        return self.bronze.customers
 
     @property
-    def segments(self) -> DataFrame:
-        return self.layers.segments
+    def purchases(self) -> DataFrame:
+        return self.bronze.purchases
 
     @cached_property
     def interests(self) -> DataFrame:
@@ -337,7 +333,8 @@ def similar_vectors(s: Samples) -> DataFrame:
 
 @query
 def recommendation_scores(s: Samples) -> DataFrame:
-    return Recommendations(s.layers, AS_OF).scores().select(
+    s.settle()
+    return Recommendations(s, AS_OF).scores().select(
         "customer_id", "product_id", "score", "score_type", "computed_at"
     )
 
@@ -389,6 +386,7 @@ def winback_offers(s: Samples) -> DataFrame:
 @query
 def live_offers(s: Samples) -> DataFrame:
     """The basket 30 hours on, appended to a table in two writes and read back."""
+    s.settle()
     path = scratch_path(s.spark, "offers")
     append_rows(offers.winback_offers(s.segments, AS_OF), path)
     append_rows(offers.category_offers(s.segments, s.intent, AS_OF), path)
@@ -436,12 +434,14 @@ def active_sessions(s: Samples) -> DataFrame:
 
 @query
 def customer_state(s: Samples) -> DataFrame:
+    s.settle()
     return state.customer_state(s.segments, s.intent, s.offers, s.clicks, AS_OF)
 
 
 @query
 def customer_snapshot(s: Samples) -> DataFrame:
     """The state of an earlier day replaced by today's, then read back."""
+    s.settle()
     path = scratch_path(s.spark, "customer-state")
     for day in ("2024-01-30 00:00:00", AS_OF):
         replace_snapshot(state.customer_state(s.segments, s.intent, s.offers, s.clicks, day), path)
@@ -486,7 +486,7 @@ def products_csv(s: Samples) -> DataFrame:
 def segments_from_csv(s: Samples) -> DataFrame:
     """All four inputs written as CSV, then every layer from those files."""
     folder = scratch_path(s.spark, "csv")
-    bronze = s.layers.bronze
+    bronze = s.bronze
     nothing = F.lit(None).cast("string")
     # The files carry more profile columns than the samples have; order counts in CSV.
     customers = bronze.customers.select(
@@ -513,7 +513,7 @@ def segments_from_csv(s: Samples) -> DataFrame:
     files.write_csv(bronze.products, f"{folder}/{PRODUCTS_FILE}")
     files.write_csv(customers, f"{folder}/{CUSTOMERS_FILE}")
     files.write_csv(bronze.purchases, f"{folder}/{PURCHASES_FILE}")
-    return build(read_bronze(s.spark, folder), AS_OF).segments
+    return Medallion(read_bronze(s.spark, folder), AS_OF).segments
 
 
 # Streams, run until the sample events are used up

@@ -7,7 +7,7 @@ the whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # One clock for all tables: the sample events end the day before.
@@ -56,46 +56,41 @@ def read(spark: SparkSession, sf_dir: str, table: str, schema: str) -> DataFrame
     return spark.read.schema(schema).parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _category(position: Column) -> Column:
-    names = F.array(*[F.lit(c) for c in CATEGORIES])
-    return F.element_at(names, (F.pmod(position, F.lit(len(CATEGORIES))) + 1).cast("int"))
+def _category(position: str) -> str:
+    names = ", ".join(f"'{name}'" for name in CATEGORIES)
+    return f"element_at(array({names}), cast(pmod({position}, {len(CATEGORIES)}) + 1 AS int))"
 
 
 def clicks_from_events(events: DataFrame) -> DataFrame:
     """Events as clicks; works on a batch or on a stream."""
-    big = F.col("value") >= BIG_EVENT
-    key = F.get_json_object("props", "$.k").cast("bigint")
-    kind = (
-        F.when(F.col("event_type") == "purchase", "add_to_cart")
-        .when(F.col("event_type") == "signup", "wishlist_add")
-        .when(F.col("event_type") == "view", "product_view")
-        .when((F.col("event_type") == "click") & big, "category_browse")
-        .when(F.col("event_type") == "click", "search")
-        .when(big, "remove_from_cart")
-        .otherwise("page_view")
-    )
-    device = F.when(F.col("value") < 2, "mobile").when(F.col("value") < 20, "desktop").otherwise("tablet")
-    return events.select(
+    kind = f"""CASE event_type
+        WHEN 'purchase' THEN 'add_to_cart'
+        WHEN 'signup' THEN 'wishlist_add'
+        WHEN 'view' THEN 'product_view'
+        WHEN 'click' THEN if(value >= {BIG_EVENT}, 'category_browse', 'search')
+        ELSE if(value >= {BIG_EVENT}, 'remove_from_cart', 'page_view') END"""
+    typed = events.selectExpr(
         "event_id",
-        F.col("user_id").alias("customer_id"),
-        F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")).alias("session_id"),
-        F.col("ts").alias("event_timestamp"),
-        kind.alias("event_type"),
-        key.alias("key"),
-        device.alias("device_type"),
-        F.floor("value").cast("int").alias("time_on_page_seconds"),
-    ).select(
+        "user_id AS customer_id",
+        "concat_ws('-', user_id, date_format(ts, 'yyyyMMdd')) AS session_id",
+        "ts AS event_timestamp",
+        f"{kind} AS event_type",
+        "cast(get_json_object(props, '$.k') AS bigint) AS key",
+        "CASE WHEN value < 2 THEN 'mobile' WHEN value < 20 THEN 'desktop' ELSE 'tablet' END AS device_type",
+        "cast(floor(value) AS int) AS time_on_page_seconds",
+    )
+    return typed.selectExpr(
         "event_id",
         "customer_id",
         "session_id",
         "event_timestamp",
         "event_type",
-        F.concat(F.lit("/"), "event_type", F.lit("/"), "key").alias("page_url"),
-        F.when(~F.col("event_type").isin("page_view", "category_browse"), F.col("key")).alias("product_id"),
-        F.when(F.col("event_type") == "category_browse", _category(F.col("key"))).alias("category_browsed"),
-        F.when(F.col("event_type") == "search", F.format_string("item %d", "key")).alias("search_term"),
+        "concat('/', event_type, '/', key) AS page_url",
+        "CASE WHEN event_type NOT IN ('page_view', 'category_browse') THEN key END AS product_id",
+        f"CASE WHEN event_type = 'category_browse' THEN {_category('key')} END AS category_browsed",
+        "CASE WHEN event_type = 'search' THEN concat('item ', key) END AS search_term",
         "device_type",
-        F.lit("direct").alias("referrer"),
+        "'direct' AS referrer",
         "time_on_page_seconds",
     )
 
@@ -105,30 +100,21 @@ def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part", PART)
-    color, noun = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
-    size = F.col("p_size")
-    age = F.make_dt_interval(size)
-    return part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_type").alias("category"),
-        noun.alias("subcategory"),
-        F.col("p_brand").alias("brand"),
-        F.col("p_retailprice").alias("price"),
-        F.concat_ws(" ", F.lit("A"), "p_name", F.lit("in"), "p_type", F.lit("style by"), "p_brand").alias(
-            "description"
-        ),
-        F.to_json(F.array(color, F.when(size < 25, "compact").otherwise("roomy"))).alias("style_tags"),
-        color.alias("color"),
-        F.to_json(F.array(size.cast("string"))).alias("sizes_available"),
-        (F.lit(3).cast("decimal(3,1)") + (size % 21).cast("decimal(3,0)") * F.expr("0.1BD"))
-        .cast("decimal(3,1)")
-        .cast("double")
-        .alias("rating"),
-        size.alias("review_count"),
-        (F.lit(AS_OF).cast("timestamp") - age).alias("created_at"),
-        (size <= NEW_ARRIVAL_SIZE).alias("is_new_arrival"),
+    return read(spark, sf_dir, "part", PART).selectExpr(
+        "p_partkey AS product_id",
+        "p_name AS product_name",
+        "p_type AS category",
+        "split_part(p_name, ' ', 2) AS subcategory",
+        "p_brand AS brand",
+        "p_retailprice AS price",
+        "concat('A ', p_name, ' in ', p_type, ' style by ', p_brand) AS description",
+        "to_json(array(split_part(p_name, ' ', 1), if(p_size < 25, 'compact', 'roomy'))) AS style_tags",
+        "split_part(p_name, ' ', 1) AS color",
+        "to_json(array(cast(p_size AS string))) AS sizes_available",
+        "cast(3 + cast(p_size % 21 AS decimal(3,0)) * 0.1BD AS double) AS rating",
+        "p_size AS review_count",
+        f"timestamp'{AS_OF}' - make_dt_interval(p_size) AS created_at",
+        f"p_size <= {NEW_ARRIVAL_SIZE} AS is_new_arrival",
     )
 
 
@@ -136,74 +122,61 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = read(spark, sf_dir, "customer", CUSTOMER)
     nation = read(spark, sf_dir, "nation", NATION)
     region = read(spark, sf_dir, "region", REGION)
-    tier = F.lit("Bronze")
-    for market, name in TIERS.items():
-        tier = F.when(F.col("c_mktsegment") == market, name).otherwise(tier)
-    first, last = F.split_part("c_name", F.lit("#"), F.lit(1)), F.split_part("c_name", F.lit("#"), F.lit(2))
-    where = F.col("c_nationkey")
-    liked = F.array(_category(where), _category(where + 2), _category(where + 3))
-    placed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(
-        region, F.col("n_regionkey") == F.col("r_regionkey"), "left"
+    placed = customer.join(nation, F.expr("c_nationkey = n_nationkey"), "left").join(
+        region, F.expr("n_regionkey = r_regionkey"), "left"
     )
-    return placed.select(
-        F.col("c_custkey").alias("customer_id"),
-        first.alias("first_name"),
-        last.alias("last_name"),
-        F.concat(F.lower(last), F.lit("@example.com")).alias("email"),
-        tier.alias("loyalty_tier"),
-        F.floor(F.greatest("c_acctbal", F.lit(0.0)) * 5).cast("int").alias("loyalty_points"),
-        F.to_json(liked).alias("preferred_categories"),
-        F.col("n_name").alias("city"),
-        F.col("r_name").alias("state"),
-        F.col("c_acctbal").alias("lifetime_value"),
-        F.floor(F.greatest("c_acctbal", F.lit(0.0)) / 100).cast("int").alias("total_orders"),
-        F.right(last, F.lit(4)).alias("credit_card_last4"),
+    tiers = " ".join(f"WHEN '{market}' THEN '{tier}'" for market, tier in TIERS.items())
+    liked = ", ".join(_category(f"c_nationkey + {step}") for step in (0, 2, 3))
+    return placed.selectExpr(
+        "c_custkey AS customer_id",
+        "split_part(c_name, '#', 1) AS first_name",
+        "split_part(c_name, '#', 2) AS last_name",
+        "concat(split_part(c_name, '#', 2), '@example.com') AS email",
+        f"CASE c_mktsegment {tiers} ELSE 'Bronze' END AS loyalty_tier",
+        "cast(floor(greatest(c_acctbal, 0D) * 5) AS int) AS loyalty_points",
+        f"to_json(array({liked})) AS preferred_categories",
+        "n_name AS city",
+        "r_name AS state",
+        "c_acctbal AS lifetime_value",
+        "cast(floor(greatest(c_acctbal, 0D) / 100) AS int) AS total_orders",
+        "right(c_name, 4) AS credit_card_last4",
     )
 
 
-def _shifted(column: str) -> Column:
-    return F.col(column) + F.make_dt_interval(F.lit(ORDER_SHIFT_DAYS))
+SHIFTED_ORDER_DATE = f"o_orderdate + INTERVAL '{ORDER_SHIFT_DAYS}' DAY"
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders", ORDERS)
     lines = read(spark, sf_dir, "lineitem", LINEITEM)
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transaction_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("l_partkey").alias("product_id"),
-        _shifted("o_orderdate").alias("purchase_date"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        F.try_divide("l_extendedprice", "l_quantity").alias("unit_price"),
-        F.col("l_extendedprice").alias("total_amount"),
-        F.col("l_returnflag").alias("payment_method"),
-        F.col("o_orderpriority").alias("channel"),
+    return lines.join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber) AS transaction_id",
+        "o_custkey AS customer_id",
+        "l_partkey AS product_id",
+        f"{SHIFTED_ORDER_DATE} AS purchase_date",
+        "cast(l_quantity AS int) AS quantity",
+        "try_divide(l_extendedprice, l_quantity) AS unit_price",
+        "l_extendedprice AS total_amount",
+        "l_returnflag AS payment_method",
+        "o_orderpriority AS channel",
     )
 
 
 def points_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points earned per order, and spent, granted or expired on some of them."""
-    orders = read(spark, sf_dir, "orders", ORDERS)
-    earned = F.floor(F.col("o_totalprice") / 100).cast("int")
-
-    def entry(step: int, kind: str, points: Column) -> Column:
-        return F.struct(
-            (F.col("o_orderkey") * 2 + step).alias("id"), F.lit(kind).alias("event_type"), points.alias("points")
-        )
-
-    priority = F.col("o_orderpriority")
-    extra = (
-        F.when(priority == "1-URGENT", entry(1, "redeem", -F.floor(F.col("o_totalprice") / 400).cast("int")))
-        .when(priority == "2-HIGH", entry(1, "bonus", F.lit(500)))
-        .when(priority == "5-LOW", entry(1, "expire", F.lit(-50)))
-    )
-    rows = F.array_compact(F.array(entry(0, "earn", earned), extra))
-    return orders.select(
-        F.col("o_custkey").alias("customer_id"),
-        F.concat(F.lit("order "), "o_orderkey").alias("reference_id"),
-        _shifted("o_orderdate").alias("created_at"),
-        F.inline(rows),
+    earned = """named_struct('id', o_orderkey * 2, 'event_type', 'earn',
+        'points', cast(floor(o_totalprice / 100) AS int))"""
+    other = """CASE o_orderpriority
+        WHEN '1-URGENT' THEN named_struct('id', o_orderkey * 2 + 1, 'event_type', 'redeem',
+            'points', cast(-floor(o_totalprice / 400) AS int))
+        WHEN '2-HIGH' THEN named_struct('id', o_orderkey * 2 + 1, 'event_type', 'bonus', 'points', 500)
+        WHEN '5-LOW' THEN named_struct('id', o_orderkey * 2 + 1, 'event_type', 'expire', 'points', -50)
+        END"""
+    return read(spark, sf_dir, "orders", ORDERS).selectExpr(
+        "o_custkey AS customer_id",
+        "concat('order ', o_orderkey) AS reference_id",
+        f"{SHIFTED_ORDER_DATE} AS created_at",
+        f"inline(array_compact(array({earned}, {other})))",
     )
 
 

@@ -50,11 +50,13 @@ def read_existing(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def upsert(new: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str], buckets: int = 64) -> None:
+def upsert(new: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str], buckets: int = 16) -> None:
     """Merge ``new`` into the parquet table at ``path``, keeping the latest row per key.
 
     Rows lie in directories by key hash, so a merge rewrites only the buckets the
-    batch touches. Merging the same batch twice gives the same table.
+    batch touches; choose ``buckets`` so that one holds a few files, and keep it.
+    Adaptive execution sizes the write tasks. Merging the same batch twice gives the
+    same table.
     """
     spark = new.sparkSession
     columns = new.columns
@@ -68,7 +70,7 @@ def upsert(new: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str]
         kept = stored.where(F.col(BUCKET).isin(touched)).select(*columns)
         merged = latest_per_key(kept.unionByName(new), keys, newest).withColumn(BUCKET, bucket)
     (
-        merged.repartition(buckets, BUCKET)
+        merged.hint("rebalance", BUCKET)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(BUCKET)
