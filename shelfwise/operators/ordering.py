@@ -59,5 +59,10 @@ def running_total(
         .where(F.col("shift").isNotNull())
         .drop("total")
     )
-    joined = local.join(F.broadcast(shift), [*keys, SLICE], "left")
-    return joined.withColumn(out, F.col(out) + F.coalesce(F.col("shift"), F.lit(0))).drop(SLICE, "shift")
+    rows, moved = local.alias("rows"), F.broadcast(shift).alias("moved")
+    same = F.lit(True)
+    for column in [*keys, SLICE]:
+        same = same & F.col(f"rows.{column}").eqNullSafe(F.col(f"moved.{column}"))
+    total = F.col(f"rows.{out}") + F.coalesce(F.col("moved.shift"), F.lit(0))
+    kept = [F.col(f"rows.{c}") for c in df.columns]
+    return rows.join(moved, same, "left").select(*kept, total.alias(out))

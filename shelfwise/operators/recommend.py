@@ -161,7 +161,7 @@ def purchase_baskets(purchases: DataFrame) -> DataFrame:
 
 def latest_products(baskets: DataFrame) -> DataFrame:
     """The product each customer bought last; greatest id among equal times."""
-    return baskets.groupBy("customer_id").agg(
+    return baskets.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
         F.max(F.struct("last_bought", "product_id"))["product_id"].alias("anchor_id")
     )
 

@@ -52,7 +52,8 @@ def _word_counts(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
 
 def corpus(products: DataFrame, block: Column) -> DataFrame:
     """(product_id, block, text): all descriptive text of each product."""
-    return products.select("product_id", block.alias("block"), F.concat_ws(" ", *PRODUCT_TEXT).alias("text"))
+    known = products.where(F.col("product_id").isNotNull())
+    return known.select("product_id", block.alias("block"), F.concat_ws(" ", *PRODUCT_TEXT).alias("text"))
 
 
 def text_similarity(texts: DataFrame, queries: DataFrame) -> DataFrame:

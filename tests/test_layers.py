@@ -1,0 +1,246 @@
+"""Cleaning, golden record, intent and segments on hand-written rows."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
+from shelfwise.functions import rules
+from shelfwise.operators import intent as intents
+from shelfwise.operators import metrics
+from shelfwise.operators.enrich import enrich_clicks
+from shelfwise.operators.golden import golden_record
+from shelfwise.operators.quality import mask_pii
+from shelfwise.operators.segments import SEGMENT_COLUMNS, segments
+from tests import fixtures as fx
+
+DENIM = {"product_id": "P1", "product_name": "Jeans", "category": "Denim", "price": 50.0}
+
+
+def _one_product(spark):
+    return fx.products(spark, [DENIM])
+
+
+def test_enrich_resolves_category_and_keeps_unmatched_clicks(spark):
+    clicks = fx.clicks(
+        spark,
+        [
+            {"event_timestamp": "2026-03-05 06:00:00", "product_id": "P1", "category_browsed": "Shoes"},
+            {"event_timestamp": "2026-03-05 06:00:00", "product_id": "P9", "category_browsed": "Shoes"},
+            {"event_timestamp": "2026-03-05 06:00:00", "category_browsed": "Tops"},
+            {"event_timestamp": "2026-03-05 06:00:00"},
+        ],
+    )
+    rows = fx.dicts(enrich_clicks(clicks, _one_product(spark)), "event_id")
+    assert [r["resolved_category"] for r in rows] == ["Denim", "Shoes", "Tops", None]
+    assert [r["product_name"] for r in rows] == ["Jeans", None, None, None]
+
+
+def test_enrich_drops_and_counts_invalid_rows(spark):
+    clicks = fx.clicks(
+        spark,
+        [
+            {"event_timestamp": "2026-03-05 06:00:00"},
+            {"event_timestamp": "not a time"},
+            {"event_timestamp": None},
+            {"event_timestamp": "2026-03-05 06:00:00", "customer_id": None},
+        ],
+    )
+    seen = Observation("clicks")
+    rows = enrich_clicks(clicks, _one_product(spark), seen).collect()
+    assert [r["event_id"] for r in rows] == ["E000"]
+    assert seen.get == {"rows": 4, "valid_customer": 1, "valid_timestamp": 2}
+
+
+def test_null_products_spread_over_partitions(spark):
+    clicks = spark.range(1000).select(
+        F.col("id").cast("string").alias("event_id"),
+        F.lit("C1").alias("customer_id"),
+        F.lit("2026-03-05 06:00:00").alias("event_timestamp"),
+        F.lit(None).cast("string").alias("product_id"),
+        F.lit(None).cast("string").alias("category_browsed"),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+    }
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        enriched = enrich_clicks(clicks, _one_product(spark))
+        sizes = [r["count"] for r in enriched.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 1000
+    assert len(sizes) == 8 and max(sizes) < 300
+
+
+# event type, time, expected score. The last entries are dropped from the window.
+SCORED = [
+    ("add_to_cart", "2026-03-05 06:00:00", "6.00"),
+    ("wishlist_add", "2026-03-05 00:00:00", "3.00"),
+    ("search", "2026-03-04 12:00:00", "1.80"),
+    ("category_browse", "2026-03-04 11:00:00", "0.50"),
+    ("product_view", "2026-03-05 05:59:59", "1.50"),
+    ("remove_from_cart", "2026-03-05 11:00:00", "0.00"),
+    ("product_view", "2026-03-03 00:00:00", "1.00"),
+    ("product_view", "2026-03-06 00:00:00", "2.00"),
+    ("product_view", "2026-03-02 23:59:59", None),
+]
+
+
+def test_intent_scores_one_event_each(spark):
+    clicks = fx.clicks(
+        spark,
+        [
+            {"event_type": kind, "event_timestamp": time, "category_browsed": f"K{i}"}
+            for i, (kind, time, _) in enumerate(SCORED)
+        ],
+    )
+    intent = intents.category_intent(enrich_clicks(clicks, _one_product(spark)), fx.AS_OF)
+    found = {r["resolved_category"]: r["intent_score"] for r in intent.collect()}
+    expected = {f"K{i}": Decimal(score) for i, (_, _, score) in enumerate(SCORED) if score is not None}
+    assert found == expected
+
+
+def test_intent_ranks_ties_by_name_and_counts_weightless_events(spark):
+    clicks = fx.clicks(
+        spark,
+        [
+            {"event_type": "product_view", "event_timestamp": "2026-03-05 11:00:00", "category_browsed": c}
+            for c in ("Tops", "Denim", "Shoes")
+        ]
+        + [
+            {"event_type": "page_view", "event_timestamp": "2026-03-05 11:30:00", "category_browsed": "Tops"},
+            {"event_type": "search", "event_timestamp": "2026-03-05 11:30:00"},
+        ],
+    )
+    rows = fx.dicts(intents.category_intent(enrich_clicks(clicks, _one_product(spark)), fx.AS_OF), "category_rank")
+    assert [(r["category_rank"], r["resolved_category"], r["event_count"]) for r in rows] == [
+        (1, "Denim", 1),
+        (2, "Shoes", 1),
+        (3, "Tops", 2),
+    ]
+
+
+def test_rolling_window_and_upper_bound(spark):
+    times = ["2026-03-03 11:59:59", "2026-03-03 12:00:00", "2026-03-05 12:00:00", "2026-03-05 12:00:01"]
+    clicks = fx.clicks(
+        spark,
+        [{"event_type": "product_view", "event_timestamp": t, "category_browsed": "Tops"} for t in times],
+    )
+    enriched = enrich_clicks(clicks, _one_product(spark))
+    assert intents.recent_events(enriched, fx.AS_OF, "rolling").count() == 3
+    assert intents.recent_events(enriched, fx.AS_OF, "rolling", until_now=True).count() == 2
+    assert intents.recent_events(enriched, fx.AS_OF).count() == 4
+    with pytest.raises(ValueError):
+        intents.recent_events(enriched, fx.AS_OF, "weekly")
+
+
+def test_golden_record_keeps_buyers_without_purchases(spark):
+    customers = fx.customers(spark, [{"customer_id": "C1"}, {"customer_id": "C2"}, {"customer_id": None}])
+    purchases = fx.purchases(
+        spark,
+        [
+            {"customer_id": "C1", "product_id": p, "purchase_date": fx.at(d), "total_amount": a}
+            for p, d, a in [
+                ("P1", "2026-01-01 10:00:00", 10.1),
+                ("P1", "2026-02-03 23:59:00", 20.2),
+                ("P2", "2026-01-05 10:00:00", 0.3),
+            ]
+        ],
+    )
+    rows = fx.dicts(golden_record(customers, purchases, fx.AS_OF), "customer_id")
+    assert [r["customer_id"] for r in rows] == ["C1", "C2"]
+    bought, never = rows
+    assert bought["total_transactions"] == 3 and bought["unique_products_purchased"] == 2
+    assert bought["total_spend"] == Decimal("30.60") and bought["avg_order_value"] == pytest.approx(10.2)
+    assert bought["days_since_last_purchase"] == 30 and bought["churn_risk"] == "Low"
+    assert never["total_spend"] is None and never["days_since_last_purchase"] is None
+    assert never["churn_risk"] == "Low"
+    assert "credit_card_last4" not in bought and bought["email"]
+
+
+@pytest.mark.parametrize("days, band", [(61, "High"), (60, "Medium"), (31, "Medium"), (30, "Low"), (None, "Low")])
+def test_churn_bands(spark, days, band):
+    row = spark.range(1).select(rules.churn_risk(F.lit(days).cast("int")).alias("band")).first()
+    assert row["band"] == band
+
+
+# days, tier, lifetime value, orders, intent, segment
+SEGMENT_CASES = [
+    (38, "Gold", 6200.75, 35, None, "Win-Back"),
+    (5, "Gold", 4820.50, 47, None, "VIP Active"),
+    (2, "Platinum", 12350.0, 89, None, "VIP Active"),
+    (12, "Silver", 1890.25, 18, "15.5", "Rising Star"),
+    (12, "Silver", 1890.25, 18, "15.0", "Steady"),
+    (61, "Bronze", 3000.0, 10, None, "At Risk"),
+    (8, "Bronze", 450.0, 4, None, "Steady"),
+    (None, "Bronze", 9000.0, 10, None, "New & Engaged"),
+    (20, "Gold", 100.0, 3, None, "New & Engaged"),
+    (30, "Gold", 9000.0, 10, None, "Steady"),
+]
+
+
+def test_segments_take_the_first_rule(spark):
+    customers = fx.customers(
+        spark,
+        [
+            {"customer_id": f"C{i}", "loyalty_tier": tier, "lifetime_value": ltv, "total_orders": orders}
+            for i, (_, tier, ltv, orders, _, _) in enumerate(SEGMENT_CASES)
+        ],
+    )
+    days = spark.createDataFrame(
+        [(f"C{i}", case[0]) for i, case in enumerate(SEGMENT_CASES)], "customer_id string, days int"
+    )
+    golden = (
+        customers.join(days, "customer_id")
+        .withColumnRenamed("days", "days_since_last_purchase")
+        .withColumn("churn_risk", rules.churn_risk(F.col("days_since_last_purchase")))
+    )
+    intent = spark.createDataFrame(
+        [(f"C{i}", Decimal(case[4])) for i, case in enumerate(SEGMENT_CASES) if case[4]],
+        "customer_id string, intent_score decimal(18,2)",
+    )
+    tagged = segments(golden, intent)
+    assert tagged.columns == SEGMENT_COLUMNS
+    found = {r["customer_id"]: r["segment"] for r in tagged.collect()}
+    assert found == {f"C{i}": case[5] for i, case in enumerate(SEGMENT_CASES)}
+
+
+def test_marketer_columns_hide_addresses(spark):
+    customers = fx.customers(spark, [{"customer_id": "C1"}])
+    assert "email" in mask_pii(customers).columns
+    assert not {"email", "credit_card_last4"} & set(mask_pii(customers, marketer=True).columns)
+
+
+def test_cart_rate_without_views_is_null(spark):
+    clicks = fx.clicks(
+        spark,
+        [
+            {"event_type": kind, "event_timestamp": "2026-03-05 11:00:00", "category_browsed": category}
+            for kind, category in [
+                ("add_to_cart", "Shoes"),
+                ("product_view", "Tops"),
+                ("product_view", "Denim"),
+                ("product_view", "Denim"),
+                ("add_to_cart", "Denim"),
+            ]
+        ],
+    )
+    rates = metrics.add_to_cart_rate(enrich_clicks(clicks, _one_product(spark)))
+    found = {r["resolved_category"]: r["add_to_cart_rate"] for r in rates.collect()}
+    assert found == {"Shoes": None, "Tops": 0.0, "Denim": 0.5}
+
+
+@pytest.mark.parametrize(
+    "intent, rating, score", [("12", 4.5, "0.5400"), ("25", 5.0, "1.0000"), ("0", 5.0, "0.0000"), ("0.01", 3.3, "0.0003")]
+)
+def test_relevance(spark, intent, rating, score):
+    column = rules.relevance(F.lit(Decimal(intent)), F.lit(rating))
+    assert spark.range(1).select(column.alias("s")).first()["s"] == Decimal(score)
