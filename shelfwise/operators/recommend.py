@@ -78,8 +78,12 @@ def ranked_products(products: DataFrame, n: int = PRODUCTS_PER_CATEGORY) -> Data
 
 
 def content_scores(interests: DataFrame, products: DataFrame) -> DataFrame:
-    """Score every customer's interests against the best products of each category."""
-    offered = interests.join(ranked_products(products), "category")
+    """Score every customer's interests against the best products of each category.
+
+    The shelf is stored first: with its real size known it is broadcast, and the
+    interests need no shuffle on a few, possibly hot, categories.
+    """
+    offered = interests.join(cut_lineage(ranked_products(products), "shelf"), "category")
     rating = F.col("rating").cast("decimal(3,1)")
     reasoning = F.concat(
         F.lit("High intent ("),
@@ -116,18 +120,15 @@ def trending_scores(interests: DataFrame, intent: DataFrame, products: DataFrame
     scored = shelf.withColumn("score", rules.relevance(F.col("heat"), F.col("rating"))).withColumn(
         "reasoning", F.concat(F.lit("Trending in "), F.col("category"))
     )
+    shown = scored.withColumn("score_type", F.lit("trending")).select(*SCORE_COLUMNS[1:])
     wanted = interests.select("customer_id", "category")
-    return (
-        wanted.join(scored, "category")
-        .withColumn("score_type", F.lit("trending"))
-        .select(*SCORE_COLUMNS)
-    )
+    return wanted.join(cut_lineage(shown, "shelf"), "category").select(*SCORE_COLUMNS)
 
 
 def style_recommendations(interests: DataFrame, hits: DataFrame) -> DataFrame:
     """The style hits of each of a customer's categories, one row per product."""
     wanted = interests.select("customer_id", "category", "intent_score", "interest_rank")
-    return wanted.join(hits, "category")
+    return wanted.join(cut_lineage(hits, "hits"), "category")
 
 
 def style_basket(interests: DataFrame, hits: DataFrame) -> DataFrame:

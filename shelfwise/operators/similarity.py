@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.text import words
 from shelfwise.functions.vectors import cosine
+from shelfwise.sources.scratch import cut_lineage
 
 # Columns returned for a hit, and the query built from a category.
 HIT_COLUMNS = [
@@ -145,9 +146,11 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataF
     """The ``k`` vectors of each label nearest to that label's query vector.
 
     ``queries`` holds one (label, query) row per label, so the join does not
-    multiply the vectors; only ``k`` rows per label and task reach the ranking.
+    multiply the vectors; only ``k`` rows per label and task reach the ranking. The
+    queries are stored first, so that the vectors are not shuffled to them unless
+    the queries really are too large to broadcast.
     """
-    scored = vectors.join(queries, "label").select(
+    scored = vectors.join(cut_lineage(queries, "queries"), "label").select(
         "label", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("similarity")
     )
     order = Window.partitionBy("label").orderBy(F.desc("similarity"), "vec_id")

@@ -1,7 +1,7 @@
 """Recommendations over the layered tables, for all customers or for one.
 
-Restricting to a customer is a filter on the result: Catalyst carries it through
-the joins and windows to the scans, all of which are keyed by customer.
+For one customer the filter goes onto the inputs: Catalyst carries it on through
+windows and aggregates to the scans, but not through the full join of interests.
 """
 
 from __future__ import annotations
@@ -25,27 +25,29 @@ class Recommendations:
     layers: Medallion
     as_of: AsOf = None
 
+    def _interests(self, customer_id: object | None, n: int = recommend.INTERESTS) -> DataFrame:
+        return recommend.top_interests(
+            _only(self.layers.intent, customer_id), _only(self.layers.golden, customer_id), n
+        )
+
     def top_interests(self, customer_id: object | None = None, n: int = recommend.INTERESTS) -> DataFrame:
-        found = recommend.top_interests(self.layers.intent, self.layers.golden, n)
-        return _only(found, customer_id).orderBy("customer_id", "interest_rank")
+        return self._interests(customer_id, n).orderBy("customer_id", "interest_rank")
 
     def similar_products(self, query_text: str, k: int = 5, filters: dict | None = None) -> DataFrame:
         return similarity.similar_by_text(self.layers.bronze.products, query_text, k, filters)
 
     def style(self, customer_id: object | None = None, new_arrivals: bool = True) -> DataFrame:
         hits = similarity.style_hits(self.layers.bronze.products, new_arrivals=new_arrivals)
-        interests = recommend.top_interests(self.layers.intent, self.layers.golden)
-        return recommend.style_basket(_only(interests, customer_id), hits)
+        return recommend.style_basket(self._interests(customer_id), hits)
 
     def content_scores(self, customer_id: object | None = None) -> DataFrame:
-        interests = recommend.top_interests(self.layers.intent, self.layers.golden)
-        scores = recommend.content_scores(_only(interests, customer_id), self.layers.bronze.products)
+        scores = recommend.content_scores(self._interests(customer_id), self.layers.bronze.products)
         return scores.orderBy("customer_id", F.desc("score"), "product_id")
 
     def scores(self) -> DataFrame:
         """Rows of the score table with all four score types."""
         products, purchases = self.layers.bronze.products, self.layers.bronze.purchases
-        interests = recommend.top_interests(self.layers.intent, self.layers.golden)
+        interests = self._interests(None)
         return recommend.recommendation_scores(
             recommend.content_scores(interests, products),
             recommend.trending_scores(interests, self.layers.intent, products),

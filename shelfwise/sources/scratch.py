@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
@@ -28,8 +28,13 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df, purpose: str):
-    """Write ``df`` as parquet in the scratch folder and read it back."""
+def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` as parquet in the scratch folder and read it back.
+
+    Used where a result is read several times, and where a small result meets a
+    large table: a stored table has a known size, so Spark broadcasts it only if it
+    is small enough and otherwise shuffles.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
     df.write.parquet(path)
