@@ -66,12 +66,12 @@ def test_unused_joins_are_not_planned(spark):
 
 def test_one_customer_filters_the_scan(spark):
     interests = QUERIES["recent_interest"](spark, SF_DIR).where(F.col("customer_id") == 7)
-    assert re.search(r"DataFilters: \[.*user_id#\d+L? = 7\)", plan(interests))
+    assert re.search(r"Filter .*user_id#\d+L? = 7\)", plan(interests))
 
 
 def test_interests_of_one_customer_filter_both_inputs(spark):
     found = Recommendations(Samples(spark, SF_DIR)).top_interests(7)
-    assert len(re.findall(r"DataFilters: \[.*(?:user_id|c_custkey)#\d+L? = 7\)", plan(found))) == 2
+    assert len(re.findall(r" Filter .*(?:user_id|c_custkey)#\d+L? = 7\)", plan(found))) == 2
 
 
 def test_feed_is_cut_before_its_shuffle(spark):
