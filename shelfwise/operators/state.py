@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import rules
@@ -28,30 +28,19 @@ def active_sessions(enriched: DataFrame) -> DataFrame:
         F.max(kind == "add_to_cart").alias("added"),
         F.max(kind == "remove_from_cart").alias("removed"),
     )
-    # One exchange on the session serves both groupings below.
+    # One exchange on the session serves the window and the grouping below.
     by_session = by_product.repartition("session_id")
-    by_category = by_session.groupBy("session_id", "customer_id", "category").agg(
-        F.min("started_at").alias("started_at"),
-        F.max("last").alias("last"),
-        F.sum("score").cast("decimal(18,2)").alias("score"),
-        F.collect_set("product_id").alias("products"),
-        F.collect_set(F.when(F.col("added"), F.col("product_id"))).alias("added"),
-        F.collect_set(F.when(F.col("removed"), F.col("product_id"))).alias("removed"),
-    )
-    named = F.col("category").isNotNull()
-    intent = F.when(named, F.struct("category", F.col("score").cast("double").alias("score")))
-
-    def merged(column: str):
-        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column))))
-
-    whole = by_category.groupBy("session_id", "customer_id").agg(
+    total = F.sum("score").over(Window.partitionBy("session_id", "category"))
+    scored = by_session.withColumn("score", total.cast("decimal(18,2)").cast("double"))
+    product = F.col("product_id")
+    whole = scored.groupBy("session_id", "customer_id").agg(
         F.min("started_at").alias("started_at"),
         F.max("last").alias("last"),
         F.array_sort(F.collect_set("category")).alias("categories_viewed"),
-        merged("products").alias("products_viewed"),
-        merged("added").alias("added"),
-        merged("removed").alias("removed"),
-        F.map_from_entries(F.array_sort(F.collect_list(intent))).alias("session_intent"),
+        F.array_sort(F.collect_set("product_id")).alias("products_viewed"),
+        F.array_sort(F.collect_set(F.when(F.col("added"), product))).alias("added"),
+        F.collect_set(F.when(F.col("removed"), product)).alias("removed"),
+        F.collect_set(F.when(F.col("category").isNotNull(), F.struct("category", "score"))).alias("scores"),
     )
     return whole.select(
         "session_id",
@@ -63,7 +52,7 @@ def active_sessions(enriched: DataFrame) -> DataFrame:
         "categories_viewed",
         "products_viewed",
         F.array_except("added", "removed").alias("cart_items"),
-        "session_intent",
+        F.map_from_entries(F.array_sort("scores")).alias("session_intent"),
     )
 
 
