@@ -244,7 +244,7 @@ RESULTS = {
  FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, rating DESC, product_id) AS slot
  FROM content) WHERE slot <= 9""",
     "trending_scores": f"SELECT {SCORE_OUT} FROM trendy",
-    "companion_products": "SELECT anchor_id, product_id, co_buyers, companion_rank, anchor_buyers FROM companions",
+    "collaborative_pairs": "SELECT anchor_id, product_id, co_buyers, companion_rank, anchor_buyers FROM companions",
     "collaborative_scores": f"SELECT {SCORE_OUT} FROM collab",
     "similar_text": "SELECT product_id, product_name, category, similarity FROM products JOIN ("
     + _tfidf(
@@ -285,7 +285,7 @@ RESULTS = {
     "ledger_balance": """SELECT *, sum(points) OVER (PARTITION BY customer_id ORDER BY created_at, id
  ROWS UNBOUNDED PRECEDING)::BIGINT AS balance_after FROM points_events""",
     "current_balance": "SELECT customer_id, sum(points)::BIGINT AS balance FROM points_events GROUP BY 1",
-    "offer_basket": "SELECT * FROM offers",
+    "offers": "SELECT * FROM offers",
     "winback_offers": "SELECT * FROM winback",
     "live_offers": """SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY relevance_score DESC, slot, offer_code)
  AS offer_rank FROM offers WHERE expires_at > TIMESTAMP '2024-02-01 06:00:00'""",

@@ -18,7 +18,7 @@ from shelfwise.operators import (
     intent as intents,
     loyalty,
     metrics,
-    offers,
+    offers as offering,
     portal,
     recommend,
     similarity,
@@ -103,7 +103,7 @@ class Samples(Medallion):
 
     @cached_property
     def offers(self) -> DataFrame:
-        return offers.offers(self.segments, self.intent, AS_OF)
+        return offering.offers(self.segments, self.intent, AS_OF)
 
     def click_stream(self) -> DataFrame:
         # The pattern matches one file or a folder of that name; a plain path would
@@ -284,7 +284,7 @@ def trending_scores(s: Samples) -> DataFrame:
 
 
 @query
-def companion_products(s: Samples) -> DataFrame:
+def collaborative_pairs(s: Samples) -> DataFrame:
     baskets = cut_lineage(recommend.purchase_baskets(s.purchases), "baskets")
     return recommend.companion_products(baskets)
 
@@ -374,13 +374,13 @@ def _offer_columns(df: DataFrame, *more: str) -> DataFrame:
 
 
 @query
-def offer_basket(s: Samples) -> DataFrame:
+def offers(s: Samples) -> DataFrame:
     return _offer_columns(s.offers)
 
 
 @query
 def winback_offers(s: Samples) -> DataFrame:
-    return _offer_columns(offers.winback_offers(s.segments, AS_OF))
+    return _offer_columns(offering.winback_offers(s.segments, AS_OF))
 
 
 @query
@@ -388,10 +388,10 @@ def live_offers(s: Samples) -> DataFrame:
     """The basket 30 hours on, appended to a table in two writes and read back."""
     s.settle()
     path = scratch_path(s.spark, "offers")
-    append_rows(offers.winback_offers(s.segments, AS_OF), path)
-    append_rows(offers.category_offers(s.segments, s.intent, AS_OF), path)
+    append_rows(offering.winback_offers(s.segments, AS_OF), path)
+    append_rows(offering.category_offers(s.segments, s.intent, AS_OF), path)
     stored = s.spark.read.parquet(path)
-    return _offer_columns(offers.live_offers(stored, "2024-02-01 06:00:00"), "offer_rank")
+    return _offer_columns(offering.live_offers(stored, "2024-02-01 06:00:00"), "offer_rank")
 
 
 @query

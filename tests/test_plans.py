@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from shelfwise.operators import portal
+from shelfwise.operators.enrich import enrich_clicks
 from shelfwise.plans.queries import Samples
 from shelfwise.plans.recommendations import Recommendations
 from shelfwise.sources import sample_tables
+from tests import fixtures as fx
 from tests.conftest import DATA
 
 SF_DIR = f"{DATA}/sf0.001"
@@ -86,3 +88,33 @@ def test_stored_sides_are_broadcast_by_size(spark):
     # The interests go from their own join straight to the shelf.
     text = plan(QUERIES["content_scores"](spark, SF_DIR))
     assert "hashpartitioning(category" not in text
+
+
+def test_a_hot_product_is_split(spark, no_broadcast):
+    """A shuffled join whose one key holds most rows still runs as several tasks."""
+    clicks = spark.range(200_000).select(
+        F.format_string("E%012d", "id").alias("event_id"),
+        F.lit("C1").alias("customer_id"),
+        F.lit("2026-03-05 06:00:00").cast("timestamp").alias("event_timestamp"),
+        F.when(F.col("id") % 10 < 7, "P1").otherwise(F.concat(F.lit("P"), "id")).alias("product_id"),
+        F.lit(None).cast("string").alias("category_browsed"),
+    )
+    products = fx.products(spark, [{"product_id": f"P{i}", "category": "Denim"} for i in range(50)])
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for setting, value in settings.items():
+        spark.conf.set(setting, value)
+    try:
+        enriched = enrich_clicks(clicks.repartition(20), products)
+        assert enriched.where("resolved_category = 'Denim'").count() == 140_000 + sum(
+            1 for i in range(50) if i % 10 >= 7
+        )
+        rows = enriched.select("event_id", "resolved_category")
+        rows.collect()
+        assert "skew=true" in plan(rows)
+    finally:
+        for setting in settings:
+            spark.conf.unset(setting)
