@@ -22,6 +22,16 @@ PRODUCTS_FILE = "products_catalog.csv"
 CUSTOMERS_FILE = "customer_profiles.csv"
 PURCHASES_FILE = "purchase_history.csv"
 
+# Names of the published tables.
+CLICKS_TABLE = "bronze_clickstream"
+PRODUCTS_TABLE = "bronze_products"
+CUSTOMERS_TABLE = "bronze_customers"
+PURCHASES_TABLE = "bronze_purchases"
+ENRICHED_TABLE = "silver_clickstream_enriched"
+GOLDEN_TABLE = "silver_customer_golden_record"
+INTENT_TABLE = "gold_category_intent_scores"
+SEGMENTS_TABLE = "gold_high_value_segments"
+
 
 @dataclass(frozen=True)
 class Bronze:
@@ -55,14 +65,14 @@ class Medallion:
     def segments(self) -> DataFrame:
         return segments(self.golden, self.intent)
 
-    def settle(self) -> Medallion:
-        """Write the two gold tables to the scratch folder and go on from there.
+    def settle(self, *names: str) -> Medallion:
+        """Write the named layers to the scratch folder and go on from there.
 
-        For plans that read them several times: the clicks are scored once, and later
-        joins know the real sizes. Published layers do not need it.
+        For plans that read a layer several times: the clicks are scored once, and
+        later joins know real sizes. Published layers do not need it.
         """
-        self.intent = cut_lineage(self.intent, "intent")
-        self.segments = cut_lineage(self.segments, "segments")
+        for name in names:
+            setattr(self, name, cut_lineage(getattr(self, name), name))
         return self
 
 
@@ -84,25 +94,36 @@ def publish(bronze: Bronze, database: str, as_of: AsOf = None, window: str = "ca
 
     layers = Medallion(
         Bronze(
-            clicks=stored(bronze.clicks, "bronze_clickstream", "bronze", "Raw click events"),
-            products=stored(bronze.products, "bronze_products", "bronze", "Raw product catalogue"),
-            customers=stored(bronze.customers, "bronze_customers", "bronze", "Raw customer profiles"),
-            purchases=stored(bronze.purchases, "bronze_purchases", "bronze", "Raw purchase history"),
+            clicks=stored(bronze.clicks, CLICKS_TABLE, "bronze", "Raw click events"),
+            products=stored(bronze.products, PRODUCTS_TABLE, "bronze", "Raw product catalogue"),
+            customers=stored(bronze.customers, CUSTOMERS_TABLE, "bronze", "Raw customer profiles"),
+            purchases=stored(bronze.purchases, PURCHASES_TABLE, "bronze", "Raw purchase history"),
         ),
         as_of,
         window,
     )
     layers.enriched = stored(
-        layers.enriched, "silver_clickstream_enriched", "silver", "Typed click events with product columns"
+        layers.enriched, ENRICHED_TABLE, "silver", "Typed click events with product columns"
     )
     layers.golden = stored(
-        layers.golden,
-        "silver_customer_golden_record",
-        "silver",
-        "One masked row per customer with purchase aggregates",
+        layers.golden, GOLDEN_TABLE, "silver", "One masked row per customer with purchase aggregates"
     )
-    layers.intent = stored(
-        layers.intent, "gold_category_intent_scores", "gold", "Recent interest per customer and category"
+    layers.intent = stored(layers.intent, INTENT_TABLE, "gold", "Recent interest per customer and category")
+    layers.segments = stored(layers.segments, SEGMENTS_TABLE, "gold", "Customer segments")
+    return layers
+
+
+def open_layers(spark: SparkSession, database: str, as_of: AsOf = None) -> Medallion:
+    """The layers published in ``database`` (``catalog.database`` works as well)."""
+
+    def table(name: str) -> DataFrame:
+        return spark.table(f"{database}.{name}")
+
+    layers = Medallion(
+        Bronze(table(CLICKS_TABLE), table(PRODUCTS_TABLE), table(CUSTOMERS_TABLE), table(PURCHASES_TABLE)), as_of
     )
-    layers.segments = stored(layers.segments, "gold_high_value_segments", "gold", "Customer segments")
+    layers.enriched = table(ENRICHED_TABLE)
+    layers.golden = table(GOLDEN_TABLE)
+    layers.intent = table(INTENT_TABLE)
+    layers.segments = table(SEGMENTS_TABLE)
     return layers

@@ -280,6 +280,7 @@ def recommendation_shelf(s: Samples) -> DataFrame:
 
 @query
 def trending_scores(s: Samples) -> DataFrame:
+    s.settle("intent")
     return recommend.trending_scores(s.interests, s.intent, s.products)
 
 
@@ -333,7 +334,7 @@ def similar_vectors(s: Samples) -> DataFrame:
 
 @query
 def recommendation_scores(s: Samples) -> DataFrame:
-    s.settle()
+    s.settle("intent")
     return Recommendations(s, AS_OF).scores().select(
         "customer_id", "product_id", "score", "score_type", "computed_at"
     )
@@ -375,6 +376,7 @@ def _offer_columns(df: DataFrame, *more: str) -> DataFrame:
 
 @query
 def offers(s: Samples) -> DataFrame:
+    s.settle("intent")
     return _offer_columns(s.offers)
 
 
@@ -386,7 +388,7 @@ def winback_offers(s: Samples) -> DataFrame:
 @query
 def live_offers(s: Samples) -> DataFrame:
     """The basket 30 hours on, appended to a table in two writes and read back."""
-    s.settle()
+    s.settle("intent", "segments")
     path = scratch_path(s.spark, "offers")
     append_rows(offering.winback_offers(s.segments, AS_OF), path)
     append_rows(offering.category_offers(s.segments, s.intent, AS_OF), path)
@@ -396,6 +398,7 @@ def live_offers(s: Samples) -> DataFrame:
 
 @query
 def interest_profile(s: Samples) -> DataFrame:
+    s.settle("intent")
     return portal.interest_profile(s.segments, s.intent, PROFILE_DEFAULTS)
 
 
@@ -434,14 +437,14 @@ def active_sessions(s: Samples) -> DataFrame:
 
 @query
 def customer_state(s: Samples) -> DataFrame:
-    s.settle()
+    s.settle("intent", "segments")
     return state.customer_state(s.segments, s.intent, s.offers, s.clicks, AS_OF)
 
 
 @query
 def customer_snapshot(s: Samples) -> DataFrame:
     """The state of an earlier day replaced by today's, then read back."""
-    s.settle()
+    s.settle("intent", "segments")
     path = scratch_path(s.spark, "customer-state")
     for day in ("2024-01-30 00:00:00", AS_OF):
         replace_snapshot(state.customer_state(s.segments, s.intent, s.offers, s.clicks, day), path)

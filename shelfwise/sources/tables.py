@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.sources.scratch import cut_lineage
+
 BUCKET = "key_bucket"
 
 
@@ -59,16 +61,17 @@ def upsert(new: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str]
     same table.
     """
     spark = new.sparkSession
-    columns = new.columns
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    fresh = latest_per_key(new, keys, newest).withColumn(BUCKET, bucket)
-    merged = fresh
+    merged = latest_per_key(new, keys, newest).withColumn(BUCKET, bucket)
     stored = read_existing(spark, path)
     if stored is not None:
-        # At most ``buckets`` integers reach the driver.
-        touched = [row[0] for row in new.select(bucket.alias(BUCKET)).distinct().collect()]
-        kept = stored.where(F.col(BUCKET).isin(touched)).select(*columns)
-        merged = latest_per_key(kept.unionByName(new), keys, newest).withColumn(BUCKET, bucket)
+        # The batch is needed twice; of its buckets, at most ``buckets`` integers
+        # reach the driver.
+        batch = cut_lineage(merged, "batch")
+        touched = [row[0] for row in batch.select(BUCKET).distinct().collect()]
+        kept = stored.where(F.col(BUCKET).isin(touched)).select(*new.columns)
+        both = kept.unionByName(batch.select(*new.columns))
+        merged = latest_per_key(both, keys, newest).withColumn(BUCKET, bucket)
     (
         merged.hint("rebalance", BUCKET)
         .write.mode("overwrite")

@@ -16,9 +16,7 @@ def upsert_scores(path: str) -> BatchFunction:
     """Keep the latest score per customer, product and score type at ``path``."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
-        upsert(kept, path, SCORE_KEYS, ["computed_at"])
-        kept.unpersist()
+        upsert(batch, path, SCORE_KEYS, ["computed_at"])
 
     return merge
 

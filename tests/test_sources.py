@@ -14,6 +14,7 @@ from shelfwise.plans.medallion import (
     PRODUCTS_FILE,
     PURCHASES_FILE,
     Bronze,
+    open_layers,
     publish,
     read_bronze,
 )
@@ -204,6 +205,10 @@ def test_published_layers(spark, tmp_path):
         scores = Recommendations(layers, fx.AS_OF).content_scores("C1").collect()
         assert [(r["product_id"], float(r["score"])) for r in scores] == [("P1", 0.27)]
         assert "credit_card_last4" not in layers.golden.columns
+        opened = open_layers(spark, "spark_catalog.shop", fx.AS_OF)
+        assert opened.segments.schema == layers.segments.schema
+        interests = Recommendations(opened).top_interests().collect()
+        assert [(r["customer_id"], r["category"]) for r in interests] == [("C1", "Denim"), ("C2", "Tops")]
         # A second run replaces every table.
         again = publish(bronze, "shop", fx.AS_OF)
         assert again.intent.count() == 1
