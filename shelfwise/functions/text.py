@@ -42,4 +42,4 @@ def one_decimal(number: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case alphanumeric words of the whole text, in order, repeats kept."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda word: word != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")

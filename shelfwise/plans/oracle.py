@@ -189,6 +189,12 @@ LATEST = """SELECT customer_id, product_id, score, score_type, reasoning, comput
 RESULTS = {
     "enriched_clicks": """SELECT event_id, customer_id, session_id, event_timestamp, event_type, product_id, product_name,
  product_subcategory, product_brand, product_price, product_style_tags, category_browsed, resolved_category FROM enriched""",
+    "rule_violations": """SELECT (SELECT count(*) FROM clicks) AS rows, rule, violations FROM
+ (SELECT 'valid_customer' AS rule, count(*) FILTER (customer_id IS NULL) AS violations FROM clicks
+ UNION ALL SELECT 'valid_timestamp', count(*) FILTER (event_timestamp IS NULL) FROM clicks
+ UNION ALL SELECT 'has_product', count(*) FILTER (product_id IS NULL) FROM clicks
+ UNION ALL SELECT 'long_visit', count(*) FILTER (time_on_page_seconds < 5) FROM clicks)""",
+    "masked_customers": f"SELECT * EXCLUDE (liked, email), {LIKED} FROM customers",
     "golden_record": f"""SELECT * EXCLUDE (liked, total_spend), total_spend::DOUBLE AS total_spend, {LIKED} FROM golden""",
     "churn_bands": """SELECT churn_risk, count(*) AS customers, sum(total_spend)::DOUBLE AS total_spend,
  max(days_since_last_purchase) AS longest_gap_days FROM golden GROUP BY 1""",

@@ -20,11 +20,12 @@ from shelfwise.operators import (
     metrics,
     offers as offering,
     portal,
+    quality,
     recommend,
     similarity,
     state,
 )
-from shelfwise.operators.enrich import enrich_clicks
+from shelfwise.operators.enrich import CLICK_RULES, enrich_clicks
 from shelfwise.plans.medallion import (
     CLICKSTREAM_FILE,
     CUSTOMERS_FILE,
@@ -157,6 +158,17 @@ def enriched_clicks(s: Samples) -> DataFrame:
     )
 
 
+@query
+def rule_violations(s: Samples) -> DataFrame:
+    more = {"has_product": "product_id IS NOT NULL", "long_visit": "time_on_page_seconds >= 5"}
+    return quality.rule_violations(s.clicks, {**CLICK_RULES, **more})
+
+
+@query
+def masked_customers(s: Samples) -> DataFrame:
+    return quality.mask_pii(s.customers, marketer=True)
+
+
 @query
 def golden_record(s: Samples) -> DataFrame:
     return s.golden

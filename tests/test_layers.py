@@ -13,7 +13,7 @@ from shelfwise.operators import intent as intents
 from shelfwise.operators import metrics
 from shelfwise.operators.enrich import enrich_clicks
 from shelfwise.operators.golden import golden_record
-from shelfwise.operators.quality import mask_pii
+from shelfwise.operators.quality import mask_pii, rule_violations
 from shelfwise.operators.segments import SEGMENT_COLUMNS, segments
 from tests import fixtures as fx
 
@@ -54,6 +54,9 @@ def test_enrich_drops_and_counts_invalid_rows(spark):
     assert [r["event_id"] for r in rows] == ["E000"]
     assert seen.get == {"rows": 4, "valid_customer": 1, "valid_timestamp": 2}
 
+    report = rule_violations(clicks, {"timed": "event_timestamp > '2026'", "known": "customer_id IS NOT NULL"})
+    assert {r["rule"]: (r["rows"], r["violations"]) for r in report.collect()} == {"timed": (4, 1), "known": (4, 1)}
+
 
 def test_null_products_spread_over_partitions(spark):
     clicks = spark.range(1000).select(
