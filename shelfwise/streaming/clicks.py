@@ -14,6 +14,8 @@ from shelfwise.functions.clock import AsOf, hours_between, instant
 from shelfwise.operators.intent import rank_categories, recent_events
 from shelfwise.sources.files import CSV_OPTIONS
 
+MERGE_SESSIONS_EARLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
 
 def read_click_stream(
     spark: SparkSession, path: str, schema: str, fmt: str = "csv", files_per_batch: int | None = None
@@ -81,7 +83,12 @@ def intent_from_buckets(buckets: DataFrame, as_of: AsOf = None) -> DataFrame:
 
 
 def stream_sessions(enriched: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Sessions split by a pause of ``gap``, emitted once they can no longer grow."""
+    """Sessions split by a pause of ``gap``, emitted once they can no longer grow.
+
+    Events of one session merge on each task before the shuffle, so a customer with
+    most of the events does not send them all to one task.
+    """
+    enriched.sparkSession.conf.set(MERGE_SESSIONS_EARLY, "true")
     kind = F.col("event_type")
     session = F.session_window("event_timestamp", gap)
     totals = (
