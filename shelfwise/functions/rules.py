@@ -80,10 +80,13 @@ def segment(
 
 
 def relevance(intent: Column, rating: Column) -> Column:
-    """Intent share times rating share, at most 1, four places, exact decimals."""
+    """Intent share times rating share, at most 1, four places, exact decimals.
+
+    Without a rating there is nothing to recommend on: 0.
+    """
     scale = Decimal(1) / (FULL_INTENT * FULL_RATING)
     share = (intent.cast("decimal(14,2)") * rating.cast("decimal(3,1)") * F.lit(scale)).cast("decimal(18,5)")
-    return F.least(_decimal("1.0000"), F.round(share, 4)).cast("decimal(18,4)")
+    return F.least(_decimal("1.0000"), F.coalesce(F.round(share, 4), _decimal("0.0000"))).cast("decimal(18,4)")
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -8,11 +8,13 @@ from pyspark.sql import types as T
 
 from shelfwise.operators.quality import expect_or_drop
 
+# Names and conditions of the click rules.
 CLICK_RULES = {
     "valid_customer": "customer_id IS NOT NULL",
     "valid_timestamp": "event_timestamp IS NOT NULL",
 }
 
+# Product column -> column of an enriched click.
 CATALOGUE_COLUMNS = {
     "product_id": "product_id",
     "product_name": "product_name",

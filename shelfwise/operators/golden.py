@@ -9,6 +9,7 @@ from shelfwise.functions import rules
 from shelfwise.functions.clock import AsOf, instant
 from shelfwise.operators.quality import expect_or_drop, mask_pii
 
+# Fixed value: name and condition of the customer rule.
 CUSTOMER_RULES = {"valid_customer_id": "customer_id IS NOT NULL"}
 
 

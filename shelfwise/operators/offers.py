@@ -25,6 +25,7 @@ WIN_BACK_RELEVANCE = Decimal("0.99")
 LOWEST = Decimal("0.82")
 HIGHEST = Decimal("0.98")
 
+# Columns of the offer table, after the slot in the basket.
 OFFER_COLUMNS = [
     "customer_id",
     "slot",

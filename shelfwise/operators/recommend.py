@@ -91,7 +91,7 @@ def content_scores(interests: DataFrame, products: DataFrame) -> DataFrame:
         F.lit(") in "),
         F.col("category"),
         F.lit(" + product rating "),
-        rating.cast("string"),
+        F.coalesce(rating.cast("string"), F.lit("none")),
     )
     return (
         offered.withColumn("score", rules.relevance(F.col("intent_score"), F.col("rating")))

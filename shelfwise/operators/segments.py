@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import rules
 from shelfwise.operators.intent import engagement
 
+# Columns of the segment table, in order.
 SEGMENT_COLUMNS = [
     "customer_id",
     "first_name",

@@ -110,7 +110,8 @@ def similar_by_text(
 
 def style_queries(products: DataFrame) -> DataFrame:
     """One query text per category."""
-    return products.select(F.col("category").alias("block")).distinct().select(
+    named = products.where(F.col("category").isNotNull())
+    return named.select(F.col("category").alias("block")).distinct().select(
         "block", F.format_string(STYLE_QUERY, F.col("block")).alias("text")
     )
 

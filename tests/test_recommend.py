@@ -11,6 +11,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise import schemas
 from shelfwise.operators import loyalty, offers, portal, recommend, similarity, state
 from shelfwise.operators.enrich import enrich_clicks
 from shelfwise.plans.medallion import Bronze, Medallion
@@ -195,6 +196,33 @@ def test_style_hits_prefer_new_arrivals_where_there_are_any(spark):
     assert {r["product_id"]: r["similarity"] for r in everything} == pytest.approx(expected)
 
 
+def test_products_without_rating_or_category(spark):
+    products = fx.products(
+        spark,
+        [
+            {"product_id": "P1", "product_name": "plain tee", "category": "Tops", "price": 1.0},
+            {"product_id": "P2", "product_name": "odd one", "price": 1.0},
+        ],
+    )
+    scores = fx.dicts(recommend.content_scores(_interests(spark), products), "customer_id")
+    assert {(r["product_id"], r["score"]) for r in scores} == {("P1", Decimal("0.0000"))}
+    assert scores[0]["reasoning"] == "High intent (3.0) in Tops + product rating none"
+    hits = similarity.style_hits(products, new_arrivals=False).where("category IS NOT NULL").collect()
+    assert [r["product_id"] for r in hits] == ["P1"]
+
+
+def _types(schema):
+    return [(field.name, field.dataType) for field in schema]
+
+
+def test_serving_rows_have_the_declared_columns(spark):
+    basket = offers.offers(_tagged(spark), _intent(spark, []), fx.AS_OF)
+    assert _types(basket.schema) == _types(spark.createDataFrame([], schemas.OFFERS).schema)
+    scored = recommend.content_scores(_interests(spark), _pair(spark))
+    rows = recommend.recommendation_scores(scored, as_of=fx.AS_OF)
+    assert _types(rows.schema) == _types(spark.createDataFrame([], schemas.RECOMMENDATION_SCORES).schema)
+
+
 def test_nearest_vectors_match_plain_python(spark):
     picker = random.Random(9)
     rows = [(i, [picker.uniform(-1, 1) for _ in range(8)], i % 3) for i in range(60)]
