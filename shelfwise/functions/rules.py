@@ -89,6 +89,15 @@ def relevance(intent: Column, rating: Column) -> Column:
     return F.least(_decimal("1.0000"), F.coalesce(F.round(share, 4), _decimal("0.0000"))).cast("decimal(18,4)")
 
 
+def exact_sum(amount: Column) -> Column:
+    """Sum of a two-place amount as a decimal, whatever the order of the rows.
+
+    Whole cents add up as 64-bit integers, which stays in generated code.
+    """
+    cents = F.sum(F.rint(amount.cast("double") * 100).cast("bigint"))
+    return (cents.cast("decimal(20,0)") * _decimal("0.01")).cast("decimal(20,2)")
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole as DOUBLE; null when there is nothing to divide by."""
     return F.try_divide(part.cast("double"), whole.cast("double"))

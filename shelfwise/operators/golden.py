@@ -16,9 +16,9 @@ CUSTOMER_RULES = {"valid_customer_id": "customer_id IS NOT NULL"}
 def purchase_rollup(purchases: DataFrame) -> DataFrame:
     """Five purchase aggregates per customer.
 
-    Amounts are summed as decimals, so the result does not depend on task order.
+    Amounts are summed exactly, so the result does not depend on task order.
     """
-    amount = F.sum(F.col("total_amount").cast("decimal(16,2)"))
+    amount = rules.exact_sum(F.col("total_amount"))
     return purchases.groupBy("customer_id").agg(
         F.count("*").alias("total_transactions"),
         amount.alias("total_spend"),

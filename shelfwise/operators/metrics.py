@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.rules import VIP_TIERS, ratio
+from shelfwise.functions.rules import VIP_TIERS, exact_sum, ratio
 from shelfwise.operators.ordering import top_share
 
 # Fixed value: a high-LTV shopper spends more than this. Segments use their own bound.
@@ -103,7 +103,7 @@ def best_sellers(purchases: DataFrame, products: DataFrame) -> DataFrame:
     """
     per_product = purchases.groupBy("product_id").agg(
         F.sum(F.col("quantity").cast("long")).alias("units"),
-        F.sum(F.col("total_amount").cast("decimal(16,2)")).alias("revenue"),
+        exact_sum(F.col("total_amount")).alias("revenue"),
         F.count("*").alias("purchases"),
     )
     named = per_product.join(products.select("product_id", "product_name", "category", "brand"), "product_id")
