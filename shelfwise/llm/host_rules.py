@@ -3,8 +3,8 @@
 Every document is measured over its whole text and fails the base rules when it has
 too few words or too many of them in repeated windows. Failures are counted by host
 (here: the column ``source``). A beta prior is fitted to the hosts' failure rates by
-their mean and variance, each host's rate is shrunk towards it, and a host whose
-shrunk rate passes a limit is rejected with all its documents.
+their mean and variance and each host's rate is shrunk towards it. A host is rejected
+with all its documents when even the lower bound of its shrunk rate passes a limit.
 
 Null texts have no words. Documents without a host count towards no host and stand by
 their own rules. Repeated rows are judged as often as they occur. An empty table gives
@@ -29,8 +29,9 @@ SPACES = " \t\n\v\f\r"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 20, 30
 #: The prior's strength where hosts differ by chance only.
 NO_VARIANCE = 1e9
-#: A host is rejected when more than this share of its documents must be taken to fail.
-MOST_FAILING = 0.5
+#: A host is rejected when more than this share of its documents must be taken to fail,
+#: so many posterior standard deviations below the mean.
+MOST_FAILING, BOUND_DEVIATIONS = 0.5, 1.645
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _TYPE = pa.struct([(name, pa.int64()) for name in MEASURES])
@@ -120,7 +121,8 @@ def host_prior(hosts: DataFrame) -> tuple[float, float]:
 
 
 def host_verdicts(outcomes: DataFrame, most_failing: float = MOST_FAILING) -> DataFrame:
-    """``(host, n, failed, rate, rejected)`` from rows ``(host, failed)``."""
+    """``(host, n, failed, rate, rejected)`` from rows ``(host, failed)``; ``rate`` is
+    the posterior mean."""
     counts = (
         outcomes.where(F.col("host").isNotNull())
         .groupBy("host")
@@ -128,8 +130,10 @@ def host_verdicts(outcomes: DataFrame, most_failing: float = MOST_FAILING) -> Da
     )
     hosts = cut_lineage(counts, "hosts")
     mean, strength = host_prior(hosts)
-    rate = F.round((F.col("failed") + mean * strength) / (F.col("n") + strength), 9)
-    return hosts.withColumn("rate", rate).withColumn("rejected", rate > most_failing)
+    total = F.col("n") + strength
+    rate = (F.col("failed") + mean * strength) / total
+    bound = rate - BOUND_DEVIATIONS * F.sqrt(rate * (1 - rate) / (total + 1))
+    return hosts.withColumn("rate", rate).withColumn("rejected", F.round(bound, 9) > most_failing)
 
 
 def judge(docs: DataFrame, carry: Sequence[str], host: str = "source", text: str = "text") -> DataFrame:

@@ -103,9 +103,12 @@ WITH d AS (
 ), prior AS (
   SELECT mean, CASE WHEN between_hosts <= 0 OR weight <= 0 THEN {host_rules.NO_VARIANCE}
     ELSE greatest(mean * (1 - mean) * weight / between_hosts - 1, 1.0) END AS strength FROM s
+), r AS (
+  SELECT source, (k + mean * strength) / (n + strength) AS rate, n + strength + 1 AS below FROM h, prior
 ), v AS (
-  SELECT source, round((k + mean * strength) / (n + strength), 9) > {host_rules.MOST_FAILING} AS rejected
-  FROM h, prior
+  SELECT source,
+    round(rate - {host_rules.BOUND_DEVIATIONS} * sqrt(rate * (1 - rate) / below), 9)
+      > {host_rules.MOST_FAILING} AS rejected FROM r
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(rejected, false) AS kept

@@ -95,12 +95,18 @@ def train_dictionary(docs: DataFrame, encoder: Callable[[], PieceEncoder]) -> Da
     return sample.repartition(1).mapInArrow(train, "hash string, dictionary binary")
 
 
+def read_dictionary(spark: SparkSession, path: str) -> bytes:
+    """The store's dictionary; empty where there was nothing to train on."""
+    row = spark.read.parquet(f"{path}/dictionary").first()
+    return bytes(row.dictionary) if row else b""
+
+
 def write_token_store(docs: DataFrame, path: str, encoder: Callable[[], PieceEncoder], end_id: int) -> None:
     """Encode ``text`` of every row, append ``end_id`` and write the blocks below ``path``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     train_dictionary(docs, encoder).write.parquet(f"{path}/dictionary")
-    dictionary = spark.read.parquet(f"{path}/dictionary").first().dictionary
+    dictionary = read_dictionary(spark, path)
     digest, end = hashlib.sha256(dictionary).digest(), struct.pack("<I", end_id)
 
     def frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +161,7 @@ def unpack_index(block: bytes, digest: bytes) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _read(spark: SparkSession, path: str, blocks: DataFrame, wanted: frozenset[int] | None) -> DataFrame:
-    dictionary = spark.read.parquet(f"{path}/dictionary").first().dictionary
+    dictionary = read_dictionary(spark, path)
     digest = hashlib.sha256(dictionary).digest()
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

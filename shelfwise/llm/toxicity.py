@@ -33,6 +33,8 @@ from shelfwise.sources.scratch import cut_lineage
 
 #: Labelled documents that train the chain, and features chosen for each category.
 MAX_LABELLED, MAX_FEATURES = 20_000, 768
+#: The chi-square a feature must reach to be chosen.
+LEAST_DISTANCE = 15
 FOLDS, LEAST_DOCUMENTS, BEGINNING = 3, 4, 5
 #: Words added to a document's length, so that one word weighs less in a short one.
 SMOOTHING = 50
@@ -94,7 +96,8 @@ def choose_features(sample: DataFrame, categories: int) -> list[str]:
             continue
         expected = F.col("n") * share
         distance = F.pow(F.col(f"c{i}") - expected, 2) / (expected * (1 - share) * (1 - F.col("n") / (totals.n + 1)))
-        best = counts.orderBy(distance.desc(), "feature").limit(MAX_FEATURES)
+        strong = counts.withColumn("distance", distance).where(F.col("distance") >= LEAST_DISTANCE)
+        best = strong.orderBy(F.desc("distance"), "feature").limit(MAX_FEATURES)
         chosen.update(row.feature for row in best.select("feature").collect())
     return sorted(chosen)
 
