@@ -35,10 +35,12 @@ from shelfwise.sources.scratch import cut_lineage
 MAX_LABELLED, MAX_FEATURES = 20_000, 768
 #: The chi-square a feature must reach to be chosen.
 LEAST_DISTANCE = 15
-FOLDS, LEAST_DOCUMENTS, BEGINNING = 3, 4, 5
+FOLDS, LEAST_DOCUMENTS, BEGINNING = 2, 4, 5
 #: Words added to a document's length, so that one word weighs less in a short one.
 SMOOTHING = 50
-ITERATIONS, REGULARISATION = 30, 1e-3
+#: The sample is small once it is reduced to shares; many tasks would only cost time.
+TRAINING_PARTITIONS = 4
+ITERATIONS, REGULARISATION = 20, 1e-3
 LIMIT = 0.5
 _EDGES = string.punctuation
 
@@ -135,14 +137,14 @@ def train(sample: DataFrame, categories: Sequence[str]) -> Chain:
     place = {feature: i for i, feature in enumerate(features)}
     width = max(1, len(features))
 
-    @F.udf(VectorUDT())
+    @F.udf(returnType=VectorUDT(), useArrow=False)
     def shares(text: str | None):
         words = words_of(text)
         scale = 100 / (len(words) + SMOOTHING)
         counts = feature_counts(words)
         return Vectors.sparse(width, {place[f]: n * scale for f, n in counts.items() if f in place})
 
-    @F.udf(VectorUDT())
+    @F.udf(returnType=VectorUDT(), useArrow=False)
     def extended(vector, earlier):
         values = dict(zip(vector.indices.tolist(), vector.values.tolist()))
         values.update({width + i: p for i, p in enumerate(earlier)})
@@ -150,7 +152,7 @@ def train(sample: DataFrame, categories: Sequence[str]) -> Chain:
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).alias("fold")
     rows_ = sample.select("doc_id", "targets", fold, shares("text").alias("shares"), F.array().cast("array<double>").alias("earlier"))
-    rows_ = cut_lineage(rows_, "shares")
+    rows_ = cut_lineage(rows_, "shares").coalesce(TRAINING_PARTITIONS)
     links = []
     for i, _ in enumerate(categories):
         table = rows_.select(
@@ -176,7 +178,7 @@ def train(sample: DataFrame, categories: Sequence[str]) -> Chain:
                 seen = (learner.fit(others) if mixed else model).transform(table.where(F.col("fold") == c.fold))
                 p = vector_to_array("probability")[1]
                 parts.append(seen.select("doc_id", "targets", "fold", "shares", F.array_append("earlier", p).alias("earlier")))
-            rows_ = cut_lineage(reduce(DataFrame.union, parts), "out_of_fold")
+            rows_ = cut_lineage(reduce(DataFrame.union, parts), "out_of_fold").coalesce(TRAINING_PARTITIONS)
         table.unpersist()
     return Chain(features, links)
 

@@ -282,7 +282,7 @@ def test_hosts_that_mostly_fail_are_rejected(spark):
     found = {r.host: r for r in host_rules.host_verdicts(spark.createDataFrame(outcomes, "host string, failed boolean")).collect()}
     assert [h for h, r in found.items() if r.rejected] == ["bad"]
     assert found["good"].rate < 0.1
-    assert found["tiny"].rate < 0.5, "one failure is no evidence"
+    assert 0.3 < found["tiny"].rate < 0.7, "one failure is little evidence"
     assert None not in found
 
 
