@@ -23,7 +23,6 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,6 +149,12 @@ def train(sample: DataFrame, categories: Sequence[str]) -> Chain:
         values.update({width + i: p for i, p in enumerate(earlier)})
         return Vectors.sparse(width + len(earlier), values)
 
+    def predicted(bias: float, weights: list[float]):
+        def run(vector) -> float:
+            return sigmoid(bias + math.fsum(weights[i] * v for i, v in zip(vector.indices.tolist(), vector.values.tolist())))
+
+        return F.udf(run, "double", useArrow=False)
+
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).alias("fold")
     rows_ = sample.select("doc_id", "targets", fold, shares("text").alias("shares"), F.array().cast("array<double>").alias("earlier"))
     rows_ = cut_lineage(rows_, "shares").coalesce(TRAINING_PARTITIONS)
@@ -175,9 +180,10 @@ def train(sample: DataFrame, categories: Sequence[str]) -> Chain:
             for c in counts:
                 others = table.where(F.col("fold") != c.fold)
                 mixed = 0 < k - c.k < n - c.n
-                seen = (learner.fit(others) if mixed else model).transform(table.where(F.col("fold") == c.fold))
-                p = vector_to_array("probability")[1]
-                parts.append(seen.select("doc_id", "targets", "fold", "shares", F.array_append("earlier", p).alias("earlier")))
+                seen = learner.fit(others) if mixed else model
+                p = predicted(float(seen.intercept), seen.coefficients.toArray().tolist())
+                part = table.where(F.col("fold") == c.fold).withColumn("p", p("features"))
+                parts.append(part.select("doc_id", "targets", "fold", "shares", F.array_append("earlier", "p").alias("earlier")))
             rows_ = cut_lineage(reduce(DataFrame.union, parts), "out_of_fold").coalesce(TRAINING_PARTITIONS)
         table.unpersist()
     return Chain(features, links)
