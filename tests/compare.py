@@ -35,19 +35,20 @@ def _value(value):
     return ("s", str(value))
 
 
-def _rows(columns, rows):
+def _rows(columns, rows, ordered):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple(_value(row[i]) for i in order) for row in rows)
+    values = [tuple(_value(row[i]) for i in order) for row in rows]
+    return values if ordered else sorted(values)
 
 
-def difference(df, connection, sql: str) -> str | None:
-    """What differs first, or None."""
+def difference(df, connection, sql: str, ordered: bool = False) -> str | None:
+    """What differs first, or None. ``ordered`` compares the order of the rows too."""
     cursor = connection.execute(sql)
     expected_columns = [d[0] for d in cursor.description]
     if sorted(df.columns) != sorted(expected_columns):
         return f"columns {sorted(df.columns)} != {sorted(expected_columns)}"
-    expected = _rows(expected_columns, cursor.fetchall())
-    actual = _rows(df.columns, [tuple(row) for row in df.collect()])
+    expected = _rows(expected_columns, cursor.fetchall(), ordered)
+    actual = _rows(df.columns, [tuple(row) for row in df.collect()], ordered)
     if not expected:
         return "the SQL gives no rows"
     if len(actual) != len(expected):

@@ -7,17 +7,16 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
 from shelfwise.operators import portal
 from shelfwise.operators.enrich import enrich_clicks
-from shelfwise.plans.queries import Samples
+from shelfwise.plans.queries import REGISTRY, Samples
 from shelfwise.plans.recommendations import Recommendations
 from shelfwise.sources import sample_tables
 from tests import fixtures as fx
 from tests.conftest import DATA
 
 SF_DIR = f"{DATA}/sf0.001"
-QUERIES = entry_points.queries()
+QUERIES = REGISTRY
 
 
 def plan(df) -> str:
