@@ -8,18 +8,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.sources.scratch import cut_lineage
-
-BUCKET = "key_bucket"
+BATCH = "batch_id"
 
 
 def publish_table(df: DataFrame, name: str, layer: str, comment: str) -> DataFrame:
     """Replace table ``name``, record its layer and comment, and return the stored table."""
     spark = df.sparkSession
     df.write.mode("overwrite").format("parquet").saveAsTable(name)
-    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('quality' = '{layer}')")
-    escaped = comment.replace("'", "\\'")
-    spark.sql(f"COMMENT ON TABLE {name} IS '{escaped}'")
+    spark.sql("ALTER TABLE IDENTIFIER(:name) SET TBLPROPERTIES ('quality' = :layer)", {"name": name, "layer": layer})
+    spark.sql("COMMENT ON TABLE IDENTIFIER(:name) IS :comment", {"name": name, "comment": comment})
     return spark.table(name)
 
 
@@ -52,34 +49,28 @@ def read_existing(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def upsert(new: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str], buckets: int = 16) -> None:
-    """Merge ``new`` into the parquet table at ``path``, keeping the latest row per key.
+def upsert(new: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str], batch_id: int) -> None:
+    """Add a batch to the keyed table at ``path``, at the cost of the batch.
+
+    A batch has a folder of its own, so no stored file is read or written again, and
+    merging the same batch twice gives the same table. ``read_upserted`` picks the
+    latest row per key; ``compact`` writes a table of only those.
+    """
+    latest_per_key(new, keys, newest).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+
+
+def read_upserted(spark: SparkSession, path: str, keys: Sequence[str], newest: Sequence[str]) -> DataFrame:
+    """The latest row per key over all batches."""
+    return latest_per_key(spark.read.parquet(path).drop(BATCH), keys, newest)
+
+
+def compact(
+    spark: SparkSession, path: str, into: str, keys: Sequence[str], newest: Sequence[str], batch_id: int
+) -> None:
+    """Write the latest rows of ``path`` to the new table ``into``, as one batch.
 
-    Rows lie in directories by key hash, so a merge rewrites only the buckets the
-    batch touches; choose ``buckets`` so that one holds a few files, and keep it.
-    Adaptive execution sizes the write tasks. Merging the same batch twice gives the
-    same table.
+    ``batch_id`` is the last batch that ``path`` holds; later batches go to ``into``.
+    The old table stays as it is, for readers that still use it.
     """
-    spark = new.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    merged = latest_per_key(new, keys, newest).withColumn(BUCKET, bucket)
-    stored = read_existing(spark, path)
-    if stored is not None:
-        # The batch is needed twice; of its buckets, at most ``buckets`` integers
-        # reach the driver.
-        batch = cut_lineage(merged, "batch")
-        touched = [row[0] for row in batch.select(BUCKET).distinct().collect()]
-        kept = stored.where(F.col(BUCKET).isin(touched)).select(*new.columns)
-        both = kept.unionByName(batch.select(*new.columns))
-        merged = latest_per_key(both, keys, newest).withColumn(BUCKET, bucket)
-    (
-        merged.hint("rebalance", BUCKET)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET)
-        .parquet(path)
-    )
-
-
-def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(BUCKET)
+    stored = read_upserted(spark, path, keys, newest)
+    stored.write.parquet(f"{into}/{BATCH}={batch_id}")

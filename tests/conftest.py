@@ -25,6 +25,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.warehouse.dir", str(base / "warehouse"))
         .config("spark.checkpoint.dir", str(base / "scratch"))
         .config("spark.sql.streaming.metricsEnabled", "false")
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfwise import schemas
@@ -15,11 +16,12 @@ from shelfwise.streaming.clicks import (
     dedupe_events,
     intent_buckets,
     intent_from_buckets,
+    open_sessions,
     read_click_stream,
     stream_sessions,
 )
-from shelfwise.streaming.runs import run_batches, run_to_files
-from shelfwise.streaming.state import post_points, upsert_scores
+from shelfwise.streaming.runs import run_batches, run_to_files, run_updates
+from shelfwise.streaming.state import SCORE_KEYS, SCORE_NEWEST, post_points, read_balances, upsert_scores
 from tests import fixtures as fx
 
 SHOP = [
@@ -56,18 +58,20 @@ def _csv_stream(spark, tmp_path, frames):
     return read_click_stream(spark, f"{folder}/part=*", schemas.CLICKSTREAM, files_per_batch=1)
 
 
-def test_stored_buckets_give_the_batch_scores(spark, tmp_path):
+BUCKET_KEYS = ["bucket_start", "customer_id", "resolved_category"]
+
+
+@pytest.mark.parametrize("as_of", ["2026-03-05 01:00:00", "2026-03-05 01:30:00", "2026-03-05 00:12:34"])
+def test_stored_buckets_give_the_batch_scores(spark, tmp_path, as_of):
     clicks, products = _random_clicks(spark), fx.products(spark, SHOP)
-    stream = _csv_stream(spark, tmp_path, [clicks])
-    buckets = run_to_files(
-        intent_buckets(enrich_clicks(stream, products)), str(tmp_path / "out"), str(tmp_path / "check")
-    )
-    as_of = "2026-03-05 01:00:00"
+    halves = [clicks.where(f"event_timestamp {side} '2026-03-04 00:25:00'") for side in ("<", ">=")]
+    stream = _csv_stream(spark, tmp_path, halves)
+    enriched = enrich_clicks(clicks, products)
+    buckets = intent_buckets(enrich_clicks(stream, products))
+    buckets = run_updates(buckets, str(tmp_path / "out"), str(tmp_path / "check"), BUCKET_KEYS)
     order = ["customer_id", "category_rank"]
-    found = fx.dicts(intent_from_buckets(buckets, as_of), *order)
-    batch = category_intent(enrich_clicks(clicks, products).where("resolved_category <> 'End' OR resolved_category IS NULL"), as_of)
-    expected = fx.dicts(batch, *order)
-    assert found == expected and len(found) > 10
+    found = fx.dicts(intent_from_buckets(buckets, as_of, enriched), *order)
+    assert found == fx.dicts(category_intent(enriched, as_of), *order) and len(found) > 10
 
 
 def test_late_events_are_dropped_and_earlier_ones_kept(spark, tmp_path):
@@ -97,25 +101,39 @@ def test_repeated_events_are_dropped_across_batches(spark, tmp_path):
     assert rows.count() == clicks.count() == rows.select("event_id").distinct().count()
 
 
+def test_events_without_an_id_all_stay(spark, tmp_path):
+    clicks = _random_clicks(spark, 10).withColumn("event_id", F.when(F.col("event_type") != "search", F.col("event_id")))
+    stream = _csv_stream(spark, tmp_path, [clicks])
+    typed = stream.withColumn("event_timestamp", F.to_timestamp("event_timestamp"))
+    rows = run_to_files(dedupe_events(typed, "60 days"), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert rows.count() == clicks.count()
+
+
 def test_sessions_split_at_a_pause(spark, tmp_path):
     rows = [
         ("product_view", "P1", "2026-03-05 10:00:00"),
         ("add_to_cart", "P1", "2026-03-05 10:20:00"),
         ("add_to_cart", "P2", "2026-03-05 10:45:00"),
         ("remove_from_cart", "P2", "2026-03-05 10:46:00"),
+        ("remove_from_cart", "P1", "2026-03-05 10:47:00"),
+        ("add_to_cart", "P1", "2026-03-05 10:48:00"),
         ("product_view", "P2", "2026-03-05 11:30:00"),
-        ("page_view", None, "2026-03-06 00:00:00"),
+        ("add_to_cart", "P2", "2026-03-06 00:00:00"),
+        ("page_view", None, "2026-03-06 00:05:00"),
     ]
     clicks = fx.clicks(spark, [{"event_type": k, "product_id": p, "event_timestamp": t} for k, p, t in rows])
     stream = _csv_stream(spark, tmp_path, [clicks])
-    sessions = run_to_files(
+    enriched = enrich_clicks(clicks, fx.products(spark, SHOP))
+    closed = run_to_files(
         stream_sessions(enrich_clicks(stream, fx.products(spark, SHOP))), str(tmp_path / "out"), str(tmp_path / "check")
     )
-    first, second = fx.dicts(sessions, "started_at")  # the last one is still open
-    assert (first["events"], first["cart_items"], first["products_viewed"]) == (4, ["P1"], ["P1", "P2"])
-    assert first["categories_viewed"] == ["Denim", "Shoes"] and float(first["score"]) == 7.0
-    assert first["last_activity_at"] == fx.at("2026-03-05 10:46:00")
+    first, second = fx.dicts(closed, "started_at")  # the last one is still open
+    assert (first["events"], first["cart_items"], first["products_viewed"]) == (6, ["P1"], ["P1", "P2"])
+    assert first["categories_viewed"] == ["Denim", "Shoes"] and float(first["score"]) == 10.0
+    assert first["last_activity_at"] == fx.at("2026-03-05 10:48:00")
     assert second["events"] == 1
+    (last,) = fx.dicts(open_sessions(enriched, closed), "started_at")
+    assert (last["events"], last["cart_items"]) == (2, ["P2"])
 
 
 def _points(spark, rows):
@@ -134,7 +152,7 @@ def test_balances_carry_over_and_survive_a_replay(spark, tmp_path):
         post(batch, batch_id)
     rows = fx.dicts(spark.read.parquet(ledger), "id")
     assert [r["balance_after"] for r in rows] == [100, 70, 5, 80, 7, 0]
-    kept = {r["customer_id"]: r["balance"] for r in read_upserted(spark, balances).collect()}
+    kept = {r["customer_id"]: r["balance"] for r in read_balances(spark, balances).collect()}
     assert kept == {"C1": 0, "C2": 5, "C3": 7}
 
 
@@ -163,4 +181,4 @@ def test_streamed_scores_keep_the_latest(spark, tmp_path):
         ).coalesce(1).write.parquet(f"{source}/part={i}")
     stream = read_click_stream(spark, f"{source}/part=*", schemas.RECOMMENDATION_SCORES, "parquet", files_per_batch=1)
     run_batches(stream, upsert_scores(path), str(tmp_path / "check"))
-    assert [r["score"] for r in read_upserted(spark, path).collect()] == [0.9]
+    assert [r["score"] for r in read_upserted(spark, path, SCORE_KEYS, SCORE_NEWEST).collect()] == [0.9]
