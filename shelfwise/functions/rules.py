@@ -85,7 +85,7 @@ def relevance(intent: Column, rating: Column) -> Column:
     Without a rating there is nothing to recommend on: 0.
     """
     scale = Decimal(1) / (FULL_INTENT * FULL_RATING)
-    share = (intent.cast("decimal(14,2)") * rating.cast("decimal(3,1)") * F.lit(scale)).cast("decimal(18,5)")
+    share = intent.cast("decimal(14,2)") * rating.cast("decimal(16,8)") * F.lit(scale)
     return F.least(_decimal("1.0000"), F.coalesce(F.round(share, 4), _decimal("0.0000"))).cast("decimal(18,4)")
 
 

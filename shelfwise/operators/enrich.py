@@ -48,6 +48,8 @@ def left_join_spread(left: DataFrame, right: DataFrame, key: str, spread_by: str
     partitions. Whether the right side is broadcast stays Spark's choice from its
     size, and adaptive execution splits a hot key of a shuffled join.
     """
+    # Both sides hash the key, so they must hold it in one type.
+    right = right.withColumn(key, F.col(key).cast(left.schema[key].dataType))
     spread = F.when(F.col(key).isNull(), F.xxhash64(spread_by)).otherwise(F.xxhash64(key))
     joined = left.withColumn(SPREAD, spread).join(
         right.withColumn(SPREAD, F.xxhash64(key)), [key, SPREAD], "left"

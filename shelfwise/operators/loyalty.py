@@ -49,8 +49,12 @@ def tier_progress(customers: DataFrame, mode: str = "upper") -> DataFrame:
 
 
 def ledger_balance(points_events: DataFrame) -> DataFrame:
-    """Ledger rows with the balance after each, in order of time and id."""
-    signed = points_events.withColumn("points", F.col("points").cast("long"))
+    """Ledger rows with the balance after each, in order of time and id.
+
+    An event without points moves nothing: it counts as 0.
+    """
+    points = F.coalesce(F.col("points").cast("long"), F.lit(0).cast("long"))
+    signed = points_events.withColumn("points", points)
     return running_total(signed, ["customer_id"], ["created_at", "id"], "points", "balance_after")
 
 

@@ -18,6 +18,7 @@ TEMPLATES = [
     ("bundle", "Buy 2, Save 30%", 6),
 ]
 OFFERED_CATEGORIES = 3
+WIN_BACK = "Win-Back"
 WIN_BACK_HOURS = 72
 WIN_BACK_RELEVANCE = Decimal("0.99")
 
@@ -69,14 +70,35 @@ def _as_rows(df: DataFrame, hours: Column, as_of: AsOf) -> DataFrame:
     )
 
 
+def _listed(segments: DataFrame) -> DataFrame:
+    """A customer's first preferred categories with their positions."""
+    preferred = F.slice(text.json_strings(F.col("preferred_categories")), 1, OFFERED_CATEGORIES)
+    return segments.select("customer_id", F.posexplode(preferred).alias("position", "category"))
+
+
+def offer_expiries(segments: DataFrame, as_of: AsOf = None) -> DataFrame:
+    """``(customer_id, is_active, expires_at)`` of the whole basket.
+
+    What counting live offers needs, without the join that only relevance needs.
+    """
+    template = F.element_at(_templates(), F.col("position") % len(TEMPLATES) + 1)
+    now, active = instant(as_of), F.lit(True).alias("is_active")
+    listed = _listed(segments).select(
+        "customer_id", active, plus_hours(now, template["hours"]).alias("expires_at")
+    )
+    winback = segments.where(F.col("segment") == WIN_BACK).select(
+        "customer_id", active, plus_hours(now, F.lit(WIN_BACK_HOURS)).alias("expires_at")
+    )
+    return listed.unionByName(winback)
+
+
 def category_offers(segments: DataFrame, intent: DataFrame, as_of: AsOf = None) -> DataFrame:
     """One offer for each of a customer's first three preferred categories.
 
     The i-th category takes the i-th template. Relevance rises with the customer's
     intent for the category; the expiry follows from the offer type.
     """
-    preferred = F.slice(text.json_strings(F.col("preferred_categories")), 1, OFFERED_CATEGORIES)
-    listed = segments.select("customer_id", F.posexplode(preferred).alias("position", "category"))
+    listed = _listed(segments)
     wanted = intent.select("customer_id", F.col("resolved_category").alias("category"), "intent_score")
     matched = listed.join(wanted, ["customer_id", "category"], "left")
 
@@ -111,7 +133,7 @@ def winback_offers(segments: DataFrame, as_of: AsOf = None) -> DataFrame:
         "It's been %d days — welcome back with this exclusive offer", F.col("days_since_last_purchase")
     )
     rows = (
-        segments.where(F.col("segment") == "Win-Back")
+        segments.where(F.col("segment") == WIN_BACK)
         .withColumn("slot", F.lit(0))
         .withColumn("offer_code", F.concat(F.lit("WINBACK-"), text.id_suffix(F.col("customer_id"))))
         .withColumn("product_name", F.lit("We Miss You!"))

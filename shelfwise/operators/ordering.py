@@ -23,24 +23,35 @@ def _slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     return cut_lineage(ranged, "slices")
 
 
-def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank") -> DataFrame:
-    """1, 2, 3, … over the whole table. ``order`` should end in a unique column."""
-    sliced = _slices(df, order)
-    # One row per slice, so at most spark.sql.shuffle.partitions rows.
+def _shifts(sliced: DataFrame) -> DataFrame:
+    """Rows before each slice; one row per slice, at most spark.sql.shuffle.partitions."""
     earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sliced.groupBy(SLICE).agg(F.count("*").alias("n"))
-    shift = sizes.select(SLICE, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    return sizes.select(SLICE, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+
+
+def _numbered(sliced: DataFrame, order: Sequence[Column | str], out: str, limit: Column | None) -> DataFrame:
+    """Ranks within slices, shifted. Slices that begin past ``limit`` go before the sort."""
+    placed = sliced.join(F.broadcast(_shifts(sliced)), SLICE)
+    if limit is not None:
+        placed = placed.where(F.col("shift") < limit)
     local = F.row_number().over(Window.partitionBy(SLICE).orderBy(*order))
-    numbered = sliced.withColumn(out, local).join(F.broadcast(shift), SLICE)
-    return numbered.withColumn(out, F.col(out) + F.col("shift")).drop(SLICE, "shift")
+    return placed.withColumn(out, local + F.col("shift")).drop(SLICE, "shift")
+
+
+def global_rank(df: DataFrame, order: Sequence[Column | str], out: str = "rank") -> DataFrame:
+    """1, 2, 3, … over the whole table. ``order`` should end in a unique column."""
+    return _numbered(_slices(df, order), order, out, None)
 
 
 def top_share(
     df: DataFrame, of: DataFrame, share: Column, order: Sequence[Column | str], out: str = "rank"
 ) -> DataFrame:
     """The first ``floor(share * rows of 'of')`` rows of ``df`` by ``order``."""
-    limit = of.select(F.floor(F.count("*") * share)).scalar()
-    return global_rank(df, order, out).where(F.col(out) <= limit)
+    sliced = _slices(df, order)
+    counted = sliced if of is df else of  # the stored slices know their rows already
+    limit = counted.select(F.floor(F.count("*") * share)).scalar()
+    return _numbered(sliced, order, out, limit).where(F.col(out) <= limit)
 
 
 def running_total(

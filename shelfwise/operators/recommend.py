@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import rules, text
 from shelfwise.functions.clock import AsOf, instant
 from shelfwise.operators.metrics import category_interest
+from shelfwise.operators.ordering import running_total
 from shelfwise.sources.scratch import cut_lineage
 
 # Interests per customer, products per category, shelf size.
@@ -84,7 +85,7 @@ def content_scores(interests: DataFrame, products: DataFrame) -> DataFrame:
     interests need no shuffle on a few, possibly hot, categories.
     """
     offered = interests.join(cut_lineage(ranked_products(products), "shelf"), "category")
-    rating = F.col("rating").cast("decimal(3,1)")
+    rating = F.col("rating").cast("double")
     reasoning = F.concat(
         F.lit("High intent ("),
         text.one_decimal(F.col("intent_score")),
@@ -167,41 +168,84 @@ def latest_products(baskets: DataFrame) -> DataFrame:
     )
 
 
-def companion_products(baskets: DataFrame, n: int = PRODUCTS_PER_CATEGORY) -> DataFrame:
-    """Products most bought by the customers whose last purchase was the anchor.
+def _ranked(bought: DataFrame, key: str) -> DataFrame:
+    """``(key, product_id, co_buyers, companion_rank)``, the most bought first.
+
+    Ranks run on slices of the whole order, so that one popular key's products are
+    never ranked in one task.
+    """
+    counted = bought.groupBy(key, "product_id").agg(F.count("*").alias("co_buyers"))
+    order = [F.desc("co_buyers"), F.col("product_id")]
+    return running_total(counted.withColumn("one", F.lit(1)), [key], order, "one", "companion_rank").drop("one")
+
+
+def ranked_companions(baskets: DataFrame, anchors: DataFrame) -> DataFrame:
+    """All products bought by the customers whose last purchase was the anchor.
 
     Counting a basket against its one anchor needs one row per customer and product,
     so a customer with a huge basket costs its size and not its square.
     """
-    anchors = latest_products(baskets)
     pairs = baskets.join(anchors, "customer_id").where(F.col("product_id") != F.col("anchor_id"))
-    counted = pairs.groupBy("anchor_id", "product_id").agg(F.count("*").alias("co_buyers"))
     buyers = anchors.groupBy("anchor_id").agg(F.count("*").alias("anchor_buyers"))
-    best = Window.partitionBy("anchor_id").orderBy(F.desc("co_buyers"), "product_id")
-    ranked = counted.withColumn("companion_rank", F.row_number().over(best)).where(
-        F.col("companion_rank") <= n
-    )
-    return ranked.join(buyers, "anchor_id")
+    return _ranked(pairs, "anchor_id").join(buyers, "anchor_id")
+
+
+def last_purchase_companions(baskets: DataFrame, n: int = PRODUCTS_PER_CATEGORY) -> DataFrame:
+    """The ``n`` best of ``ranked_companions`` for each anchor."""
+    ranked = ranked_companions(baskets, latest_products(baskets))
+    return ranked.where(F.col("companion_rank") <= n)
+
+
+def _unowned(customers: DataFrame, key: str, ranked: DataFrame, baskets: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` products of each customer's ``key`` that the customer does not own.
+
+    Of the first ``n + basket_size`` at least ``n`` are not owned, so a customer asks
+    for that many ranks and no more.
+    """
+    ranks = F.sequence(F.lit(1).cast("long"), F.lit(n) + F.col("basket_size"))
+    asked = customers.select("customer_id", key, F.explode(ranks).alias("companion_rank"))
+    found = asked.join(ranked.withColumn("companion_rank", F.col("companion_rank").cast("long")), [key, "companion_rank"])
+    new = found.join(baskets, ["customer_id", "product_id"], "left_anti")
+    best = Window.partitionBy("customer_id").orderBy("companion_rank")
+    return new.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n).drop("place")
 
 
 def collaborative_scores(
     purchases: DataFrame, products: DataFrame, n: int = PRODUCTS_PER_CATEGORY
 ) -> DataFrame:
-    """Companions of a customer's last purchase that the customer does not own yet.
+    """What others bought, that the customer does not own yet: ``n`` products or all.
 
-    The score is the share of the anchor's buyers who also bought the product. The
-    baskets are read four times, so they are written once.
+    First come companions of the customer's last purchase. A customer for whom there
+    are none gets the products most bought by customers whose last purchase lies in
+    the same category. The score is the share of those customers who bought the
+    product. Small steps are written when this is called, since several later ones
+    read them.
     """
     baskets = cut_lineage(purchase_baskets(purchases), "baskets")
-    offered = (
-        latest_products(baskets)
-        .join(companion_products(baskets, n), "anchor_id")
-        .join(baskets, ["customer_id", "product_id"], "left_anti")
+    last = latest_products(baskets)
+    sizes = baskets.groupBy("customer_id").agg(F.count("*").alias("basket_size"))
+    anchors = cut_lineage(last.join(sizes, "customer_id"), "anchors")
+    companions = ranked_companions(baskets, anchors.select("customer_id", "anchor_id"))
+    direct = cut_lineage(_unowned(anchors, "anchor_id", companions, baskets, n), "direct")
+
+    categories = products.select(F.col("product_id").alias("anchor_id"), F.col("category").alias("anchor_category"))
+    placed = cut_lineage(anchors.join(categories.where("anchor_category is not null"), "anchor_id"), "placed")
+    bought = baskets.join(placed.select("customer_id", "anchor_category"), "customer_id")
+    buyers = placed.groupBy("anchor_category").agg(F.count("*").alias("anchor_buyers"))
+    popular = _ranked(bought, "anchor_category").join(buyers, "anchor_category")
+    without = placed.join(direct.select("customer_id").distinct(), "customer_id", "left_anti")
+    indirect = _unowned(without, "anchor_category", popular, baskets, n)
+
+    reasons = (
+        (direct, "Bought by %d of %d shoppers with the same last purchase"),
+        (indirect, "Bought by %d of %d shoppers who last bought in the same category"),
     )
+    offered = None
+    for found, words in reasons:
+        reasoning = F.format_string(words, F.col("co_buyers"), F.col("anchor_buyers"))
+        part = found.select("customer_id", "product_id", "co_buyers", "anchor_buyers", reasoning.alias("reasoning"))
+        offered = part if offered is None else offered.unionByName(part)
     score = F.round(rules.ratio(F.col("co_buyers"), F.col("anchor_buyers")).cast("decimal(18,8)"), 4)
-    reasoning = F.format_string(
-        "Bought by %d of %d shoppers with the same last purchase", F.col("co_buyers"), F.col("anchor_buyers")
-    )
     catalogue = products.select(
         "product_id", "product_name", "category", "price", "rating", "is_new_arrival"
     )
@@ -209,7 +253,6 @@ def collaborative_scores(
         offered.join(catalogue, "product_id")
         .withColumn("score", score.cast("decimal(18,4)"))
         .withColumn("score_type", F.lit("collaborative"))
-        .withColumn("reasoning", reasoning)
         .select(*SCORE_COLUMNS)
     )
 

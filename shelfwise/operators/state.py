@@ -13,45 +13,53 @@ from shelfwise.operators.offers import live_offer_counts
 def active_sessions(enriched: DataFrame) -> DataFrame:
     """One row per session: span, device, page, categories, products, cart and intent.
 
-    Events first collapse to one row per session, category and product, which
-    spreads a very long session over all tasks; only those rows meet by session. The
-    cart holds what was added and never removed.
+    Clicks without a session belong to none. Events first collapse to one row per
+    session, category and product, with numbers and times only, which spreads a very
+    long session over all tasks; only those rows meet by session. The customer, the
+    device and the page are those of the session's last event. The cart holds what was
+    added last and not removed since; at the same moment an addition counts as later.
     """
-    kind = F.col("event_type")
-    last = F.max(F.struct("event_timestamp", "event_id", "device_type", "page_url"))
-    by_product = enriched.groupBy(
-        "session_id", "customer_id", F.col("resolved_category").alias("category"), "product_id"
+    clicks = enriched.where(F.col("session_id").isNotNull())
+    kind, time = F.col("event_type"), F.col("event_timestamp")
+    by_product = clicks.groupBy(
+        "session_id", F.col("resolved_category").alias("category"), "product_id"
     ).agg(
-        F.min("event_timestamp").alias("started_at"),
-        last.alias("last"),
+        F.min(time).alias("started_at"),
         F.sum(rules.event_weight(kind)).alias("score"),
-        F.max(kind == "add_to_cart").alias("added"),
-        F.max(kind == "remove_from_cart").alias("removed"),
+        F.max(F.when(kind == "add_to_cart", time)).alias("added_at"),
+        F.max(F.when(kind == "remove_from_cart", time)).alias("removed_at"),
     )
-    # One exchange on the session serves the window and the grouping below.
+    last = clicks.groupBy("session_id").agg(
+        F.max(F.struct("event_timestamp", "event_id", "customer_id", "device_type", "page_url")).alias("last")
+    )
+    # One exchange on the session serves the windows, the grouping and the join below.
     by_session = by_product.repartition("session_id")
     total = F.sum("score").over(Window.partitionBy("session_id", "category"))
-    scored = by_session.withColumn("score", total.cast("decimal(18,2)").cast("double"))
-    product = F.col("product_id")
-    whole = scored.groupBy("session_id", "customer_id").agg(
+    product = Window.partitionBy("session_id", "product_id")
+    added, removed = F.max("added_at").over(product), F.max("removed_at").over(product)
+    scored = by_session.withColumns(
+        {
+            "score": total.cast("decimal(18,2)").cast("double"),
+            "held": added >= F.coalesce(removed, added),
+        }
+    )
+    whole = scored.groupBy("session_id").agg(
         F.min("started_at").alias("started_at"),
-        F.max("last").alias("last"),
         F.array_sort(F.collect_set("category")).alias("categories_viewed"),
         F.array_sort(F.collect_set("product_id")).alias("products_viewed"),
-        F.array_sort(F.collect_set(F.when(F.col("added"), product))).alias("added"),
-        F.collect_set(F.when(F.col("removed"), product)).alias("removed"),
+        F.array_sort(F.collect_set(F.when(F.col("held"), F.col("product_id")))).alias("cart_items"),
         F.collect_set(F.when(F.col("category").isNotNull(), F.struct("category", "score"))).alias("scores"),
     )
-    return whole.select(
+    return whole.join(last, "session_id").select(
         "session_id",
-        "customer_id",
+        F.col("last.customer_id").alias("customer_id"),
         "started_at",
         F.col("last.event_timestamp").alias("last_activity_at"),
         F.col("last.device_type").alias("device_type"),
         F.col("last.page_url").alias("current_page"),
         "categories_viewed",
         "products_viewed",
-        F.array_except("added", "removed").alias("cart_items"),
+        "cart_items",
         F.map_from_entries(F.array_sort("scores")).alias("session_intent"),
     )
 

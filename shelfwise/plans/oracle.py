@@ -26,7 +26,7 @@ def _intent(now: str, where: str) -> str:
 
 
 def _relevance(intent: str, rating: str) -> str:
-    return f"least(1, round(({intent} * {rating}::DECIMAL(3,1) * 0.01)::DECIMAL(18,5), 4))"
+    return f"least(1, round({intent}::DECIMAL(14,2) * {rating}::DECIMAL(16,8) * 0.01, 4))"
 
 
 def _tfidf(texts: str, queries: str) -> str:
@@ -67,7 +67,7 @@ STEPS = {
  concat('A ', p_name, ' in ', p_type, ' style by ', p_brand) AS description,
  concat('["', split_part(p_name, ' ', 1), '","', CASE WHEN p_size < 25 THEN 'compact' ELSE 'roomy' END, '"]') AS style_tags,
  split_part(p_name, ' ', 1) AS color, concat('["', p_size, '"]') AS sizes_available,
- (3 + (p_size % 21) * 0.1)::DECIMAL(3,1) AS rating, p_size AS review_count,
+ (3 + (p_size % 41) * 0.05)::DECIMAL(3,2) AS rating, p_size AS review_count,
  {AS_OF} - to_days(p_size) AS created_at, p_size <= 5 AS is_new_arrival FROM part""",
     "customers": f"""SELECT c_custkey AS customer_id, split_part(c_name, '#', 1) AS first_name,
  split_part(c_name, '#', 2) AS last_name, concat(split_part(c_name, '#', 2), '@example.com') AS email,
@@ -119,7 +119,7 @@ STEPS = {
  FROM products) WHERE product_rank <= 10""",
     "content": f"""SELECT customer_id, product_id, product_name, category, price, rating, is_new_arrival,
  {_relevance('intent_score', 'rating')} AS score, 'content_based' AS score_type,
- concat('High intent (', round(intent_score, 1)::DECIMAL(18,1), ') in ', category, ' + product rating ', rating)
+ concat('High intent (', round(intent_score, 1)::DECIMAL(18,1), ') in ', category, ' + product rating ', rating::DOUBLE)
  AS reasoning FROM interests JOIN shelf USING (category)""",
     "heat": """SELECT resolved_category AS category, sum(intent_score) AS total_interest,
  count(DISTINCT customer_id) AS unique_shoppers FROM intent GROUP BY 1""",
@@ -134,12 +134,25 @@ STEPS = {
     "companions": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY co_buyers DESC, product_id)
  AS companion_rank FROM (SELECT anchor_id, product_id, count(*) AS co_buyers FROM baskets JOIN anchors USING (customer_id)
  WHERE product_id <> anchor_id GROUP BY 1, 2)) JOIN (SELECT anchor_id, count(*) AS anchor_buyers FROM anchors GROUP BY 1)
- USING (anchor_id) WHERE companion_rank <= 10""",
+ USING (anchor_id)""",
+    "direct": """SELECT * FROM (SELECT customer_id, c.product_id, co_buyers, anchor_buyers, row_number() OVER (PARTITION BY
+ customer_id ORDER BY companion_rank) AS place FROM anchors JOIN companions c USING (anchor_id)
+ WHERE NOT EXISTS (SELECT 1 FROM baskets b WHERE b.customer_id = anchors.customer_id AND b.product_id = c.product_id))
+ WHERE place <= 10""",
+    "placed": """SELECT customer_id, category AS anchor_category FROM anchors JOIN products ON product_id = anchor_id
+ WHERE category IS NOT NULL""",
+    "popular": """SELECT anchor_category, product_id, count(*) AS co_buyers,
+ any_value(anchor_buyers) AS anchor_buyers FROM baskets JOIN placed USING (customer_id)
+ JOIN (SELECT anchor_category, count(*) AS anchor_buyers FROM placed GROUP BY 1) USING (anchor_category) GROUP BY 1, 2""",
+    "indirect": """SELECT * FROM (SELECT customer_id, c.product_id, co_buyers, anchor_buyers, row_number() OVER (PARTITION BY
+ customer_id ORDER BY co_buyers DESC, c.product_id) AS place FROM placed JOIN popular c USING (anchor_category)
+ WHERE customer_id NOT IN (SELECT customer_id FROM direct) AND NOT EXISTS
+ (SELECT 1 FROM baskets b WHERE b.customer_id = placed.customer_id AND b.product_id = c.product_id)) WHERE place <= 10""",
     "collab": """SELECT customer_id, p.product_id, product_name, category, price, rating, is_new_arrival,
  round((co_buyers::DOUBLE / anchor_buyers)::DECIMAL(18,8), 4) AS score, 'collaborative' AS score_type,
- concat('Bought by ', co_buyers, ' of ', anchor_buyers, ' shoppers with the same last purchase') AS reasoning
- FROM anchors JOIN companions c USING (anchor_id) JOIN products p ON p.product_id = c.product_id
- WHERE NOT EXISTS (SELECT 1 FROM baskets b WHERE b.customer_id = anchors.customer_id AND b.product_id = c.product_id)""",
+ concat('Bought by ', co_buyers, ' of ', anchor_buyers, why) AS reasoning
+ FROM (SELECT *, ' shoppers with the same last purchase' AS why FROM direct UNION ALL
+ SELECT *, ' shoppers who last bought in the same category' FROM indirect) JOIN products p USING (product_id)""",
     "style_similarity": _tfidf(
         f"SELECT product_id, category AS block, {TEXT} AS text FROM products",
         "SELECT DISTINCT category AS block, concat(category, ' style trending fashion') AS text FROM products",
@@ -175,7 +188,7 @@ STEPS = {
     "buckets": f"""SELECT date_trunc('hour', event_timestamp) AS bucket_start,
  date_trunc('hour', event_timestamp) + INTERVAL 1 HOUR AS bucket_end, customer_id, resolved_category,
  sum({WEIGHT}) AS weight, count(*) AS event_count, max(event_timestamp) AS latest_interaction FROM categorised
- GROUP BY 1, 2, 3, 4 HAVING bucket_end <= (SELECT max(event_timestamp) FROM categorised) - INTERVAL 1 HOUR""",
+ GROUP BY 1, 2, 3, 4""",
 }
 
 SCORE_OUT = "customer_id, product_id, product_name, category, price, rating::DOUBLE AS rating, is_new_arrival, score::DOUBLE AS score, score_type, reasoning"
@@ -186,6 +199,9 @@ LATEST = """SELECT customer_id, product_id, score, score_type, reasoning, comput
  (PARTITION BY customer_id, product_id ORDER BY computed_at DESC, score DESC, reasoning DESC) AS rn FROM event_scores)
  WHERE rn = 1"""
 
+HELD = """max(event_timestamp) FILTER (event_type = 'add_to_cart') >= coalesce(max(event_timestamp)
+ FILTER (event_type = 'remove_from_cart'), max(event_timestamp) FILTER (event_type = 'add_to_cart'))"""
+
 RESULTS = {
     "enriched_clicks": """SELECT event_id, customer_id, session_id, event_timestamp, event_type, product_id, product_name,
  product_subcategory, product_brand, product_price, product_style_tags, category_browsed, resolved_category FROM enriched""",
@@ -212,6 +228,10 @@ RESULTS = {
     "engagement": """SELECT customer_id, total_intent_score::DOUBLE AS total_intent_score,
  top_category_score::DOUBLE AS top_category_score FROM engaged""",
     "segments": f"SELECT {SEGMENT_OUT} FROM segments",
+    "published_segments": f"SELECT {SEGMENT_OUT} FROM segments",
+    "observed_rules": """SELECT (SELECT count(*) FROM clicks) AS rows, rule, violations FROM
+ (SELECT 'valid_customer' AS rule, count(*) FILTER (customer_id IS NULL) AS violations FROM clicks
+ UNION ALL SELECT 'valid_timestamp', count(*) FILTER (event_timestamp IS NULL) FROM clicks)""",
     "segment_counts": "SELECT segment, count(*) AS customers FROM segments GROUP BY 1",
     "recent_interest": f"SELECT {INTENT_OUT} FROM intent WHERE category_rank = 1",
     "high_ltv": "SELECT customer_id, lifetime_value, segment FROM segments WHERE lifetime_value > 5000",
@@ -245,12 +265,15 @@ RESULTS = {
  latest_interaction, interest_rank FROM interests""",
     "ranked_products": "SELECT * EXCLUDE (rating), rating::DOUBLE AS rating FROM shelf",
     "content_scores": f"SELECT {SCORE_OUT} FROM content",
+    "one_customer": """SELECT customer_id, product_id, category, score::DOUBLE AS score, reasoning FROM content
+ WHERE customer_id = (SELECT min(customer_id) FROM customers) ORDER BY customer_id, score DESC, product_id""",
     "recommendation_shelf": """SELECT customer_id, slot, product_id, score::DOUBLE AS score,
  concat('$', format('{:,.2f}', price)) AS price_text, concat(round(score * 100, 0)::INT, '% match') AS match_text
  FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, rating DESC, product_id) AS slot
  FROM content) WHERE slot <= 9""",
     "trending_scores": f"SELECT {SCORE_OUT} FROM trendy",
-    "collaborative_pairs": "SELECT anchor_id, product_id, co_buyers, companion_rank, anchor_buyers FROM companions",
+    "last_purchase_companions": """SELECT anchor_id, product_id, co_buyers, companion_rank, anchor_buyers
+ FROM companions WHERE companion_rank <= 10""",
     "collaborative_scores": f"SELECT {SCORE_OUT} FROM collab",
     "similar_text": "SELECT product_id, product_name, category, similarity FROM products JOIN ("
     + _tfidf(
@@ -319,14 +342,14 @@ RESULTS = {
     "active_sessions": f"""SELECT session_id, customer_id, started_at, last_activity_at, device_type, current_page,
  coalesce(categories_viewed, '') AS categories_viewed, coalesce(products_viewed, '') AS products_viewed,
  coalesce(cart_items, '') AS cart_items, coalesce(session_intent, '') AS session_intent FROM
- (SELECT session_id, customer_id, min(event_timestamp) AS started_at, max(event_timestamp) AS last_activity_at,
- string_agg(DISTINCT resolved_category, ',' ORDER BY resolved_category) AS categories_viewed FROM enriched GROUP BY 1, 2)
- JOIN (SELECT session_id, device_type, page_url AS current_page FROM enriched
+ (SELECT session_id, min(event_timestamp) AS started_at, max(event_timestamp) AS last_activity_at,
+ string_agg(DISTINCT resolved_category, ',' ORDER BY resolved_category) AS categories_viewed FROM enriched
+ WHERE session_id IS NOT NULL GROUP BY 1)
+ JOIN (SELECT session_id, customer_id, device_type, page_url AS current_page FROM enriched
  QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY event_timestamp DESC, event_id DESC) = 1) USING (session_id)
  LEFT JOIN (SELECT session_id, string_agg(product_id::VARCHAR, ',' ORDER BY product_id) AS products_viewed,
- string_agg(product_id::VARCHAR, ',' ORDER BY product_id) FILTER (added AND NOT removed) AS cart_items FROM
- (SELECT session_id, product_id, bool_or(event_type = 'add_to_cart') AS added,
- bool_or(event_type = 'remove_from_cart') AS removed FROM enriched WHERE product_id IS NOT NULL GROUP BY 1, 2)
+ string_agg(product_id::VARCHAR, ',' ORDER BY product_id) FILTER (held) AS cart_items FROM
+ (SELECT session_id, product_id, {HELD} AS held FROM enriched WHERE product_id IS NOT NULL GROUP BY 1, 2)
  GROUP BY 1) USING (session_id)
  LEFT JOIN (SELECT session_id, string_agg(concat(resolved_category, '=', score::DECIMAL(18,2)), ','
  ORDER BY resolved_category) AS session_intent FROM (SELECT session_id, resolved_category, sum({WEIGHT}) AS score
@@ -345,26 +368,23 @@ RESULTS = {
     "stream_intent_sliding": f"""SELECT bucket_start, bucket_start + INTERVAL 6 HOUR AS bucket_end, customer_id,
  resolved_category, sum({WEIGHT})::DOUBLE AS weight, count(*) AS event_count FROM
  (SELECT *, time_bucket(INTERVAL 2 HOUR, event_timestamp) - to_hours(2 * step) AS bucket_start
- FROM categorised CROSS JOIN (SELECT unnest([0, 1, 2]) AS step)) GROUP BY 1, 2, 3, 4
- HAVING bucket_end <= (SELECT max(event_timestamp) FROM categorised) - INTERVAL 1 HOUR""",
-    "stream_intent": f"""SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY intent_score DESC,
- resolved_category) AS category_rank FROM (SELECT customer_id, resolved_category,
- sum(weight * {_boost(AS_OF, 'bucket_start')})::DOUBLE AS intent_score, sum(event_count)::BIGINT AS event_count,
- max(latest_interaction) AS latest_interaction FROM buckets WHERE bucket_start >= {AS_OF} - INTERVAL 2 DAY GROUP BY 1, 2)""",
+ FROM categorised CROSS JOIN (SELECT unnest([0, 1, 2]) AS step)) GROUP BY 1, 2, 3, 4""",
+    "stream_intent": f"SELECT {INTENT_OUT} FROM intent",
+    "stream_intent_half_past": f"SELECT {INTENT_OUT} FROM ("
+    + _intent("TIMESTAMP '2024-01-30 12:30:00'", "event_timestamp >= TIMESTAMP '2024-01-28 00:00:00'")
+    + ")",
     "stream_sessions": f"""WITH numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY customer_id ORDER BY event_timestamp,
  event_id ROWS UNBOUNDED PRECEDING) AS nr FROM (SELECT *, CASE WHEN event_timestamp < lag(event_timestamp) OVER
  (PARTITION BY customer_id ORDER BY event_timestamp, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM enriched)),
  carts AS (SELECT customer_id, nr, string_agg(product_id::VARCHAR, ',' ORDER BY product_id) AS products,
- string_agg(product_id::VARCHAR, ',' ORDER BY product_id) FILTER (added AND NOT removed) AS cart FROM
- (SELECT customer_id, nr, product_id, bool_or(event_type = 'add_to_cart') AS added,
- bool_or(event_type = 'remove_from_cart') AS removed FROM numbered WHERE product_id IS NOT NULL GROUP BY 1, 2, 3)
+ string_agg(product_id::VARCHAR, ',' ORDER BY product_id) FILTER (held) AS cart FROM
+ (SELECT customer_id, nr, product_id, {HELD} AS held FROM numbered WHERE product_id IS NOT NULL GROUP BY 1, 2, 3)
  GROUP BY 1, 2)
  SELECT customer_id, min(event_timestamp) AS started_at, max(event_timestamp) AS last_activity_at, count(*) AS events,
  sum({WEIGHT})::DOUBLE AS score,
  coalesce(string_agg(DISTINCT resolved_category, ',' ORDER BY resolved_category), '') AS categories_viewed,
  coalesce(any_value(products), '') AS products_viewed, coalesce(any_value(cart), '') AS cart_items
- FROM numbered LEFT JOIN carts USING (customer_id, nr) GROUP BY customer_id, nr
- HAVING max(event_timestamp) + INTERVAL 6 HOUR <= (SELECT max(event_timestamp) FROM enriched) - INTERVAL 1 HOUR""",
+ FROM numbered LEFT JOIN carts USING (customer_id, nr) GROUP BY customer_id, nr""",
     "stream_ledger": """SELECT event_id AS id, customer_id, event_type, points, event_timestamp AS created_at,
  sum(points) OVER (PARTITION BY customer_id ORDER BY event_timestamp, event_id ROWS UNBOUNDED PRECEDING)::BIGINT
  AS balance_after FROM (SELECT *, CASE event_type WHEN 'add_to_cart' THEN 30 WHEN 'remove_from_cart' THEN -10 ELSE 1 END

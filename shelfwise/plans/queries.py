@@ -6,10 +6,11 @@ as doubles, arrays and maps as text, so that results compare across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,8 @@ from shelfwise.plans.medallion import (
     PRODUCTS_FILE,
     PURCHASES_FILE,
     Medallion,
+    open_layers,
+    publish,
     read_bronze,
 )
 from shelfwise.plans.recommendations import Recommendations
@@ -40,8 +43,8 @@ from shelfwise.sources.sample_tables import AS_OF
 from shelfwise.sources.scratch import cut_lineage, scratch_path
 from shelfwise.sources.tables import append_rows, read_upserted, replace_snapshot, upsert
 from shelfwise.streaming import clicks as streams
-from shelfwise.streaming.runs import run_batches, run_to_files
-from shelfwise.streaming.state import SCORE_KEYS, post_points, upsert_scores
+from shelfwise.streaming.runs import run_batches, run_to_files, run_updates
+from shelfwise.streaming.state import SCORE_KEYS, SCORE_NEWEST, post_points, upsert_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -213,6 +216,26 @@ def segment_counts(s: Samples) -> DataFrame:
     return metrics.segment_counts(s.segments)
 
 
+@query
+def published_segments(s: Samples) -> DataFrame:
+    """Every layer published as a table, then the segments read back by name."""
+    database = f"shelfwise_{uuid.uuid4().hex}"
+    s.spark.sql("CREATE DATABASE IDENTIFIER(:name)", {"name": database})
+    publish(s.bronze, database, AS_OF)
+    return open_layers(s.spark, database, AS_OF).segments
+
+
+@query
+def observed_rules(s: Samples) -> DataFrame:
+    """Rows and broken rules counted while the clicks are enriched and stored."""
+    seen = Observation("click_rules")
+    enriched = enrich_clicks(s.clicks, s.products, seen)
+    enriched.write.parquet(scratch_path(s.spark, "enriched"))
+    counts = seen.get
+    rows = [(counts["rows"], rule, counts[rule]) for rule in CLICK_RULES]
+    return s.spark.createDataFrame(rows, "rows long, rule string, violations long")
+
+
 # Marketing metrics
 
 
@@ -297,9 +320,9 @@ def trending_scores(s: Samples) -> DataFrame:
 
 
 @query
-def collaborative_pairs(s: Samples) -> DataFrame:
+def last_purchase_companions(s: Samples) -> DataFrame:
     baskets = cut_lineage(recommend.purchase_baskets(s.purchases), "baskets")
-    return recommend.companion_products(baskets)
+    return recommend.last_purchase_companions(baskets)
 
 
 @query
@@ -344,6 +367,14 @@ def similar_vectors(s: Samples) -> DataFrame:
     return found.select("label", "hit_rank", "vec_id")
 
 
+@query
+def one_customer(s: Samples) -> DataFrame:
+    """Content scores of the customer with the smallest id, best first."""
+    first = s.customers.agg(F.min("customer_id")).first()[0]
+    scores = Recommendations(s, AS_OF).content_scores(first)
+    return scores.select("customer_id", "product_id", "category", "score", "reasoning")
+
+
 @query
 def recommendation_scores(s: Samples) -> DataFrame:
     s.settle("intent")
@@ -450,7 +481,8 @@ def active_sessions(s: Samples) -> DataFrame:
 @query
 def customer_state(s: Samples) -> DataFrame:
     s.settle("intent", "segments")
-    return state.customer_state(s.segments, s.intent, s.offers, s.clicks, AS_OF)
+    open_offers = offering.offer_expiries(s.segments, AS_OF)
+    return state.customer_state(s.segments, s.intent, open_offers, s.clicks, AS_OF)
 
 
 @query
@@ -459,7 +491,8 @@ def customer_snapshot(s: Samples) -> DataFrame:
     s.settle("intent", "segments")
     path = scratch_path(s.spark, "customer-state")
     for day in ("2024-01-30 00:00:00", AS_OF):
-        replace_snapshot(state.customer_state(s.segments, s.intent, s.offers, s.clicks, day), path)
+        open_offers = offering.offer_expiries(s.segments, AS_OF)
+        replace_snapshot(state.customer_state(s.segments, s.intent, open_offers, s.clicks, day), path)
     return s.spark.read.parquet(path).select("customer_id", "segment", "top_category", "updated_at")
 
 
@@ -481,9 +514,9 @@ def score_upsert(s: Samples) -> DataFrame:
     path = scratch_path(s.spark, "scores")
     scores = _event_scores(s.clicks)
     viewed = F.col("reasoning") == "product_view"
-    upsert(scores.where(viewed), path, SCORE_KEYS, ["computed_at"])
-    upsert(scores.where(~viewed), path, SCORE_KEYS, ["computed_at"])
-    return read_upserted(s.spark, path)
+    upsert(scores.where(viewed), path, SCORE_KEYS, SCORE_NEWEST, 0)
+    upsert(scores.where(~viewed), path, SCORE_KEYS, SCORE_NEWEST, 1)
+    return read_upserted(s.spark, path, SCORE_KEYS, SCORE_NEWEST)
 
 
 # CSV in and out
@@ -552,7 +585,8 @@ def stream_dedupe(s: Samples) -> DataFrame:
 
 def _stream_buckets(s: Samples, width: str, slide: str | None = None) -> DataFrame:
     buckets = streams.intent_buckets(enrich_clicks(s.click_stream(), s.products), width, slide, STREAM_DELAY)
-    return run_to_files(buckets, scratch_path(s.spark, "buckets"), scratch_path(s.spark, "stream"))
+    keys = ["bucket_start", "customer_id", "resolved_category"]
+    return run_updates(buckets, scratch_path(s.spark, "buckets"), scratch_path(s.spark, "stream"), keys)
 
 
 @query
@@ -571,10 +605,18 @@ def stream_intent(s: Samples) -> DataFrame:
     return streams.intent_from_buckets(_stream_buckets(s, "1 hour"), AS_OF)
 
 
+@query
+def stream_intent_half_past(s: Samples) -> DataFrame:
+    """The same inside an hour: the buckets that a step cuts are scored by their clicks."""
+    return streams.intent_from_buckets(_stream_buckets(s, "1 hour"), "2024-01-30 12:30:00", s.enriched)
+
+
 @query
 def stream_sessions(s: Samples) -> DataFrame:
+    """Sessions that the stream has closed, and those still open in the stored clicks."""
     sessions = streams.stream_sessions(enrich_clicks(s.click_stream(), s.products), "6 hours", STREAM_DELAY)
-    rows = run_to_files(sessions, scratch_path(s.spark, "sessions"), scratch_path(s.spark, "stream"))
+    closed = run_to_files(sessions, scratch_path(s.spark, "sessions"), scratch_path(s.spark, "stream"))
+    rows = closed.unionByName(streams.open_sessions(s.enriched, closed, "6 hours"))
     return rows.select(
         "customer_id",
         "started_at",
@@ -610,4 +652,4 @@ def stream_ledger(s: Samples) -> DataFrame:
 def stream_score_upsert(s: Samples) -> DataFrame:
     path = scratch_path(s.spark, "scores")
     run_batches(_event_scores(s.click_stream()), upsert_scores(path), scratch_path(s.spark, "stream"))
-    return read_upserted(s.spark, path)
+    return read_upserted(s.spark, path, SCORE_KEYS, SCORE_NEWEST)

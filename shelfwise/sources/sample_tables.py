@@ -111,7 +111,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         "to_json(array(split_part(p_name, ' ', 1), if(p_size < 25, 'compact', 'roomy'))) AS style_tags",
         "split_part(p_name, ' ', 1) AS color",
         "to_json(array(cast(p_size AS string))) AS sizes_available",
-        "cast(3 + cast(p_size % 21 AS decimal(3,0)) * 0.1BD AS double) AS rating",
+        "cast(3 + cast(p_size % 41 AS decimal(3,0)) * 0.05BD AS double) AS rating",
         "p_size AS review_count",
         f"timestamp'{AS_OF}' - make_dt_interval(p_size) AS created_at",
         f"p_size <= {NEW_ARRIVAL_SIZE} AS is_new_arrival",

@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@cache
-def _local_base(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix="shelfwise-")
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``.
 
-
-def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``.
-
-    Without that setting only a local session may go on, in a folder of its own:
-    on a cluster other machines could not read it.
+    A cluster names that folder; where it is unset, the warehouse folder, which
+    executors share as well, takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = _local_base(spark.sparkContext.applicationId)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{base.rstrip('/')}/shelfwise-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, purpose: str) -> str:
+    """A fresh path in the application's scratch folder."""
+    return f"{scratch_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application has written so far, once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:

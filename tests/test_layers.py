@@ -242,7 +242,7 @@ def test_cart_rate_without_views_is_null(spark):
 
 
 @pytest.mark.parametrize(
-    "intent, rating, score", [("12", 4.5, "0.5400"), ("25", 5.0, "1.0000"), ("0", 5.0, "0.0000"), ("0.01", 3.3, "0.0003")]
+    "intent, rating, score", [("12", 4.5, "0.5400"), ("25", 5.0, "1.0000"), ("0", 5.0, "0.0000"), ("0.01", 3.3, "0.0003"), ("12", 4.25, "0.5100"), ("12", 4.37, "0.5244"), ("1", 250.0, "1.0000")]
 )
 def test_relevance(spark, intent, rating, score):
     column = rules.relevance(F.lit(Decimal(intent)), F.lit(rating))

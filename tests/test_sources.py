@@ -21,8 +21,15 @@ from shelfwise.plans.medallion import (
 from shelfwise.plans.recommendations import Recommendations
 from shelfwise.sources import files
 from shelfwise.sources.scratch import scratch_path
-from shelfwise.sources.tables import append_rows, latest_per_key, read_upserted, replace_snapshot, upsert
-from shelfwise.streaming.state import SCORE_KEYS
+from shelfwise.sources.tables import (
+    append_rows,
+    compact,
+    latest_per_key,
+    read_upserted,
+    replace_snapshot,
+    upsert,
+)
+from shelfwise.streaming.state import SCORE_KEYS, SCORE_NEWEST
 from tests import fixtures as fx
 
 TAGS = '["boho", "say ""hi""", "a,b"]'.replace('""', '\\"')
@@ -98,10 +105,10 @@ def test_upsert_keeps_the_latest_row_per_key(spark, tmp_path):
             ("C1", "P1", "vibe_match", 0.7, 6),
         ],
     )
-    upsert(first, path, SCORE_KEYS, ["computed_at"])
+    upsert(first, path, SCORE_KEYS, SCORE_NEWEST, 0)
     for _ in range(2):  # a repeated batch changes nothing
-        upsert(second, path, SCORE_KEYS, ["computed_at"])
-        rows = fx.dicts(read_upserted(spark, path), "customer_id", "score_type")
+        upsert(second, path, SCORE_KEYS, SCORE_NEWEST, 1)
+        rows = fx.dicts(read_upserted(spark, path, SCORE_KEYS, SCORE_NEWEST), "customer_id", "score_type")
         assert [(r["customer_id"], r["score_type"], r["score"]) for r in rows] == [
             ("C1", "trending", 0.5),
             ("C1", "vibe_match", 0.7),
@@ -109,16 +116,45 @@ def test_upsert_keeps_the_latest_row_per_key(spark, tmp_path):
         ]
 
 
-def test_upsert_leaves_untouched_buckets_alone(spark, tmp_path):
-    path = str(tmp_path / "scores")
+def _files(path) -> dict[str, float]:
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_upsert_leaves_stored_files_alone(spark, tmp_path):
+    path = tmp_path / "scores"
     many = _scores(spark, [(f"C{i}", "P1", "trending", 0.1, 8) for i in range(200)])
-    upsert(many, path, SCORE_KEYS, ["computed_at"], buckets=8)
-    before = {r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}
-    upsert(_scores(spark, [("C7", "P1", "trending", 0.3, 9)]), path, SCORE_KEYS, ["computed_at"], buckets=8)
-    table = spark.read.parquet(path)
-    after = {r[0] for r in table.select(F.input_file_name()).distinct().collect()}
+    upsert(many, str(path), SCORE_KEYS, SCORE_NEWEST, 0)
+    before = _files(path)
+    upsert(_scores(spark, [("C7", "P1", "trending", 0.3, 9)]), str(path), SCORE_KEYS, SCORE_NEWEST, 1)
+    assert before.items() < _files(path).items()
+    table = read_upserted(spark, str(path), SCORE_KEYS, SCORE_NEWEST)
     assert table.count() == 200
-    assert len(before) == 8 and len(before & after) == 7
+
+
+def test_compacted_tables_go_on(spark, tmp_path):
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    for batch, score in enumerate([0.1, 0.2, 0.3]):
+        upsert(_scores(spark, [("C1", "P1", "trending", score, 8 + batch)]), old, SCORE_KEYS, SCORE_NEWEST, batch)
+    compact(spark, old, new, SCORE_KEYS, SCORE_NEWEST, 2)
+    assert spark.read.parquet(new).count() == 1
+    upsert(_scores(spark, [("C1", "P1", "trending", 0.9, 20)]), new, SCORE_KEYS, SCORE_NEWEST, 3)
+    assert [r.score for r in read_upserted(spark, new, SCORE_KEYS, SCORE_NEWEST).collect()] == [0.9]
+    assert [r.score for r in read_upserted(spark, old, SCORE_KEYS, SCORE_NEWEST).collect()] == [0.3]
+
+
+def test_csv_columns_in_another_order_are_an_error(spark, tmp_path):
+    path = tmp_path / "products.csv"
+    names = _products(spark).columns
+    path.write_text(",".join([names[1], names[0], *names[2:]]) + "\n" + ",".join(["x"] * len(names)) + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_products(spark, str(path)).collect()
+
+
+def test_malformed_rows_are_reported(spark, tmp_path):
+    path = tmp_path / "rows.csv"
+    path.write_text("id,name\n1,a\nx,b\n3\n4,c,d\n")
+    found = files.malformed_rows(spark, str(path), "id int, name string").collect()
+    assert sorted(r.malformed_row for r in found) == ["3", "4,c,d", "x,b"]
 
 
 def test_latest_per_key_keeps_columns(spark):
@@ -128,21 +164,19 @@ def test_latest_per_key_keeps_columns(spark):
     assert latest.first()["score"] == 0.2
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
-    class Context:
-        master = "spark://elsewhere"
+def test_scratch_lies_in_the_shared_folder(spark):
+    base, own = spark.conf.get("spark.checkpoint.dir"), spark.sparkContext.applicationId
+    assert scratch_path(spark, "x").startswith(f"{base}/shelfwise-{own}/x-")
 
     class Session:
-        sparkContext = Context()
+        sparkContext = spark.sparkContext
 
         class conf:
             @staticmethod
             def get(key, default=None):
-                return default
-
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_path(Session(), "x")
+                return {"spark.sql.warehouse.dir": "hdfs://host/warehouse"}.get(key, default)
 
+    assert scratch_path(Session(), "x").startswith("hdfs://host/warehouse/_scratch/shelfwise-")
 
 def test_published_layers(spark, tmp_path):
     products = _products(spark)
