@@ -150,10 +150,11 @@ def train(sample: DataFrame, categories: Sequence[str]) -> Chain:
         return Vectors.sparse(width + len(earlier), values)
 
     def predicted(bias: float, weights: list[float]):
-        def run(vector) -> float:
+        @F.udf(returnType="double", useArrow=False)
+        def run(vector):
             return sigmoid(bias + math.fsum(weights[i] * v for i, v in zip(vector.indices.tolist(), vector.values.tolist())))
 
-        return F.udf(run, "double", useArrow=False)
+        return run
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).alias("fold")
     rows_ = sample.select("doc_id", "targets", fold, shares("text").alias("shares"), F.array().cast("array<double>").alias("earlier"))
@@ -183,7 +184,7 @@ def train(sample: DataFrame, categories: Sequence[str]) -> Chain:
                 seen = learner.fit(others) if mixed else model
                 p = predicted(float(seen.intercept), seen.coefficients.toArray().tolist())
                 part = table.where(F.col("fold") == c.fold).withColumn("p", p("features"))
-                parts.append(part.select("doc_id", "targets", "fold", "shares", F.array_append("earlier", "p").alias("earlier")))
+                parts.append(part.select("doc_id", "targets", "fold", "shares", F.array_append("earlier", F.col("p")).alias("earlier")))
             rows_ = cut_lineage(reduce(DataFrame.union, parts), "out_of_fold").coalesce(TRAINING_PARTITIONS)
         table.unpersist()
     return Chain(features, links)
