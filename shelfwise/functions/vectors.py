@@ -15,6 +15,11 @@ def norm(vector: Column) -> Column:
     return F.sqrt(dot(vector, vector))
 
 
-def cosine(left: Column, right: Column) -> Column:
-    """Cosine similarity; null when either vector has no length."""
-    return F.try_divide(dot(left, right), norm(left) * norm(right))
+def unit(vector: Column) -> Column:
+    """The vector at length 1; components are null when it has no length."""
+    return F.transform(vector, lambda x: F.try_divide(x.cast("double"), norm(vector)))
+
+
+def along(vector: Column, direction: Column) -> Column:
+    """Cosine with a ``direction`` of length 1; null when either has no length."""
+    return F.try_divide(dot(vector, direction), norm(vector))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import rules, text
@@ -85,20 +85,83 @@ def content_scores(interests: DataFrame, products: DataFrame) -> DataFrame:
     interests need no shuffle on a few, possibly hot, categories.
     """
     offered = interests.join(cut_lineage(ranked_products(products), "shelf"), "category")
-    rating = F.col("rating").cast("double")
-    reasoning = F.concat(
+    return (
+        offered.withColumn("score", rules.relevance(F.col("intent_score"), F.col("rating")))
+        .withColumn("score_type", F.lit("content_based"))
+        .withColumn("reasoning", content_reasoning())
+        .select(*SCORE_COLUMNS)
+    )
+
+
+def category_heat(intent: DataFrame) -> DataFrame:
+    """``(category, heat)``: the share of the hottest category's interest, in the units
+    that ``relevance`` takes."""
+    heat = category_interest(intent)
+    hottest = heat.select(F.max("total_interest")).scalar()
+    share = rules.ratio(F.col("total_interest"), hottest).cast("decimal(18,8)") * rules.FULL_INTENT
+    return heat.select(
+        F.col("resolved_category").alias("category"), F.round(share, 2).cast("decimal(18,2)").alias("heat")
+    )
+
+
+CANDIDATE_COLUMNS = ["category", "product_id", "product_name", "price", "rating", "is_new_arrival"]
+
+
+def category_candidates(products: DataFrame, intent: DataFrame, hits: DataFrame) -> DataFrame:
+    """The few products of each category that scores are made of, one small table.
+
+    ``kind`` tells the best products (with their category's ``heat``) from the style
+    hits (with their ``similarity``).
+    """
+    shelf = ranked_products(products).join(category_heat(intent), "category", "left")
+    best = shelf.select(
+        *CANDIDATE_COLUMNS, F.lit("shelf").alias("kind"), "heat", F.lit(None).cast("decimal(18,4)").alias("similarity")
+    )
+    style = hits.where(F.col("category").isNotNull()).select(
+        *CANDIDATE_COLUMNS,
+        F.lit("style").alias("kind"),
+        F.lit(None).cast("decimal(18,2)").alias("heat"),
+        F.col("similarity").cast("decimal(18,4)").alias("similarity"),
+    )
+    return best.unionByName(style)
+
+
+def candidate_scores(interests: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Content, trending and vibe scores of every customer, from one join."""
+    intent, rating = F.col("intent_score"), F.col("rating")
+    shelf, style = F.col("kind") == "shelf", F.col("kind") == "style"
+
+    def scored(applies: Column, score: Column, kind: str, reasoning: Column) -> Column:
+        entry = F.struct(score.alias("score"), F.lit(kind).alias("score_type"), reasoning.alias("reasoning"))
+        return F.when(applies, entry)
+
+    category = F.col("category")
+    entries = F.array(
+        scored(shelf, rules.relevance(intent, rating), "content_based", content_reasoning()),
+        scored(
+            shelf & F.col("heat").isNotNull(),
+            rules.relevance(F.col("heat"), rating),
+            "trending",
+            F.concat(F.lit("Trending in "), category),
+        ),
+        scored(style, F.col("similarity"), "vibe_match", F.concat(F.lit("Matches the style of "), category)),
+    )
+    wanted = interests.select("customer_id", "category", "intent_score")
+    matched = wanted.join(candidates, "category")
+    return matched.select(
+        "customer_id", *CANDIDATE_COLUMNS, F.inline(F.array_compact(entries))
+    ).select(*SCORE_COLUMNS)
+
+
+def content_reasoning() -> Column:
+    rating = F.col("rating").cast("double").cast("string")
+    return F.concat(
         F.lit("High intent ("),
         text.one_decimal(F.col("intent_score")),
         F.lit(") in "),
         F.col("category"),
         F.lit(" + product rating "),
-        F.coalesce(rating.cast("string"), F.lit("none")),
-    )
-    return (
-        offered.withColumn("score", rules.relevance(F.col("intent_score"), F.col("rating")))
-        .withColumn("score_type", F.lit("content_based"))
-        .withColumn("reasoning", reasoning)
-        .select(*SCORE_COLUMNS)
+        F.coalesce(rating, F.lit("none")),
     )
 
 
@@ -108,15 +171,7 @@ def trending_scores(interests: DataFrame, intent: DataFrame, products: DataFrame
     The score is the category's share of the hottest category's interest times the
     rating share.
     """
-    heat = category_interest(intent)
-    hottest = heat.select(F.max("total_interest")).scalar()
-    # Fractions of the hottest category, in the units relevance() takes.
-    shares = heat.select(
-        F.col("resolved_category").alias("category"),
-        F.round(
-            rules.ratio(F.col("total_interest"), hottest).cast("decimal(18,8)") * rules.FULL_INTENT, 2
-        ).cast("decimal(18,2)").alias("heat"),
-    )
+    shares = category_heat(intent)
     shelf = ranked_products(products).join(shares, "category")
     scored = shelf.withColumn("score", rules.relevance(F.col("heat"), F.col("rating"))).withColumn(
         "reasoning", F.concat(F.lit("Trending in "), F.col("category"))

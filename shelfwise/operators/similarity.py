@@ -7,6 +7,7 @@ category or label), so the work grows with the products, never with pairs of the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import words
-from shelfwise.functions.vectors import cosine
+from shelfwise.functions.vectors import along, unit
 from shelfwise.sources.scratch import cut_lineage
 
 # Columns returned for a hit, and the query built from a category.
@@ -57,38 +58,99 @@ def corpus(products: DataFrame, block: Column) -> DataFrame:
     return known.select("product_id", block.alias("block"), F.concat_ws(" ", *PRODUCT_TEXT).alias("text"))
 
 
-def text_similarity(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosine of each text with the query of its block.
+def word_weights(text_words: DataFrame, total: Column) -> DataFrame:
+    """``(word, idf)`` of the words that tell products apart.
 
-    ``queries`` holds one (block, text) row per block. A word every product has
-    weighs nothing; a text without common words scores 0.
+    A word every product has weighs nothing and is left out, and with it the only
+    words that all products share.
     """
-    text_words = _word_counts(texts, ["product_id", "block"], F.col("text"))
-    query_words = _word_counts(queries, ["block"], F.col("text"))
-
-    total = texts.select(F.count("*")).scalar()
     # Reading ``times`` here lets both uses of the words share one shuffle.
     products = F.count_if(F.col("times") > 0)
     idf = text_words.groupBy("word").agg(F.log((total + 1) / (products + 1)).alias("idf"))
+    return idf.where(F.col("idf") > 0)
+
 
-    # A query word no product has still counts towards the length of the query.
-    asked = F.col("times") * F.coalesce(F.col("idf"), F.log(total + 1))
-    length = F.sqrt(F.sum(F.col("asked") ** 2).over(Window.partitionBy("block")))
-    weighed = query_words.join(idf, "word", "left").withColumn("asked", asked)
-    unit = weighed.withColumn("asked", F.try_divide(F.col("asked"), length))
+def _unit_queries(query_words: DataFrame, idf: DataFrame, total: Column, key: str) -> DataFrame:
+    """Query words with their weights, each query of length 1.
+
+    A word no product has still counts towards the length. So does none that all
+    products have: its weight is 0, and it is told from an unknown one by ``known``.
+    """
+    weight = F.col("times") * F.coalesce(F.col("idf"), F.when(F.col("known"), 0.0).otherwise(F.log(total + 1)))
+    length = F.sqrt(F.sum(F.col("asked") ** 2).over(Window.partitionBy(key)))
+    weighed = query_words.join(idf, "word", "left").withColumn("asked", weight)
+    return weighed.withColumn("asked", F.try_divide(F.col("asked"), length))
 
-    # One row per word with its weight in each block's query, so that the words of
-    # the catalogue are shuffled to it once.
-    by_block = F.map_from_entries(F.collect_list(F.struct("block", "asked"))).alias("by_block")
-    lexicon = idf.join(unit.groupBy("word").agg(by_block), "word", "left")
+
+def text_similarity(texts: DataFrame, queries: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """Cosine of each text with the query of its block.
+
+    ``queries`` holds one (block, text) row per block. Word weights come from
+    ``catalogue``, of which ``texts`` may be a part. A text without common words
+    scores 0.
+    """
+    catalogue = texts if catalogue is None else catalogue
+    known_words = _word_counts(catalogue, ["product_id", "block"], F.col("text"))
+    text_words = known_words if catalogue is texts else _word_counts(texts, ["product_id", "block"], F.col("text"))
+    total = catalogue.select(F.count("*")).scalar()
+    idf = word_weights(known_words, total)
+    asked = _mark_known(_word_counts(queries, ["block"], F.col("text")), known_words)
+    unit = _unit_queries(asked, idf, total, "block").select("block", "word", "asked")
 
     weight = F.col("times") * F.col("idf")
-    shared = F.sum(weight * F.try_element_at(F.col("by_block"), F.col("block")))
+    shared = F.coalesce(F.sum(weight * F.col("asked")), F.lit(0.0))
     similarity = F.try_divide(shared, F.sqrt(F.sum(weight**2)))
-    scored = text_words.join(lexicon, "word").groupBy("product_id").agg(similarity.alias("similarity"))
+    # The queries are stored, so that few of them are sent to the words, not the words to them.
+    matched = text_words.join(idf, "word").join(cut_lineage(unit, "asked"), ["block", "word"], "left")
+    scored = matched.groupBy("product_id").agg(similarity.alias("similarity"))
     return scored.withColumn("similarity", F.round("similarity", SIMILARITY_PLACES))
 
 
+def _mark_known(query_words: DataFrame, text_words: DataFrame) -> DataFrame:
+    """Query words with ``known``: whether any product has the word."""
+    known = text_words.select("word").distinct().withColumn("known", F.lit(True))
+    return query_words.join(known, "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def search_text(
+    products: DataFrame, queries: DataFrame, k: int = 5, filters: Mapping[str, object] | None = None
+) -> DataFrame:
+    """The ``k`` products most like each query, of those that share a word with it.
+
+    ``queries`` has rows ``(query_id, text, category)``; a category narrows its query,
+    null asks the whole catalogue. Filters pick the candidates before any is scored.
+    Only words that tell products apart bring products and queries together.
+    """
+    known_words = _word_counts(corpus(products, F.col("category")), ["product_id", "block"], F.col("text"))
+    candidates = products.where(matches(filters))
+    some_words = known_words
+    if filters:
+        some_words = _word_counts(corpus(candidates, F.col("category")), ["product_id", "block"], F.col("text"))
+    total = products.where(F.col("product_id").isNotNull()).select(F.count("*")).scalar()
+    idf = word_weights(known_words, total)
+    asked = _word_counts(queries, ["query_id", "category"], F.col("text"))
+    unit = _unit_queries(_mark_known(asked, known_words), idf, total, "query_id").where(F.col("asked") > 0)
+
+    weighed = some_words.join(idf, "word").withColumn("weight", F.col("times") * F.col("idf"))
+    lengths = weighed.groupBy("product_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length"))
+    wanted = F.col("category").isNull() | (F.col("category") == F.col("block"))
+    asked_words = cut_lineage(unit.select("query_id", "category", "word", "asked"), "asked")
+    shared = (
+        weighed.select("product_id", "block", "word", "weight")
+        .join(asked_words, "word")
+        .where(wanted)
+        .groupBy("query_id", "product_id")
+        .agg(F.sum(F.col("weight") * F.col("asked")).alias("shared"))
+    )
+    similarity = F.round(F.col("shared") / F.col("length"), SIMILARITY_PLACES)
+    scored = shared.join(lengths, "product_id").withColumn("similarity", similarity)
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "product_id")
+    ranked = scored.withColumn("hit_rank", F.row_number().over(best)).where(F.col("hit_rank") <= k)
+    return ranked.select("query_id", "hit_rank", "product_id", "similarity").join(
+        products.select(*HIT_COLUMNS), "product_id"
+    )
+
+
 def _with_similarity(products: DataFrame, similarity: DataFrame) -> DataFrame:
     joined = products.join(similarity, "product_id", "left")
     return joined.withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
@@ -103,9 +165,11 @@ def similar_by_text(
     """
     everything = F.lit("all")
     asked = products.sparkSession.range(1).select(everything.alias("block"), F.lit(query_text).alias("text"))
-    similarity = text_similarity(corpus(products, everything), asked)
-    candidates = products.where(matches(filters)).select(*HIT_COLUMNS)
-    return _with_similarity(candidates, similarity).orderBy(F.desc("similarity"), "product_id").limit(k)
+    candidates = products.where(matches(filters))
+    texts = corpus(candidates, everything)
+    similarity = text_similarity(texts, asked, corpus(products, everything) if filters else None)
+    found = _with_similarity(candidates.select(*HIT_COLUMNS), similarity)
+    return found.orderBy(F.desc("similarity"), "product_id").limit(k)
 
 
 def style_queries(products: DataFrame) -> DataFrame:
@@ -138,23 +202,25 @@ def style_hits(products: DataFrame, k: int = 5, new_arrivals: bool = True) -> Da
 
 
 def label_centroids(vectors: DataFrame) -> DataFrame:
-    """The mean vector of each label: one query per label."""
+    """The mean vector of each label: one query per label, named like it."""
     mean = Summarizer.mean(array_to_vector(F.col("embedding")))
-    return vectors.groupBy("label").agg(vector_to_array(mean).alias("query"))
+    centres = vectors.groupBy("label").agg(vector_to_array(mean).alias("query"))
+    return centres.withColumn("query_id", F.col("label"))
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` vectors of each label nearest to that label's query vector.
+    """The ``k`` vectors of a label nearest to each of the label's queries.
 
-    ``queries`` holds one (label, query) row per label, so the join does not
-    multiply the vectors; only ``k`` rows per label and task reach the ranking. The
-    queries are stored first, so that the vectors are not shuffled to them unless
-    the queries really are too large to broadcast.
+    ``queries`` holds rows ``(query_id, label, query)``; only ``k`` rows per query and
+    task reach the ranking. The queries are brought to length 1 and stored first: that
+    is done once for each, and the vectors are not shuffled to them unless the queries
+    really are too large to broadcast.
     """
-    scored = vectors.join(cut_lineage(queries, "queries"), "label").select(
-        "label", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("similarity")
+    ready = queries.select("query_id", "label", unit(F.col("query")).alias("query"))
+    scored = vectors.join(cut_lineage(ready, "queries"), "label").select(
+        "query_id", "label", "vec_id", along(F.col("embedding"), F.col("query")).alias("similarity")
     )
-    order = Window.partitionBy("label").orderBy(F.desc("similarity"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return scored.withColumn("hit_rank", F.row_number().over(order)).where(F.col("hit_rank") <= k)
 
 
@@ -162,6 +228,13 @@ def nearest_to(
     vectors: DataFrame, query: Sequence[float], k: int = 5, filters: Mapping[str, object] | None = None
 ) -> DataFrame:
     """The ``k`` vectors nearest to one given vector, after the attribute filters."""
-    asked = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.where(matches(filters)).withColumn("similarity", cosine(F.col("embedding"), asked))
+    length = math.sqrt(math.fsum(float(x) ** 2 for x in query))
+    asked = F.array(*[F.lit(float(x) / length if length else None).cast("double") for x in query])
+    scored = vectors.where(matches(filters)).withColumn("similarity", along(F.col("embedding"), asked))
     return scored.orderBy(F.desc("similarity"), "vec_id").limit(k)
+
+
+def with_products(hits: DataFrame, products: DataFrame) -> DataFrame:
+    """Vector hits with the columns of the product each vector describes."""
+    named = products.select(*HIT_COLUMNS)
+    return hits.join(named, F.col("vec_id") == F.col("product_id"))

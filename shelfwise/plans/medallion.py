@@ -11,7 +11,9 @@ from shelfwise.functions.clock import AsOf
 from shelfwise.operators.enrich import enrich_clicks
 from shelfwise.operators.golden import golden_record
 from shelfwise.operators.intent import category_intent
+from shelfwise.operators.recommend import category_candidates
 from shelfwise.operators.segments import segments
+from shelfwise.operators.similarity import style_hits
 from shelfwise.sources import files
 from shelfwise.sources.scratch import cut_lineage
 from shelfwise.sources.tables import publish_table
@@ -31,6 +33,7 @@ ENRICHED_TABLE = "silver_clickstream_enriched"
 GOLDEN_TABLE = "silver_customer_golden_record"
 INTENT_TABLE = "gold_category_intent_scores"
 SEGMENTS_TABLE = "gold_high_value_segments"
+CANDIDATES_TABLE = "gold_category_candidates"
 
 
 @dataclass(frozen=True)
@@ -65,6 +68,12 @@ class Medallion:
     def segments(self) -> DataFrame:
         return segments(self.golden, self.intent)
 
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Products that recommendations choose from, a few per category."""
+        products = self.bronze.products
+        return category_candidates(products, self.intent, style_hits(products))
+
     def settle(self, *names: str) -> Medallion:
         """Write the named layers to the scratch folder and go on from there.
 
@@ -110,6 +119,7 @@ def publish(bronze: Bronze, database: str, as_of: AsOf = None, window: str = "ca
     )
     layers.intent = stored(layers.intent, INTENT_TABLE, "gold", "Recent interest per customer and category")
     layers.segments = stored(layers.segments, SEGMENTS_TABLE, "gold", "Customer segments")
+    layers.candidates = stored(layers.candidates, CANDIDATES_TABLE, "gold", "Products to recommend per category")
     return layers
 
 
@@ -126,4 +136,5 @@ def open_layers(spark: SparkSession, database: str, as_of: AsOf = None) -> Medal
     layers.golden = table(GOLDEN_TABLE)
     layers.intent = table(INTENT_TABLE)
     layers.segments = table(SEGMENTS_TABLE)
+    layers.candidates = table(CANDIDATES_TABLE)
     return layers

@@ -54,7 +54,7 @@ STEPS = {
  ts AS event_timestamp, kind AS event_type, concat('/', kind, '/', k) AS page_url,
  CASE WHEN kind NOT IN ('page_view', 'category_browse') THEN k END AS product_id,
  CASE WHEN kind = 'category_browse' THEN {CATS}[k % 6 + 1] END AS category_browsed,
- CASE WHEN kind = 'search' THEN concat('item ', k) END AS search_term,
+ CASE WHEN kind = 'search' THEN concat({CATS}[k % 6 + 1], ' item ', k) END AS search_term,
  CASE WHEN value < 2 THEN 'mobile' WHEN value < 20 THEN 'desktop' ELSE 'tablet' END AS device_type,
  floor(value)::INT AS time_on_page_seconds
  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
@@ -298,6 +298,27 @@ RESULTS = {
  (SELECT label, list(mean ORDER BY pos) AS query FROM (SELECT label, pos, avg(x::DOUBLE) AS mean FROM
  (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2)
  GROUP BY 1) USING (label)) WHERE hit_rank <= 5""",
+    "search_hits": f"""WITH tw AS (SELECT product_id, word, count(*) AS times FROM (SELECT product_id,
+ unnest(regexp_split_to_array(lower({TEXT}), '[^a-z0-9]+')) AS word FROM products) WHERE word <> '' GROUP BY 1, 2),
+ qw AS (SELECT query_id, word, count(*) AS times FROM (SELECT DISTINCT search_term AS query_id,
+ unnest(regexp_split_to_array(lower(search_term), '[^a-z0-9]+')) AS word FROM clicks WHERE search_term IS NOT NULL)
+ WHERE word <> '' GROUP BY 1, 2),
+ total AS (SELECT count(*)::DOUBLE AS n FROM products),
+ idf AS (SELECT word, ln((max(n) + 1) / (count(*) + 1)) AS idf FROM tw, total GROUP BY 1),
+ asked AS (SELECT query_id, word, q.times * coalesce(idf, ln(n + 1)) AS asked FROM qw q CROSS JOIN total LEFT JOIN idf USING (word)),
+ qn AS (SELECT query_id, sqrt(sum(asked * asked)) AS query_norm FROM asked GROUP BY 1),
+ pn AS (SELECT product_id, sqrt(sum(times * idf * times * idf)) AS norm FROM tw JOIN idf USING (word) GROUP BY 1),
+ hit AS (SELECT query_id, product_id, sum(times * idf * asked) AS shared FROM tw JOIN idf USING (word)
+ JOIN asked USING (word) GROUP BY 1, 2 HAVING shared > 0),
+ ranked AS (SELECT query_id, product_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC,
+ product_id) AS hit_rank FROM (SELECT query_id, product_id, round(shared / (norm * query_norm), 6) AS similarity
+ FROM hit JOIN qn USING (query_id) JOIN pn USING (product_id)))
+ SELECT query_id, hit_rank, similarity, product_id, product_name, category, subcategory, brand, price, style_tags, color,
+ rating::DOUBLE AS rating, description FROM ranked JOIN products USING (product_id) WHERE hit_rank <= 5""",
+    "vector_hits": """SELECT vec_id, label, product_id, product_name, category, subcategory, brand, price, style_tags,
+ color, rating::DOUBLE AS rating, description FROM (SELECT vec_id, label FROM embeddings
+ ORDER BY list_cosine_similarity(embedding::DOUBLE[], list_transform(range(64), lambda i: CASE WHEN i % 3 = 0 THEN -0.5
+ ELSE 1.0 END)::DOUBLE[]) DESC, vec_id LIMIT 20) JOIN products ON product_id = vec_id""",
     "recommendation_scores": " UNION ALL ".join(
         f"SELECT customer_id, product_id, score::DOUBLE AS score, score_type, {AS_OF} AS computed_at FROM {part}"
         for part in ("content", "trendy", "vibes", "collab")

@@ -51,6 +51,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 PROFILE_DEFAULTS = ("PROMO", "SMALL")
 LAPSED_CATEGORY = "PROMO"
 STREAM_DELAY = "1 hour"
+VECTOR_LENGTH = 64
 
 
 class SampleBronze:
@@ -367,6 +368,26 @@ def similar_vectors(s: Samples) -> DataFrame:
     return found.select("label", "hit_rank", "vec_id")
 
 
+@query
+def search_hits(s: Samples) -> DataFrame:
+    """Products for every search term of the clicks, each term asked once."""
+    terms = s.clicks.where(F.col("search_term").isNotNull()).select("search_term").distinct()
+    asked = terms.select(
+        F.col("search_term").alias("query_id"), F.col("search_term").alias("text"), F.lit(None).cast("string").alias("category")
+    )
+    return similarity.search_text(s.products, asked, k=5)
+
+
+@query
+def vector_hits(s: Samples) -> DataFrame:
+    """The products whose vectors are nearest to one vector, with all hit columns."""
+    vectors = sample_tables.embeddings(s.spark, s.sf_dir)
+    asked = [1.0 if i % 3 else -0.5 for i in range(VECTOR_LENGTH)]
+    return similarity.with_products(similarity.nearest_to(vectors, asked, 20), s.products).select(
+        "vec_id", "label", *similarity.HIT_COLUMNS
+    )
+
+
 @query
 def one_customer(s: Samples) -> DataFrame:
     """Content scores of the customer with the smallest id, best first."""

@@ -41,17 +41,18 @@ class Recommendations:
         return recommend.style_basket(self._interests(customer_id), hits)
 
     def content_scores(self, customer_id: object | None = None) -> DataFrame:
-        scores = recommend.content_scores(self._interests(customer_id), self.layers.bronze.products)
-        return scores.orderBy("customer_id", F.desc("score"), "product_id")
+        """From the candidates of the customers' categories, which published layers store."""
+        shelf = self.layers.candidates.where(F.col("kind") == "shelf")
+        scores = recommend.candidate_scores(self._interests(customer_id), shelf)
+        content = scores.where(F.col("score_type") == "content_based")
+        return content.orderBy("customer_id", F.desc("score"), "product_id")
 
     def scores(self) -> DataFrame:
         """Rows of the score table with all four score types."""
+        self.layers.settle("candidates")
         products, purchases = self.layers.bronze.products, self.layers.bronze.purchases
-        interests = self._interests(None)
         return recommend.recommendation_scores(
-            recommend.content_scores(interests, products),
-            recommend.trending_scores(interests, self.layers.intent, products),
-            recommend.vibe_scores(interests, similarity.style_hits(products)),
+            recommend.candidate_scores(self._interests(None), self.layers.candidates),
             recommend.collaborative_scores(purchases, products),
             as_of=self.as_of,
         )

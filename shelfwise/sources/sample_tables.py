@@ -88,7 +88,7 @@ def clicks_from_events(events: DataFrame) -> DataFrame:
         "concat('/', event_type, '/', key) AS page_url",
         "CASE WHEN event_type NOT IN ('page_view', 'category_browse') THEN key END AS product_id",
         f"CASE WHEN event_type = 'category_browse' THEN {_category('key')} END AS category_browsed",
-        "CASE WHEN event_type = 'search' THEN concat('item ', key) END AS search_term",
+        f"CASE WHEN event_type = 'search' THEN concat({_category('key')}, ' item ', key) END AS search_term",
         "device_type",
         "'direct' AS referrer",
         "time_on_page_seconds",

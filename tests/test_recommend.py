@@ -247,6 +247,29 @@ def test_nearest_vectors_match_plain_python(spark):
         expected = [r[0] for r in sorted(mine, key=lambda r: -cosine(r[1], centre))[:3]]
         assert [r["vec_id"] for r in fx.dicts(found.where(F.col("label") == label), "hit_rank")] == expected
 
+    named = [("a", 0, query), ("b", 0, [-x for x in query])]
+    asked = spark.createDataFrame(named, "query_id string, label int, query array<double>")
+    both = similarity.nearest_vectors(vectors, asked, 2).collect()
+    assert sorted((r["query_id"], r["hit_rank"]) for r in both) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+
+
+def test_many_searches_at_once(spark):
+    products, rows = _catalogue(spark)
+    queries = [("q1", "black jeans, wide", None), ("q2", "black jeans, wide", "Shoes"), ("q3", "nothing", None), ("q4", "style", None)]
+    asked = spark.createDataFrame(queries, "query_id string, text string, category string")
+    found = similarity.search_text(products, asked, k=3)
+    assert {*similarity.HIT_COLUMNS, "query_id", "hit_rank", "similarity"} == set(found.columns)
+    hits = {(r["query_id"], r["product_id"]): r["similarity"] for r in found.collect()}
+    category = {r["product_id"]: r["category"] for r in rows}
+    expected = {}
+    for query_id, words, only in queries:
+        scores = _plain_similarity(rows, lambda r: words)
+        best = sorted(((-s, p) for p, s in scores.items() if s > 0 and only in (None, category[p])))[:3]
+        expected.update({(query_id, p): -s for s, p in best})
+    assert hits == pytest.approx(expected) and ("q3", "P0") not in hits
+    narrow = similarity.search_text(products, asked, k=3, filters={"is_new_arrival": True})
+    assert {r["product_id"] for r in narrow.collect()} <= {"P1", "P5", "P6"}
+
 
 @pytest.mark.parametrize(
     "tier, points, mode, expected",
