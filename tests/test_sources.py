@@ -228,6 +228,7 @@ def test_published_layers(spark, tmp_path):
             "silver_customer_golden_record",
             "gold_category_intent_scores",
             "gold_high_value_segments",
+            "gold_category_candidates",
         }
         properties = spark.sql("SHOW TBLPROPERTIES shop.gold_high_value_segments ('quality')").first()
         assert properties["value"] == "gold"
