@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import rules, text
 from shelfwise.functions.clock import AsOf, instant, plus_hours
+from shelfwise.sources.scratch import cut_lineage
 
 # Offer templates in order, and the hours each type stays open.
 TEMPLATES = [
@@ -56,12 +57,13 @@ def _templates() -> Column:
 
 
 def _as_rows(df: DataFrame, hours: Column, as_of: AsOf) -> DataFrame:
-    """Fill the bookkeeping columns of a new offer."""
+    """Fill the bookkeeping columns of a new offer; without products it names none."""
     now = instant(as_of)
     never = F.lit(None).cast("timestamp")
+    if "product_id" not in df.columns:
+        df = df.withColumn("product_id", F.lit(None).cast("string"))
     return (
-        df.withColumn("product_id", F.lit(None).cast("string"))
-        .withColumn("expires_at", plus_hours(now, hours))
+        df.withColumn("expires_at", plus_hours(now, hours))
         .withColumn("is_active", F.lit(True))
         .withColumn("created_at", now)
         .withColumn("served_at", never)
@@ -92,9 +94,14 @@ def offer_expiries(segments: DataFrame, as_of: AsOf = None) -> DataFrame:
     return listed.unionByName(winback)
 
 
-def category_offers(segments: DataFrame, intent: DataFrame, as_of: AsOf = None) -> DataFrame:
+def category_offers(
+    segments: DataFrame, intent: DataFrame, as_of: AsOf = None, shelf: DataFrame | None = None
+) -> DataFrame:
     """One offer for each of a customer's first three preferred categories.
 
+    With ``shelf``, rows ``(category, product_id, product_rank)``, an offer names the
+    category's best product.
+
     The i-th category takes the i-th template. Relevance rises with the customer's
     intent for the category; the expiry follows from the offer type.
     """
@@ -124,6 +131,10 @@ def category_offers(segments: DataFrame, intent: DataFrame, as_of: AsOf = None)
             F.format_string("Based on your recent browsing in %s and purchase history", F.col("category")),
         )
     )
+    if shelf is not None:
+        best = shelf.where(F.col("product_rank") == 1).select("category", F.col("product_id").cast("string"))
+        # One row per category, stored so that its size is known.
+        rows = rows.join(cut_lineage(best, "best"), "category", "left")
     return _as_rows(rows, F.col("template.hours"), as_of)
 
 
@@ -146,9 +157,11 @@ def winback_offers(segments: DataFrame, as_of: AsOf = None) -> DataFrame:
     return _as_rows(rows, F.lit(WIN_BACK_HOURS), as_of)
 
 
-def offers(segments: DataFrame, intent: DataFrame, as_of: AsOf = None) -> DataFrame:
+def offers(
+    segments: DataFrame, intent: DataFrame, as_of: AsOf = None, shelf: DataFrame | None = None
+) -> DataFrame:
     """The whole basket; ``slot`` 0 is the win-back offer."""
-    return winback_offers(segments, as_of).unionByName(category_offers(segments, intent, as_of))
+    return winback_offers(segments, as_of).unionByName(category_offers(segments, intent, as_of, shelf))
 
 
 def live_offers(all_offers: DataFrame, as_of: AsOf = None) -> DataFrame:

@@ -336,6 +336,8 @@ RESULTS = {
  ROWS UNBOUNDED PRECEDING)::BIGINT AS balance_after FROM points_events""",
     "current_balance": "SELECT customer_id, sum(points)::BIGINT AS balance FROM points_events GROUP BY 1",
     "offers": "SELECT * FROM offers",
+    "offers_with_products": """SELECT customer_id, slot, category, product_id::VARCHAR AS product_id FROM offers
+ LEFT JOIN (SELECT category, product_id FROM shelf WHERE product_rank = 1) USING (category)""",
     "winback_offers": "SELECT * FROM winback",
     "live_offers": """SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY relevance_score DESC, slot, offer_code)
  AS offer_rank FROM offers WHERE expires_at > TIMESTAMP '2024-02-01 06:00:00'""",

@@ -444,6 +444,14 @@ def offers(s: Samples) -> DataFrame:
     return _offer_columns(s.offers)
 
 
+@query
+def offers_with_products(s: Samples) -> DataFrame:
+    """Category offers that name the best product of their category."""
+    s.settle("intent")
+    named = offering.offers(s.segments, s.intent, AS_OF, recommend.ranked_products(s.products))
+    return named.select("customer_id", "slot", "category", "product_id")
+
+
 @query
 def winback_offers(s: Samples) -> DataFrame:
     return _offer_columns(offering.winback_offers(s.segments, AS_OF))
