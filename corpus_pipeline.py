@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.llm import host_rules, packing, simhash, toxicity
-from shelfwise.llm.queries import CATEGORIES, PACK_END_ID, SEQUENCE, chain_labels, pack_encoder
+from shelfwise.llm.queries import CATEGORIES, PACK_END_ID, SEQUENCE, chain_labels, find_package, pack_encoder
 from shelfwise.sources.scratch import scratch_path
 
 #: Toxicity and packing are learned, random or both, which SQL cannot express.
@@ -45,6 +45,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    find_package(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, name)
