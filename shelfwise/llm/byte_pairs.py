@@ -33,6 +33,11 @@ from shelfwise.llm.chunked import (
 )
 
 
+#: Pieces kept in memory, half of what other encoders keep: here two Python workers
+#: stand behind each running task.
+REMEMBERED = 125_000
+
+
 def read_ranks(path: str) -> list[bytes]:
     """The tokens of a rank file, by rank."""
     with open(path, "rb") as file:
@@ -79,7 +84,7 @@ def rank_encoder(ranks_path: str, pattern: str) -> PieceEncoder:
         rank = whole.get(word.encode())
         return [rank] if rank is not None else processor.encode(to_byte_characters(word))
 
-    return PieceEncoder(pieces_with_spaces, byte_level_words(pattern), tokenise)
+    return PieceEncoder(pieces_with_spaces, byte_level_words(pattern), tokenise, remembered=REMEMBERED)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -94,40 +99,40 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, ids binary")
 
 
+def decode_ids(tokens: list[bytes], ids: bytes) -> bytes:
+    """The bytes that ids stand for, by the inverse of the vocabulary."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """The rows of ``encoded``, ``(doc_id, ids)``, with ``decoded``: the bytes of the ids."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _parts(ranks_path)[0].__getitem__
-
-        def each() -> Iterator[tuple]:
-            for doc_id, ids in rows(batches, ["doc_id", "ids"]):
-                yield doc_id, ids, b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))
-
-        yield from batches_of(each(), schema)
+        tokens = _parts(ranks_path)[0]
+        yield from batches_of(((d, ids, decode_ids(tokens, ids)) for d, ids in rows(batches, ["doc_id", "ids"])), schema)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: of the decimal ids joined by
-    one space, and of the decoded bytes."""
+    one space, and of the bytes they decode to. The bytes need not leave the task."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal: dict[int, str] = {}
+        tokens = read_ranks(ranks_path)
+        decimal = [str(rank) for rank in range(len(tokens))]
 
         def each() -> Iterator[tuple]:
-            for doc_id, ids, data in rows(batches, ["doc_id", "ids", "decoded"]):
+            for doc_id, ids in rows(batches, ["doc_id", "ids"]):
                 numbers = np.frombuffer(ids, "<u4").tolist()
-                for number in set(numbers) - decimal.keys():
-                    decimal[number] = str(number)
                 text = " ".join([decimal[n] for n in numbers])
-                yield doc_id, len(numbers), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(data).hexdigest()
+                decoded = decode_ids(tokens, ids)
+                yield doc_id, len(numbers), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
         yield from batches_of(each(), schema)
 
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -115,7 +115,7 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_pairs.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_pairs.digests(byte_pairs.decode(encoded, ranks))
+    return byte_pairs.digests(encoded, ranks)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
