@@ -136,15 +136,24 @@ def host_verdicts(outcomes: DataFrame, most_failing: float = MOST_FAILING) -> Da
     return hosts.withColumn("rate", rate).withColumn("rejected", F.round(bound, 9) > most_failing)
 
 
-def judge(docs: DataFrame, carry: Sequence[str], host: str = "source", text: str = "text") -> DataFrame:
-    """The columns ``carry`` of every row, and a struct ``quality``: the measures,
-    ``base_failed`` and ``kept``."""
+def _judged(docs: DataFrame, carry: Sequence[str], host: str, text: str) -> DataFrame:
+    """``(row, stats, failed, kept)``; ``row`` holds the columns ``carry``."""
     measured = docs.select(
         F.struct(*carry).alias("row"), F.col(host).cast("string").alias("host"), measures(text).alias("stats")
     )
     stored = cut_lineage(measured.withColumn("failed", base_failed("stats")), "quality")
     verdicts = host_verdicts(stored).where("rejected").select("host", "rejected")
     judged = stored.join(cut_lineage(verdicts, "rejected_hosts"), "host", "left")
-    kept = ~F.col("failed") & F.col("rejected").isNull()
-    quality = F.struct("stats.*", F.col("failed").alias("base_failed"), kept.alias("kept"))
-    return judged.select("row.*", quality.alias("quality"))
+    return judged.withColumn("kept", ~F.col("failed") & F.col("rejected").isNull())
+
+
+def judge(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """``(doc_id, MEASURES, base_failed, kept)`` of every row."""
+    return _judged(docs, ["doc_id"], host, text).select(
+        "row.doc_id", "stats.*", F.col("failed").alias("base_failed"), "kept"
+    )
+
+
+def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that pass, as they are."""
+    return _judged(docs, docs.columns, host, text).where("kept").select("row.*")

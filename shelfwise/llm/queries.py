@@ -108,8 +108,7 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = host_rules.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
-    return judged.select("doc_id", "quality.*")
+    return host_rules.judge(_table(spark, sf_dir, "documents"))
 
 
 def op6_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +139,7 @@ def chain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = toxicity.judge(docs, chain_labels(spark, sf_dir), CATEGORIES)
+    judged = toxicity.judge(_table(spark, sf_dir, "documents"), chain_labels(spark, sf_dir), CATEGORIES)
     return judged.select(
         "doc_id",
         F.col("toxicity.low_quality").alias("low_quality_probability"),

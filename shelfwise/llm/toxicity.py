@@ -156,40 +156,47 @@ def train(sample: DataFrame, categories: Sequence[str]) -> Chain:
 
         return run
 
+    def appended(table: DataFrame, p: Column) -> DataFrame:
+        return table.select("doc_id", "targets", "fold", "shares", F.array_append("earlier", p).alias("earlier"))
+
+    learner = LogisticRegression(maxIter=ITERATIONS, regParam=REGULARISATION)
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).alias("fold")
-    rows_ = sample.select("doc_id", "targets", fold, shares("text").alias("shares"), F.array().cast("array<double>").alias("earlier"))
-    rows_ = cut_lineage(rows_, "shares").coalesce(TRAINING_PARTITIONS)
+    none = F.array().cast("array<double>").alias("earlier")
+    known = sample.select("doc_id", "targets", fold, shares("text").alias("shares"), none)
+    known = cut_lineage(known, "shares").coalesce(TRAINING_PARTITIONS)
     links = []
     for i, _ in enumerate(categories):
-        table = rows_.select(
-            "*", F.get("targets", F.lit(i)).cast("double").alias("label"), extended("shares", "earlier").alias("features")
-        ).persist()
+        label = F.get("targets", F.lit(i)).cast("double").alias("label")
+        table = known.select("*", label, extended("shares", "earlier").alias("features")).persist()
         counts = table.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("k")).collect()
         n, k = sum(c.n for c in counts), sum(c.k for c in counts)
-        if not 0 < k < n:
-            rate = (k + 1) / (n + 2)
-            links.append((math.log(rate / (1 - rate)), [0.0] * width, [0.0] * i))
-            rows_ = rows_.withColumn("earlier", F.array_append("earlier", F.lit(rate)))
-            table.unpersist()
-            continue
-        learner = LogisticRegression(maxIter=ITERATIONS, regParam=REGULARISATION)
-        model = learner.fit(table)
-        weights = model.coefficients.toArray().tolist()
-        links.append((float(model.intercept), weights[:width], weights[width:]))
+        if 0 < k < n:
+            model = learner.fit(table)
+            weights = model.coefficients.toArray().tolist()
+            links.append((float(model.intercept), weights[:width], weights[width:]))
+        else:
+            links.append((_logit(k, n), [0.0] * width, [0.0] * i))
         if i + 1 < len(categories):
             parts = []
             for c in counts:
-                others = table.where(F.col("fold") != c.fold)
-                mixed = 0 < k - c.k < n - c.n
-                seen = learner.fit(others) if mixed else model
-                p = predicted(float(seen.intercept), seen.coefficients.toArray().tolist())
-                part = table.where(F.col("fold") == c.fold).withColumn("p", p("features"))
-                parts.append(part.select("doc_id", "targets", "fold", "shares", F.array_append("earlier", F.col("p")).alias("earlier")))
-            rows_ = cut_lineage(reduce(DataFrame.union, parts), "out_of_fold").coalesce(TRAINING_PARTITIONS)
+                others, held = table.where(F.col("fold") != c.fold), table.where(F.col("fold") == c.fold)
+                if 0 < k - c.k < n - c.n:
+                    seen = learner.fit(others)
+                    p = predicted(float(seen.intercept), seen.coefficients.toArray().tolist())("features")
+                else:
+                    p = F.lit(sigmoid(_logit(k - c.k, n - c.n)))
+                parts.append(appended(held, p))
+            if parts:
+                known = cut_lineage(reduce(DataFrame.union, parts), "out_of_fold").coalesce(TRAINING_PARTITIONS)
         table.unpersist()
     return Chain(features, links)
 
 
+def _logit(k: float, n: float) -> float:
+    """Log odds of the base rate ``(k + 1) / (n + 2)``."""
+    return math.log((k + 1) / (n - k + 1))
+
+
 def probabilities(text: str, chain: Chain, categories: Sequence[str]) -> Column:
     """A struct of the categories' probabilities, to six places."""
     kind = pa.struct([(c, pa.float64()) for c in categories])
@@ -202,8 +209,19 @@ def probabilities(text: str, chain: Chain, categories: Sequence[str]) -> Column:
     return F.arrow_udf(run, ", ".join(f"{c} double" for c in categories))(F.col(text).cast("string"))
 
 
+def fitted(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> Chain:
+    return train(labelled_sample(docs, labels, categories), categories)
+
+
 def judge(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """``docs`` with a struct ``toxicity`` of probabilities, the last category's being
-    the one that counts."""
-    chain = train(labelled_sample(docs, labels, categories), categories)
-    return docs.withColumn("toxicity", probabilities("text", chain, categories))
+    """``(doc_id, toxicity)`` of every row: a struct of probabilities, the last
+    category's being the one that counts."""
+    chain = fitted(docs, labels, categories)
+    return docs.select(F.col("doc_id").cast("long"), probabilities("text", chain, categories).alias("toxicity"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """The rows of ``docs`` that the chain does not find toxic, as they are."""
+    found = probabilities("text", fitted(docs, labels, categories), categories)[categories[-1]]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), found.alias("toxic"))
+    return rows.where(F.col("toxic") <= LIMIT).select("row.*")

@@ -267,14 +267,19 @@ def plain_measures(text: str | None) -> tuple:
 
 
 def test_quality_measures_and_hosts(spark, odd_documents, no_documents):
-    clashing = odd_documents.withColumn("host", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("quality", F.lit(3))
-    rows = host_rules.judge(clashing, ["doc_id", "text", "kept", "source"]).collect()
-    assert len(rows) == len(document_rows())
-    for r in rows:
-        expected = plain_measures(r.text)
-        assert tuple(r.quality[m] for m in host_rules.MEASURES) == expected
-        assert r.quality.base_failed == (expected[0] < 20 or 100 * expected[4] > 30 * expected[0])
-    assert host_rules.judge(no_documents, ["doc_id"]).count() == 0
+    texts = Counter((r[0], plain_measures(r[1])) for r in document_rows())
+    clashing = odd_documents
+    for name in ("host", "kept", "quality", "row", "stats", "failed", "n_words"):
+        clashing = clashing.withColumn(name, F.lit(name))
+    rows = host_rules.judge(clashing).collect()
+    assert Counter((r.doc_id, tuple(r[m] for m in host_rules.MEASURES)) for r in rows) == texts
+    assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) for r in rows)
+    assert host_rules.judge(no_documents).count() == 0
+    kept = host_rules.keep_good(clashing)
+    assert kept.columns == clashing.columns
+    good = [k for k, (n, _, _, _, r) in texts.elements() if n >= 20 and 100 * r <= 30 * n]
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(good)
+    assert {r.quality for r in kept.collect()} == {"quality"}
 
 
 def test_hosts_that_mostly_fail_are_rejected(spark):
@@ -431,6 +436,12 @@ def test_chain_learns_from_held_in_and_judges_held_out(spark):
     assert found[702].toxic > 0.5
     assert found[700] == found[701]
     assert found[None].toxic < 0.5
+    clashing = table.withColumn("toxic", F.lit("x")).withColumn("row", F.lit("y")).withColumn("toxicity", F.lit("z"))
+    clean = toxicity.keep_clean(clashing, marks, ["low_quality", "toxic"])
+    assert clean.columns == clashing.columns
+    kept = clean.collect()
+    assert Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in rows if r.toxicity.toxic <= 0.5)
+    assert {r.toxicity for r in kept} == {"z"}
 
 
 def test_chain_without_labels(spark, no_documents):
