@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfwise.llm import host_rules, packing, simhash, toxicity
 from shelfwise.llm.queries import CATEGORIES, PACK_END_ID, SEQUENCE, chain_labels, find_package, pack_encoder
@@ -20,12 +19,11 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = toxicity.judge(docs, chain_labels(spark, sf_dir), CATEGORIES)
-    return judged.where(F.col("toxicity.toxic") <= toxicity.LIMIT).select(docs.columns)
+    return toxicity.keep_clean(docs, chain_labels(spark, sf_dir), CATEGORIES)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return host_rules.judge(docs, docs.columns).where("quality.kept").select(docs.columns)
+    return host_rules.keep_good(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
