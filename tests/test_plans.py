@@ -117,3 +117,21 @@ def test_a_hot_product_is_split(spark, no_broadcast):
     finally:
         for setting in settings:
             spark.conf.unset(setting)
+
+
+def _scans(text: str, table: str) -> list[str]:
+    return [line for line in text.splitlines() if f"{table}.parquet" in line and "FileScan" in line]
+
+
+def test_filters_reach_the_scored_products(spark):
+    scans = _scans(plan(QUERIES["similar_text_filtered"](spark, SF_DIR)), "part")
+    assert sum("EqualTo(p_type,PROMO)" in scan for scan in scans) >= 2
+
+
+def test_scores_of_all_customers_read_the_customers_once(spark):
+    assert len(_scans(plan(QUERIES["recommendation_scores"](spark, SF_DIR)), "customer")) == 1
+
+
+def test_counting_offers_needs_no_intent(spark):
+    state_plan = plan(QUERIES["customer_state"](spark, SF_DIR))
+    assert state_plan.count("Generate ") <= 2 and "relevance" not in state_plan
