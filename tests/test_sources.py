@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 
 import pytest
-from pyspark.sql import functions as F
 
 from shelfwise.operators import recommend
 from shelfwise.plans.medallion import (
