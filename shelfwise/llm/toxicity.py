@@ -33,7 +33,7 @@ from shelfwise.sources.scratch import cut_lineage
 #: Labelled documents that train the chain, and features chosen for each category.
 MAX_LABELLED, MAX_FEATURES = 20_000, 768
 #: The chi-square a feature must reach to be chosen.
-LEAST_DISTANCE = 15
+LEAST_DISTANCE = 8
 FOLDS, LEAST_DOCUMENTS, BEGINNING = 2, 4, 5
 #: Words added to a document's length, so that one word weighs less in a short one.
 SMOOTHING = 50
