@@ -20,6 +20,7 @@ import string
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from statistics import NormalDist
 
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
@@ -32,8 +33,8 @@ from shelfwise.sources.scratch import cut_lineage
 
 #: Labelled documents that train the chain, and features chosen for each category.
 MAX_LABELLED, MAX_FEATURES = 20_000, 768
-#: The chi-square a feature must reach to be chosen.
-LEAST_DISTANCE = 8
+#: So many of a category's features are chosen by chance on average, were all meaningless.
+CHANCE_FEATURES = 0.05
 FOLDS, LEAST_DOCUMENTS, BEGINNING = 2, 4, 5
 #: Words added to a document's length, so that one word weighs less in a short one.
 SMOOTHING = 50
@@ -70,8 +71,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
     return cut_lineage(found, "labelled")
 
 
+def least_distance(tested: int) -> float:
+    """The chi-square that ``CHANCE_FEATURES`` of so many meaningless features reach."""
+    share = min(1.0, CHANCE_FEATURES / max(1, tested))
+    return NormalDist().inv_cdf(share / 2) ** 2
+
+
 def choose_features(sample: DataFrame, categories: int) -> list[str]:
-    """The features whose documents' labels differ most from the rest, by chi-square."""
+    """The features whose documents' labels differ most from the rest, by chi-square.
+
+    The bound on it grows with the number of features tested, so that the many that
+    occur unevenly by chance stay out.
+    """
     fields = [("feature", pa.string()), ("n", pa.int64()), *((f"c{i}", pa.int64()) for i in range(categories))]
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +101,7 @@ def choose_features(sample: DataFrame, categories: int) -> list[str]:
     counts = cut_lineage(counts.where(F.col("n") >= LEAST_DOCUMENTS), "features")
     ones = [F.sum(F.get("targets", F.lit(i))).alias(f"c{i}") for i in range(categories)]
     totals = sample.agg(F.count("*").alias("n"), *ones).first()
+    least = least_distance(counts.count())
     chosen: set[str] = set()
     for i in range(categories):
         share = (totals[f"c{i}"] or 0) / max(1, totals.n)
@@ -97,7 +109,7 @@ def choose_features(sample: DataFrame, categories: int) -> list[str]:
             continue
         expected = F.col("n") * share
         distance = F.pow(F.col(f"c{i}") - expected, 2) / (expected * (1 - share) * (1 - F.col("n") / (totals.n + 1)))
-        strong = counts.withColumn("distance", distance).where(F.col("distance") >= LEAST_DISTANCE)
+        strong = counts.withColumn("distance", distance).where(F.col("distance") >= least)
         best = strong.orderBy(F.desc("distance"), "feature").limit(MAX_FEATURES)
         chosen.update(row.feature for row in best.select("feature").collect())
     return sorted(chosen)

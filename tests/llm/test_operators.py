@@ -445,6 +445,17 @@ def test_chain_learns_from_held_in_and_judges_held_out(spark):
     assert {r.toxicity for r in kept} == {"z"}
 
 
+def test_chance_features_stay_out(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        words = [f"w{rng.randrange(2000)}" for _ in range(60)]
+        rows.append((" ".join(words + ["scum"] * (i % 2)), [i % 2]))
+    found = toxicity.choose_features(spark.createDataFrame(rows, "text string, targets array<int>"), 1)
+    assert "scum" in found and len(found) <= 2
+    assert toxicity.least_distance(10**6) > toxicity.least_distance(10**3) > toxicity.least_distance(0)
+
+
 def test_chain_without_labels(spark, no_documents):
     none = spark.createDataFrame([], "doc_id long, low_quality int, toxic int")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")

@@ -13,8 +13,9 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
+from shelfwise.llm import toxicity
 from shelfwise.llm.oracle import LLM_SQL
-from shelfwise.llm.queries import LLM_QUERIES
+from shelfwise.llm.queries import CATEGORIES, LLM_QUERIES, chain_labels
 from tests.compare import connect, difference
 from tests.conftest import DATA
 from tests.llm import brute
@@ -121,6 +122,18 @@ def test_toxicity(spark, duck):
     assert sum(clean) / len(clean) < 0.01
 
 
+def test_toxicity_of_labels_kept_out_of_training(spark):
+    sf_dir = f"{DATA}/sf0.1"
+    documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), chain_labels(spark, sf_dir)
+    kept_out = labels.where("pmod(xxhash64(doc_id, 'held out'), 4) = 0").select("doc_id", "toxic")
+    chain = toxicity.fitted(documents, labels.join(kept_out, "doc_id", "left_anti"), CATEGORIES)
+    rows = documents.select("doc_id", "text").join(kept_out, "doc_id").collect()
+    toxic = [chain(r.text)[-1] > toxicity.LIMIT for r in rows if r.toxic]
+    clean = [chain(r.text)[-1] > toxicity.LIMIT for r in rows if not r.toxic]
+    assert sum(toxic) / len(toxic) > 0.9
+    assert sum(clean) / len(clean) < 0.01
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES if n.startswith("op")) == list(range(1, 11))
     assert "pipeline" in LLM_QUERIES
