@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm import host_rules, packing, simhash, toxicity
-from shelfwise.llm.queries import CATEGORIES, PACK_END_ID, SEQUENCE, chain_labels, find_package, pack_encoder
+from shelfwise.llm.queries import CATEGORIES, PACK_END_ID, SEQUENCE, chain_labels, find_package, pack_tokenizer
 from shelfwise.sources.scratch import scratch_path
 
 #: Toxicity and packing are learned, random or both, which SQL cannot express.
@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.cut_documents(docs, pack_encoder, PACK_END_ID, SEQUENCE), SEQUENCE)
+    return packing.pack(packing.cut_documents(docs, pack_tokenizer, PACK_END_ID, SEQUENCE), SEQUENCE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -5,6 +5,9 @@ reaches across a single space between two other characters. So a text may be cut
 such spaces, each following space staying with the piece behind it, and the pieces'
 ids joined are the ids of the text. Most pieces repeat, so a bounded memory of
 encoded pieces does most of the work.
+
+The added tokens of a tokenizer file are found first, in the whole text, and the
+stretches between them are encoded by pieces.
 """
 
 from __future__ import annotations
@@ -74,6 +77,35 @@ class PieceEncoder(dict):
         return b"".join(map(self.__getitem__, self.split(text)))
 
 
+class AddedTokens:
+    """Ids of texts that may hold a tokenizer file's added tokens.
+
+    Such a token gets its own id wherever its string stands, and each stretch between
+    two of them is encoded as a text. Of tokens that begin at one place the longest
+    counts. Only tokens that are matched as they are written, whatever stands beside
+    them, are known here; others in the file raise an error.
+    """
+
+    def __init__(self, encode: PieceEncoder, tokenizer_file: str):
+        from tokenizers import Tokenizer
+
+        self.encode = encode
+        added = Tokenizer.from_file(tokenizer_file).get_added_tokens_decoder()
+        normalises = Tokenizer.from_file(tokenizer_file).normalizer is not None
+        for token in added.values():
+            if token.single_word or token.lstrip or token.rstrip or (token.normalized and normalises):
+                raise ValueError(f"added token {token.content!r} is not matched as written")
+        self.ids = {token.content: array("I", [i]).tobytes() for i, token in added.items()}
+        longest_first = sorted(self.ids, key=lambda content: (-len(content), content))
+        self.find = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
+
+    def __call__(self, text: str | None) -> bytes:
+        if not text or not any(content in text for content in self.ids):
+            return self.encode(text)
+        parts = self.find.split(text)
+        return b"".join([self.ids[part] if i % 2 else self.encode(part) for i, part in enumerate(parts)])
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies.
 
@@ -122,7 +154,7 @@ def _by_model(model) -> Callable[[str], list[int]]:
 def byte_level_encoder(tokenizer_file: str, pattern: str) -> PieceEncoder:
     """An encoder over a byte-level ``tokenizers`` file that keeps white space.
 
-    Strings of special tokens are plain text.
+    Strings of added tokens are plain text; see ``AddedTokens``.
     """
     from tokenizers import Tokenizer
 
@@ -135,7 +167,10 @@ LOWER_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
 def lower_case_encoder(tokenizer_file: str) -> PieceEncoder:
-    """An encoder over a ``tokenizers`` file that composes, lower-cases and drops space."""
+    """An encoder over a ``tokenizers`` file that composes, lower-cases and drops space.
+
+    Strings of added tokens are plain text; see ``AddedTokens``.
+    """
     import regex
     from tokenizers import Tokenizer
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.chunked import PieceEncoder, batches_of, rows
+from shelfwise.llm.chunked import batches_of, rows
 from shelfwise.sources.scratch import cut_lineage
 
 GROUP_PIECES = 8192
@@ -33,7 +33,7 @@ _PIECES = pa.schema(
 
 
 def cut_documents(
-    docs: DataFrame, encoder: Callable[[], PieceEncoder], end_id: int, capacity: int, seed: int = 0
+    docs: DataFrame, encoder: Callable[[], Callable[[str | None], bytes]], end_id: int, capacity: int, seed: int = 0
 ) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, lot)`` of every row.
 

@@ -76,9 +76,19 @@ def pack_encoder() -> chunked.PieceEncoder:
     return chunked.byte_level_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def store_tokenizer() -> chunked.AddedTokens:
+    """The store's tokenizer file as loaded, its added tokens included."""
+    return chunked.AddedTokens(store_encoder(), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def pack_tokenizer() -> chunked.AddedTokens:
+    """The packing's tokenizer file as loaded, its added tokens included."""
+    return chunked.AddedTokens(pack_encoder(), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_store")
-    token_store.write_token_store(_table(spark, sf_dir, "documents"), path, store_encoder, STORE_END_ID)
+    token_store.write_token_store(_table(spark, sf_dir, "documents"), path, store_tokenizer, STORE_END_ID)
     return token_store.read_token_store(spark, path).select(
         "doc_id",
         "start",
@@ -118,7 +128,7 @@ def op6_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.cut_documents(_table(spark, sf_dir, "documents"), pack_encoder, PACK_END_ID, SEQUENCE)
+    pieces = packing.cut_documents(_table(spark, sf_dir, "documents"), pack_tokenizer, PACK_END_ID, SEQUENCE)
     return packing.pack(pieces, SEQUENCE)
 
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.chunked import PieceEncoder, batches_of, rows
+from shelfwise.llm.chunked import batches_of, rows
 from shelfwise.sources.scratch import cut_lineage
 
 MAGIC = b"IDBLOCK1"
@@ -76,7 +76,7 @@ def _train(samples: list[bytes]) -> bytes:
         return b""
 
 
-def train_dictionary(docs: DataFrame, encoder: Callable[[], PieceEncoder]) -> DataFrame:
+def train_dictionary(docs: DataFrame, encoder: Callable[[], Callable[[str | None], bytes]]) -> DataFrame:
     """One row ``(hash, dictionary)``, trained in one task on the documents whose
     hashed ids are smallest."""
     key = F.xxhash64("doc_id")
@@ -101,7 +101,7 @@ def read_dictionary(spark: SparkSession, path: str) -> bytes:
     return bytes(row.dictionary) if row else b""
 
 
-def write_token_store(docs: DataFrame, path: str, encoder: Callable[[], PieceEncoder], end_id: int) -> None:
+def write_token_store(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str | None], bytes]], end_id: int) -> None:
     """Encode ``text`` of every row, append ``end_id`` and write the blocks below ``path``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

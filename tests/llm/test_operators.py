@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,7 +30,7 @@ from shelfwise.llm import (
     urls,
     warc,
 )
-from shelfwise.llm.queries import URL_RULES, pack_encoder, store_encoder
+from shelfwise.llm.queries import LLM_QUERIES, URL_RULES, pack_encoder, pack_tokenizer, store_encoder, store_tokenizer
 from tests.llm import brute
 from tests.llm.conftest import document_rows
 from tests.llm.test_queries import check_packing
@@ -52,6 +53,25 @@ def test_encoding_by_pieces_equals_the_whole_text(name, encoder):
         assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name, encoder", [("word_bpe_49k.json", store_tokenizer), ("byte_bpe_50k.json", pack_tokenizer)])
+def test_encoding_equals_the_tokenizer_as_loaded(name, encoder):
+    whole, encode = Tokenizer.from_file(public_tokenizers.path(name)), encoder()
+    texts = ["a <|endoftext|> b", "<|endoftext|><|startoftext|>", " <|ENDOFTEXT|> <|endoftext|>  x", "<|<|endoftext|>|>"]
+    for text in texts + random_texts(3000):
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encode(None) == encode("") == b""
+
+
+def test_queries_know_added_tokens(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "c", "<|startoftext|>d<|endoftext|>"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query, name, end in (("op1_token_store", "word_bpe_49k.json", 2), ("op7_packing", "byte_bpe_50k.json", 1)):
+        whole = Tokenizer.from_file(public_tokenizers.path(name))
+        expected = [whole.encode(text, add_special_tokens=False).ids + [end] for text in texts]
+        found = {r.doc_id: r.ids_crc32 for r in LLM_QUERIES[query](spark, str(tmp_path)).collect()}
+        assert found == {i: zlib.crc32(np.array(ids, "<u4").tobytes()) for i, ids in enumerate(expected)}
+
+
 def test_rank_encoding_equals_tiktoken():
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {token: rank for rank, token in enumerate(byte_pairs.read_ranks(path))}
