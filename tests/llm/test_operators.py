@@ -476,6 +476,11 @@ def test_chance_features_stay_out(spark):
     assert toxicity.least_distance(10**6) > toxicity.least_distance(10**3) > toxicity.least_distance(0)
 
 
+def test_held_out_models_see_most_of_the_sample():
+    assert (toxicity.FOLDS - 1) / toxicity.FOLDS >= 2 / 3
+    assert toxicity.ITERATIONS >= 30
+
+
 def test_chain_without_labels(spark, no_documents):
     none = spark.createDataFrame([], "doc_id long, low_quality int, toxic int")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
