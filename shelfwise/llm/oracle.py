@@ -3,7 +3,17 @@
 from __future__ import annotations
 
 from shelfwise.llm import host_rules, urls
-from shelfwise.llm.queries import BEST, QUERY_STEP, URL_RULES, VECTOR_SCALE
+from shelfwise.llm.divergence import LEAST_DOCUMENTS, SMOOTH, TERMS_SHOWN, UNITS
+from shelfwise.llm.queries import (
+    ANCHOR_STEP,
+    BEST,
+    LABELS,
+    QUERY_STEP,
+    RELABEL_STEP,
+    SCORE_SHARES,
+    URL_RULES,
+    VECTOR_SCALE,
+)
 
 LLM_SQL: dict[str, str] = {}
 
@@ -181,3 +191,68 @@ FROM decided JOIN verdicts USING (host)
 
 
 LLM_SQL["op9_urls"] = _urls()
+
+LLM_SQL["op11_hard_negatives"] = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % {RELABEL_STEP} = 0 THEN (label + 1) % {LABELS} ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({VECTOR_SCALE} * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % {ANCHOR_STEP} = 0 AND a.vec_id <> c.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {BEST}
+)
+SELECT anchor_id, positive_id,
+  (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id))::INT AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT s.same AND {SCORE_SHARES[0]} * positive_score <= 100 * s.score
+  AND 100 * s.score <= {SCORE_SHARES[1]} * positive_score
+QUALIFY rank <= {BEST}
+"""
+
+_LETTERS = "".join(map(chr, range(65, 91)))
+_GROUP = "PARTITION BY lang, source"
+LLM_SQL["op12_divergence"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}') AS text
+  FROM documents
+), w AS (
+  SELECT row, lang, source,
+    unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT row) >= {LEAST_DOCUMENTS}
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL
+), s AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+    (1 + ({UNITS}::HUGEINT * (coalesce(n, 0) + {SMOOTH}))
+      // (sum(coalesce(n, 0)) OVER ({_GROUP}) + {SMOOTH} * count(*) OVER ({_GROUP})))::BIGINT AS p
+  FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)
+), t AS (
+  SELECT lang, term, sum(n) AS n FROM s GROUP BY ALL
+), l AS (
+  SELECT lang, term, (1 + ({UNITS}::HUGEINT * (n + {SMOOTH}))
+      // (sum(n) OVER (PARTITION BY lang) + {SMOOTH} * count(*) OVER (PARTITION BY lang)))::BIGINT AS q
+  FROM t
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM s JOIN l USING (lang, term) WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM u
+)
+SELECT * FROM r WHERE part = 'pair' OR rank <= {TERMS_SHOWN}
+"""

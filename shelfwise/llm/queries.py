@@ -16,9 +16,12 @@ from shelfwise.llm import (
     byte_pairs,
     chat,
     chunked,
+    divergence,
+    hard_negatives,
     host_rules,
     packing,
     simhash,
+    token_counts,
     token_store,
     top_k,
     toxicity,
@@ -40,6 +43,7 @@ URL_RULES = {
 CATEGORIES = ("low_quality", "toxic")
 STORE_END_ID, PACK_END_ID, SEQUENCE = 2, 1, 2048
 VECTOR_SCALE, BEST, QUERY_STEP = 256, 5, 50
+ANCHOR_STEP, RELABEL_STEP, LABELS, SCORE_SHARES = 100, 7, 10, (80, 100)
 
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
@@ -158,6 +162,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by ``RELABEL_STEP`` move on by one first, as wrong labels do."""
+    moved = (F.col("label") + 1) % LABELS
+    label = F.when(F.col("vec_id") % RELABEL_STEP == 0, moved).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    anchors = vectors.where(F.col("vec_id") % ANCHOR_STEP == 0)
+    return hard_negatives.mine(vectors, anchors, VECTOR_SCALE, BEST, BEST, *SCORE_SHARES)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -177,6 +198,9 @@ LLM_QUERIES: dict[str, Query] = {
         op8_simhash,
         op9_urls,
         op10_toxicity,
+        op11_hard_negatives,
+        op12_divergence,
+        op13_token_counts,
         pipeline,
     )
 }

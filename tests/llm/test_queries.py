@@ -134,6 +134,14 @@ def test_toxicity_of_labels_kept_out_of_training(spark):
     assert sum(clean) / len(clean) < 0.01
 
 
+def test_token_counts(spark, texts):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = tokenizer.encode_batch(list(texts.values()), add_special_tokens=False)
+    expected = {i: (len(t.encode()), len(e.ids), len(e.ids) > 1024) for (i, t), e in zip(texts.items(), encoded)}
+    found = LLM_QUERIES["op13_token_counts"](spark, SF_DIR).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in found} == expected
+
+
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in LLM_QUERIES
