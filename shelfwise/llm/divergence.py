@@ -36,7 +36,9 @@ from shelfwise.sources.scratch import cut_lineage
 LEAST_DOCUMENTS, TERMS_SHOWN = 30, 50
 UNITS, SMOOTH = 1_000_000_000, 5
 #: Terms of a slice, sources of a block, largest sources in the order, counts held by a task.
-SLICE, BLOCK, LEADING, HELD = 16_384, 64, 8, 400_000
+SLICE, BLOCK, LEADING, HELD = 16_384, 64, 8, 800_000
+#: Counts below this times ``UNITS`` fit a long.
+SMALL = 9_000_000_000
 
 #: Bytes that part terms become spaces, capitals become small; letters and all bytes of
 #: characters beyond ASCII stay.
@@ -57,13 +59,13 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emptied() -> Iterator[pa.RecordBatch]:
         for (lang, source), (counts, documents) in groups.items():
-            names = [None, *(term.decode("utf-8", "surrogatepass") for term in counts)]
+            size = len(counts) + 1
             columns = [
-                pa.array([lang] * len(names), pa.string()),
-                pa.array([source] * len(names), pa.string()),
-                pa.array(names, pa.string()),
+                pa.repeat(pa.scalar(lang, pa.string()), size),
+                pa.repeat(pa.scalar(source, pa.string()), size),
+                pa.array([None, *counts], pa.binary()),
                 pa.array([0, *counts.values()], pa.int64()),
-                pa.array([0, *(documents[term] for term in counts)], pa.int64()),
+                pa.array([0, *map(documents.__getitem__, counts)], pa.int64()),
             ]
             batch = pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "documents"])
             for start in range(0, batch.num_rows, 10_000):
@@ -87,16 +89,21 @@ def count_terms(docs: DataFrame) -> DataFrame:
     """``(lang, source, term, n, documents)`` over ``docs(text, lang, source)``; the row
     with a null term stands for the group itself."""
     columns = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    parts = docs.select(*columns).mapInArrow(_counted, "lang string, source string, term string, n long, documents long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    parts = docs.select(*columns).mapInArrow(_counted, "lang string, source string, term binary, n long, documents long")
+    parts = parts.withColumn("term", F.col("term").cast("string"))
+    # The tasks have added up already: dealing their rows out first saves adding again before the shuffle.
+    keys = ["lang", "source", "term"]
+    return parts.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
-    """``1 + floor(UNITS * (count + SMOOTH) / (total + SMOOTH * kept))``, in whole numbers."""
-    wide = [c.cast("decimal(20,0)") for c in (count, total, kept)]
-    above = ((wide[0] + F.lit(SMOOTH)) * F.lit(UNITS)).cast("decimal(37,0)")
-    below = (wide[1] + wide[2] * F.lit(SMOOTH)).cast("decimal(37,0)")
-    return F.call_function("div", above, below).cast("long") + 1
+    """``1 + floor(UNITS * (count + SMOOTH) / (total + SMOOTH * kept))``, in whole numbers;
+    null where nothing is kept."""
+    below = F.nullif(total + kept * F.lit(SMOOTH).cast("long"), F.lit(0).cast("long"))
+    small = F.call_function("div", (count + SMOOTH) * F.lit(UNITS).cast("long"), below)
+    wide = ((count.cast("decimal(20,0)") + F.lit(SMOOTH)) * F.lit(UNITS)).cast("decimal(37,0)")
+    large = F.call_function("div", wide, below.cast("decimal(37,0)")).cast("long")
+    return F.when(count < SMALL, small).otherwise(large) + 1
 
 
 def _placed(kept: DataFrame, counts: DataFrame, groups: DataFrame) -> DataFrame:
