@@ -107,10 +107,11 @@ class Questions:
         self.anchors = anchors
 
     def reach(self) -> tuple[np.ndarray, np.ndarray]:
-        """The scores between which anything can still matter to each anchor."""
+        """The scores between which anything can still matter to each anchor. Without a
+        bound that is everything, scores that fit no long included: they are errors."""
         low, high = np.full(self.anchors, np.inf), np.full(self.anchors, -np.inf)
-        np.minimum.at(low, self.owner, self.least.astype(float))
-        np.maximum.at(high, self.owner, self.high.astype(float))
+        np.minimum.at(low, self.owner, np.where(self.least == LONGS.min, -np.inf, self.least.astype(float)))
+        np.maximum.at(high, self.owner, np.where(self.high == LONGS.max, np.inf, self.high.astype(float)))
         return low, high
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, near: np.ndarray, ids: np.ndarray) -> None:

@@ -1,0 +1,138 @@
+"""Hard negatives against all products, and the segment bounds on their own."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.errors import PySparkException
+
+from shelfwise.llm import hard_negatives, whole_numbers
+
+SCHEMA = "vec_id long, embedding array<double>, label string, score int"
+
+
+def plain(rows, anchors, scale, positives, negatives, low, high):
+    """Every score with Python integers."""
+
+    def sound(some):
+        found = []
+        for vec_id, vector, label, *_ in some:
+            if vec_id is not None and label is not None and vector is not None:
+                if all(x is not None and np.isfinite(x) for x in vector):
+                    found.append((vec_id, [int(np.floor(x * scale)) for x in vector], label))
+        return found
+
+    whole, found = sound(rows), set()
+    for a, v, label in {(i, tuple(v), label) for i, v, label in sound(anchors)}:
+        scored = sorted((-sum(x * y for x, y in zip(v, w)), i, other) for i, w, other in whole if i != a)
+        best = [(-s, i) for s, i, other in scored if other == label][:positives]
+        for p, positive in best:
+            near = [(-s, i) for s, i, other in scored if other != label and low * p <= -100 * s <= high * p]
+            found |= {(a, positive, n + 1, i, p, s) for n, (s, i) in enumerate(near[:negatives])}
+    return found
+
+
+def rows_of(n: int, dimensions: int, seed: int) -> list[tuple]:
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, dimensions))
+    rows = []
+    for i in range(n):
+        vector = (centres[i % 6] + 0.6 * rng.normal(size=dimensions)).round(2).tolist()
+        rows.append((i, vector, "hot" if i % 3 == 0 else f"l{rng.integers(0, 4)}", 1))
+    return rows
+
+
+ODD = [
+    (800, None, "hot", 1), (850, [None] * 12, "hot", 1), (851, [float("nan")] * 12, "l0", 1), (860, [], "l1", 1),
+    (852, [float("inf")] + [0.0] * 11, "l0", 1), (900, [1.0, 2.0], "l1", 1), (None, [1.0] * 12, "l1", 1),
+    (870, [1.0] * 12, None, 1), (700, [0.0] * 12, "alone", 1), (880, [-1.0] * 12, "l2", 1),
+]
+
+
+@pytest.mark.parametrize("lot, block, step", [(32_768, 4_096, 2_048), (40, 3, 16)])
+def test_mining_equals_all_products(spark, monkeypatch, lot, block, step):
+    for name, value in (("LOT", lot), ("BLOCK", block), ("STEP", step)):
+        monkeypatch.setattr(hard_negatives, name, value)
+    rows = rows_of(300, 12, 1) + ODD
+    rows += [(600 + i, rows[7][1], rows[7][2], 1) for i in range(40)] + [(650 + i, rows[7][1], "tie", 1) for i in range(20)]
+    rows += [rows[12], rows[12], rows[60]]
+    anchors = [r for r in rows if r[0] is None or r[0] % 10 == 0]
+    table, asked = spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(anchors, SCHEMA)
+    found = [tuple(r) for r in hard_negatives.mine(table, asked, 256, 5, 4, 60, 110).collect()]
+    expected = plain(rows, anchors, 256, 5, 4, 60, 110)
+    assert len(expected) > 100
+    assert set(found) == expected
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.integers(-(2**27), 2**27, 5) * 3.0 + 1).tolist(), f"l{i % 2}", 1) for i in range(60)]
+    rows += [(100, [2.0**30] * 5, "l0", 1), (101, [2.0**29] * 5, "l0", 1), (102, [2.0**29 - 1] * 5, "l1", 1)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = {tuple(r) for r in hard_negatives.mine(table, table.where("vec_id % 10 = 0"), 1, 3, 3, 50, 100).collect()}
+    assert found == plain(rows, [r for r in rows if r[0] % 10 == 0], 1, 3, 3, 50, 100)
+
+
+def test_scores_that_fit_no_long_are_errors(spark):
+    rows = [(1, [2.0**40], "a", 1), (2, [2.0**40], "a", 1)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    with pytest.raises(PySparkException, match="product of vectors 1 and 2 fits no long"):
+        hard_negatives.mine(table, table.where("vec_id = 1"), 1).collect()
+    with pytest.raises(PySparkException, match="component of vector 7 fits no long"):
+        hard_negatives.mine(spark.createDataFrame([(7, [1e300], "a", 1)], SCHEMA), table, 256).collect()
+
+
+def test_nothing_to_mine(spark):
+    table = spark.createDataFrame([(0, [1.0], "a", 1), (1, [1.0], "a", 1), (2, [-1.0], "a", 1)], SCHEMA)
+    assert hard_negatives.mine(table, table, 256).collect() == []
+    assert hard_negatives.mine(table.limit(0), table.limit(0), 256).collect() == []
+    assert hard_negatives.mine(table.limit(0), table, 256).collect() == []
+    assert hard_negatives.mine(table, table.limit(0), 256).collect() == []
+
+
+def test_bounds_hold_and_tighten():
+    rng = np.random.default_rng(5)
+    for dimensions in (3, 16, 50, 64):
+        rows = rng.integers(-300, 300, (40, dimensions))
+        means, deviations = hard_negatives.summaries(rows.astype(float))
+        length, widths = -(-dimensions // hard_negatives.SEGMENTS), []
+        for together in hard_negatives.LEVELS:
+            m, s = hard_negatives.coarser(means, deviations, together)
+            middle, spread = length * together * (m @ m.T), length * together * (s @ s.T)
+            scores = rows @ rows.T
+            assert (scores <= middle + spread + 1e-6).all() and (scores >= middle - spread - 1e-6).all()
+            widths.append(spread.sum())
+        assert widths == sorted(widths, reverse=True)
+
+
+def test_bounds_spare_exact_scores(spark, monkeypatch):
+    """On clustered vectors most pairs are decided by their summaries."""
+    monkeypatch.setattr(hard_negatives, "STEP", 64)
+    rng = np.random.default_rng(8)
+    steps = np.repeat(rng.normal(size=(20, 16)) * 400, 4, axis=1)
+    rows = (steps[np.arange(1280) // 64] + rng.normal(size=(1280, 64)) * 10).astype(np.int64)
+    means, deviations = hard_negatives.summaries(rows.astype(float))
+    levels = [tuple(2 * p for p in hard_negatives.coarser(means, deviations, 1))]
+    lengths = np.sqrt((rows.astype(float) ** 2).sum(axis=1))
+    vectors = hard_negatives.Vectors(np.arange(1280), np.zeros(1280, int), rows, levels, lengths)
+    anchors = vectors.at(np.arange(0, 1280, 64))
+    full = np.full(20, hard_negatives.LONGS.min), np.full(20, hard_negatives.LONGS.max)
+    questions = hard_negatives.Questions(20, np.arange(20), *full, 5)
+    needed = hard_negatives.search(anchors, questions, vectors, True)
+    assert needed < 0.5 * 20 * 1280
+    question, score, vec_id = questions.results()
+    for q in range(20):
+        scores = rows @ rows[64 * q]
+        best = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != 64 * q)[:5]
+        assert [(-s, i) for s, i in zip(score[question == q].tolist(), vec_id[question == q].tolist())] == best
+
+
+def test_products_are_exact_at_every_size():
+    rng = np.random.default_rng(9)
+    ids = np.arange(6)
+    for bits in (8, 25, 30):
+        rows = rng.integers(-(2**bits), 2**bits, (6, 7))
+        expected = [[sum(int(x) * int(y) for x, y in zip(a, b)) for b in rows] for a in rows]
+        assert whole_numbers.products(rows, rows, ids, ids).tolist() == expected
+    wide = np.array([[2**62, -(2**62), 1], [1, 1, 5]], np.int64)
+    assert whole_numbers.products(wide[:1], wide[1:], ids, ids).tolist() == [[5]]
