@@ -8,6 +8,10 @@ encoded pieces does most of the work.
 
 The added tokens of a tokenizer file are found first, in the whole text, and the
 stretches between them are encoded by pieces.
+
+``BatchEncoder`` does this for many texts at once: Arrow cuts them and finds the distinct
+pieces of the batch, which are looked up together; only pieces that are new are encoded
+one by one, and the ids of the texts are gathered from those of the distinct pieces.
 """
 
 from __future__ import annotations
@@ -15,8 +19,11 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: What must be absent for each space to stand alone: pairs, and rarer white space.
@@ -35,8 +42,13 @@ def pieces_with_spaces(text: str) -> list[str]:
 
 
 def pieces_without_spaces(text: str) -> list[str]:
-    """The text's words, for encoders that drop white space."""
-    return [part for part in text.replace("\n", " ").split(" ") if part]
+    """The text's words, for encoders that drop white space.
+
+    Python also splits at four separators which are not white space to the encoders.
+    """
+    if any(separator in text for separator in "\x1c\x1d\x1e\x1f"):
+        return [part for part in text.replace("\n", " ").split(" ") if part]
+    return text.split()
 
 
 class PieceEncoder(dict):
@@ -86,12 +98,10 @@ class AddedTokens:
     them, are known here; others in the file raise an error.
     """
 
-    def __init__(self, encode: PieceEncoder, tokenizer_file: str):
-        from tokenizers import Tokenizer
-
+    def __init__(self, encode: PieceEncoder, tokenizer):
         self.encode = encode
-        added = Tokenizer.from_file(tokenizer_file).get_added_tokens_decoder()
-        normalises = Tokenizer.from_file(tokenizer_file).normalizer is not None
+        added = tokenizer.get_added_tokens_decoder()
+        normalises = tokenizer.normalizer is not None
         for token in added.values():
             if token.single_word or token.lstrip or token.rstrip or (token.normalized and normalises):
                 raise ValueError(f"added token {token.content!r} is not matched as written")
@@ -106,6 +116,96 @@ class AddedTokens:
         return b"".join([self.ids[part] if i % 2 else self.encode(part) for i, part in enumerate(parts)])
 
 
+class _Known:
+    """Pieces and their ids: piece ``i`` has ``data[starts[i] : starts[i] + sizes[i]]``."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.large_string())
+        self.data = np.zeros(0, np.uint32)
+        self.starts = self.sizes = np.zeros(0, np.int32)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The places of words, -1 for unknown ones."""
+        return np.array(pc.index_in(words, value_set=self.words).fill_null(-1), np.int64)
+
+    def add(self, words: pa.Array, data: np.ndarray, sizes: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        starts = (len(self.data) + np.cumsum(sizes) - sizes).astype(np.int32)
+        self.starts, self.sizes = np.append(self.starts, starts), np.append(self.sizes, sizes)
+        self.data = np.append(self.data, data)
+
+    def ids(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces at ``places``, one after another, and their numbers."""
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[places] - (ends - sizes), sizes)
+        at += np.arange(len(at))
+        return self.data[at], sizes
+
+
+class BatchEncoder:
+    """Ids of many texts as little-endian unsigned 32-bit integers.
+
+    ``one`` encodes single texts: those that Arrow does not cut, with runs of white space
+    or added tokens. Memory is bounded: when the young half holds ``remembered`` pieces
+    it becomes the old half, and pieces met again are taken over. New pieces are made of
+    pre-tokens, of which half as many are remembered.
+    """
+
+    def __init__(self, one: AddedTokens, remembered: int = 300_000):
+        self.one, self.remembered = one, remembered
+        self.spaced = one.encode.split is pieces_with_spaces
+        words, tokenise = one.encode.words, one.encode.tokenise
+        ids = lru_cache(remembered // 2)(lambda word: array("I", tokenise(word)).tobytes())
+        self.piece = lambda piece: b"".join(map(ids, words(piece))) if piece else b""
+        self.young, self.old = _Known(), _Known()
+
+    def _plain(self, text: str) -> bool:
+        if not text or "\x01" in text or any(content in text for content in self.one.ids):
+            return False
+        return not self.spaced or not (text[0].isspace() or text[-1].isspace() or any(run in text for run in _RUNS))
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the distinct pieces are among the young ones, all of which they then are."""
+        if len(self.young.words) > self.remembered:
+            self.young, self.old = _Known(), self.young
+        places = self.young.find(pieces)
+        unknown = np.flatnonzero(places < 0)
+        before = self.old.find(pieces.take(pa.array(unknown)))
+        again, new = unknown[before >= 0], unknown[before < 0]
+        size = len(self.young.words)
+        self.young.add(pieces.take(pa.array(again)), *self.old.ids(before[before >= 0]))
+        words = pieces.take(pa.array(new))
+        ids = list(map(self.piece, words.to_pylist()))
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        self.young.add(words, np.frombuffer(b"".join(ids), np.uint32), sizes)
+        places[again] = size + np.arange(len(again))
+        places[new] = size + len(again) + np.arange(len(new))
+        return places
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        plain = [i for i, text in enumerate(texts) if text and self._plain(text)]
+        found = [b""] * len(texts)
+        for i in set(range(len(texts))).difference(plain):
+            found[i] = self.one(texts[i])
+        if not plain:
+            return found
+        chosen = pa.array([texts[i] for i in plain], pa.large_string())
+        if self.spaced:
+            cut = pc.split_pattern(pc.replace_substring(chosen, " ", "\x01 "), "\x01")
+        else:
+            cut = pc.split_pattern(pc.replace_substring(chosen, "\n", " "), " ")
+        pieces = cut.flatten().dictionary_encode()
+        places = self._places(pieces.dictionary)
+        data, sizes = self.young.ids(places[pieces.indices.to_numpy()])
+        ends = np.append(0, np.cumsum(sizes))[cut.offsets.to_numpy()]
+        whole = memoryview(data.astype("<u4", copy=False)).cast("B")
+        for i, start, end in zip(plain, ends.tolist(), ends[1:].tolist()):
+            found[i] = bytes(whole[4 * start : 4 * end])
+        return found
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte in byte-level vocabularies.
 
@@ -121,6 +221,8 @@ _BYTE_TABLE = dict(enumerate(byte_characters()))
 
 
 def to_byte_characters(word: str) -> str:
+    if word.isascii() and word.isalpha():
+        return word
     plain = word[1:] if word[0] == " " else word
     if plain.isascii() and plain.isalpha():
         return word.replace(" ", _BYTE_TABLE[32])
@@ -151,36 +253,37 @@ def _by_model(model) -> Callable[[str], list[int]]:
     return lambda word: [token.id for token in model.tokenize(to_byte_characters(word))]
 
 
-def byte_level_encoder(tokenizer_file: str, pattern: str) -> PieceEncoder:
-    """An encoder over a byte-level ``tokenizers`` file that keeps white space.
+def load(tokenizer_file: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_file)
+
+
+def byte_level_encoder(tokenizer, pattern: str) -> PieceEncoder:
+    """An encoder over a loaded byte-level tokenizer that keeps white space.
 
     Strings of added tokens are plain text; see ``AddedTokens``.
     """
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(tokenizer_file).model
-    return PieceEncoder(pieces_with_spaces, byte_level_words(pattern), _by_model(model))
+    return PieceEncoder(pieces_with_spaces, byte_level_words(pattern), _by_model(tokenizer.model))
 
 
 #: The pre-token pattern of the lower-casing tokenizer file.
 LOWER_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
-def lower_case_encoder(tokenizer_file: str) -> PieceEncoder:
-    """An encoder over a ``tokenizers`` file that composes, lower-cases and drops space.
+def lower_case_encoder(tokenizer) -> PieceEncoder:
+    """An encoder over a loaded tokenizer that composes, lower-cases and drops space.
 
     Strings of added tokens are plain text; see ``AddedTokens``.
     """
     import regex
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_file)
     normal = tokenizer.normalizer.normalize_str
     find = regex.compile(LOWER_PATTERN).findall
 
     def words(piece: str) -> list[str]:
         # Printable Latin-1 text is composed already and holds no white space.
-        plain = piece.isprintable() and max(piece) < "\u0100"
+        plain = piece.isprintable() and (piece.isascii() or max(piece) < "\u0100")
         piece = piece.lower() if plain else normal(piece).strip(" ")
         return _words(find, piece) if piece else []
 
@@ -195,6 +298,21 @@ def rows(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[tupl
             yield from zip(*(part.column(c).to_pylist() for c in columns))
 
 
+def encoded_rows(
+    batches: Iterable[pa.RecordBatch], encode: Callable[[list], list[bytes]], most_characters: int = 4 << 20
+) -> Iterator[tuple]:
+    """``(doc_id, ids)`` of rows ``(doc_id, text)``, encoded so many characters at a time."""
+    names, texts, size = [], [], 0
+    for doc_id, text in rows(batches, ["doc_id", "text"]):
+        names.append(doc_id)
+        texts.append(text)
+        size += len(text or "")
+        if size >= most_characters or len(texts) >= 8192:
+            yield from zip(names, encode(texts))
+            names, texts, size = [], [], 0
+    yield from zip(names, encode(texts))
+
+
 def batches_of(
     rows: Iterable[tuple], schema: pa.Schema, most_rows: int = 2048, most_bytes: int = 8 << 20
 ) -> Iterator[pa.RecordBatch]:

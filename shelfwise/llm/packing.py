@@ -1,7 +1,7 @@
 """Pack documents' token ids into sequences of a fixed capacity, with little padding.
 
 Documents are encoded and cut: full pieces of the capacity from the start, then the
-rest. Pieces are dealt at random into groups of some thousands, and each group is
+rest. Documents are dealt at random into groups of some thousand pieces, and each group is
 packed by first-fit decreasing on its own: longest pieces first, each into the first
 sequence with room, found in a tournament tree that holds the most room below each
 node. Only lengths travel; ids can be cut again from the documents at any time.
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.chunked import batches_of, rows
+from shelfwise.llm.chunked import batches_of, encoded_rows
 from shelfwise.sources.scratch import cut_lineage
 
 GROUP_PIECES = 8192
@@ -33,11 +33,15 @@ _PIECES = pa.schema(
 
 
 def cut_documents(
-    docs: DataFrame, encoder: Callable[[], Callable[[str | None], bytes]], end_id: int, capacity: int, seed: int = 0
+    docs: DataFrame,
+    encoder: Callable[[], Callable[[list[str | None]], list[bytes]]],
+    end_id: int,
+    capacity: int,
+    seed: int = 0,
 ) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, lot)`` of every row.
 
-    ``lot`` is a random number, the same when a task is repeated.
+    ``lot`` is a random number of the document, the same when a task is repeated.
     """
     end = end_id.to_bytes(4, "little")
 
@@ -46,12 +50,12 @@ def cut_documents(
         lots = random.Random(f"{seed} {TaskContext.get().partitionId()}")
 
         def each() -> Iterator[tuple]:
-            for doc_id, text in rows(batches, ["doc_id", "text"]):
-                ids = memoryview(encode(text) + end)
-                total = len(ids) // 4
+            for doc_id, ids in encoded_rows(batches, encode):
+                ids = memoryview(ids + end)
+                total, lot = len(ids) // 4, lots.getrandbits(62)
                 for start in range(0, total, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
-                    yield doc_id, start, len(part) // 4, zlib.crc32(part), total, lots.getrandbits(62)
+                    yield doc_id, start, len(part) // 4, zlib.crc32(part), total, lot
 
         yield from batches_of(each(), _PIECES, most_rows=16384)
 
@@ -98,8 +102,8 @@ def pack(pieces: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) ->
     groups = max(1, math.ceil(stored.count() / group_pieces))
 
     def fit(group: pa.Table) -> pa.Table:
-        columns = {n: group.column(n).to_numpy(zero_copy_only=False) for n in ("length", "lot")}
-        order = np.lexsort((columns["lot"], -columns["length"]))
+        columns = {n: group.column(n).to_numpy(zero_copy_only=False) for n in ("length", "lot", "start")}
+        order = np.lexsort((columns["start"], columns["lot"], -columns["length"]))
         sequences, offsets = first_fit(columns["length"][order].tolist(), capacity)
         base = (int(columns["lot"][0]) % groups) << 32
         ordered = group.take(order).drop_columns(["lot"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from functools import wraps
+from functools import cache, wraps
 from pathlib import Path
 
 import public_tokenizers
@@ -72,22 +72,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store_encoder() -> chunked.PieceEncoder:
-    return chunked.lower_case_encoder(public_tokenizers.path("word_bpe_49k.json"))
+@cache
+def store_tokenizer() -> chunked.BatchEncoder:
+    """The store's tokenizer file as loaded, its added tokens included.
 
-
-def pack_encoder() -> chunked.PieceEncoder:
-    return chunked.byte_level_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-
-
-def store_tokenizer() -> chunked.AddedTokens:
-    """The store's tokenizer file as loaded, its added tokens included."""
-    return chunked.AddedTokens(store_encoder(), public_tokenizers.path("word_bpe_49k.json"))
+    A worker process keeps one, with the pieces it has met, for all of its tasks.
+    """
+    loaded = chunked.load(public_tokenizers.path("word_bpe_49k.json"))
+    return chunked.BatchEncoder(chunked.AddedTokens(chunked.lower_case_encoder(loaded), loaded))
 
 
-def pack_tokenizer() -> chunked.AddedTokens:
-    """The packing's tokenizer file as loaded, its added tokens included."""
-    return chunked.AddedTokens(pack_encoder(), public_tokenizers.path("byte_bpe_50k.json"))
+@cache
+def pack_tokenizer() -> chunked.BatchEncoder:
+    """The packing's tokenizer file as loaded, its added tokens included; one per worker."""
+    loaded = chunked.load(public_tokenizers.path("byte_bpe_50k.json"))
+    return chunked.BatchEncoder(chunked.AddedTokens(chunked.byte_level_encoder(loaded, public_tokenizers.PATTERN), loaded))
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

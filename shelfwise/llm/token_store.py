@@ -7,7 +7,8 @@ in ascending document order. A block holds:
     8 bytes   magic
     32 bytes  SHA-256 of the dictionary
     8 bytes   number of documents n
-    8 n       document ids, signed; the least value stands for a null id
+    8 n       document ids, signed; 0 for a null id
+    n         1 for each document that has an id, else 0
     8 n       ids before the document, within its slice
     8 (n + 1) offsets of the frames, counted from the end of this header
     frames
@@ -18,7 +19,7 @@ statistics, seeks its frame by the offset and decompresses nothing else. Parquet
 gives atomic commits: a repeated task leaves no second copy.
 
 Null and empty texts hold only the end id. Rows without an id come first, repeated
-ids stay, in no particular order among themselves. An empty table gives empty files.
+ids stay, in the order of their frames' hashes. An empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -34,17 +35,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.chunked import batches_of, rows
+from shelfwise.llm.chunked import batches_of, encoded_rows, rows
 from shelfwise.sources.scratch import cut_lineage
 
 MAGIC = b"IDBLOCK1"
-NO_ID = -(2**63)
 LEVEL = 3
 DICTIONARY_BYTES = 64 << 10
-#: Documents, and bytes of each, that the dictionary is trained on.
-SAMPLE_DOCUMENTS, SAMPLE_BYTES = 1000, 16 << 10
+#: Documents that the dictionary is trained on, and characters of a stretch of each,
+#: which begins at a random place.
+SAMPLE_DOCUMENTS, SAMPLE_CHARACTERS = 1000, 16 << 10
 BLOCK_BYTES = 1 << 20
 
+#: Gives, in a task, the function from texts to their ids.
+Encoder = Callable[[], Callable[[list[str | None]], list[bytes]]]
+
 _FRAMES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("frame", pa.binary())])
 _BLOCKS = pa.schema(
     [
@@ -76,17 +80,20 @@ def _train(samples: list[bytes]) -> bytes:
         return b""
 
 
-def train_dictionary(docs: DataFrame, encoder: Callable[[], Callable[[str | None], bytes]]) -> DataFrame:
-    """One row ``(hash, dictionary)``, trained in one task on the documents whose
-    hashed ids are smallest."""
+def train_dictionary(docs: DataFrame, encoder: Encoder) -> DataFrame:
+    """One row ``(hash, dictionary)``, trained in one task on stretches of the documents
+    whose hashed ids are smallest, begun at places that the hashed ids choose."""
     key = F.xxhash64("doc_id")
     last = docs.select(key.alias("key")).orderBy("key").limit(SAMPLE_DOCUMENTS)
     limit = last.agg(F.max("key")).scalar()
-    sample = docs.where(key <= limit).select(F.left("text", F.lit(SAMPLE_BYTES)).alias("text")).limit(SAMPLE_DOCUMENTS)
+    room = F.greatest(F.length("text") - SAMPLE_CHARACTERS, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64("doc_id", F.lit("stretch")), room).cast("int") + 1
+    stretch = F.substring("text", start, F.lit(SAMPLE_CHARACTERS)).alias("text")
+    sample = docs.where(key <= limit).select(stretch).limit(SAMPLE_DOCUMENTS)
 
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        samples = [encode(text)[:SAMPLE_BYTES] for (text,) in rows(batches, ["text"])]
+        samples = encode([text for (text,) in rows(batches, ["text"])])
         dictionary = _train([s for s in samples if s])
         yield pa.RecordBatch.from_pydict(
             {"hash": [hashlib.sha256(dictionary).hexdigest()], "dictionary": [dictionary]}
@@ -101,7 +108,7 @@ def read_dictionary(spark: SparkSession, path: str) -> bytes:
     return bytes(row.dictionary) if row else b""
 
 
-def write_token_store(docs: DataFrame, path: str, encoder: Callable[[], Callable[[str | None], bytes]], end_id: int) -> None:
+def write_token_store(docs: DataFrame, path: str, encoder: Encoder, end_id: int) -> None:
     """Encode ``text`` of every row, append ``end_id`` and write the blocks below ``path``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -113,8 +120,8 @@ def write_token_store(docs: DataFrame, path: str, encoder: Callable[[], Callable
         encode, compress = encoder(), _compressor(dictionary).compress
 
         def each() -> Iterator[tuple]:
-            for doc_id, text in rows(batches, ["doc_id", "text"]):
-                ids = encode(text) + end
+            for doc_id, ids in encoded_rows(batches, encode):
+                ids += end
                 yield doc_id, len(ids) // 4, compress(ids)
 
         yield from batches_of(each(), _FRAMES)
@@ -124,40 +131,49 @@ def write_token_store(docs: DataFrame, path: str, encoder: Callable[[], Callable
 
         def each() -> Iterator[tuple]:
             start, held, size, first = 0, [], 0, 0
+
+            def closed() -> tuple:
+                named = next((doc_id for doc_id, _, _ in held if doc_id is not None), None)
+                return part, named, held[-1][0], start - first, pack_block(held, digest)
+
             for doc_id, n_tokens, frame in rows(batches, ["doc_id", "n_tokens", "frame"]):
-                held.append((NO_ID if doc_id is None else doc_id, start, frame))
+                held.append((doc_id, start, frame))
                 start += n_tokens
                 size += len(frame)
                 if size >= BLOCK_BYTES:
-                    yield part, held[0][0], held[-1][0], start - first, pack_block(held, digest)
+                    yield closed()
                     held, size, first = [], 0, start
             if held:
-                yield part, held[0][0], held[-1][0], start - first, pack_block(held, digest)
+                yield closed()
 
         yield from batches_of(each(), _BLOCKS)
 
     encoded = cut_lineage(docs.mapInArrow(frames, "doc_id long, n_tokens long, frame binary"), "frames")
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The hash of the frame lets rows of one id, or without any, range over several tasks.
+    order = ["doc_id", F.xxhash64("frame")]
+    ordered = encoded.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(
         blocks, "slice int, first_doc long, last_doc long, n_tokens long, block binary"
     ).write.parquet(f"{path}/blocks")
 
 
-def pack_block(documents: list[tuple[int, int, bytes]], digest: bytes) -> bytes:
+def pack_block(documents: list[tuple[int | None, int, bytes]], digest: bytes) -> bytes:
     """A block of ``(doc_id, start, frame)``."""
     ids, starts, frames = zip(*documents)
     offsets = np.cumsum([0, *map(len, frames)], dtype="<i8")
     head = MAGIC + digest + struct.pack("<q", len(ids))
-    return b"".join([head, np.array(ids, "<i8").tobytes(), np.array(starts, "<i8").tobytes(), offsets.tobytes(), *frames])
+    numbers, known = np.array([i or 0 for i in ids], "<i8"), bytes(i is not None for i in ids)
+    return b"".join([head, numbers.tobytes(), known, np.array(starts, "<i8").tobytes(), offsets.tobytes(), *frames])
 
 
-def unpack_index(block: bytes, digest: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_index(block: bytes, digest: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Ids, starts and absolute frame offsets of a block."""
     if block[:8] != MAGIC or block[8:40] != digest:
         raise ValueError("not a block of this store's dictionary")
     n = struct.unpack_from("<q", block, 40)[0]
-    numbers = np.frombuffer(block, "<i8", 3 * n + 1, 48)
-    return numbers[:n], numbers[n : 2 * n], numbers[2 * n :] + 48 + 8 * (3 * n + 1)
+    ids, known = np.frombuffer(block, "<i8", n, 48).tolist(), block[48 + 8 * n : 48 + 9 * n]
+    places = np.frombuffer(block, "<i8", 2 * n + 1, 48 + 9 * n)
+    return [i if k else None for i, k in zip(ids, known)], places[:n], places[n:] + 48 + 9 * n + 8 * (2 * n + 1)
 
 
 def _read(spark: SparkSession, path: str, blocks: DataFrame, wanted: frozenset[int] | None) -> DataFrame:
@@ -170,10 +186,10 @@ def _read(spark: SparkSession, path: str, blocks: DataFrame, wanted: frozenset[i
         def each() -> Iterator[tuple]:
             for part, block in rows(batches, ["slice", "block"]):
                 ids, starts, offsets = unpack_index(block, digest)
-                for i, doc_id in enumerate(ids.tolist()):
+                for i, doc_id in enumerate(ids):
                     if wanted is None or doc_id in wanted:
                         tokens = decompress(block[offsets[i] : offsets[i + 1]])
-                        yield part, None if doc_id == NO_ID else doc_id, int(starts[i]), tokens
+                        yield part, doc_id, int(starts[i]), tokens
 
         yield from batches_of(each(), _IDS)
 
