@@ -14,13 +14,14 @@ no rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.llm.whole_rows import back, whole_row
 from shelfwise.sources.scratch import cut_lineage
 
 WINDOW = 8
@@ -136,10 +137,10 @@ def host_verdicts(outcomes: DataFrame, most_failing: float = MOST_FAILING) -> Da
     return hosts.withColumn("rate", rate).withColumn("rejected", F.round(bound, 9) > most_failing)
 
 
-def _judged(docs: DataFrame, carry: Sequence[str], host: str, text: str) -> DataFrame:
-    """``(row, stats, failed, kept)``; ``row`` holds the columns ``carry``."""
+def _judged(docs: DataFrame, carry: Column, host: str, text: str) -> DataFrame:
+    """``(carry, stats, failed, kept)``."""
     measured = docs.select(
-        F.struct(*carry).alias("row"), F.col(host).cast("string").alias("host"), measures(text).alias("stats")
+        carry, F.col(host).cast("string").alias("host"), measures(text).alias("stats")
     )
     stored = cut_lineage(measured.withColumn("failed", base_failed("stats")), "quality")
     verdicts = host_verdicts(stored).where("rejected").select("host", "rejected")
@@ -149,11 +150,11 @@ def _judged(docs: DataFrame, carry: Sequence[str], host: str, text: str) -> Data
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """``(doc_id, MEASURES, base_failed, kept)`` of every row."""
-    return _judged(docs, ["doc_id"], host, text).select(
-        "row.doc_id", "stats.*", F.col("failed").alias("base_failed"), "kept"
+    return _judged(docs, F.col("doc_id"), host, text).select(
+        "doc_id", "stats.*", F.col("failed").alias("base_failed"), "kept"
     )
 
 
 def keep_good(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, as they are."""
-    return _judged(docs, docs.columns, host, text).where("kept").select("row.*")
+    return back(_judged(docs, whole_row(), host, text).where("kept"))

@@ -14,7 +14,8 @@ returns a spanning forest of its links, never all pairs.
 
 Null and empty texts, and texts without words, have the fingerprint zero and are
 linked like any other. Rows without an id get a fingerprint and a component, and name
-no component. Repeated rows stay. An empty table gives no rows.
+no component. Repeated rows stay in ``near_duplicates``; ``keep_one`` leaves one row of
+each group, whatever ids its rows have. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.llm.components import connected_components
 from shelfwise.llm.covering import anchors
+from shelfwise.llm.whole_rows import KEY, back, row_key, whole_row
 from shelfwise.sources.scratch import cut_lineage
 
 SEED = 42
@@ -37,6 +39,8 @@ SHINGLE, MAX_DISTANCE = 4, 4
 WORDS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints at one anchor beyond which it is split into lots.
 SPLIT_AT = 20_000
+#: Tasks that the fingerprints of one component are spread over.
+SALTS = 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -153,34 +157,48 @@ def links(prints: DataFrame, max_distance: int = MAX_DISTANCE, split_at: int = S
     return dealt.mapInArrow(_compare(max_distance), "a long, b long")
 
 
+def _by_group(prints: DataFrame, least: str, max_distance: int) -> DataFrame:
+    """``(fp, first)`` of the distinct fingerprints ``prints(fp, <least>)``: the least
+    value, nulls apart, of the component."""
+    groups = cut_lineage(connected_components(links(prints, max_distance)), "groups")
+    linked = groups.join(prints, groups.node == prints.fp).select("fp", "root", least)
+    # A component with very many fingerprints meets its first row in several tasks.
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    first = linked.groupBy("root").agg(F.min(least).alias("first")).withColumn("salt", F.explode(salts))
+    salted = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    by_print = salted.join(first, ["root", "salt"]).select("fp", "first")
+    return prints.join(by_print, "fp", "left").select("fp", F.coalesce("first", least).alias("first"))
+
+
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row; ``component_id`` is the smallest id
     of the row's component."""
     texts = docs.select(F.col("doc_id").cast("long"), fingerprints("text").alias("fp"))
     marked = cut_lineage(texts, "fingerprints")
     prints = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    groups = cut_lineage(connected_components(links(prints, max_distance)), "groups")
-    in_group = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-    in_group = in_group.withColumn("root", F.coalesce("root", "fp"))
-    first = in_group.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = in_group.select("fp", "root").join(first, "root").select("fp", "component_id")
-    return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    components = _by_group(prints, "least_id", max_distance).withColumnRenamed("first", "component_id")
+    return marked.join(components, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """The rows of ``docs``, one of each group: the one with the smallest id.
+    """The rows of ``docs``, as they are, one of each group.
 
-    Rows are named by their ids: of repeated rows with a kept id one stays, and rows
-    without an id stay, since nothing names them.
+    The row with the smallest id stays, one without an id only where no row of the group
+    has one. Among rows of one id the key of the whole row decides, and of rows that are
+    alike in every column one stays.
     """
-    found = near_duplicates(docs, max_distance).where("doc_id is not null")
-    by_id = found.groupBy("doc_id").agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")
-    )
-    odd = cut_lineage(by_id.where("not first or n > 1"), "doubles")
-    kept = docs.join(odd.where("not first").select("doc_id"), "doc_id", "left_anti")
-    repeated = odd.where("first").select("doc_id")
+    keyed = docs.select(whole_row(), row_key())
+    unnamed, doc_id = F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("doc_id")
+    marked = docs.select(fingerprints("text").alias("fp"), row_key(), unnamed, doc_id)
+    marked = cut_lineage(marked.select("fp", F.struct("unnamed", "doc_id", KEY).alias("place")), "fingerprints")
+    rows = cut_lineage(marked.groupBy("fp", "place").agg(F.count("*").alias("n")), "rows")
+    prints = cut_lineage(rows.groupBy("fp").agg(F.min("place").alias("least")), "distinct")
+    stays = _by_group(prints, "least", max_distance).select(f"first.{KEY}").distinct().withColumn("stays", F.lit(True))
+    odd = rows.select(f"place.{KEY}", "n").join(stays, KEY, "left")
+    odd = cut_lineage(odd.where("stays is null or n > 1"), "odd")
+    kept = keyed.join(odd.where("stays is null"), KEY, "left_anti")
+    repeated = odd.where("stays").select(KEY)
     if not repeated.isEmpty():
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
-    return kept.select(docs.columns)
+        once = kept.join(repeated, KEY, "left_semi").dropDuplicates([KEY])
+        kept = kept.join(repeated, KEY, "left_anti").unionByName(once)
+    return back(kept)

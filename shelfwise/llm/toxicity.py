@@ -10,7 +10,8 @@ documents. Scoring reads every whole text in one pass.
 Null and empty texts have no words and get the chain's base rates. A label that is null
 counts as 0; several labels of one document as the highest. Where a category's labels
 are all alike, or there are none, its probability is (positives + 1) / (labels + 2).
-Repeated rows are judged alike. An empty table gives no rows.
+Repeated rows are judged alike; of a labelled id that stands on rows of different texts,
+the text of the smallest hash is learnt from. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.chunked import batches_of, rows
+from shelfwise.llm.whole_rows import back, whole_row
 from shelfwise.sources.scratch import cut_lineage
 
 #: Labelled documents that train the chain, and features chosen for each category.
@@ -67,7 +69,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str
     targets = chosen.select("doc_id", F.array(*categories).alias("targets"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The sample's size is a parameter.
-    found = texts.join(F.broadcast(targets), "doc_id").dropDuplicates(["doc_id"])
+    text = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    found = texts.join(F.broadcast(targets), "doc_id").groupBy("doc_id", "targets").agg(text)
     return cut_lineage(found, "labelled")
 
 
@@ -235,5 +238,4 @@ def judge(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> Data
 def keep_clean(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> DataFrame:
     """The rows of ``docs`` that the chain does not find toxic, as they are."""
     found = probabilities("text", fitted(docs, labels, categories), categories)[categories[-1]]
-    rows = docs.select(F.struct(*docs.columns).alias("row"), found.alias("toxic"))
-    return rows.where(F.col("toxic") <= LIMIT).select("row.*")
+    return back(docs.select(whole_row(), found.alias("toxic")).where(F.col("toxic") <= LIMIT))
