@@ -1,18 +1,22 @@
 """Exact top-k search by inner product over vectors sorted by length.
 
 Vectors are integers. They are rotated by the singular vectors of all of them, so that
-the first coordinates carry most of a product, and stored in lots, each sorted by
-descending length. Every query block meets every lot in a task of bounded size and
-goes through the lot block by block: once the query's length times the longest vector
+the first coordinates carry most of a product. A query block meets a lot in a task of
+bounded size and goes through it step by step, the longest vectors first: once the query's length times the longest vector
 left cannot reach the query's k-th best score, the rest is skipped; before that, the
 product of the first rotated coordinates plus the product of the remaining lengths (the
 Cauchy-Schwarz bound) decides which vectors get an exact product. The k-th best score
 starts from the products with the longest vectors of all, a bounded set that the
 queries take along.
 
+Lots are cut from the order by length, each a stretch of it, so a query meets only the
+lots whose longest vector can still reach its k-th best score. Queries are put in blocks
+by the length of vector that they need: a block that needs long ones skips all lots after
+those, and vectors are copied only for the blocks that can use them.
+
 Vectors that are null or hold null or non-finite components take no part. Shorter
-vectors count as filled up with zeros. Components are held to 2^26 in size, so that
-scores fit a long at up to 2^11 dimensions. Equal scores go to the smaller id. Repeated
+vectors count as filled up with zeros. Scores are exact; one that fits no long is an
+error that tells the ids. Equal scores go to the smaller id. Repeated
 rows are candidates each, but ask once; rows of one query id ask together. Rows that
 carry the query's own id are never its candidates. An empty table gives no rows.
 """
@@ -25,48 +29,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.llm.whole_numbers import floors, matrix, products
 from shelfwise.sources.scratch import cut_lineage
 
-LARGEST = 1 << 26
 #: Vectors of a lot, of a query block, of a step within a lot, and of the starting set.
 LOT, QUERY_BLOCK, STEP, LONGEST = 32_768, 2_048, 2_048, 1_024
+#: Bands of lengths; each is dealt into as many lots as it needs.
+MOST_BANDS = 1_024
 #: Rotated coordinates in the first partial product, as a share of all.
 LEADING = 0.25
 
 
-def quantise(vector: Column, scale: float) -> Column:
-    """Components as ``floor(scale * x)``; null where one is null or not finite."""
-    doubles = vector.cast("array<double>")
-    sound = F.forall(doubles, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-    whole = F.transform(
-        doubles, lambda x: F.least(F.greatest(F.floor(x * scale), F.lit(-LARGEST)), F.lit(LARGEST)).cast("int")
-    )
-    return F.when(sound, whole)
-
-
-def _matrix(vectors: pa.Array | pa.ChunkedArray, dimensions: int) -> np.ndarray:
-    """A list column as rows, shorter vectors filled up with zeros."""
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    found = np.zeros((len(vectors), dimensions))
-    if len(vectors):
-        lengths = np.asarray(vectors.value_lengths())
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        found[row, np.arange(len(row)) - first] = vectors.flatten().to_numpy(zero_copy_only=False)
-    return found
-
-
-def _exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Inner products; in doubles where no sum can pass 2^53."""
-    if left.size and right.size and np.abs(left).max() * np.abs(right).max() * left.shape[1] < 2**53:
-        return (left @ right.T).astype(np.int64)
-    return left.astype(np.int64) @ right.astype(np.int64).T
-
-
 def rotation(vectors: DataFrame, dimensions: int) -> np.ndarray:
     """The right singular vectors of all vectors, strongest first.
 
@@ -78,7 +55,7 @@ def rotation(vectors: DataFrame, dimensions: int) -> np.ndarray:
     def gram(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dimensions, dimensions))
         for batch in batches:
-            some = _matrix(batch.column("vector"), dimensions)
+            some = matrix(batch.column("vector"), dimensions).astype(float)
             total += some.T @ some
         place = np.arange(dimensions * dimensions)
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total.ravel())], names=["place", "value"])
@@ -119,13 +96,13 @@ def search_lot(
     """The k best of a lot for each query; ``least`` are scores known to be reached."""
     best = Best(len(queries), k)
     best.least = np.maximum(best.least, least)
-    lengths = np.sqrt((vectors * vectors).sum(axis=1))
+    lengths = np.sqrt((vectors.astype(float) ** 2).sum(axis=1))
     order = np.lexsort((ids, -lengths))
     vectors, ids, lengths = vectors[order], ids[order], lengths[order]
     lead = max(1, math.ceil(basis.shape[1] * LEADING))
-    turned = queries @ basis
+    turned = queries.astype(float) @ basis
     rest = np.sqrt((turned[:, lead:] ** 2).sum(axis=1))
-    query_lengths = np.sqrt((queries * queries).sum(axis=1))
+    query_lengths = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
     for start in range(0, len(vectors), STEP):
         some, names = vectors[start : start + STEP], ids[start : start + STEP]
         # Rounding is far below half a unit per product of this size.
@@ -142,7 +119,7 @@ def search_lot(
             continue
         for part in range(0, len(wanted), 256):
             at = wanted[part : part + 256]
-            scores = _exact(queries[open_[at]], some)
+            scores = products(queries[open_[at]], some, query_ids[open_[at]], names)
             for row, query in zip(range(len(at)), open_[at]):
                 fits = near[at[row]] & (scores[row] >= best.least[query]) & (names != query_ids[query])
                 found = np.flatnonzero(fits)
@@ -155,45 +132,109 @@ def search_lot(
     return best
 
 
+def _banded(table: DataFrame, column: str, rows: int, most: int) -> DataFrame:
+    """``table`` stored with ``band``: stretches of about ``most`` rows in the order of
+    ``column``, between approximate quantiles."""
+    count = min(max(1, math.ceil(rows / most)), MOST_BANDS)
+    shares = [i / count for i in range(1, count)]
+    bounds = sorted(set(table.approxQuantile(column, shares, 0.1 / count))) if shares else []
+    if not bounds:
+        return table.withColumn("band", F.lit(0).cast("long"))
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol=column, outputCol="band")
+    return cut_lineage(cut.transform(table).withColumn("band", F.col("band").cast("long")), "bands")
+
+
+def _parts(rows: int, most: int) -> int:
+    """Lots of a band, several where it holds many rows or one hot vector."""
+    return max(1, math.ceil(rows / (2 * most)))
+
+
+def _numbered(table: DataFrame, places: list[tuple[int, int, int, int]], own: str, other: str) -> DataFrame:
+    """``table`` dealt into the lots of its bands, once for each lot of the other side that
+    its band meets: these are the first ones in their order."""
+    bands = table.sparkSession.createDataFrame(places, "band long, first long, parts long, meets long")
+    part = F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts"))
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("meets") - 1))
+    placed = table.join(bands.where("meets > 0"), "band").withColumn(own, F.col("first") + part)
+    return placed.withColumn(other, met).drop("band", "first", "parts", "meets")
+
+
+def meetings(tops: list[tuple], lows: list[tuple], lot: int, block: int) -> tuple[list[tuple], list[tuple]]:
+    """Places ``(band, first lot, lots, lots met on the other side)`` of both sides' bands.
+
+    ``tops`` has ``(band, rows, greatest length)`` of the vectors' bands, ``lows`` has
+    ``(band, rows, least length needed)`` of the queries'. Vectors' lots are numbered from
+    the longest down, queries' from those that need least up. So whatever a band meets
+    are the first lots of the other side.
+    """
+    tops, lows = sorted(tops, key=lambda band: -band[2]), sorted(lows, key=lambda band: band[2])
+    lot_parts, block_parts = [_parts(n, lot) for _, n, _ in tops], [_parts(n, block) for _, n, _ in lows]
+    lots, blocks = np.append(0, np.cumsum(lot_parts)), np.append(0, np.cumsum(block_parts))
+    reach = np.searchsorted([-top for _, _, top in tops], [-low for _, _, low in lows], side="right")
+    reached = np.searchsorted([low for _, _, low in lows], [top for _, _, top in tops], side="right")
+    vectors = [(band, int(lots[i]), lot_parts[i], int(blocks[reached[i]])) for i, (band, _, _) in enumerate(tops)]
+    queries = [(band, int(blocks[i]), block_parts[i], int(lots[reach[i]])) for i, (band, _, _) in enumerate(lows)]
+    return vectors, queries
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best of ``vectors(vec_id, embedding)``
     for each row of ``queries(vec_id, embedding)``, all if there are fewer."""
 
     def whole(table: DataFrame) -> DataFrame:
-        chosen = table.select(F.col("vec_id").cast("long"), quantise(F.col("embedding"), scale).alias("vector"))
-        return chosen.where("vector is not null and vec_id is not null")
+        vec_id = F.col("vec_id").cast("long")
+        chosen = table.select(vec_id.alias("vec_id"), floors(F.col("embedding"), scale, vec_id).alias("vector"))
+        length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x))
+        return chosen.where("vector is not null and vec_id is not null").withColumn("length", length)
 
     stored = cut_lineage(whole(vectors), "vectors")
     asked = cut_lineage(whole(queries).distinct(), "queries")
     sizes = stored.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     asked_sizes = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     dimensions = max(sizes.d or 1, asked_sizes.d or 1, 1)
-    lots = max(1, math.ceil(sizes.n / LOT), min(_cores(stored), sizes.n // STEP))
-    blocks = max(1, math.ceil(asked_sizes.n / QUERY_BLOCK))
     basis = rotation(stored, dimensions)
-    length = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x)
-    longest = stored.orderBy(length.desc(), "vec_id").limit(LONGEST).collect()
+    longest = stored.orderBy(F.desc("length"), "vec_id").limit(LONGEST).collect()
     start_ids = np.array([row.vec_id for row in longest], np.int64)
-    start = _matrix(pa.array([row.vector for row in longest], pa.list_(pa.int32())), dimensions)
+    start = matrix(pa.array([row.vector for row in longest], pa.list_(pa.int64())), dimensions)
+
+    def needs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The score that each query is sure to reach k times, and the length it takes."""
+        for batch in batches:
+            for first in range(0, batch.num_rows, QUERY_BLOCK):
+                some = batch.slice(first, QUERY_BLOCK)
+                ids = some.column("vec_id").to_numpy()
+                least = _least(matrix(some.column("vector"), dimensions), ids, start, start_ids, k)
+                length = np.maximum(some.column("length").to_numpy(), 1e-9)
+                # A little less than needed, for rounding.
+                need = np.maximum(least / length * (1 - 1e-9) - 1e-6, 0.0)
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns, pa.array(least), pa.array(need)], names=[*some.schema.names, "least", "need"]
+                )
+
+    needing = asked.mapInArrow(needs, "vec_id long, vector array<bigint>, length double, least double, need double")
+    needing = cut_lineage(needing, "needing")
+    lot_size = min(LOT, max(STEP, math.ceil(sizes.n / _cores(stored))))
+    lots = _banded(stored, "length", sizes.n, lot_size)
+    blocks = _banded(needing, "need", asked_sizes.n, QUERY_BLOCK)
+    # A row per band, one for some thousands of vectors or queries.
+    tops = lots.groupBy("band").agg(F.count("*").alias("n"), F.max("length").alias("top")).collect()
+    lows = blocks.groupBy("band").agg(F.count("*").alias("n"), F.min("need").alias("low")).collect()
+    places = meetings([tuple(r) for r in tops], [tuple(r) for r in lows], lot_size, QUERY_BLOCK)
+    lots = _numbered(lots.select("vec_id", "vector", "band"), places[0], "lot", "block")
+    blocks = _numbered(blocks.select("vec_id", "vector", "least", "band"), places[1], "block", "lot")
 
     def search(key: tuple, asked: pa.Table, lot: pa.Table) -> pa.Table:
         if not asked.num_rows or not lot.num_rows:
             return pa.table({n: pa.array([], t) for n, t in _FOUND})
         query_ids = asked.column("vec_id").to_numpy()
-        wanted = _matrix(asked.column("vector"), dimensions)
-        least = _least(wanted, query_ids, start, start_ids, k)
-        some = _matrix(lot.column("vector"), dimensions)
+        wanted, some = matrix(asked.column("vector"), dimensions), matrix(lot.column("vector"), dimensions)
+        least = asked.column("least").to_numpy()
         best = search_lot(wanted, query_ids, some, lot.column("vec_id").to_numpy(), basis, least, k)
         rows = [(int(q), score, -name) for q, heap in zip(query_ids, best.heaps) for score, name in heap]
         columns = list(zip(*rows)) or [[], [], []]
         return pa.table({n: pa.array(c, t) for (n, t), c in zip(_FOUND, columns)})
 
-    # A lot holds vectors of all lengths, so that lots cost the same.
-    spread = stored.withColumn("lot", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(lots)))
-    spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)))
-    dealt = dealt.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))))
-    met = dealt.groupBy("block", "lot").cogroup(spread.groupBy("block", "lot"))
+    met = blocks.groupBy("block", "lot").cogroup(lots.groupBy("block", "lot"))
     found = met.applyInArrow(search, "query_id long, score long, vec_id long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -214,6 +255,6 @@ def _least(
     least = np.full(len(wanted), -np.inf)
     if len(start_ids) <= k:
         return least
-    scores = _exact(wanted, start).astype(float)
+    scores = products(wanted, start, query_ids, start_ids).astype(float)
     scores[query_ids[:, None] == start_ids[None, :]] = -np.inf
     return np.partition(scores, len(start_ids) - k, axis=1)[:, len(start_ids) - k]
