@@ -12,12 +12,21 @@ Spark, lists them, so lost executors leave no doubled records.
 
 Null payloads are empty. Rows without a page id have an empty id and are never the one
 that others refer to; where no page of a payload has an id all are responses. Rows that
-repeat the smallest id are responses too. Null urls leave the target out. Damaged
-members are skipped. An empty table gives no files.
+repeat the smallest id are responses too. Null urls leave the target out. An empty table
+gives no files.
+
+Archives of other makers are read as well. All record types come back; requests and
+responses lose their HTTP head, other types keep their whole block as payload. Digests by
+SHA-256, SHA-1 or MD5, in hexadecimal or base 32, are compared with the payload
+(``digest_ok``), unknown or absent ones are not, and ``digest`` is the payload's SHA-256
+wherever there is a payload. A page id that is no number is none. Members that are damaged,
+or whose record has no sound length, are skipped; ``scan_archives`` tells how many bytes.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import uuid
 import zlib
@@ -47,10 +56,13 @@ _RECORDS = pa.schema(
         ("digest", pa.string()),
         ("payload_bytes", pa.int64()),
         ("payload", pa.binary()),
+        ("digest_ok", pa.bool_()),
+        ("skipped_bytes", pa.int64()),
     ]
 )
 _RECORDS_SQL = (
-    "page_id long, record_type string, target string, refers_to long, digest string, payload_bytes long, payload binary"
+    "page_id long, record_type string, target string, refers_to long, digest string, payload_bytes long,"
+    " payload binary, digest_ok boolean, skipped_bytes long"
 )
 
 
@@ -196,52 +208,79 @@ def _next_member(source: _Bytes, place: int, end: int) -> int | None:
     return None
 
 
+def _number(text: str | None) -> int | None:
+    text = (text or "").strip()
+    return int(text) if text.isascii() and text.removeprefix("-").isdigit() and len(text) < 19 else None
+
+
+def _digest(declared: str) -> tuple[str, bytes | None]:
+    """Algorithm and bytes of a digest field; no bytes where it cannot be read."""
+    name, _, value = declared.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    size = {"sha256": 32, "sha1": 20, "md5": 16}.get(name)
+    if size is None:
+        return name, None
+    try:
+        if len(value) == 2 * size:
+            return name, bytes.fromhex(value)
+        found = base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+        return name, found if len(found) == size else None
+    except (ValueError, binascii.Error):
+        return name, None
+
+
 def parse(data: bytes) -> tuple | None:
-    """A decoded record's row, or None if its lengths do not agree."""
+    """A decoded record's row, or None if its length does not agree."""
     head = _head(data)
     if head is None:
         return None
     start = data.index(b"\r\n\r\n") + 4
-    length = int(head.get("content-length", -1))
-    block = data[start : start + length]
-    if length < 0 or len(block) != length:
+    length = _number(head.get("content-length"))
+    if length is None or length < 0 or len(data) < start + length:
         return None
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = next((int(l.split(b":")[1]) for l in http.split(b"\r\n") if l.lower().startswith(b"content-length:")), None)
-    kind = head.get("warc-type")
-    digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
-    if kind == "response":
-        if hashlib.sha256(payload).hexdigest() != digest:
-            return None
-        size = len(payload)
-    number = {name: int(head[name]) if head.get(name) else None for name in ("x-page-id", "x-refers-to-page")}
-    return (
-        number["x-page-id"], kind, head.get("warc-target-uri"), number["x-refers-to-page"], digest, size,
-        payload if kind == "response" else None,
-    )
+    block, kind = data[start : start + length], head.get("warc-type", "")
+    http, blank, payload = block.partition(b"\r\n\r\n")
+    if not (blank and http.startswith((b"HTTP/", b"GET ", b"POST ", b"HEAD ")) and kind in ("request", "response", "revisit")):
+        http, payload = b"", block
+    declared = head.get("warc-payload-digest", "") if http else head.get("warc-block-digest", head.get("warc-payload-digest", ""))
+    name, expected = _digest(declared)
+    if kind == "revisit":  # of the full payload only the digest and the length are told
+        lines = [line.partition(b":") for line in http.split(b"\r\n")]
+        sizes = [_number(value.decode("latin-1")) for field, _, value in lines if field.lower() == b"content-length"]
+        digest = expected.hex() if name == "sha256" and expected else declared or None
+        size, payload, sound = (sizes or [None])[0], None, None
+    else:
+        digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
+        sound = hashlib.new(name, payload).digest() == expected if expected else None
+    refers = _number(head.get("x-refers-to-page"))
+    return _number(head.get("x-page-id")), kind, head.get("warc-target-uri"), refers, digest, size, payload, sound, 0
+
+
+def _skipped(number: int) -> tuple:
+    return (*[None] * (len(_RECORDS) - 1), number)
 
 
 def records_in(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tuple]:
-    """The records that start in ``[start, end)`` of a file."""
+    """The records that start in ``[start, end)`` of a file. What had to be skipped after
+    the first of them gives rows without a type."""
     source = _Bytes(file, size)
     place = _next_member(source, start, end)
     while place is not None and place < end:
         member = _member(source, place, whole=True)
         row = parse(member[0]) if member else None
-        if row is None:
-            place = _next_member(source, place + 1, end)
-            continue
-        yield row
-        place = member[1]
-        if place < end and not source.at(place).startswith(MAGIC):
-            place = _next_member(source, place, end)
+        if row is not None:
+            yield row
+            place = member[1]
+            if place >= end or source.at(place).startswith(MAGIC) or place >= size:
+                continue
+        following = _next_member(source, place + (row is None), end)
+        yield _skipped((min(end, size) if following is None else following) - place)
+        place = following
 
 
-def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The records of the archives ``manifest(file, bytes)``.
-
-    ``payload_bytes`` and ``digest`` are of the full payload, also for revisits.
-    """
+def scan_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The records of the archives ``manifest(file, bytes)`` and, as rows with a null
+    ``record_type``, the ``skipped_bytes`` between them."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
@@ -259,6 +298,21 @@ def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = R
     return ranges.repartition(n, "file", "start").mapInArrow(read, _RECORDS_SQL)
 
 
+def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The records of the archives ``manifest(file, bytes)``.
+
+    ``payload_bytes`` and ``digest`` are of the full payload, also for revisits.
+    """
+    return scan_archives(spark, manifest, range_bytes).where("record_type is not null").drop("skipped_bytes")
+
+
+def list_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest ``(file, bytes)`` of the archives that ``path`` names, a pattern or a folder."""
+    files = spark.read.format("binaryFile").load(path)
+    uri = F.regexp_replace("path", "^file:/(?!/)", "file:///")
+    return files.select(uri.alias("file"), F.col("length").alias("bytes"))
+
+
 def archive_folder(spark: SparkSession) -> str:
     """A fresh folder that all executors reach, as a URI."""
     folder = scratch_path(spark, "archives")
