@@ -12,7 +12,8 @@ itself, whose text alone is trainable. A conversation that does not end with an
 assistant turn has one more example with nothing trainable, so that no turn is lost.
 
 Turns follow ``turn``; equal turn numbers follow role and text, nulls first. Null
-roles and texts are empty. Rows without a conversation id form one conversation.
+roles and texts are empty. Nothing tells which rows without a conversation id belong
+together: each is a conversation of one turn, and has a row of its own in the summary.
 Repeated rows are turns of their own. An empty table gives no examples. A text may be
 as long as a Spark string; the context of n turns costs n times their text, which is
 what the method asks for.
@@ -56,7 +57,9 @@ def expand(conversations: DataFrame) -> DataFrame:
             text.alias("text"),
         ).alias("item"),
     )
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    named = turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    unnamed = turns.where("conv_id is null").select("conv_id", F.array("item").alias("items"))
+    whole = named.union(unnamed)
     formatted = whole.select(
         "conv_id",
         F.size("items").alias("n"),
@@ -107,20 +110,24 @@ def summarise(examples: DataFrame) -> DataFrame:
         F.struct("example", loss_text(F.col("text"), F.col("loss_start"), F.col("loss_end")).alias("loss")).alias("reply"),
     )
     replies = F.array_join(F.array_sort(F.collect_list("reply")).getField("loss"), "")
-    return (
-        read.groupBy("conv_id")
-        .agg(
-            F.max("n_turns").cast("long").alias("n_turns"),
-            F.max("turns_sha256").alias("turns_sha256"),
-            replies.alias("loss"),
-            F.sum("chars").alias("formatted_chars"),
-        )
-        .select(
-            "conv_id",
-            "n_turns",
-            "turns_sha256",
-            F.length("loss").cast("long").alias("loss_chars"),
-            F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
-            "formatted_chars",
-        )
+    named = read.where("conv_id is not null").groupBy("conv_id").agg(
+        F.max("n_turns").cast("long").alias("n_turns"),
+        F.max("turns_sha256").alias("turns_sha256"),
+        replies.alias("loss"),
+        F.sum("chars").alias("formatted_chars"),
+    )
+    unnamed = read.where("conv_id is null").select(
+        "conv_id",
+        F.col("n_turns").cast("long"),
+        "turns_sha256",
+        F.col("reply.loss").alias("loss"),
+        F.col("chars").cast("long").alias("formatted_chars"),
+    )
+    return named.union(unnamed).select(
+        "conv_id",
+        "n_turns",
+        "turns_sha256",
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
     )

@@ -14,6 +14,7 @@ may be null (not labelled). Repeated rows count as often as they occur.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -94,7 +95,8 @@ def reputation(
 ) -> DataFrame:
     """``(host, blocked)`` from every host's labelled counts ``(host, n, k)``.
 
-    A host without labelled pages takes the verdict of its domain, or of its suffix.
+    A host without labelled pages takes the verdict of its domain, of its suffix, or of
+    all pages.
     """
     named = hosts.withColumn("suffix", suffix_of(F.col("host"), suffixes))
     hosts = cut_lineage(named.withColumn("domain", domain_of(F.col("host"), F.col("suffix"))), "hosts")
@@ -102,12 +104,14 @@ def reputation(
     if not whole.n:
         return hosts.select("host", F.lit(False).alias("blocked"))
     parent = None
+    overall = (whole.k + 1) / (whole.n + 2)
+    by_all = round(overall - deviations * math.sqrt(overall * (1 - overall) / (whole.n + 3)), 9) > most_bad
     verdicts = hosts
     for depth, level in enumerate(LEVELS):
         above = list(LEVELS[max(0, depth - 1) : depth])
         counts = hosts.groupBy(level, *above).agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("n > 0")
         if parent is None:
-            table = counts.withColumn("prior", F.lit((whole.k + 1) / (whole.n + 2)))
+            table = counts.withColumn("prior", F.lit(overall))
         else:
             table = counts.join(parent, above)
         table = cut_lineage(table, level)
@@ -118,7 +122,7 @@ def reputation(
         judged = table.select(level, rate.alias("prior"), (F.round(bound, 9) > most_bad).alias(f"by_{level}"))
         parent = judged.select(level, "prior")
         verdicts = verdicts.join(judged.drop("prior"), level, "left")
-    return verdicts.select("host", F.coalesce("by_host", "by_domain", "by_suffix", F.lit(False)).alias("blocked"))
+    return verdicts.select("host", F.coalesce("by_host", "by_domain", "by_suffix", F.lit(by_all)).alias("blocked"))
 
 
 def judge(pages: DataFrame, rules: dict[str, str], suffixes: Sequence[str] = SUFFIXES) -> DataFrame:

@@ -12,6 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -30,7 +31,7 @@ from shelfwise.llm import (
     urls,
     warc,
 )
-from shelfwise.llm.queries import LLM_QUERIES, URL_RULES, pack_encoder, pack_tokenizer, store_encoder, store_tokenizer
+from shelfwise.llm.queries import LLM_QUERIES, URL_RULES, pack_tokenizer, store_tokenizer
 from tests.llm import brute
 from tests.llm.conftest import document_rows
 from tests.llm.test_queries import check_packing
@@ -44,22 +45,21 @@ def random_texts(n: int) -> list[str]:
     return ["".join(rng.choice(PIECES) for _ in range(rng.randint(1, 40))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("name, encoder", [("word_bpe_49k.json", store_encoder), ("byte_bpe_50k.json", pack_encoder)])
-def test_encoding_by_pieces_equals_the_whole_text(name, encoder):
-    whole, encode = Tokenizer.from_file(public_tokenizers.path(name)), encoder()
-    whole.encode_special_tokens = True
-    encode.remembered = 50  # the memory turns over many times
-    for text in random_texts(3000):
-        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
-
-
 @pytest.mark.parametrize("name, encoder", [("word_bpe_49k.json", store_tokenizer), ("byte_bpe_50k.json", pack_tokenizer)])
 def test_encoding_equals_the_tokenizer_as_loaded(name, encoder):
-    whole, encode = Tokenizer.from_file(public_tokenizers.path(name)), encoder()
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    one = encoder().one
+    one.encode.remembered = 50  # the memories turn over many times
+    many = chunked.BatchEncoder(one, remembered=50)
     texts = ["a <|endoftext|> b", "<|endoftext|><|startoftext|>", " <|ENDOFTEXT|> <|endoftext|>  x", "<|<|endoftext|>|>"]
-    for text in texts + random_texts(3000):
-        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
-    assert encode(None) == encode("") == b""
+    texts += random_texts(3000) + [None, "", "plain words, and a\nline", "one", "\x01 x", "plain words again and again"] * 2
+    expected = [whole.encode(text or "", add_special_tokens=False).ids for text in texts]
+    for start in range(0, len(texts), 97):
+        found = [np.frombuffer(ids, "<u4").tolist() for ids in many(texts[start : start + 97])]
+        assert found == expected[start : start + 97]
+    for text, ids in zip(texts, expected):
+        assert np.frombuffer(one(text), "<u4").tolist() == ids, repr(text)
+    assert many([]) == []
 
 
 def test_queries_know_added_tokens(spark, tmp_path):
@@ -96,8 +96,8 @@ def test_byte_pairs_round_trip(spark, odd_documents, no_documents):
 def test_token_store_round_trip(spark, odd_documents, tmp_path):
     path = str(tmp_path / "store")
     clashing = odd_documents.withColumn("slice", F.lit(1)).withColumn("ids", F.lit("x"))
-    token_store.write_token_store(clashing, path, store_encoder, 2)
-    encode = store_encoder()
+    token_store.write_token_store(clashing, path, store_tokenizer, 2)
+    encode = store_tokenizer().one
     expected = Counter((r[0], encode(r[1]) + b"\x02\0\0\0") for r in document_rows())
     rows = token_store.read_token_store(spark, path).collect()
     assert Counter((r.doc_id, bytes(r.ids)) for r in rows) == expected
@@ -113,14 +113,14 @@ def test_token_store_round_trip(spark, odd_documents, tmp_path):
 
 def test_token_store_of_nothing(spark, no_documents, tmp_path):
     path = str(tmp_path / "store")
-    token_store.write_token_store(no_documents, path, store_encoder, 2)
+    token_store.write_token_store(no_documents, path, store_tokenizer, 2)
     assert token_store.read_token_store(spark, path).count() == 0
 
 
 def test_blocks_know_their_dictionary():
     block = token_store.pack_block([(5, 0, b"abc"), (9, 7, b"de")], hashlib.sha256(b"").digest())
     ids, starts, offsets = token_store.unpack_index(block, hashlib.sha256(b"").digest())
-    assert (ids.tolist(), starts.tolist()) == ([5, 9], [0, 7])
+    assert (ids, starts.tolist()) == ([5, 9], [0, 7])
     assert [block[a:b] for a, b in zip(offsets, offsets[1:])] == [b"abc", b"de"]
     with pytest.raises(ValueError):
         token_store.unpack_index(block, hashlib.sha256(b"other").digest())
@@ -169,9 +169,60 @@ def test_archives_skip_damage_and_false_starts(tmp_path):
     path.write_bytes(b"".join(parts))
     size = path.stat().st_size
     with pa.OSFile(str(path)) as file:
-        assert [r[0] for r in warc.records_in(file, size, 0, size)] == [0, 2]
+        found = list(warc.records_in(file, size, 0, size))
+        assert [r[0] for r in found if r[1]] == [0, 2]
+        assert sum(r[-1] for r in found) == sum(map(len, parts)) - len(whole[0]) - len(whole[2])
         cuts = [*range(0, size, 7), size]
-        assert [r[0] for a, b in zip(cuts, cuts[1:]) for r in warc.records_in(file, size, a, b)] == [0, 2]
+        assert [r[0] for a, b in zip(cuts, cuts[1:]) for r in warc.records_in(file, size, a, b) if r[1]] == [0, 2]
+
+
+def foreign(kind: str, block: bytes, *fields: str, length: object = None) -> bytes:
+    head = ["WARC/1.0", f"WARC-Type: {kind}", *fields, f"Content-Length: {len(block) if length is None else length}"]
+    return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_makers(spark, tmp_path):
+    import base64
+    import gzip
+
+    body = b"<html>" + b"x" * 500
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: oops\r\n\r\n" + body
+    sha1 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    records = [
+        foreign("warcinfo", b"software: other\r\n"),
+        foreign("response", http, "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{sha1}"),
+        foreign("response", http, "WARC-Payload-Digest: sha1:" + "A" * 32, "X-Page-ID: 7"),
+        foreign("response", http, "X-Page-ID: seven"),
+        foreign("response", http, "WARC-Payload-Digest: blake3:00ff"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        foreign("response", http, length="ten"),
+        foreign("response", http, length=10**6),
+        foreign("metadata", b"via: x", f"WARC-Block-Digest: md5:{hashlib.md5(b'via: x').hexdigest()}"),
+        foreign("revisit", http[: -len(body)], f"WARC-Payload-Digest: sha1:{sha1}"),
+        foreign("resource", b"\r\n\r\nwhole"),
+    ]
+    members = [gzip.compress(r) for r in records]
+    (tmp_path / "other.warc.gz").write_bytes(b"".join(members))
+    manifest = warc.list_archives(spark, str(tmp_path))
+    digest = hashlib.sha256(body).hexdigest()
+    expected = Counter(
+        [
+            ("warcinfo", None, hashlib.sha256(b"software: other\r\n").hexdigest(), 17, None),
+            ("response", None, digest, 506, True),
+            ("response", 7, digest, 506, False),
+            ("response", None, digest, 506, None),
+            ("response", None, digest, 506, None),
+            ("request", None, hashlib.sha256(b"").hexdigest(), 0, None),
+            ("metadata", None, hashlib.sha256(b"via: x").hexdigest(), 6, True),
+            ("revisit", None, f"sha1:{sha1}", None, None),
+            ("resource", None, hashlib.sha256(b"\r\n\r\nwhole").hexdigest(), 9, None),
+        ]
+    )
+    for range_bytes in (100, 1 << 20):
+        found = warc.read_archives(spark, manifest, range_bytes).collect()
+        assert Counter((r.record_type, r.page_id, r.digest, r.payload_bytes, r.digest_ok) for r in found) == expected
+    skipped = warc.scan_archives(spark, manifest).where("record_type is null").agg(F.sum("skipped_bytes")).first()[0]
+    assert skipped == len(members[6]) + len(members[7])
 
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string, items string"
@@ -190,6 +241,8 @@ def test_chat_examples(spark):
         (3, None, "assistant", "", None),
         (3, None, "assistant", "", None),
         (None, 1, "assistant", "lost", None),
+        (None, 1, "user", "other", None),
+        (None, 1, "user", "other", None),
         (4, 1, "a[/INST]ssistant", "tie b", None),
         (4, 1, "a[/INST]ssistant", "tie a", None),
     ]
@@ -200,7 +253,8 @@ def test_chat_examples(spark):
     for control in ("</s>", "[INST]", "[/INST]"):
         assert first[5].text.count(control) == 5
     assert first[5].text[first[5].loss_start : first[5].loss_end] == "yes"
-    found = {r.conv_id: r for r in chat.summarise(examples).collect()}
+    summary = chat.summarise(examples).collect()
+    found = {r.conv_id: r for r in summary if r.conv_id is not None}
 
     def digest(text):
         return hashlib.sha256(text.encode()).hexdigest()
@@ -208,6 +262,8 @@ def test_chat_examples(spark):
     by_id: dict = {}
     for conv_id, turn, role, text, _ in rows:
         by_id.setdefault(conv_id, []).append((turn is not None, turn or 0, role or "", text or ""))
+    alone = sorted((r.n_turns, r.turns_sha256, r.loss_chars) for r in summary if r.conv_id is None)
+    assert alone == sorted((1, digest(f"{r}\n{t}\n"), len(t) if r == "assistant" else 0) for _, _, r, t in by_id.pop(None))
     for conv_id, turns in by_id.items():
         turns.sort()
         loss = "".join(text for _, _, role, text in turns if role == "assistant")
@@ -229,14 +285,14 @@ def test_top_k_against_all_products(spark):
     vectors = [(int(i), (rng.normal(size=12) * rng.lognormal(size=1)).round(2).tolist()) for i in range(700)]
     vectors += [(700 + i, vectors[50][1]) for i in range(20)]  # ties
     vectors += [(800, None), (850, [None] * 12), (851, [float("nan")] * 12), (852, [float("inf")] + [0.0] * 11)]
-    vectors += [(900, [1.0, 2.0]), (901, []), (902, [1e30] * 12), (903, [-1e30] * 12), (None, [1.0] * 12), vectors[7]]
+    vectors += [(900, [1.0, 2.0]), (901, []), (902, [1e7] * 12), (903, [-1e7] * 12), (904, [3e5, 1.0]), (950, [1e6, 0.0]), (906, [9e5, 0.0]), (None, [1.0] * 12), vectors[7]]
     table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(4)
     found = top_k.top_k(table, table.where("vec_id % 50 = 0"), 5, 256).collect()
     sound = []
     for i, v in vectors:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
-        whole = [int(np.clip(np.floor(256 * x), -top_k.LARGEST, top_k.LARGEST)) for x in v]
+        whole = [int(np.floor(256 * x)) for x in v]
         sound.append((i, whole + [0] * (12 - len(whole))))
     expected = {}
     for q, a in sound:
@@ -249,11 +305,31 @@ def test_top_k_against_all_products(spark):
     assert got == expected
 
 
-def test_top_k_in_many_lots_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(top_k, "LOT", 60)
-    monkeypatch.setattr(top_k, "QUERY_BLOCK", 7)
+def test_scores_beyond_longs_are_errors(spark):
+    table = spark.createDataFrame([(1, [1e30]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(PySparkException, match="component of vector 1 fits no long"):
+        top_k.top_k(table, table, 5, 256).collect()
+    table = spark.createDataFrame([(1, [1e12]), (2, [1e12]), (3, [0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(PySparkException, match="product of vectors 1 and [12] fits no long"):
+        top_k.top_k(table, table.where("vec_id = 1"), 5, 256).collect()
+
+
+def test_bands_of_short_vectors_are_left_out():
+    tops = [(0, 10, 1.0), (1, 100, 5.0), (2, 10, 20.0)]
+    lows = [(0, 10, 0.0), (1, 10, 4.0), (2, 30, 30.0), (3, 10, 20.0)]
+    vectors, queries = top_k.meetings(tops, lows, 10, 10)
+    assert vectors == [(2, 0, 1, 3), (1, 1, 5, 2), (0, 6, 1, 1)]
+    assert queries == [(0, 0, 1, 7), (1, 1, 1, 6), (3, 2, 1, 1), (2, 3, 2, 0)]
+    assert top_k.meetings([], lows, 10, 10)[1] == [(0, 0, 1, 0), (1, 1, 1, 0), (3, 2, 1, 0), (2, 3, 2, 0)]
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.5])
+def test_top_k_in_many_lots_and_blocks(spark, monkeypatch, spread):
+    for name, size in (("LOT", 60), ("QUERY_BLOCK", 7), ("STEP", 20), ("LONGEST", 10)):
+        monkeypatch.setattr(top_k, name, size)
     rng = np.random.default_rng(5)
-    vectors = [(i, rng.integers(-9, 9, 8).astype(float).tolist()) for i in range(400)]
+    vectors = [(i, (rng.integers(-9, 9, 8) * rng.lognormal(sigma=spread)).round().tolist()) for i in range(300)]
+    vectors += [(300 + i, vectors[9][1]) for i in range(200)]  # a hot vector
     table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     found = top_k.top_k(table, table.where("vec_id < 30"), 3, 1).collect()
     expected = []
@@ -315,13 +391,13 @@ def test_hosts_that_mostly_fail_are_rejected(spark):
 def test_packing_keeps_every_id(spark, odd_documents, no_documents):
     rows = [r for i, r in enumerate(document_rows()) if r[0] is not None and document_rows().index(r) == i]
     unique = spark.createDataFrame(rows, odd_documents.schema).withColumn("lot", F.lit("x"))
-    encode = pack_encoder()
+    encode = pack_tokenizer().one
     ids = {r[0]: [*np.frombuffer(encode(r[1]), "<u4").tolist(), 1] for r in rows}
-    found = packing.pack(packing.cut_documents(unique, pack_encoder, 1, 256), 256, 64).collect()
+    found = packing.pack(packing.cut_documents(unique, pack_tokenizer, 1, 256), 256, 64).collect()
     check_packing(found, ids, 256)
-    everything = packing.pack(packing.cut_documents(odd_documents, pack_encoder, 1, 256), 256, 64)
+    everything = packing.pack(packing.cut_documents(odd_documents, pack_tokenizer, 1, 256), 256, 64)
     assert everything.agg(F.sum("length")).first()[0] == sum(len(encode(r[1])) // 4 + 1 for r in document_rows())
-    assert packing.pack(packing.cut_documents(no_documents, pack_encoder, 1, 256), 256).count() == 0
+    assert packing.pack(packing.cut_documents(no_documents, pack_tokenizer, 1, 256), 256).count() == 0
 
 
 def test_first_fit_takes_the_first_sequence_with_room():
@@ -383,6 +459,47 @@ def test_near_duplicates(spark, odd_documents, no_documents):
     assert simhash.keep_one(no_documents).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{letter}{i * i}" for i in range(40)) for letter in "abc")
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (5, b, "x"), (None, c, "x"), (None, c, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, `od.d``name` string")
+    kept = simhash.keep_one(table)
+    assert kept.columns == table.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == [(1, a, "x"), (2, b, "x"), (None, c, "x")]
+
+
+def test_kept_rows_against_a_plain_filter(spark):
+    rng = random.Random(21)
+    bases = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
+    rows = []
+    for _ in range(150):
+        words = rng.choice(bases).split()
+        if rng.random() < 0.3:
+            words[rng.randrange(60)] = "changed"
+        rows.append((rng.choice([None, *range(25)]), rng.choice([" ".join(words), None, ""]), rng.choice("xy")))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    kept = [tuple(r) for r in simhash.keep_one(table).collect()]
+    prints = {i: brute.fingerprint(text) for i, (_, text, _) in enumerate(rows)}
+    group = brute.components(prints, 4)
+    members: dict = {}
+    for i, row in enumerate(rows):
+        members.setdefault(group[i], []).append(row)
+    of = {row: group[i] for i, row in enumerate(rows)}
+    assert sorted(of[row] for row in kept) == sorted(members), "one row of each group"
+    for row in kept:
+        named = [r[0] for r in members[of[row]] if r[0] is not None]
+        assert row[0] == (min(named) if named else None)
+
+
+def test_filters_keep_odd_columns(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    table = spark.createDataFrame([(1, good, "src", 1), (2, "short", "src", 2)], "doc_id long, text string, source string, `a.b` int")
+    marks = spark.createDataFrame([], "doc_id long, low_quality int, toxic int")
+    assert [tuple(r) for r in host_rules.keep_good(table).collect()] == [(1, good, "src", 1)]
+    clean = toxicity.keep_clean(table, marks, ["low_quality", "toxic"])
+    assert clean.columns == table.columns and clean.count() == 2
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(300)] + [(5000, 5000), (7, None)]
     links += [(3000, 2999), (2999, 3000), (2999, 3000)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
-from shelfwise.llm.queries import LLM_QUERIES, pack_encoder
+from shelfwise.llm.queries import LLM_QUERIES, pack_tokenizer
 from tests.conftest import DATA
 from tests.llm import brute
 from tests.llm.test_operators import plain_measures
@@ -38,7 +38,7 @@ def test_stages_in_order(spark, tmp_path):
         if name == "near_duplicates":
             groups = brute.components({i: brute.fingerprint(t) for i, t in texts.items()}, 4)
             assert left == set(groups.values())
-    encode = pack_encoder()
+    encode = pack_tokenizer().one
     ids = {r["doc_id"]: [*np.frombuffer(encode(r["text"]), "<u4").tolist(), 1] for r in kept}
     assert check_packing(docs.collect(), ids, 2048) < 0.05
 
