@@ -27,6 +27,9 @@ CATALOGUE_COLUMNS = {
 
 SPREAD = "null_spread"
 
+#: The day that stored clicks are partitioned by; clicks without a time lie on ``NO_DAY``.
+EVENT_DAY, NO_DAY = "event_day", "1900-01-01"
+
 
 def catalogue_columns(products: DataFrame) -> DataFrame:
     """The product columns an enriched click carries, under their new names."""
@@ -40,6 +43,12 @@ def event_time(df: DataFrame, column: str = "event_timestamp") -> Column:
     return F.col(column).cast("timestamp")
 
 
+def with_event_day(clicks: DataFrame) -> DataFrame:
+    """Clicks with the day that their table is stored by."""
+    day = F.coalesce(event_time(clicks).cast("date"), F.lit(NO_DAY).cast("date"))
+    return clicks.withColumn(EVENT_DAY, day)
+
+
 def left_join_spread(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:
     """Left join on ``key`` that does not send all null keys to one task.
 

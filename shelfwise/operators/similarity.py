@@ -46,7 +46,7 @@ def matches(filters: Mapping[str, object] | None) -> Column:
     return condition
 
 
-def _word_counts(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
+def word_counts(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
     return df.select(*keys, F.explode(words(text)).alias("word")).groupBy(*keys, "word").agg(
         F.count("*").alias("times")
     )
@@ -70,7 +70,7 @@ def word_weights(text_words: DataFrame, total: Column) -> DataFrame:
     return idf.where(F.col("idf") > 0)
 
 
-def _unit_queries(query_words: DataFrame, idf: DataFrame, total: Column, key: str) -> DataFrame:
+def unit_queries(query_words: DataFrame, idf: DataFrame, total: Column, key: str) -> DataFrame:
     """Query words with their weights, each query of length 1.
 
     A word no product has still counts towards the length. So does none that all
@@ -90,12 +90,12 @@ def text_similarity(texts: DataFrame, queries: DataFrame, catalogue: DataFrame |
     scores 0.
     """
     catalogue = texts if catalogue is None else catalogue
-    known_words = _word_counts(catalogue, ["product_id", "block"], F.col("text"))
-    text_words = known_words if catalogue is texts else _word_counts(texts, ["product_id", "block"], F.col("text"))
+    known_words = word_counts(catalogue, ["product_id", "block"], F.col("text"))
+    text_words = known_words if catalogue is texts else word_counts(texts, ["product_id", "block"], F.col("text"))
     total = catalogue.select(F.count("*")).scalar()
     idf = word_weights(known_words, total)
-    asked = _mark_known(_word_counts(queries, ["block"], F.col("text")), known_words)
-    unit = _unit_queries(asked, idf, total, "block").select("block", "word", "asked")
+    asked = _mark_known(word_counts(queries, ["block"], F.col("text")), known_words)
+    unit = unit_queries(asked, idf, total, "block").select("block", "word", "asked")
 
     weight = F.col("times") * F.col("idf")
     shared = F.coalesce(F.sum(weight * F.col("asked")), F.lit(0.0))
@@ -121,15 +121,15 @@ def search_text(
     null asks the whole catalogue. Filters pick the candidates before any is scored.
     Only words that tell products apart bring products and queries together.
     """
-    known_words = _word_counts(corpus(products, F.col("category")), ["product_id", "block"], F.col("text"))
+    known_words = word_counts(corpus(products, F.col("category")), ["product_id", "block"], F.col("text"))
     candidates = products.where(matches(filters))
     some_words = known_words
     if filters:
-        some_words = _word_counts(corpus(candidates, F.col("category")), ["product_id", "block"], F.col("text"))
+        some_words = word_counts(corpus(candidates, F.col("category")), ["product_id", "block"], F.col("text"))
     total = products.where(F.col("product_id").isNotNull()).select(F.count("*")).scalar()
     idf = word_weights(known_words, total)
-    asked = _word_counts(queries, ["query_id", "category"], F.col("text"))
-    unit = _unit_queries(_mark_known(asked, known_words), idf, total, "query_id").where(F.col("asked") > 0)
+    asked = word_counts(queries, ["query_id", "category"], F.col("text"))
+    unit = unit_queries(_mark_known(asked, known_words), idf, total, "query_id").where(F.col("asked") > 0)
 
     weighed = some_words.join(idf, "word").withColumn("weight", F.col("times") * F.col("idf"))
     lengths = weighed.groupBy("product_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length"))

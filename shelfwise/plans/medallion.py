@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.functions.clock import AsOf
-from shelfwise.operators.enrich import enrich_clicks
+from shelfwise.operators.enrich import EVENT_DAY, enrich_clicks, with_event_day
 from shelfwise.operators.golden import golden_record
 from shelfwise.operators.intent import category_intent
 from shelfwise.operators.recommend import category_candidates
 from shelfwise.operators.segments import segments
 from shelfwise.operators.similarity import style_hits
+from shelfwise.operators.text_index import TextIndex, build_index, open_index, publish_index, store_index
 from shelfwise.sources import files
 from shelfwise.sources.scratch import cut_lineage
-from shelfwise.sources.tables import publish_table
+from shelfwise.sources.tables import digests, publish_table, replace_partitions
 
 # Names of the input files.
 CLICKSTREAM_FILE = "clickstream_events.csv"
@@ -34,6 +39,20 @@ GOLDEN_TABLE = "silver_customer_golden_record"
 INTENT_TABLE = "gold_category_intent_scores"
 SEGMENTS_TABLE = "gold_high_value_segments"
 CANDIDATES_TABLE = "gold_category_candidates"
+DAYS_TABLE = "bronze_click_days"
+
+COMMENTS = {
+    CLICKS_TABLE: "Raw click events",
+    PRODUCTS_TABLE: "Raw product catalogue",
+    CUSTOMERS_TABLE: "Raw customer profiles",
+    PURCHASES_TABLE: "Raw purchase history",
+    ENRICHED_TABLE: "Typed click events with product columns",
+    GOLDEN_TABLE: "One masked row per customer with purchase aggregates",
+    INTENT_TABLE: "Recent interest per customer and category",
+    SEGMENTS_TABLE: "Customer segments",
+    CANDIDATES_TABLE: "Products to recommend per category",
+    DAYS_TABLE: "Rows and digest of each day's clicks",
+}
 
 
 @dataclass(frozen=True)
@@ -74,6 +93,11 @@ class Medallion:
         products = self.bronze.products
         return category_candidates(products, self.intent, style_hits(products))
 
+    @cached_property
+    def text_index(self) -> TextIndex:
+        """The catalogue's text index; stored when first asked for."""
+        return store_index(build_index(self.bronze.products))
+
     def settle(self, *names: str) -> Medallion:
         """Write the named layers to the scratch folder and go on from there.
 
@@ -95,34 +119,112 @@ def read_bronze(spark: SparkSession, folder: str) -> Bronze:
     )
 
 
-def publish(bronze: Bronze, database: str, as_of: AsOf = None, window: str = "calendar") -> Medallion:
-    """Write every layer as a table; each later layer reads the stored one before it."""
+def _at_once(*steps: Callable[[], object]) -> list:
+    """Run steps that do not need each other side by side; Spark shares out the cores."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [running.result() for running in [pool.submit(step) for step in steps]]
 
-    def stored(df: DataFrame, name: str, layer: str, comment: str) -> DataFrame:
-        return publish_table(df, f"{database}.{name}", layer, comment)
 
-    layers = Medallion(
-        Bronze(
-            clicks=stored(bronze.clicks, CLICKS_TABLE, "bronze", "Raw click events"),
-            products=stored(bronze.products, PRODUCTS_TABLE, "bronze", "Raw product catalogue"),
-            customers=stored(bronze.customers, CUSTOMERS_TABLE, "bronze", "Raw customer profiles"),
-            purchases=stored(bronze.purchases, PURCHASES_TABLE, "bronze", "Raw purchase history"),
-        ),
-        as_of,
-        window,
-    )
-    layers.enriched = stored(
-        layers.enriched, ENRICHED_TABLE, "silver", "Typed click events with product columns"
+class _Tables:
+    """The published tables of one database."""
+
+    def __init__(self, database: str):
+        self.database = database
+
+    def name(self, table: str) -> str:
+        return f"{self.database}.{table}"
+
+    def store(self, df: DataFrame, table: str, layer: str) -> DataFrame:
+        by = [EVENT_DAY] if table in (CLICKS_TABLE, ENRICHED_TABLE) else []
+        return publish_table(df, self.name(table), layer, COMMENTS[table], by)
+
+    def store_derived(self, layers: Medallion) -> None:
+        """The layers that depend on the whole of others or on the clock."""
+
+        def golden() -> None:
+            layers.golden = self.store(layers.golden, GOLDEN_TABLE, "silver")
+
+        def intent() -> None:
+            layers.intent = self.store(layers.intent, INTENT_TABLE, "gold")
+
+        def segment() -> None:
+            layers.segments = self.store(layers.segments, SEGMENTS_TABLE, "gold")
+
+        def candidates() -> None:
+            layers.candidates = self.store(layers.candidates, CANDIDATES_TABLE, "gold")
+
+        _at_once(golden, intent)
+        _at_once(segment, candidates)
+
+
+def publish(bronze: Bronze, database: str, as_of: AsOf = None, window: str = "calendar") -> Medallion:
+    """Write every layer as a table; each later layer reads the stored one before it.
+
+    Clicks are stored by day, and the days' digests beside them, for ``refresh``.
+    """
+    tables = _Tables(database)
+    clicks, products, customers, purchases = _at_once(
+        lambda: tables.store(with_event_day(bronze.clicks), CLICKS_TABLE, "bronze"),
+        lambda: tables.store(bronze.products, PRODUCTS_TABLE, "bronze"),
+        lambda: tables.store(bronze.customers, CUSTOMERS_TABLE, "bronze"),
+        lambda: tables.store(bronze.purchases, PURCHASES_TABLE, "bronze"),
     )
-    layers.golden = stored(
-        layers.golden, GOLDEN_TABLE, "silver", "One masked row per customer with purchase aggregates"
+    layers = Medallion(Bronze(clicks, products, customers, purchases), as_of, window)
+    layers.enriched, layers.text_index, _ = _at_once(
+        lambda: tables.store(layers.enriched, ENRICHED_TABLE, "silver"),
+        lambda: publish_index(build_index(products), database),
+        lambda: tables.store(digests(clicks, [EVENT_DAY]), DAYS_TABLE, "bronze"),
     )
-    layers.intent = stored(layers.intent, INTENT_TABLE, "gold", "Recent interest per customer and category")
-    layers.segments = stored(layers.segments, SEGMENTS_TABLE, "gold", "Customer segments")
-    layers.candidates = stored(layers.candidates, CANDIDATES_TABLE, "gold", "Products to recommend per category")
+    tables.store_derived(layers)
     return layers
 
 
+def _changed(new: DataFrame, stored: DataFrame) -> bool:
+    return digests(new.select(*stored.columns)).first() != digests(stored).first()
+
+
+def refresh(bronze: Bronze, database: str, as_of: AsOf = None, window: str = "calendar") -> tuple[Medallion, list[date]]:
+    """Bring the tables that ``publish`` wrote up to date, and tell which days changed.
+
+    Only days whose clicks differ from the stored ones are written again, in the click
+    tables; the other days' files stay. A changed catalogue is replaced with its text
+    index, and then all days are enriched again. What depends on the clock is replaced.
+    """
+    spark, tables = bronze.clicks.sparkSession, _Tables(database)
+    layers = open_layers(spark, database, as_of)
+    layers.window = window
+    clicks = with_event_day(bronze.clicks).select(*layers.bronze.clicks.columns)
+    days = cut_lineage(digests(clicks, [EVENT_DAY]), "days")
+    stored = spark.table(tables.name(DAYS_TABLE)).withColumnsRenamed({"rows": "old_rows", "digest": "old_digest"})
+    same = F.col("rows").eqNullSafe(F.col("old_rows")) & F.col("digest").eqNullSafe(F.col("old_digest"))
+    changed = sorted(row[0] for row in days.join(stored, EVENT_DAY, "full").where(~same).select(EVENT_DAY).collect())
+    if changed:
+        replace_partitions(clicks.where(F.col(EVENT_DAY).isin(changed)), tables.name(CLICKS_TABLE), EVENT_DAY, changed)
+        days.write.mode("overwrite").insertInto(tables.name(DAYS_TABLE))
+    again = changed
+    if _changed(bronze.products, layers.bronze.products):
+        products = tables.store(bronze.products, PRODUCTS_TABLE, "bronze")
+        layers.text_index = publish_index(build_index(products), database)
+        again = sorted(row[0] for row in days.select(EVENT_DAY).collect())
+    for new, old, table in (
+        (bronze.customers, layers.bronze.customers, CUSTOMERS_TABLE),
+        (bronze.purchases, layers.bronze.purchases, PURCHASES_TABLE),
+    ):
+        if _changed(new, old):
+            tables.store(new, table, "bronze")
+    names = (CLICKS_TABLE, PRODUCTS_TABLE, CUSTOMERS_TABLE, PURCHASES_TABLE)
+    for name in (*names, ENRICHED_TABLE, DAYS_TABLE):
+        spark.catalog.refreshTable(tables.name(name))
+    fresh = Medallion(Bronze(*(spark.table(tables.name(name)) for name in names)), as_of, window)
+    if again:
+        part = fresh.bronze.clicks.where(F.col(EVENT_DAY).isin(list(again)))
+        replace_partitions(enrich_clicks(part, fresh.bronze.products), tables.name(ENRICHED_TABLE), EVENT_DAY, again)
+        spark.catalog.refreshTable(tables.name(ENRICHED_TABLE))
+    fresh.enriched, fresh.text_index = spark.table(tables.name(ENRICHED_TABLE)), layers.text_index
+    tables.store_derived(fresh)
+    return fresh, changed
+
+
 def open_layers(spark: SparkSession, database: str, as_of: AsOf = None) -> Medallion:
     """The layers published in ``database`` (``catalog.database`` works as well)."""
 
@@ -137,4 +239,5 @@ def open_layers(spark: SparkSession, database: str, as_of: AsOf = None) -> Medal
     layers.intent = table(INTENT_TABLE)
     layers.segments = table(SEGMENTS_TABLE)
     layers.candidates = table(CANDIDATES_TABLE)
+    layers.text_index = open_index(spark, database)
     return layers

@@ -435,3 +435,13 @@ def oracle(name: str) -> str:
     result = RESULTS[name]
     steps = ", ".join(f"{step} AS ({STEPS[step]})" for step in _needed(result))
     return f"WITH {steps} SELECT * FROM ({result})" if steps else result
+
+# Searches from the stored index give what the unindexed ones give.
+RESULTS["indexed_text"] = RESULTS["similar_text"]
+RESULTS["indexed_text_filtered"] = RESULTS["similar_text_filtered"]
+RESULTS["indexed_hits"] = RESULTS["search_hits"]
+RESULTS["one_customer_style"] = f"""SELECT * FROM ({RESULTS["style_recommendations"]})
+ WHERE customer_id = (SELECT min(customer_id) FROM customers)"""
+RESULTS["refreshed_segments"] = RESULTS["published_segments"]
+RESULTS["click_days"] = """SELECT event_timestamp::DATE AS event_day, count(*) AS raw_rows,
+ nullif(count(*) FILTER (customer_id IS NOT NULL), 0) AS enriched_rows FROM clicks GROUP BY 1"""

@@ -7,7 +7,8 @@ as doubles, arrays and maps as text, so that results compare across engines.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -25,17 +26,20 @@ from shelfwise.operators import (
     recommend,
     similarity,
     state,
+    text_index,
 )
-from shelfwise.operators.enrich import CLICK_RULES, enrich_clicks
+from shelfwise.operators.enrich import CLICK_RULES, EVENT_DAY, enrich_clicks
 from shelfwise.plans.medallion import (
     CLICKSTREAM_FILE,
     CUSTOMERS_FILE,
     PRODUCTS_FILE,
     PURCHASES_FILE,
+    Bronze,
     Medallion,
     open_layers,
     publish,
     read_bronze,
+    refresh,
 )
 from shelfwise.plans.recommendations import Recommendations
 from shelfwise.sources import files, sample_tables
@@ -127,6 +131,24 @@ def joined_text(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda v: v.cast("string")), ",")
 
 
+def _search_terms(s: Samples) -> DataFrame:
+    terms = s.clicks.where(F.col("search_term").isNotNull()).select("search_term").distinct()
+    return terms.select(
+        F.col("search_term").alias("query_id"), F.col("search_term").alias("text"), F.lit(None).cast("string").alias("category")
+    )
+
+
+@contextmanager
+def scratch_database(spark: SparkSession) -> Iterator[str]:
+    """A database that is gone afterwards."""
+    database = f"shelfwise_{uuid.uuid4().hex}"
+    spark.sql("CREATE DATABASE IDENTIFIER(:name)", {"name": database})
+    try:
+        yield database
+    finally:
+        spark.sql("DROP DATABASE IDENTIFIER(:name) CASCADE", {"name": database})
+
+
 REGISTRY: dict[str, Query] = {}
 
 
@@ -220,10 +242,29 @@ def segment_counts(s: Samples) -> DataFrame:
 @query
 def published_segments(s: Samples) -> DataFrame:
     """Every layer published as a table, then the segments read back by name."""
-    database = f"shelfwise_{uuid.uuid4().hex}"
-    s.spark.sql("CREATE DATABASE IDENTIFIER(:name)", {"name": database})
-    publish(s.bronze, database, AS_OF)
-    return open_layers(s.spark, database, AS_OF).segments
+    with scratch_database(s.spark) as database:
+        publish(s.bronze, database, AS_OF)
+        return cut_lineage(open_layers(s.spark, database, AS_OF).segments, "segments")
+
+
+@query
+def refreshed_segments(s: Samples) -> DataFrame:
+    """The layers published without the last day's clicks, then brought up to date."""
+    earlier = s.clicks.where(F.col("event_timestamp") < F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 1 DAY"))
+    with scratch_database(s.spark) as database:
+        publish(Bronze(earlier, s.products, s.customers, s.purchases), database, AS_OF)
+        refresh(s.bronze, database, AS_OF)
+        return cut_lineage(open_layers(s.spark, database, AS_OF).segments, "segments")
+
+
+@query
+def click_days(s: Samples) -> DataFrame:
+    """Rows of each published day, of the raw and of the enriched clicks."""
+    with scratch_database(s.spark) as database:
+        layers = publish(s.bronze, database, AS_OF)
+        raw = layers.bronze.clicks.groupBy(EVENT_DAY).agg(F.count("*").alias("raw_rows"))
+        clean = layers.enriched.groupBy(EVENT_DAY).agg(F.count("*").alias("enriched_rows"))
+        return cut_lineage(raw.join(clean, EVENT_DAY, "left"), "days")
 
 
 @query
@@ -344,6 +385,35 @@ def similar_text_filtered(s: Samples) -> DataFrame:
     return found.select("product_id", "product_name", "category", "similarity")
 
 
+@query
+def indexed_text(s: Samples) -> DataFrame:
+    """The first of the text searches from the stored index."""
+    found = text_index.find_products(s.text_index, s.products, "roomy blue widget in promo style", 20)
+    return found.select("product_id", "product_name", "category", "similarity")
+
+
+@query
+def indexed_text_filtered(s: Samples) -> DataFrame:
+    filters = {"is_new_arrival": True, "category": "PROMO"}
+    found = text_index.find_products(s.text_index, s.products, "small red bolt", 20, filters)
+    return found.select("product_id", "product_name", "category", "similarity")
+
+
+@query
+def indexed_hits(s: Samples) -> DataFrame:
+    """Every search term of the clicks, asked from the stored index."""
+    hits = text_index.search(s.text_index, _search_terms(s), 5).drop("category")
+    return hits.join(s.products.select(*similarity.HIT_COLUMNS), "product_id")
+
+
+@query
+def one_customer_style(s: Samples) -> DataFrame:
+    """Style recommendations of the customer with the smallest id."""
+    first = s.customers.agg(F.min("customer_id")).first()[0]
+    listed = joined_text(F.col("products.product_id")).alias("product_ids")
+    return Recommendations(s, AS_OF).style(first).select("customer_id", "interest_rank", "category", listed)
+
+
 @query
 def style_hits(s: Samples) -> DataFrame:
     return similarity.style_hits(s.products).select("category", "hit_rank", "product_id", "similarity")
@@ -371,11 +441,7 @@ def similar_vectors(s: Samples) -> DataFrame:
 @query
 def search_hits(s: Samples) -> DataFrame:
     """Products for every search term of the clicks, each term asked once."""
-    terms = s.clicks.where(F.col("search_term").isNotNull()).select("search_term").distinct()
-    asked = terms.select(
-        F.col("search_term").alias("query_id"), F.col("search_term").alias("text"), F.lit(None).cast("string").alias("category")
-    )
-    return similarity.search_text(s.products, asked, k=5)
+    return similarity.search_text(s.products, _search_terms(s), k=5)
 
 
 @query

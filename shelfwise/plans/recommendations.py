@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.clock import AsOf
-from shelfwise.operators import recommend, similarity
+from shelfwise.operators import recommend, similarity, text_index
 from shelfwise.plans.medallion import Medallion
+from shelfwise.sources.scratch import cut_lineage
 
 
 def _only(df: DataFrame, customer_id: object | None) -> DataFrame:
@@ -34,11 +35,19 @@ class Recommendations:
         return self._interests(customer_id, n).orderBy("customer_id", "interest_rank")
 
     def similar_products(self, query_text: str, k: int = 5, filters: dict | None = None) -> DataFrame:
-        return similarity.similar_by_text(self.layers.bronze.products, query_text, k, filters)
+        """From the catalogue's text index: reads the postings of the query's words."""
+        return text_index.find_products(self.layers.text_index, self.layers.bronze.products, query_text, k, filters)
 
     def style(self, customer_id: object | None = None, new_arrivals: bool = True) -> DataFrame:
-        hits = similarity.style_hits(self.layers.bronze.products, new_arrivals=new_arrivals)
-        return recommend.style_basket(self._interests(customer_id), hits)
+        """For one customer only the categories that interest them are looked up."""
+        products = self.layers.bronze.products
+        if customer_id is None:
+            hits = similarity.style_hits(products, new_arrivals=new_arrivals)
+            return recommend.style_basket(self._interests(None), hits)
+        interests = cut_lineage(self._interests(customer_id), "interests")
+        categories = interests.select("category")
+        hits = text_index.style_lookups(self.layers.text_index, products, categories, new_arrivals=new_arrivals)
+        return recommend.style_basket(interests, hits)
 
     def content_scores(self, customer_id: object | None = None) -> DataFrame:
         """From the candidates of the customers' categories, which published layers store."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,43 @@ from pyspark.sql import functions as F
 BATCH = "batch_id"
 
 
-def publish_table(df: DataFrame, name: str, layer: str, comment: str) -> DataFrame:
+def publish_table(
+    df: DataFrame, name: str, layer: str, comment: str, partitioned_by: Sequence[str] = ()
+) -> DataFrame:
     """Replace table ``name``, record its layer and comment, and return the stored table."""
     spark = df.sparkSession
-    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+    df.write.mode("overwrite").format("parquet").partitionBy(*partitioned_by).saveAsTable(name)
     spark.sql("ALTER TABLE IDENTIFIER(:name) SET TBLPROPERTIES ('quality' = :layer)", {"name": name, "layer": layer})
     spark.sql("COMMENT ON TABLE IDENTIFIER(:name) IS :comment", {"name": name, "comment": comment})
     return spark.table(name)
 
 
+def digests(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys, rows, digest)``: how many rows a key has, and a sum over their hashes,
+    which changes whenever a row is added, removed or altered."""
+    hashed = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.coalesce(F.sum(hashed), F.lit(0)).alias("digest"))
+
+
+def replace_partitions(df: DataFrame, name: str, column: str, days: Sequence[date]) -> None:
+    """Replace the partitions ``days`` of table ``name`` by the rows of ``df``, which has
+    no others. Partitions that get no rows are dropped; no other file is touched."""
+    spark = df.sparkSession
+    ordered = df.select(*spark.table(name).columns)
+    # Few rows of a partition lie in each task, so that every partition gets few files.
+    dealt = ordered.repartition(column, F.pmod(F.xxhash64(*ordered.columns), F.lit(8)))
+    mode = "spark.sql.sources.partitionOverwriteMode"  # inserts follow the session, not the writer
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        dealt.write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(mode, before)
+    left = {row[0] for row in df.select(column).distinct().collect()}
+    for day in set(days) - left:
+        spark.sql(f"ALTER TABLE IDENTIFIER(:name) DROP IF EXISTS PARTITION ({column} = DATE'{day}')", {"name": name})
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

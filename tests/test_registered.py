@@ -16,7 +16,7 @@ SF_DIR = os.environ.get("CHECK_SF_DIR", f"{DATA}/sf0.01")
 QUERIES = REGISTRY
 SQL = {name: oracle(name) for name in RESULTS}
 #: Queries that promise an order, beside the rows.
-ORDERED = ("vip", "trending", "similar_text", "similar_text_filtered", "one_customer")
+ORDERED = ("vip", "trending", "similar_text", "similar_text_filtered", "indexed_text", "indexed_text_filtered", "one_customer")
 
 
 @pytest.fixture(scope="module")
