@@ -251,18 +251,21 @@ def last_purchase_companions(baskets: DataFrame, n: int = PRODUCTS_PER_CATEGORY)
     return ranked.where(F.col("companion_rank") <= n)
 
 
-def _unowned(customers: DataFrame, key: str, ranked: DataFrame, baskets: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` products of each customer's ``key`` that the customer does not own.
+#: The two groups of shoppers that a customer's last purchase puts them in, with the words of the reason.
+SHOPPERS = {
+    "product": "Bought by %d of %d shoppers with the same last purchase",
+    "category": "Bought by %d of %d shoppers who last bought in the same category",
+}
 
-    Of the first ``n + basket_size`` at least ``n`` are not owned, so a customer asks
-    for that many ranks and no more.
-    """
-    ranks = F.sequence(F.lit(1).cast("long"), F.lit(n) + F.col("basket_size"))
-    asked = customers.select("customer_id", key, F.explode(ranks).alias("companion_rank"))
-    found = asked.join(ranked.withColumn("companion_rank", F.col("companion_rank").cast("long")), [key, "companion_rank"])
-    new = found.join(baskets, ["customer_id", "product_id"], "left_anti")
-    best = Window.partitionBy("customer_id").orderBy("companion_rank")
-    return new.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n).drop("place")
+
+def _shopper_groups(baskets: DataFrame, products: DataFrame) -> DataFrame:
+    """``(customer_id, basket_size, anchor_id, kind, key)``: each customer's groups."""
+    sizes = baskets.groupBy("customer_id").agg(F.count("*").alias("basket_size"))
+    categories = products.select(F.col("product_id").alias("anchor_id"), F.col("category").alias("anchor_category"))
+    anchors = latest_products(baskets).join(sizes, "customer_id").join(categories, "anchor_id", "left")
+    keys = {"product": F.col("anchor_id").cast("string"), "category": F.col("anchor_category").cast("string")}
+    groups = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in keys.items()])
+    return anchors.select("customer_id", "basket_size", "anchor_id", F.inline(groups)).where("key is not null")
 
 
 def collaborative_scores(
@@ -270,37 +273,37 @@ def collaborative_scores(
 ) -> DataFrame:
     """What others bought, that the customer does not own yet: ``n`` products or all.
 
-    First come companions of the customer's last purchase. A customer for whom there
-    are none gets the products most bought by customers whose last purchase lies in
-    the same category. The score is the share of those customers who bought the
-    product. Small steps are written when this is called, since several later ones
-    read them.
+    First come products bought by shoppers with the same last purchase, then those
+    bought by shoppers whose last purchase lies in the same category. The score is the
+    share of those shoppers who bought the product. Of a group's first ``2 n`` +
+    ``basket_size`` products at least ``n`` are neither owned nor named already, so no
+    longer list is kept or asked for. Small steps are written when this is called.
     """
     baskets = cut_lineage(purchase_baskets(purchases), "baskets")
-    last = latest_products(baskets)
-    sizes = baskets.groupBy("customer_id").agg(F.count("*").alias("basket_size"))
-    anchors = cut_lineage(last.join(sizes, "customer_id"), "anchors")
-    companions = ranked_companions(baskets, anchors.select("customer_id", "anchor_id"))
-    direct = cut_lineage(_unowned(anchors, "anchor_id", companions, baskets, n), "direct")
+    groups = cut_lineage(_shopper_groups(baskets, products), "groups")
+    wanted = (F.lit(2 * n) + F.col("basket_size")).cast("long")
+    sizes = groups.groupBy("kind", "key").agg(F.count("*").alias("shoppers"), F.max(wanted).alias("longest"))
 
-    categories = products.select(F.col("product_id").alias("anchor_id"), F.col("category").alias("anchor_category"))
-    placed = cut_lineage(anchors.join(categories.where("anchor_category is not null"), "anchor_id"), "placed")
-    bought = baskets.join(placed.select("customer_id", "anchor_category"), "customer_id")
-    buyers = placed.groupBy("anchor_category").agg(F.count("*").alias("anchor_buyers"))
-    popular = _ranked(bought, "anchor_category").join(buyers, "anchor_category")
-    without = placed.join(direct.select("customer_id").distinct(), "customer_id", "left_anti")
-    indirect = _unowned(without, "anchor_category", popular, baskets, n)
-
-    reasons = (
-        (direct, "Bought by %d of %d shoppers with the same last purchase"),
-        (indirect, "Bought by %d of %d shoppers who last bought in the same category"),
-    )
-    offered = None
-    for found, words in reasons:
-        reasoning = F.format_string(words, F.col("co_buyers"), F.col("anchor_buyers"))
-        part = found.select("customer_id", "product_id", "co_buyers", "anchor_buyers", reasoning.alias("reasoning"))
-        offered = part if offered is None else offered.unionByName(part)
-    score = F.round(rules.ratio(F.col("co_buyers"), F.col("anchor_buyers")).cast("decimal(18,8)"), 4)
+    bought = baskets.select("customer_id", "product_id").join(groups, "customer_id")
+    others = bought.where((F.col("kind") != "product") | (F.col("product_id") != F.col("anchor_id")))
+    counted = others.groupBy("kind", "key", "product_id").agg(F.count("*").alias("co_buyers"))
+    order = [F.desc("co_buyers"), F.col("product_id")]
+    ranked = running_total(counted.withColumn("one", F.lit(1)), ["kind", "key"], order, "one", "rank").drop("one")
+    ranked = ranked.join(sizes, ["kind", "key"]).where(F.col("rank") <= F.col("longest")).drop("longest")
+    ranked = cut_lineage(ranked.withColumn("rank", F.col("rank").cast("long")), "companions")
+
+    lengths = ranked.groupBy("kind", "key").agg(F.max("rank").alias("length"))
+    ranks = F.sequence(F.lit(1).cast("long"), F.least(wanted, F.col("length")))
+    asked = groups.join(lengths, ["kind", "key"]).select("customer_id", "kind", "key", F.explode(ranks).alias("rank"))
+    found = asked.join(ranked, ["kind", "key", "rank"]).join(baskets, ["customer_id", "product_id"], "left_anti")
+    place = F.struct((F.col("kind") != "product").alias("later"), "rank", "kind", "co_buyers", "shoppers")
+    once = found.groupBy("customer_id", "product_id").agg(F.min(place).alias("place"))
+    first = Window.partitionBy("customer_id").orderBy("place")
+    offered = once.withColumn("slot", F.row_number().over(first)).where(F.col("slot") <= n)
+    offered = offered.select("customer_id", "product_id", "place.kind", "place.co_buyers", "place.shoppers")
+
+    score = F.round(rules.ratio(F.col("co_buyers"), F.col("shoppers")).cast("decimal(18,8)"), 4)
+    words = F.when(F.col("kind") == "product", SHOPPERS["product"]).otherwise(SHOPPERS["category"])
     catalogue = products.select(
         "product_id", "product_name", "category", "price", "rating", "is_new_arrival"
     )
@@ -308,6 +311,7 @@ def collaborative_scores(
         offered.join(catalogue, "product_id")
         .withColumn("score", score.cast("decimal(18,4)"))
         .withColumn("score_type", F.lit("collaborative"))
+        .withColumn("reasoning", F.call_function("format_string", words, F.col("co_buyers"), F.col("shoppers")))
         .select(*SCORE_COLUMNS)
     )
 

@@ -144,10 +144,13 @@ STEPS = {
     "popular": """SELECT anchor_category, product_id, count(*) AS co_buyers,
  any_value(anchor_buyers) AS anchor_buyers FROM baskets JOIN placed USING (customer_id)
  JOIN (SELECT anchor_category, count(*) AS anchor_buyers FROM placed GROUP BY 1) USING (anchor_category) GROUP BY 1, 2""",
-    "indirect": """SELECT * FROM (SELECT customer_id, c.product_id, co_buyers, anchor_buyers, row_number() OVER (PARTITION BY
- customer_id ORDER BY co_buyers DESC, c.product_id) AS place FROM placed JOIN popular c USING (anchor_category)
- WHERE customer_id NOT IN (SELECT customer_id FROM direct) AND NOT EXISTS
- (SELECT 1 FROM baskets b WHERE b.customer_id = placed.customer_id AND b.product_id = c.product_id)) WHERE place <= 10""",
+    "named": """SELECT customer_id, count(*) AS named FROM direct GROUP BY 1""",
+    "indirect": """SELECT * EXCLUDE (named) FROM (SELECT customer_id, c.product_id, co_buyers, anchor_buyers,
+ row_number() OVER (PARTITION BY customer_id ORDER BY co_buyers DESC, c.product_id) AS place
+ FROM placed JOIN popular c USING (anchor_category)
+ WHERE NOT EXISTS (SELECT 1 FROM baskets b WHERE b.customer_id = placed.customer_id AND b.product_id = c.product_id)
+ AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.customer_id = placed.customer_id AND d.product_id = c.product_id))
+ LEFT JOIN named USING (customer_id) WHERE place <= 10 - coalesce(named, 0)""",
     "collab": """SELECT customer_id, p.product_id, product_name, category, price, rating, is_new_arrival,
  round((co_buyers::DOUBLE / anchor_buyers)::DECIMAL(18,8), 4) AS score, 'collaborative' AS score_type,
  concat('Bought by ', co_buyers, ' of ', anchor_buyers, why) AS reasoning
@@ -443,5 +446,11 @@ RESULTS["indexed_hits"] = RESULTS["search_hits"]
 RESULTS["one_customer_style"] = f"""SELECT * FROM ({RESULTS["style_recommendations"]})
  WHERE customer_id = (SELECT min(customer_id) FROM customers)"""
 RESULTS["refreshed_segments"] = RESULTS["published_segments"]
+RESULTS["co_purchase_pairs"] = """SELECT product_id, other_id, co_buyers,
+ round(co_buyers / sqrt(a.n * b.n), 6) AS cosine FROM (SELECT x.product_id, y.product_id AS other_id, count(*) AS co_buyers
+ FROM baskets x JOIN baskets y ON x.customer_id = y.customer_id AND x.product_id < y.product_id GROUP BY 1, 2)
+ JOIN (SELECT product_id, count(*) AS n FROM baskets GROUP BY 1) a USING (product_id)
+ JOIN (SELECT product_id AS other_id, count(*) AS n FROM baskets GROUP BY 1) b USING (other_id)
+ WHERE 10000 * co_buyers * co_buyers >= 225 * a.n * b.n AND a.n >= 2 AND b.n >= 2"""
 RESULTS["click_days"] = """SELECT event_timestamp::DATE AS event_day, count(*) AS raw_rows,
  nullif(count(*) FILTER (customer_id IS NOT NULL), 0) AS enriched_rows FROM clicks GROUP BY 1"""

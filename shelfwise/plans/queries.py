@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from decimal import Decimal
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from shelfwise.functions import rules
 from shelfwise.operators import (
+    co_purchase,
     intent as intents,
     loyalty,
     metrics,
@@ -56,6 +58,7 @@ PROFILE_DEFAULTS = ("PROMO", "SMALL")
 LAPSED_CATEGORY = "PROMO"
 STREAM_DELAY = "1 hour"
 VECTOR_LENGTH = 64
+LEAST_COSINE = Decimal("0.15")
 
 
 class SampleBronze:
@@ -367,6 +370,12 @@ def last_purchase_companions(s: Samples) -> DataFrame:
     return recommend.last_purchase_companions(baskets)
 
 
+@query
+def co_purchase_pairs(s: Samples) -> DataFrame:
+    """All pairs of products whose buyers' cosine is at least 0.15."""
+    return co_purchase.co_purchase_pairs(s.purchases, LEAST_COSINE)
+
+
 @query
 def collaborative_scores(s: Samples) -> DataFrame:
     return recommend.collaborative_scores(s.purchases, s.products)
