@@ -452,5 +452,6 @@ RESULTS["co_purchase_pairs"] = """SELECT product_id, other_id, co_buyers,
  JOIN (SELECT product_id, count(*) AS n FROM baskets GROUP BY 1) a USING (product_id)
  JOIN (SELECT product_id AS other_id, count(*) AS n FROM baskets GROUP BY 1) b USING (other_id)
  WHERE 10000 * co_buyers * co_buyers >= 225 * a.n * b.n AND a.n >= 2 AND b.n >= 2"""
+RESULTS["stream_live_sessions"] = RESULTS["stream_sessions"]
 RESULTS["click_days"] = """SELECT event_timestamp::DATE AS event_day, count(*) AS raw_rows,
  nullif(count(*) FILTER (customer_id IS NOT NULL), 0) AS enriched_rows FROM clicks GROUP BY 1"""

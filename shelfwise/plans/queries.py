@@ -49,8 +49,16 @@ from shelfwise.sources.sample_tables import AS_OF
 from shelfwise.sources.scratch import cut_lineage, scratch_path
 from shelfwise.sources.tables import append_rows, read_upserted, replace_snapshot, upsert
 from shelfwise.streaming import clicks as streams
+from shelfwise.streaming.keyed_state import (
+    keyed_state,
+    live_sessions,
+    points_with_openings,
+    post_openings,
+    read_sessions,
+    store_sessions,
+)
 from shelfwise.streaming.runs import run_batches, run_to_files, run_updates
-from shelfwise.streaming.state import SCORE_KEYS, SCORE_NEWEST, post_points, upsert_scores
+from shelfwise.streaming.state import SCORE_KEYS, SCORE_NEWEST, upsert_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -715,12 +723,7 @@ def stream_intent_half_past(s: Samples) -> DataFrame:
     return streams.intent_from_buckets(_stream_buckets(s, "1 hour"), "2024-01-30 12:30:00", s.enriched)
 
 
-@query
-def stream_sessions(s: Samples) -> DataFrame:
-    """Sessions that the stream has closed, and those still open in the stored clicks."""
-    sessions = streams.stream_sessions(enrich_clicks(s.click_stream(), s.products), "6 hours", STREAM_DELAY)
-    closed = run_to_files(sessions, scratch_path(s.spark, "sessions"), scratch_path(s.spark, "stream"))
-    rows = closed.unionByName(streams.open_sessions(s.enriched, closed, "6 hours"))
+def _session_columns(rows: DataFrame) -> DataFrame:
     return rows.select(
         "customer_id",
         "started_at",
@@ -733,6 +736,24 @@ def stream_sessions(s: Samples) -> DataFrame:
     )
 
 
+@query
+def stream_sessions(s: Samples) -> DataFrame:
+    """Sessions that the stream has closed, and those still open in the stored clicks."""
+    sessions = streams.stream_sessions(enrich_clicks(s.click_stream(), s.products), "6 hours", STREAM_DELAY)
+    closed = run_to_files(sessions, scratch_path(s.spark, "sessions"), scratch_path(s.spark, "stream"))
+    return _session_columns(closed.unionByName(streams.open_sessions(s.enriched, closed, "6 hours")))
+
+
+@query
+def stream_live_sessions(s: Samples) -> DataFrame:
+    """The same sessions from keyed state, open ones included; no stored click is read."""
+    path = scratch_path(s.spark, "sessions")
+    sessions = live_sessions(enrich_clicks(s.click_stream(), s.products), 360, STREAM_DELAY)
+    with keyed_state(s.spark):
+        run_batches(sessions, store_sessions(path), scratch_path(s.spark, "stream"), "update")
+    return _session_columns(read_sessions(s.spark, path))
+
+
 @query
 def stream_ledger(s: Samples) -> DataFrame:
     """Points for events as they stream in, with the balance after each."""
@@ -748,7 +769,9 @@ def stream_ledger(s: Samples) -> DataFrame:
         F.col("event_timestamp").alias("created_at"),
     )
     ledger, balances = scratch_path(s.spark, "ledger"), scratch_path(s.spark, "balances")
-    run_batches(events, post_points(ledger, balances), scratch_path(s.spark, "stream"))
+    with keyed_state(s.spark):
+        posted = post_openings(ledger, balances)
+        run_batches(points_with_openings(events), posted, scratch_path(s.spark, "stream"), "update")
     return s.spark.read.parquet(ledger).drop("batch_id")
 
 

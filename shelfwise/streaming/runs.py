@@ -24,9 +24,9 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_batches(stream: DataFrame, each: BatchFunction, checkpoint: str) -> None:
+def run_batches(stream: DataFrame, each: BatchFunction, checkpoint: str, mode: str = "append") -> None:
     """Hand every micro-batch to ``each``; it must give the same result when repeated."""
-    _run(stream.writeStream.foreachBatch(each), checkpoint)
+    _run(stream.writeStream.outputMode(mode).foreachBatch(each), checkpoint)
 
 
 def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
