@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.operators.quality import expect_or_drop
+from shelfwise.operators.skew import repeated, salted
 
 # Names and conditions of the click rules.
 CLICK_RULES = {
@@ -49,34 +52,40 @@ def with_event_day(clicks: DataFrame) -> DataFrame:
     return clicks.withColumn(EVENT_DAY, day)
 
 
-def left_join_spread(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:
+def left_join_spread(
+    left: DataFrame, right: DataFrame, key: str, spread_by: str, hot: Sequence = ()
+) -> DataFrame:
     """Left join on ``key`` that does not send all null keys to one task.
 
     Many clicks have no product. The second key is a hash of the key, or of
     ``spread_by`` where the key is null; those rows match nothing and spread over all
     partitions. Whether the right side is broadcast stays Spark's choice from its
-    size, and adaptive execution splits a hot key of a shuffled join.
+    size, and adaptive execution splits a hot key of a shuffled join. Where there is none,
+    as in stateful streams, the rows of the ``hot`` keys are dealt into parts, and only
+    those rows of the right side are repeated.
     """
     # Both sides hash the key, so they must hold it in one type.
     right = right.withColumn(key, F.col(key).cast(left.schema[key].dataType))
-    spread = F.when(F.col(key).isNull(), F.xxhash64(spread_by)).otherwise(F.xxhash64(key))
-    joined = left.withColumn(SPREAD, spread).join(
-        right.withColumn(SPREAD, F.xxhash64(key)), [key, SPREAD], "left"
-    )
+    spread = F.when(F.col(key).isNull(), F.xxhash64(spread_by)).otherwise(salted(F.col(key), hot, F.col(spread_by)))
+    joined = left.withColumn(SPREAD, spread).join(repeated(right, key, hot, SPREAD), [key, SPREAD], "left")
     return joined.drop(SPREAD)
 
 
 def enrich_clicks(
-    clicks: DataFrame, products: DataFrame, observation: Observation | str | None = None
+    clicks: DataFrame,
+    products: DataFrame,
+    observation: Observation | str | None = None,
+    hot_products: Sequence = (),
 ) -> DataFrame:
     """Typed clicks with product columns and the category they resolve to.
 
     Works on a batch or on a stream. The rules look only at columns of the click,
-    so they run before the join and reach the scan.
+    so they run before the join and reach the scan. ``hot_products`` are those that a
+    stream must not gather in one task; ``heavy_hitters`` finds them in stored clicks.
     """
     typed = clicks.withColumn("event_timestamp", event_time(clicks))
     valid = expect_or_drop(typed, CLICK_RULES, observation)
-    joined = left_join_spread(valid, catalogue_columns(products), "product_id", "event_id")
+    joined = left_join_spread(valid, catalogue_columns(products), "product_id", "event_id", hot_products)
     return joined.withColumn(
         "resolved_category", F.coalesce(F.col("product_category"), F.col("category_browsed"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions.rules import VIP_TIERS, exact_sum, ratio
+from shelfwise.operators.enrich import EVENT_DAY
 from shelfwise.operators.ordering import top_share
 
 # Fixed value: a high-LTV shopper spends more than this. Segments use their own bound.
@@ -29,7 +30,7 @@ def high_ltv(segments: DataFrame, minimum: float = HIGH_LTV) -> DataFrame:
 
 def top_fraction(segments: DataFrame, fraction: str = "0.10") -> DataFrame:
     """The top share of shoppers by lifetime value, rounded down, with their rank."""
-    return top_share(segments, segments, F.lit(Decimal(fraction)), _by_value(), "ltv_rank")
+    return top_share(segments, segments, F.lit(Decimal(fraction)), _by_value(), "ltv_rank", "lifetime_value")
 
 
 def at_risk(segments: DataFrame) -> DataFrame:
@@ -125,3 +126,22 @@ def session_summary(enriched: DataFrame) -> DataFrame:
         F.count_distinct("resolved_category").alias("categories"),
         F.sum(F.col("time_on_page_seconds").cast("long")).alias("dwell_seconds"),
     )
+
+
+def daily_reach(enriched: DataFrame) -> DataFrame:
+    """``(event_day, resolved_category, sketch)``: mergeable sketches of the customers.
+
+    For dashboards over changing windows: a stored day is never counted again. Events
+    without a category are left out.
+    """
+    known = enriched.where(F.col("resolved_category").isNotNull() & F.col("customer_id").isNotNull())
+    return known.groupBy(EVENT_DAY, "resolved_category").agg(F.hll_sketch_agg("customer_id", 14).alias("sketch"))
+
+
+def reach_between(sketches: DataFrame, first: str, last: str) -> DataFrame:
+    """``(resolved_category, about)``: distinct customers of the days, from sketches alone.
+
+    The standard error of a sketch of this size is below 1 per cent.
+    """
+    days = sketches.where(F.col(EVENT_DAY).between(first, last))
+    return days.groupBy("resolved_category").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("about"))

@@ -217,9 +217,8 @@ RESULTS = {
     "golden_record": f"""SELECT * EXCLUDE (liked, total_spend), total_spend::DOUBLE AS total_spend, {LIKED} FROM golden""",
     "churn_bands": """SELECT churn_risk, count(*) AS customers, sum(total_spend)::DOUBLE AS total_spend,
  max(days_since_last_purchase) AS longest_gap_days FROM golden GROUP BY 1""",
-    "scored_events": f"""SELECT event_id, resolved_category, {WEIGHT}::DOUBLE AS intent_weight,
- {_boost(AS_OF, 'event_timestamp')}::DOUBLE AS recency_multiplier,
- ({WEIGHT} * {_boost(AS_OF, 'event_timestamp')})::DOUBLE AS weighted_score
+    "scored_events": f"""SELECT event_id, resolved_category,
+ ({WEIGHT} * {_boost(AS_OF, 'event_timestamp')})::DOUBLE AS points
  FROM enriched WHERE event_timestamp >= {AS_OF} - INTERVAL 2 DAY""",
     "category_intent": f"SELECT {INTENT_OUT} FROM intent",
     "category_intent_rolling": f"SELECT {INTENT_OUT} FROM ("
@@ -453,5 +452,10 @@ RESULTS["co_purchase_pairs"] = """SELECT product_id, other_id, co_buyers,
  JOIN (SELECT product_id AS other_id, count(*) AS n FROM baskets GROUP BY 1) b USING (other_id)
  WHERE 10000 * co_buyers * co_buyers >= 225 * a.n * b.n AND a.n >= 2 AND b.n >= 2"""
 RESULTS["stream_live_sessions"] = RESULTS["stream_sessions"]
+RESULTS["category_reach"] = " UNION ALL ".join(
+    f"""SELECT '{first}' AS first_day, resolved_category, count(DISTINCT customer_id) AS customers, true AS within_5_percent
+ FROM enriched WHERE resolved_category IS NOT NULL AND event_timestamp::DATE BETWEEN '{first}' AND '2024-01-30' GROUP BY 2"""
+    for first in ("2024-01-01", "2024-01-24")
+)
 RESULTS["click_days"] = """SELECT event_timestamp::DATE AS event_day, count(*) AS raw_rows,
  nullif(count(*) FILTER (customer_id IS NOT NULL), 0) AS enriched_rows FROM clicks GROUP BY 1"""

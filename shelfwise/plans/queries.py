@@ -30,7 +30,7 @@ from shelfwise.operators import (
     state,
     text_index,
 )
-from shelfwise.operators.enrich import CLICK_RULES, EVENT_DAY, enrich_clicks
+from shelfwise.operators.enrich import CLICK_RULES, EVENT_DAY, enrich_clicks, with_event_day
 from shelfwise.plans.medallion import (
     CLICKSTREAM_FILE,
     CUSTOMERS_FILE,
@@ -43,6 +43,7 @@ from shelfwise.plans.medallion import (
     read_bronze,
     refresh,
 )
+from shelfwise.operators.skew import heavy_hitters
 from shelfwise.plans.recommendations import Recommendations
 from shelfwise.sources import files, sample_tables
 from shelfwise.sources.sample_tables import AS_OF
@@ -67,6 +68,7 @@ LAPSED_CATEGORY = "PROMO"
 STREAM_DELAY = "1 hour"
 VECTOR_LENGTH = 64
 LEAST_COSINE = Decimal("0.15")
+REACH_WINDOWS = (("2024-01-01", "2024-01-30"), ("2024-01-24", "2024-01-30"))
 
 
 class SampleBronze:
@@ -219,9 +221,7 @@ def churn_bands(s: Samples) -> DataFrame:
 @query
 def scored_events(s: Samples) -> DataFrame:
     scored = intents.score_events(intents.recent_events(s.enriched, AS_OF), AS_OF)
-    return scored.select(
-        "event_id", "resolved_category", "intent_weight", "recency_multiplier", "weighted_score"
-    )
+    return scored.select("event_id", "resolved_category", "points")
 
 
 @query
@@ -304,9 +304,26 @@ def high_ltv(s: Samples) -> DataFrame:
 
 @query
 def top_fraction(s: Samples) -> DataFrame:
+    s.settle("segments")
     return metrics.top_fraction(s.segments).select("ltv_rank", "customer_id", "lifetime_value", "segment")
 
 
+@query
+def category_reach(s: Samples) -> DataFrame:
+    """Customers per category in two windows, from one set of stored daily sketches."""
+    enriched = with_event_day(s.enriched)
+    sketches = cut_lineage(metrics.daily_reach(enriched), "reach")
+    found = None
+    for first, last in REACH_WINDOWS:
+        estimated = metrics.reach_between(sketches, first, last)
+        seen = enriched.where(F.col(EVENT_DAY).between(first, last) & F.col("resolved_category").isNotNull())
+        exact = seen.groupBy("resolved_category").agg(F.count_distinct("customer_id").alias("customers"))
+        both = exact.join(estimated, "resolved_category").withColumn("first_day", F.lit(first))
+        found = both if found is None else found.unionByName(both)
+    near = F.abs(F.col("customers") - F.col("about")) <= 0.05 * F.col("customers")
+    return found.select("first_day", "resolved_category", "customers", near.alias("within_5_percent"))
+
+
 @query
 def vip(s: Samples) -> DataFrame:
     return metrics.vip(s.segments).select("customer_id", "loyalty_tier", "lifetime_value")
@@ -696,7 +713,9 @@ def stream_dedupe(s: Samples) -> DataFrame:
 
 
 def _stream_buckets(s: Samples, width: str, slide: str | None = None) -> DataFrame:
-    buckets = streams.intent_buckets(enrich_clicks(s.click_stream(), s.products), width, slide, STREAM_DELAY)
+    hot = heavy_hitters(s.clicks, "product_id")
+    enriched = enrich_clicks(s.click_stream(), s.products, hot_products=hot)
+    buckets = streams.intent_buckets(enriched, width, slide, STREAM_DELAY)
     keys = ["bucket_start", "customer_id", "resolved_category"]
     return run_updates(buckets, scratch_path(s.spark, "buckets"), scratch_path(s.spark, "stream"), keys)
 
