@@ -228,6 +228,11 @@ def test_published_layers(spark, tmp_path):
             "gold_category_intent_scores",
             "gold_high_value_segments",
             "gold_category_candidates",
+            "bronze_click_days",
+            "gold_text_words",
+            "gold_text_heads",
+            "gold_text_postings",
+            "gold_text_products",
         }
         properties = spark.sql("SHOW TBLPROPERTIES shop.gold_high_value_segments ('quality')").first()
         assert properties["value"] == "gold"
