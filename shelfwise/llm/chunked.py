@@ -154,6 +154,7 @@ class BatchEncoder:
 
     def __init__(self, one: AddedTokens, remembered: int = 300_000):
         self.one, self.remembered = one, remembered
+        one.encode.remembered = min(one.encode.remembered, remembered // 8)
         self.spaced = one.encode.split is pieces_with_spaces
         words, tokenise = one.encode.words, one.encode.tokenise
         ids = lru_cache(remembered // 2)(lambda word: array("I", tokenise(word)).tobytes())
@@ -311,6 +312,7 @@ def encoded_rows(
             yield from zip(names, encode(texts))
             names, texts, size = [], [], 0
     yield from zip(names, encode(texts))
+    pa.default_memory_pool().release_unused()
 
 
 def batches_of(

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
-from functools import cache, wraps
+from functools import wraps
 from pathlib import Path
 
 import public_tokenizers
@@ -72,19 +72,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@cache
 def store_tokenizer() -> chunked.BatchEncoder:
     """The store's tokenizer file as loaded, its added tokens included.
 
-    A worker process keeps one, with the pieces it has met, for all of its tasks.
+    Each task builds one and drops it with the pieces it has met: an executor keeps several
+    idle workers, and all of them would hold one.
     """
     loaded = chunked.load(public_tokenizers.path("word_bpe_49k.json"))
     return chunked.BatchEncoder(chunked.AddedTokens(chunked.lower_case_encoder(loaded), loaded))
 
 
-@cache
 def pack_tokenizer() -> chunked.BatchEncoder:
-    """The packing's tokenizer file as loaded, its added tokens included; one per worker."""
+    """The packing's tokenizer file as loaded, its added tokens included."""
     loaded = chunked.load(public_tokenizers.path("byte_bpe_50k.json"))
     return chunked.BatchEncoder(chunked.AddedTokens(chunked.byte_level_encoder(loaded, public_tokenizers.PATTERN), loaded))
 
