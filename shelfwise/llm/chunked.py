@@ -152,7 +152,7 @@ class BatchEncoder:
     pre-tokens, of which half as many are remembered.
     """
 
-    def __init__(self, one: AddedTokens, remembered: int = 300_000):
+    def __init__(self, one: AddedTokens, remembered: int = 150_000):
         self.one, self.remembered = one, remembered
         one.encode.remembered = min(one.encode.remembered, remembered // 8)
         self.spaced = one.encode.split is pieces_with_spaces
@@ -300,7 +300,7 @@ def rows(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[tupl
 
 
 def encoded_rows(
-    batches: Iterable[pa.RecordBatch], encode: Callable[[list], list[bytes]], most_characters: int = 4 << 20
+    batches: Iterable[pa.RecordBatch], encode: Callable[[list], list[bytes]], most_characters: int = 1 << 20
 ) -> Iterator[tuple]:
     """``(doc_id, ids)`` of rows ``(doc_id, text)``, encoded so many characters at a time."""
     names, texts, size = [], [], 0
