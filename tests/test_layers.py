@@ -111,6 +111,19 @@ def test_intent_scores_one_event_each(spark):
     assert found == expected
 
 
+def test_scored_events_tell_weight_and_boost(spark):
+    clicks = fx.clicks(
+        spark,
+        [
+            {"event_timestamp": fx.at("2026-03-05 11:00:00"), "event_type": "add_to_cart", "category_browsed": "Shoes"},
+            {"event_timestamp": fx.at("2026-03-04 18:00:00"), "event_type": "search", "category_browsed": None},
+        ],
+    )
+    scored = intents.score_events(enrich_clicks(clicks, _one_product(spark)), fx.AS_OF)
+    found = [tuple(map(str, row)) for row in scored.orderBy("event_id").collect()]
+    assert found == [("E000", "Shoes", "3.0", "2.0", "6.00"), ("E001", "None", "1.5", "1.2", "1.80")]
+
+
 def test_intent_ranks_ties_by_name_and_counts_weightless_events(spark):
     clicks = fx.clicks(
         spark,
