@@ -251,6 +251,12 @@ def last_purchase_companions(baskets: DataFrame, n: int = PRODUCTS_PER_CATEGORY)
     return ranked.where(F.col("companion_rank") <= n)
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the input. Spark would broadcast it by the size
+    of its files, or of those it is exploded from, and it is many times larger in memory."""
+    return df.hint("merge")
+
+
 #: The two groups of shoppers that a customer's last purchase puts them in, with the words of the reason.
 SHOPPERS = {
     "product": "Bought by %d of %d shoppers with the same last purchase",
@@ -262,7 +268,8 @@ def _shopper_groups(baskets: DataFrame, products: DataFrame) -> DataFrame:
     """``(customer_id, basket_size, anchor_id, kind, key)``: each customer's groups."""
     sizes = baskets.groupBy("customer_id").agg(F.count("*").alias("basket_size"))
     categories = products.select(F.col("product_id").alias("anchor_id"), F.col("category").alias("anchor_category"))
-    anchors = latest_products(baskets).join(sizes, "customer_id").join(categories, "anchor_id", "left")
+    anchors = latest_products(baskets).join(_shuffled(sizes), "customer_id")
+    anchors = anchors.join(_shuffled(categories), "anchor_id", "left")
     keys = {"product": F.col("anchor_id").cast("string"), "category": F.col("anchor_category").cast("string")}
     groups = F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in keys.items()])
     return anchors.select("customer_id", "basket_size", "anchor_id", F.inline(groups)).where("key is not null")
@@ -284,18 +291,21 @@ def collaborative_scores(
     wanted = (F.lit(2 * n) + F.col("basket_size")).cast("long")
     sizes = groups.groupBy("kind", "key").agg(F.count("*").alias("shoppers"), F.max(wanted).alias("longest"))
 
-    bought = baskets.select("customer_id", "product_id").join(groups, "customer_id")
+    bought = baskets.select("customer_id", "product_id").join(_shuffled(groups), "customer_id")
     others = bought.where((F.col("kind") != "product") | (F.col("product_id") != F.col("anchor_id")))
     counted = others.groupBy("kind", "key", "product_id").agg(F.count("*").alias("co_buyers"))
     order = [F.desc("co_buyers"), F.col("product_id")]
     ranked = running_total(counted.withColumn("one", F.lit(1)), ["kind", "key"], order, "one", "rank").drop("one")
-    ranked = ranked.join(sizes, ["kind", "key"]).where(F.col("rank") <= F.col("longest")).drop("longest")
+    ranked = ranked.join(_shuffled(sizes), ["kind", "key"]).where(F.col("rank") <= F.col("longest")).drop("longest")
     ranked = cut_lineage(ranked.withColumn("rank", F.col("rank").cast("long")), "companions")
 
     lengths = ranked.groupBy("kind", "key").agg(F.max("rank").alias("length"))
     ranks = F.sequence(F.lit(1).cast("long"), F.least(wanted, F.col("length")))
-    asked = groups.join(lengths, ["kind", "key"]).select("customer_id", "kind", "key", F.explode(ranks).alias("rank"))
-    found = asked.join(ranked, ["kind", "key", "rank"]).join(baskets, ["customer_id", "product_id"], "left_anti")
+    asked = groups.join(_shuffled(lengths), ["kind", "key"])
+    asked = asked.select("customer_id", "kind", "key", F.explode(ranks).alias("rank"))
+    owned = baskets.select("customer_id", "product_id")
+    found = asked.join(_shuffled(ranked), ["kind", "key", "rank"])
+    found = found.join(_shuffled(owned), ["customer_id", "product_id"], "left_anti")
     place = F.struct((F.col("kind") != "product").alias("later"), "rank", "kind", "co_buyers", "shoppers")
     once = found.groupBy("customer_id", "product_id").agg(F.min(place).alias("place"))
     first = Window.partitionBy("customer_id").orderBy("place")
@@ -308,7 +318,7 @@ def collaborative_scores(
         "product_id", "product_name", "category", "price", "rating", "is_new_arrival"
     )
     return (
-        offered.join(catalogue, "product_id")
+        offered.join(_shuffled(catalogue), "product_id")
         .withColumn("score", score.cast("decimal(18,4)"))
         .withColumn("score_type", F.lit("collaborative"))
         .withColumn("reasoning", F.call_function("format_string", words, F.col("co_buyers"), F.col("shoppers")))

@@ -41,6 +41,13 @@ def test_no_cross_joins_and_no_python_workers(spark, no_broadcast, name):
         assert banned not in text
 
 
+@pytest.mark.parametrize("name", ["collaborative_scores", "recommendation_scores"])
+def test_companions_are_not_broadcast_by_the_size_of_their_files(spark, name):
+    text = plan(QUERIES[name](spark, SF_DIR))
+    sides = [line for line in text.splitlines() if "BroadcastHashJoin" in line]
+    assert not [line for line in sides if "product_id" in line or "rank" in line]
+
+
 # A plan may gather everything in one task only for one row per task or per slice.
 SINGLE_TASK = {"top_fraction", "lapsed_browsers", "vip", "trending", "similar_text", "similar_text_filtered"}
 
