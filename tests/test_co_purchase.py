@@ -55,6 +55,37 @@ def test_sets_are_checked_in_parts(spark, monkeypatch):
     assert found == plain(rows, "0.3", 2)
 
 
+@pytest.mark.parametrize("light, part", [(0, 3), (4, 5), (7, 4096)])
+@pytest.mark.parametrize("least", ["0.2", "0.45"])
+def test_customers_with_more_products_than_a_list_holds(spark, monkeypatch, light, part, least):
+    monkeypatch.setattr(co_purchase, "LIGHT", light)
+    monkeypatch.setattr(co_purchase, "PART", part)
+    rows = shopping(light)
+    table = spark.createDataFrame(rows, "customer_id string, product_id string")
+    found = {tuple(r) for r in co_purchase.co_purchase_pairs(table, Decimal(least)).collect()}
+    assert found == plain(rows, least, 2)
+    assert found
+
+
+def test_only_pairs_that_reach_the_cosine_are_stored(spark, monkeypatch):
+    """Without huge baskets a pair that shares a buyer or two never leaves its task."""
+    rng = random.Random(5)
+    rows = [(f"C{c}", f"P{p}") for c in range(300) for p in rng.sample(range(200), 20)]
+    table = spark.createDataFrame(rows, "customer_id string, product_id string")
+    stored = []
+    write = co_purchase.cut_lineage
+
+    def counted(df, purpose):
+        written = write(df, purpose)
+        if purpose == "candidates":
+            stored.append(written.count())
+        return written
+
+    monkeypatch.setattr(co_purchase, "cut_lineage", counted)
+    found = co_purchase.co_purchase_pairs(table, Decimal("0.2")).count()
+    assert 0 < found and stored == [found]
+
+
 def test_a_huge_basket_is_not_paired_with_itself(spark):
     """Thousands of products in one basket, each with a few other buyers of its own."""
     rows = [("huge", f"P{i}") for i in range(1500)] + [(f"C{i}-{j}", f"P{i}") for i in range(1500) for j in range(5)]
