@@ -36,6 +36,8 @@ STYLE_QUERY = "%s style trending fashion"
 
 PRODUCT_TEXT = ("product_name", "category", "subcategory", "brand", "description", "style_tags", "color")
 SIMILARITY_PLACES = 6
+#: Texts whose words a task counts.
+TEXTS = 1 << 14
 
 
 def matches(filters: Mapping[str, object] | None) -> Column:
@@ -46,12 +48,26 @@ def matches(filters: Mapping[str, object] | None) -> Column:
     return condition
 
 
-def word_counts(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
-    return df.select(*keys, F.explode(words(text)).alias("word")).groupBy(*keys, "word").agg(
+def word_counts(df: DataFrame, keys: Sequence[str], text: Column, tasks: int | None = None) -> DataFrame:
+    """How often each word occurs under ``keys``.
+
+    With ``tasks`` the texts are dealt out by the first key before they are taken apart: a
+    small file that one task reads may hold millions of them, and their words are then
+    counted where they lie.
+    """
+    texts = df.select(*keys, text.alias("text"))
+    dealt = texts if tasks is None else texts.repartition(tasks, keys[0])
+    return dealt.select(*keys, F.explode(words(F.col("text"))).alias("word")).groupBy(*keys, "word").agg(
         F.count("*").alias("times")
     )
 
 
+def text_tasks(texts: int) -> int:
+    """Tasks that so many texts are dealt to. Their bytes tell little: files and shuffles of
+    a catalogue compress well, and its words take many times their size."""
+    return texts // TEXTS + 1
+
+
 def corpus(products: DataFrame, block: Column) -> DataFrame:
     """(product_id, block, text): all descriptive text of each product."""
     known = products.where(F.col("product_id").isNotNull())
@@ -90,9 +106,10 @@ def text_similarity(texts: DataFrame, queries: DataFrame, catalogue: DataFrame |
     scores 0.
     """
     catalogue = texts if catalogue is None else catalogue
-    known_words = word_counts(catalogue, ["product_id", "block"], F.col("text"))
-    text_words = known_words if catalogue is texts else word_counts(texts, ["product_id", "block"], F.col("text"))
-    total = catalogue.select(F.count("*")).scalar()
+    count = catalogue.count()
+    total, tasks = F.lit(count), text_tasks(count)
+    known_words = word_counts(catalogue, ["product_id", "block"], F.col("text"), tasks)
+    text_words = known_words if catalogue is texts else word_counts(texts, ["product_id", "block"], F.col("text"), tasks)
     idf = word_weights(known_words, total)
     asked = _mark_known(word_counts(queries, ["block"], F.col("text")), known_words)
     unit = unit_queries(asked, idf, total, "block").select("block", "word", "asked")
@@ -121,12 +138,14 @@ def search_text(
     null asks the whole catalogue. Filters pick the candidates before any is scored.
     Only words that tell products apart bring products and queries together.
     """
-    known_words = word_counts(corpus(products, F.col("category")), ["product_id", "block"], F.col("text"))
+    catalogue = corpus(products, F.col("category"))
+    count = catalogue.count()
+    total, tasks = F.lit(count), text_tasks(count)
+    known_words = word_counts(catalogue, ["product_id", "block"], F.col("text"), tasks)
     candidates = products.where(matches(filters))
     some_words = known_words
     if filters:
-        some_words = word_counts(corpus(candidates, F.col("category")), ["product_id", "block"], F.col("text"))
-    total = products.where(F.col("product_id").isNotNull()).select(F.count("*")).scalar()
+        some_words = word_counts(corpus(candidates, F.col("category")), ["product_id", "block"], F.col("text"), tasks)
     idf = word_weights(known_words, total)
     asked = word_counts(queries, ["query_id", "category"], F.col("text"))
     unit = unit_queries(_mark_known(asked, known_words), idf, total, "query_id").where(F.col("asked") > 0)

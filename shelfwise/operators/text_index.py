@@ -35,6 +35,7 @@ from shelfwise.operators.similarity import (
     STYLE_QUERY,
     corpus,
     matches,
+    text_tasks,
     unit_queries,
     word_counts,
 )
@@ -84,7 +85,8 @@ def build_index(products: DataFrame) -> TextIndex:
     """The index of a catalogue. Its tables are plans over stored steps."""
     texts = corpus(products, F.col("category"))
     total = texts.count()
-    counted = cut_lineage(word_counts(texts, ["product_id", "block"], F.col("text")), "word_counts")
+    counted = word_counts(texts, ["product_id", "block"], F.col("text"), text_tasks(total))
+    counted = cut_lineage(counted, "word_counts")
     idf = F.log((F.lit(float(total)) + 1) / (F.count("*") + 1)).alias("idf")
     known = cut_lineage(counted.groupBy("word").agg(idf).withColumn("total", F.lit(total).cast("long")), "words")
 

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import portal
+from shelfwise.operators import portal, similarity
 from shelfwise.operators.enrich import enrich_clicks
 from shelfwise.plans.queries import REGISTRY, Samples
 from shelfwise.plans.recommendations import Recommendations
@@ -48,6 +48,19 @@ def test_companions_are_not_broadcast_by_the_size_of_their_files(spark, name):
     assert not [line for line in sides if "product_id" in line or "rank" in line]
 
 
+@pytest.mark.parametrize("name", ["similar_text", "style_hits", "search_hits"])
+def test_texts_are_dealt_out_before_their_words(spark, monkeypatch, name):
+    """By their number: one task reads a small file, however many products it holds."""
+    monkeypatch.setattr(similarity, "TEXTS", 10)
+    products = sample_tables.products(spark, SF_DIR).count()
+    text = plan(QUERIES[name](spark, SF_DIR))
+    exploded = re.findall(r"Generate explode\(.*?FileScan", text, re.S)
+    catalogue = [part for part in exploded if "p_name" in part or "product_id" in part]
+    assert catalogue
+    for part in catalogue:
+        assert re.search(rf"hashpartitioning\(product_id#\w+, {products // 10 + 1}\), REPARTITION_BY_NUM", part)
+
+
 # A plan may gather everything in one task only for one row per task or per slice.
 SINGLE_TASK = {"top_fraction", "lapsed_browsers", "vip", "trending", "similar_text", "similar_text_filtered"}
 
