@@ -140,32 +140,33 @@ def merge_sessions(sessions: list[dict], gap: int) -> list[dict]:
 def sessions_of(rows: pd.DataFrame, gap: int) -> list[dict]:
     """The sessions of one customer's events; moves are the last addition to the cart and
     the last removal of each product."""
-    found = []
-    rows = rows.sort_values("at", kind="stable")
-    number = (rows["at"].diff() > gap).cumsum()
-    for _, part in rows.groupby(number):
-        moves: dict[str, list] = {}
-        for side, move in enumerate((1, -1)):
-            last = part[part["move"] == move].groupby("product")["at"].max()
-            for product, at in last.items():
-                moves.setdefault(product, [None, None])[side] = int(at)
-        found.append(
-            {
-                "started": int(part["at"].iloc[0]),
-                "last": int(part["at"].iloc[-1]),
-                "events": len(part),
-                "tenths": int(part["tenths"].sum()),
-                "categories": sorted(set(part["category"].dropna())),
-                "products": sorted(set(part["product"].dropna())),
-                "moves": moves,
-            }
-        )
+    found: list[dict] = []
+    columns = [rows[c].tolist() for c in ("at", "category", "product", "tenths", "move")]
+    # Plain values: most customers have a few events, for which a frame's own steps cost most.
+    for at, category, product, tenths, move in sorted(zip(*columns), key=lambda row: row[0]):
+        if not found or at - found[-1]["last"] > gap:
+            found.append({"started": at, "last": at, "events": 0, "tenths": 0, "categories": set(), "products": set(), "moves": {}})
+        held = found[-1]
+        held["last"] = at
+        held["events"] += 1
+        held["tenths"] += tenths
+        if isinstance(category, str):
+            held["categories"].add(category)
+        if isinstance(product, str):
+            held["products"].add(product)
+            if move:
+                held["moves"].setdefault(product, [None, None])[0 if move == 1 else 1] = at
+    for held in found:
+        held["categories"], held["products"] = sorted(held["categories"]), sorted(held["products"])
     return found
 
 
 class Sessions(StatefulProcessor):
     """Keeps a customer's open sessions, tells them anew in every batch that has events
-    of the customer, and closes them by timer once no event can extend them."""
+    of the customer, and closes them by timer once no event can extend them.
+
+    A customer has one timer, for the session that ends first. When it fires, all sessions
+    that are over are closed, and the next one sets it again."""
 
     def __init__(self, gap: int):
         self.gap = gap
@@ -174,45 +175,58 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "sessions string")
 
-    def _rows(self, key, sessions: list[dict], closed: bool) -> pd.DataFrame:
-        """At the same moment an addition to the cart counts as the later one."""
+    def _rows(self, key, sessions: list[dict], over: list[dict] = ()) -> pd.DataFrame:
+        """The closed sessions and the open ones, or a row that says there are none. At the
+        same moment an addition to the cart counts as the later one."""
         rows = [
             (
                 key[0], s["started"], s["last"], s["events"], s["tenths"], s["categories"], s["products"],
                 sorted(p for p, (added, removed) in s["moves"].items() if added is not None and (removed is None or added >= removed)),
                 closed,
             )
-            for s in sessions
+            for part, closed in ((over, True), (sessions, False))
+            for s in part
         ]
-        if not rows:
-            rows = [(key[0], *[None] * 7, closed)]
+        if not sessions:
+            rows.append((key[0], *[None] * 7, False))
         columns = ["customer_id", *(c.split()[0] for c in SESSION_ROWS.split(", "))]
         return pd.DataFrame(rows, columns=columns, dtype=object)
 
+    def _held(self) -> list[dict]:
+        stored = self.open.get()
+        return json.loads(stored[0]) if stored else []
+
+    def _wake(self, sessions: list[dict]) -> None:
+        first = min(s["last"] for s in sessions)
+        self.handle.registerTimer((first + self.gap) // 1000 + 1)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = json.loads(self.open.get()[0]) if self.open.exists() else []
-        ends = {s["last"] for s in held}
+        held = self._held()
+        before = min((s["last"] for s in held), default=None)
         for part in rows:
             held = merge_sessions(held + sessions_of(part, self.gap), self.gap)
         self.open.update((json.dumps(held),))
-        now = {s["last"] for s in held}
-        for last in now - ends:
-            self.handle.registerTimer((last + self.gap) // 1000 + 1)
-        yield self._rows(key, held, False)
+        # A timer that is early finds nothing over, or less, and is set again.
+        if before is None or min(s["last"] for s in held) < before:
+            self._wake(held)
+        yield self._rows(key, held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = json.loads(self.open.get()[0]) if self.open.exists() else []
+        held = self._held()
+        if not held:
+            return
         moment = timerValues.getCurrentWatermarkInMs() * 1000
         over = [s for s in held if s["last"] + self.gap < moment]
+        left = [s for s in held if s["last"] + self.gap >= moment]
+        if left:
+            self._wake(left)
         if not over:
             return
-        left = [s for s in held if s["last"] + self.gap >= moment]
         if left:
             self.open.update((json.dumps(left),))
         else:
             self.open.clear()
-        yield self._rows(key, over, True)
-        yield self._rows(key, left, False)
+        yield self._rows(key, left, over)
 
     def close(self) -> None:
         pass

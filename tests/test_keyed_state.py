@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import timedelta
 
+import pandas as pd
 
 from shelfwise import schemas
 from shelfwise.operators.enrich import enrich_clicks
@@ -142,6 +143,31 @@ def test_events_behind_the_watermark_are_dropped(spark, tmp_path):
     assert found == {("2026-03-05 10:00:00", 1, True), ("2026-03-06 10:00:00", 2, False)}
 
 
+def test_a_customer_has_one_timer_however_many_sessions():
+    class Handle:
+        timers: list[int] = []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return None
+
+        def update(self, value):
+            pass
+
+        def registerTimer(self, moment):
+            self.timers.append(moment)
+
+    hour = 3_600_000_000
+    columns = ["at", "category", "product", "tenths", "move"]
+    rows = pd.DataFrame([(n * hour, None, None, 10, 0) for n in (3, 1, 2)], columns=columns)
+    sessions, handle = keyed.Sessions(hour // 2), Handle()
+    sessions.init(handle)
+    (told,) = sessions.handleInputRows(("C1",), iter([rows]), None)
+    assert len(told) == 3 and handle.timers == [5_400_001]
+
+
 def test_merging_sessions():
     def one(at, product=None, side=0):
         moves = {} if product is None else {product: [at, None] if side == 0 else [None, at]}
