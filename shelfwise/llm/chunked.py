@@ -19,7 +19,8 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,11 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: What must be absent for each space to stand alone: pairs, and rarer white space.
 _RUNS = ["  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 
+#: Characters encoded at a time, unless told otherwise.
+CHARACTERS = 1 << 20
+#: Letters of ASCII and Latin-1 alone: composed, and lower-cased one by one.
+_LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+
 
 def pieces_with_spaces(text: str) -> list[str]:
     """The text in pieces, each but the first beginning with its space.
@@ -55,7 +61,7 @@ class PieceEncoder(dict):
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     ``words`` gives the pre-tokens of a piece and ``tokenise`` the ids of one
-    pre-token. At most twice ``remembered`` pieces stay in memory: when the young half
+    pre-token; ``lowers`` tells that ``words`` lower-cases them. At most twice ``remembered`` pieces stay in memory: when the young half
     is full it becomes the old half, and pieces met again move back.
     """
 
@@ -65,8 +71,10 @@ class PieceEncoder(dict):
         words: Callable[[str], list[str]],
         tokenise: Callable[[str], list[int]],
         remembered: int = 250_000,
+        lowers: bool = False,
     ):
         self.split, self.words, self.tokenise, self.remembered = split, words, tokenise, remembered
+        self.lowers = lowers
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -99,7 +107,7 @@ class AddedTokens:
     """
 
     def __init__(self, encode: PieceEncoder, tokenizer):
-        self.encode = encode
+        self.encode, self.model = encode, tokenizer.model
         added = tokenizer.get_added_tokens_decoder()
         normalises = tokenizer.normalizer is not None
         for token in added.values():
@@ -130,6 +138,9 @@ class _Known:
 
     def add(self, words: pa.Array, data: np.ndarray, sizes: np.ndarray) -> None:
         self.words = pa.concat_arrays([self.words, words])
+        self.append(data, sizes)
+
+    def append(self, data: np.ndarray, sizes: np.ndarray) -> None:
         starts = (len(self.data) + np.cumsum(sizes) - sizes).astype(np.int32)
         self.starts, self.sizes = np.append(self.starts, starts), np.append(self.sizes, sizes)
         self.data = np.append(self.data, data)
@@ -143,22 +154,49 @@ class _Known:
         return self.data[at], sizes
 
 
+class _Words:
+    """Ids of pre-tokens, many at once: a pre-token's place leads to its ids.
+
+    ``characters`` gives the string that the model reads for a pre-token. With more than
+    ``remembered`` pre-tokens all are forgotten before the next call.
+    """
+
+    def __init__(self, model, characters: Callable[[list[str]], list[str]], remembered: int):
+        self.tokenise, self.characters, self.remembered = model.tokenize, characters, remembered
+        self.places: dict[str, int] = {}
+        self.known = _Known()
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The places of pre-tokens among ``known``; new ones go through the model first."""
+        if len(self.places) > self.remembered:
+            self.places, self.known = {}, _Known()
+        new = [word for word in dict.fromkeys(words) if word not in self.places]
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+        characters, sizes, data = self.characters(new), array("i"), array("I")
+        for start in range(0, len(new), 1024):  # few of the model's tokens are held at a time
+            tokens = list(map(self.tokenise, characters[start : start + 1024]))
+            sizes.extend(map(len, tokens))
+            data.extend([token.id for found in tokens for token in found])
+        self.known.append(np.frombuffer(data, np.uint32), np.frombuffer(sizes, np.int32))
+        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+
+
 class BatchEncoder:
     """Ids of many texts as little-endian unsigned 32-bit integers.
 
     ``one`` encodes single texts: those that Arrow does not cut, with runs of white space
     or added tokens. Memory is bounded: when the young half holds ``remembered`` pieces
     it becomes the old half, and pieces met again are taken over. New pieces are made of
-    pre-tokens, of which half as many are remembered.
+    pre-tokens, of which as many are remembered; all new ones of a call are found
+    together.
     """
 
     def __init__(self, one: AddedTokens, remembered: int = 150_000):
         self.one, self.remembered = one, remembered
         one.encode.remembered = min(one.encode.remembered, remembered // 8)
         self.spaced = one.encode.split is pieces_with_spaces
-        words, tokenise = one.encode.words, one.encode.tokenise
-        ids = lru_cache(remembered // 2)(lambda word: array("I", tokenise(word)).tobytes())
-        self.piece = lambda piece: b"".join(map(ids, words(piece))) if piece else b""
+        self.split, self.lowers = one.encode.words, one.encode.lowers
+        self.words = _Words(one.model, all_byte_characters, remembered)
         self.young, self.old = _Known(), _Known()
 
     def _plain(self, text: str) -> bool:
@@ -166,6 +204,35 @@ class BatchEncoder:
             return False
         return not self.spaced or not (text[0].isspace() or text[-1].isspace() or any(run in text for run in _RUNS))
 
+    def _new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and their numbers.
+
+        Arrow takes apart the usual piece: Latin letters, behind a space where spaces are
+        kept, with a comma or a stop or without. Others are split one by one.
+        """
+        stems = pc.ascii_rtrim(pieces, ",.")
+        letters = pc.ascii_ltrim(stems, " ") if self.spaced else stems
+        marks = np.array(pc.subtract(pc.binary_length(pieces), pc.binary_length(stems)))
+        usual = np.array(pc.match_substring_regex(letters, _LATIN)) & (marks <= 1)
+        stems = stems.filter(pa.array(usual))
+        stems = (pc.utf8_lower(stems) if self.lowers else stems).dictionary_encode()
+        parts = [self.split(piece) if piece else [] for piece in pieces.filter(pa.array(~usual)).to_pylist()]
+
+        named = stems.dictionary.to_pylist()
+        places = self.words.find([*named, ",", ".", *chain.from_iterable(parts)])
+        counts = 1 + marks
+        counts[~usual] = np.fromiter(map(len, parts), np.int64, len(parts))
+        ends = np.cumsum(counts)
+        marked = usual & (marks == 1)
+        at, mark_at = (ends - counts)[usual], ends[marked] - 1
+        words = np.full(ends[-1] if len(ends) else 0, -1, np.int64)
+        words[at] = places[stems.indices.to_numpy()]
+        comma = np.array(pc.ends_with(pieces, ","))
+        words[mark_at] = places[np.where(comma[marked], len(named), len(named) + 1)]
+        words[words < 0] = places[len(named) + 2 :]
+        data, sizes = self.words.known.ids(words)
+        return data, np.diff(np.append(0, np.cumsum(sizes))[ends], prepend=0).astype(np.int32)
+
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """Where the distinct pieces are among the young ones, all of which they then are."""
         if len(self.young.words) > self.remembered:
@@ -177,9 +244,7 @@ class BatchEncoder:
         size = len(self.young.words)
         self.young.add(pieces.take(pa.array(again)), *self.old.ids(before[before >= 0]))
         words = pieces.take(pa.array(new))
-        ids = list(map(self.piece, words.to_pylist()))
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        self.young.add(words, np.frombuffer(b"".join(ids), np.uint32), sizes)
+        self.young.add(words, *self._new(words))
         places[again] = size + np.arange(len(again))
         places[new] = size + len(again) + np.arange(len(new))
         return places
@@ -230,6 +295,17 @@ def to_byte_characters(word: str) -> str:
     return word.encode().decode("latin-1").translate(_BYTE_TABLE)
 
 
+def all_byte_characters(words: list[str]) -> list[str]:
+    """``to_byte_characters`` of each word; most are letters with or without a space."""
+    space = _BYTE_TABLE[32]
+    return [
+        word if (word.isalpha() and word.isascii())
+        else space + word[1:] if word[0] == " " and word[1:].isalpha() and word.isascii()
+        else to_byte_characters(word)
+        for word in words
+    ]
+
+
 def _words(find: Callable[[str], list[str]], piece: str) -> list[str]:
     """Pre-tokens of a piece: the search only where it is not a word with a comma or stop."""
     word = piece[1:] if piece[0] == " " else piece
@@ -245,7 +321,7 @@ def byte_level_words(pattern: str) -> Callable[[str], list[str]]:
     import regex
 
     find = regex.compile(pattern).findall
-    return lambda piece: _words(find, piece)
+    return partial(_words, find)
 
 
 def _by_model(model) -> Callable[[str], list[int]]:
@@ -288,7 +364,7 @@ def lower_case_encoder(tokenizer) -> PieceEncoder:
         piece = piece.lower() if plain else normal(piece).strip(" ")
         return _words(find, piece) if piece else []
 
-    return PieceEncoder(pieces_without_spaces, words, _by_model(tokenizer.model))
+    return PieceEncoder(pieces_without_spaces, words, _by_model(tokenizer.model), lowers=True)
 
 
 def rows(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
@@ -300,7 +376,7 @@ def rows(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[tupl
 
 
 def encoded_rows(
-    batches: Iterable[pa.RecordBatch], encode: Callable[[list], list[bytes]], most_characters: int = 1 << 20
+    batches: Iterable[pa.RecordBatch], encode: Callable[[list], list[bytes]], most_characters: int = CHARACTERS
 ) -> Iterator[tuple]:
     """``(doc_id, ids)`` of rows ``(doc_id, text)``, encoded so many characters at a time."""
     names, texts, size = [], [], 0

@@ -42,6 +42,8 @@ URL_RULES = {
 }
 CATEGORIES = ("low_quality", "toxic")
 STORE_END_ID, PACK_END_ID, SEQUENCE = 2, 1, 2048
+#: Characters that the store's tasks encode at a time.
+ENCODED = 4 << 20
 VECTOR_SCALE, BEST, QUERY_STEP = 256, 5, 50
 ANCHOR_STEP, RELABEL_STEP, LABELS, SCORE_SHARES = 100, 7, 10, (80, 100)
 
@@ -90,7 +92,7 @@ def pack_tokenizer() -> chunked.BatchEncoder:
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token_store")
-    token_store.write_token_store(_table(spark, sf_dir, "documents"), path, store_tokenizer, STORE_END_ID)
+    token_store.write_token_store(_table(spark, sf_dir, "documents"), path, store_tokenizer, STORE_END_ID, ENCODED)
     return token_store.read_token_store(spark, path).select(
         "doc_id",
         "start",

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.chunked import batches_of, encoded_rows, rows
+from shelfwise.llm.chunked import CHARACTERS, batches_of, encoded_rows, rows
 from shelfwise.sources.scratch import cut_lineage
 
 MAGIC = b"IDBLOCK1"
@@ -108,8 +108,13 @@ def read_dictionary(spark: SparkSession, path: str) -> bytes:
     return bytes(row.dictionary) if row else b""
 
 
-def write_token_store(docs: DataFrame, path: str, encoder: Encoder, end_id: int) -> None:
-    """Encode ``text`` of every row, append ``end_id`` and write the blocks below ``path``."""
+def write_token_store(
+    docs: DataFrame, path: str, encoder: Encoder, end_id: int, most_characters: int = CHARACTERS
+) -> None:
+    """Encode ``text`` of every row, append ``end_id`` and write the blocks below ``path``.
+
+    A task encodes ``most_characters`` at a time.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     train_dictionary(docs, encoder).write.parquet(f"{path}/dictionary")
@@ -120,7 +125,7 @@ def write_token_store(docs: DataFrame, path: str, encoder: Encoder, end_id: int)
         encode, compress = encoder(), _compressor(dictionary).compress
 
         def each() -> Iterator[tuple]:
-            for doc_id, ids in encoded_rows(batches, encode):
+            for doc_id, ids in encoded_rows(batches, encode, most_characters):
                 ids += end
                 yield doc_id, len(ids) // 4, compress(ids)
 

@@ -62,6 +62,18 @@ def test_encoding_equals_the_tokenizer_as_loaded(name, encoder):
     assert many([]) == []
 
 
+@pytest.mark.parametrize("name, encoder", [("word_bpe_49k.json", store_tokenizer), ("byte_bpe_50k.json", pack_tokenizer)])
+def test_usual_pieces_are_not_split_one_by_one(name, encoder):
+    many, seen = encoder(), []
+    split = many.one.encode.words
+    many.split = lambda piece: seen.append(piece) or split(piece)
+    text = "Übung, macht den Meister. Voilà ÀÉ, a b. don't x,, µm Straße ẞ, ÿ×ÿ Kelvin Ωmega 3. ª"
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    found = np.frombuffer(many([text])[0], "<u4").tolist()
+    assert found == whole.encode(text, add_special_tokens=False).ids
+    assert {piece.strip() for piece in seen} == {"don't", "x,,", "µm", "ẞ,", "ÿ×ÿ", "Ωmega", "3.", "ª"}
+
+
 def test_queries_know_added_tokens(spark, tmp_path):
     texts = ["a <|endoftext|> b", "c", "<|startoftext|>d<|endoftext|>"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
