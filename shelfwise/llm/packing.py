@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.chunked import batches_of, encoded_rows
+from shelfwise.llm.chunked import CHARACTERS, batches_of, encoded_rows
 from shelfwise.sources.scratch import cut_lineage
 
 GROUP_PIECES = 8192
@@ -38,10 +38,12 @@ def cut_documents(
     end_id: int,
     capacity: int,
     seed: int = 0,
+    most_characters: int = CHARACTERS,
 ) -> DataFrame:
     """Pieces ``(doc_id, start, length, ids_crc32, doc_tokens, lot)`` of every row.
 
-    ``lot`` is a random number of the document, the same when a task is repeated.
+    ``lot`` is a random number of the document, the same when a task is repeated. A task
+    encodes ``most_characters`` at a time.
     """
     end = end_id.to_bytes(4, "little")
 
@@ -50,7 +52,7 @@ def cut_documents(
         lots = random.Random(f"{seed} {TaskContext.get().partitionId()}")
 
         def each() -> Iterator[tuple]:
-            for doc_id, ids in encoded_rows(batches, encode):
+            for doc_id, ids in encoded_rows(batches, encode, most_characters):
                 ids = memoryview(ids + end)
                 total, lot = len(ids) // 4, lots.getrandbits(62)
                 for start in range(0, total, capacity):

@@ -42,7 +42,7 @@ URL_RULES = {
 }
 CATEGORIES = ("low_quality", "toxic")
 STORE_END_ID, PACK_END_ID, SEQUENCE = 2, 1, 2048
-#: Characters that the store's tasks encode at a time.
+#: Characters that the store's and the packing's tasks encode at a time.
 ENCODED = 4 << 20
 VECTOR_SCALE, BEST, QUERY_STEP = 256, 5, 50
 ANCHOR_STEP, RELABEL_STEP, LABELS, SCORE_SHARES = 100, 7, 10, (80, 100)
@@ -132,7 +132,7 @@ def op6_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.cut_documents(_table(spark, sf_dir, "documents"), pack_tokenizer, PACK_END_ID, SEQUENCE)
+    pieces = packing.cut_documents(_table(spark, sf_dir, "documents"), pack_tokenizer, PACK_END_ID, SEQUENCE, most_characters=ENCODED)
     return packing.pack(pieces, SEQUENCE)
 
 
