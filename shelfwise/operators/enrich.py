@@ -85,7 +85,10 @@ def enrich_clicks(
     """
     typed = clicks.withColumn("event_timestamp", event_time(clicks))
     valid = expect_or_drop(typed, CLICK_RULES, observation)
-    joined = left_join_spread(valid, catalogue_columns(products), "product_id", "event_id", hot_products)
+    catalogue = catalogue_columns(products)
+    if not clicks.isStreaming:  # it grows, and its files are a fraction of what a broadcast holds
+        catalogue = catalogue.hint("merge")
+    joined = left_join_spread(valid, catalogue, "product_id", "event_id", hot_products)
     return joined.withColumn(
         "resolved_category", F.coalesce(F.col("product_category"), F.col("category_browsed"))
     )

@@ -149,7 +149,8 @@ SHIFTED_ORDER_DATE = f"o_orderdate + INTERVAL '{ORDER_SHIFT_DAYS}' DAY"
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders", ORDERS)
     lines = read(spark, sf_dir, "lineitem", LINEITEM)
-    return lines.join(orders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+    # Shuffled: orders grow, and their files are a fraction of what a broadcast holds.
+    return lines.join(orders.hint("merge"), F.expr("l_orderkey = o_orderkey")).selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber) AS transaction_id",
         "o_custkey AS customer_id",
         "l_partkey AS product_id",

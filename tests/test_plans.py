@@ -48,6 +48,13 @@ def test_companions_are_not_broadcast_by_the_size_of_their_files(spark, name):
     assert not [line for line in sides if "product_id" in line or "rank" in line]
 
 
+def test_orders_and_the_catalogue_are_not_broadcast_by_the_size_of_their_files(spark):
+    samples = Samples(spark, SF_DIR)
+    for rows, key in ((samples.purchases, "o_orderkey"), (samples.enriched, "product_id")):
+        joins = [line for line in plan(rows).splitlines() if "Join" in line]
+        assert [line for line in joins if key in line and "SortMergeJoin" in line] == joins
+
+
 @pytest.mark.parametrize("name", ["similar_text", "style_hits", "search_hits"])
 def test_texts_are_dealt_out_before_their_words(spark, monkeypatch, name):
     """By their number: one task reads a small file, however many products it holds."""
