@@ -165,9 +165,15 @@ def search_text(
     scored = shared.join(lengths, "product_id").withColumn("similarity", similarity)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "product_id")
     ranked = scored.withColumn("hit_rank", F.row_number().over(best)).where(F.col("hit_rank") <= k)
-    return ranked.select("query_id", "hit_rank", "product_id", "similarity").join(
-        products.select(*HIT_COLUMNS), "product_id"
-    )
+    return with_hit_columns(ranked.select("query_id", "hit_rank", "product_id", "similarity"), products)
+
+
+def with_hit_columns(hits: DataFrame, products: DataFrame) -> DataFrame:
+    """Hits with the columns of their products.
+
+    The catalogue is shuffled: its files are a fraction of what a broadcast holds.
+    """
+    return hits.join(products.select(*HIT_COLUMNS).hint("merge"), "product_id")
 
 
 def _with_similarity(products: DataFrame, similarity: DataFrame) -> DataFrame:

@@ -439,7 +439,7 @@ def indexed_text_filtered(s: Samples) -> DataFrame:
 def indexed_hits(s: Samples) -> DataFrame:
     """Every search term of the clicks, asked from the stored index."""
     hits = text_index.search(s.text_index, _search_terms(s), 5).drop("category")
-    return hits.join(s.products.select(*similarity.HIT_COLUMNS), "product_id")
+    return similarity.with_hit_columns(hits, s.products)
 
 
 @query

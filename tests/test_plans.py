@@ -55,6 +55,12 @@ def test_orders_and_the_catalogue_are_not_broadcast_by_the_size_of_their_files(s
         assert [line for line in joins if key in line and "SortMergeJoin" in line] == joins
 
 
+@pytest.mark.parametrize("name", ["indexed_hits", "search_hits"])
+def test_hits_meet_a_catalogue_that_is_not_broadcast(spark, name):
+    joins = [line for line in plan(QUERIES[name](spark, SF_DIR)).splitlines() if "Join" in line]
+    assert "SortMergeJoin [product_id" in joins[0]
+
+
 @pytest.mark.parametrize("name", ["similar_text", "style_hits", "search_hits"])
 def test_texts_are_dealt_out_before_their_words(spark, monkeypatch, name):
     """By their number: one task reads a small file, however many products it holds."""
