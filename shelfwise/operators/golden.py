@@ -33,13 +33,17 @@ def golden_record(
     purchases: DataFrame,
     as_of: AsOf = None,
     observation: Observation | str | None = None,
+    rollup: DataFrame | None = None,
 ) -> DataFrame:
     """One masked row per customer with purchase aggregates and churn risk.
 
-    Customers without purchases keep null aggregates.
+    Customers without purchases keep null aggregates. ``rollup`` holds the
+    ``purchase_rollup`` where it is stored.
     """
     valid = expect_or_drop(mask_pii(customers), CUSTOMER_RULES, observation)
-    joined = valid.join(purchase_rollup(purchases), "customer_id", "left")
+    # Shuffled: it grows with the customers, and its files are a fraction of what a broadcast holds.
+    rolled = purchase_rollup(purchases) if rollup is None else rollup.hint("merge")
+    joined = valid.join(rolled, "customer_id", "left")
     days = F.datediff(F.to_date(instant(as_of)), F.to_date("most_recent_purchase"))
     return joined.withColumn("days_since_last_purchase", days).withColumn(
         "churn_risk", rules.churn_risk(F.col("days_since_last_purchase"))

@@ -74,16 +74,28 @@ def corpus(products: DataFrame, block: Column) -> DataFrame:
     return known.select("product_id", block.alias("block"), F.concat_ws(" ", *PRODUCT_TEXT).alias("text"))
 
 
+def catalogue_words(products: DataFrame) -> DataFrame:
+    """``(product_id, block, word, times)`` of a catalogue by category, stored: its index and
+    its style hits then need not take the texts apart again."""
+    texts = corpus(products, F.col("category"))
+    counted = word_counts(texts, ["product_id", "block"], F.col("text"), text_tasks(texts.count()))
+    return cut_lineage(counted, "word_counts")
+
+
+def vocabulary(text_words: DataFrame, total: Column) -> DataFrame:
+    """``(word, idf)`` of all words."""
+    # Reading ``times`` here lets both uses of the words share one shuffle.
+    products = F.count_if(F.col("times") > 0)
+    return text_words.groupBy("word").agg(F.log((total + 1) / (products + 1)).alias("idf"))
+
+
 def word_weights(text_words: DataFrame, total: Column) -> DataFrame:
     """``(word, idf)`` of the words that tell products apart.
 
     A word every product has weighs nothing and is left out, and with it the only
     words that all products share.
     """
-    # Reading ``times`` here lets both uses of the words share one shuffle.
-    products = F.count_if(F.col("times") > 0)
-    idf = text_words.groupBy("word").agg(F.log((total + 1) / (products + 1)).alias("idf"))
-    return idf.where(F.col("idf") > 0)
+    return vocabulary(text_words, total).where(F.col("idf") > 0)
 
 
 def unit_queries(query_words: DataFrame, idf: DataFrame, total: Column, key: str) -> DataFrame:
@@ -98,20 +110,24 @@ def unit_queries(query_words: DataFrame, idf: DataFrame, total: Column, key: str
     return weighed.withColumn("asked", F.try_divide(F.col("asked"), length))
 
 
-def text_similarity(texts: DataFrame, queries: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+def text_similarity(
+    texts: DataFrame, queries: DataFrame, catalogue: DataFrame | None = None, counted: DataFrame | None = None
+) -> DataFrame:
     """Cosine of each text with the query of its block.
 
     ``queries`` holds one (block, text) row per block. Word weights come from
     ``catalogue``, of which ``texts`` may be a part. A text without common words
-    scores 0.
+    scores 0. ``counted`` holds the catalogue's word counts where they are stored.
     """
     catalogue = texts if catalogue is None else catalogue
     count = catalogue.count()
     total, tasks = F.lit(count), text_tasks(count)
-    known_words = word_counts(catalogue, ["product_id", "block"], F.col("text"), tasks)
+    known_words = word_counts(catalogue, ["product_id", "block"], F.col("text"), tasks) if counted is None else counted
     text_words = known_words if catalogue is texts else word_counts(texts, ["product_id", "block"], F.col("text"), tasks)
-    idf = word_weights(known_words, total)
-    asked = _mark_known(word_counts(queries, ["block"], F.col("text")), known_words)
+    # Stored, as the queries and the texts both need it: the words are counted once for it.
+    known = cut_lineage(vocabulary(known_words, total), "vocabulary")
+    idf = known.where(F.col("idf") > 0)
+    asked = _mark_known(word_counts(queries, ["block"], F.col("text")), known)
     unit = unit_queries(asked, idf, total, "block").select("block", "word", "asked")
 
     weight = F.col("times") * F.col("idf")
@@ -205,14 +221,16 @@ def style_queries(products: DataFrame) -> DataFrame:
     )
 
 
-def style_hits(products: DataFrame, k: int = 5, new_arrivals: bool = True) -> DataFrame:
+def style_hits(
+    products: DataFrame, k: int = 5, new_arrivals: bool = True, counted: DataFrame | None = None
+) -> DataFrame:
     """The ``k`` best products per category for the category's style query.
 
     With ``new_arrivals`` only those are ranked, except in categories that have
     none: there the whole category is. The query depends on the category alone, so
-    each is answered once for all customers.
+    each is answered once for all customers. ``counted``: the ``catalogue_words``, if stored.
     """
-    similarity = text_similarity(corpus(products, F.col("category")), style_queries(products))
+    similarity = text_similarity(corpus(products, F.col("category")), style_queries(products), counted=counted)
     scored = _with_similarity(products.select(*HIT_COLUMNS, "is_new_arrival"), similarity)
     is_new = F.coalesce(F.col("is_new_arrival"), F.lit(False))
     # Ranking new arrivals first and dropping older products behind any of them is

@@ -33,9 +33,9 @@ from shelfwise.operators.similarity import (
     HIT_COLUMNS,
     SIMILARITY_PLACES,
     STYLE_QUERY,
+    catalogue_words,
     corpus,
     matches,
-    text_tasks,
     unit_queries,
     word_counts,
 )
@@ -81,12 +81,13 @@ def block_of(place: Column) -> Column:
     return F.floor(F.log2(F.floor((place - 1) / FIRST_BLOCK) + 1)).cast("int")
 
 
-def build_index(products: DataFrame) -> TextIndex:
-    """The index of a catalogue. Its tables are plans over stored steps."""
-    texts = corpus(products, F.col("category"))
-    total = texts.count()
-    counted = word_counts(texts, ["product_id", "block"], F.col("text"), text_tasks(total))
-    counted = cut_lineage(counted, "word_counts")
+def build_index(products: DataFrame, counted: DataFrame | None = None) -> TextIndex:
+    """The index of a catalogue. Its tables are plans over stored steps.
+
+    ``counted``: the ``catalogue_words``, if they are stored already.
+    """
+    total = corpus(products, F.col("category")).count()
+    counted = catalogue_words(products) if counted is None else counted
     idf = F.log((F.lit(float(total)) + 1) / (F.count("*") + 1)).alias("idf")
     known = cut_lineage(counted.groupBy("word").agg(idf).withColumn("total", F.lit(total).cast("long")), "words")
 

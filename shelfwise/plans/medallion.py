@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.clock import AsOf
 from shelfwise.operators.enrich import EVENT_DAY, enrich_clicks, with_event_day
-from shelfwise.operators.golden import golden_record
+from shelfwise.operators.golden import golden_record, purchase_rollup
 from shelfwise.operators.intent import category_intent
 from shelfwise.operators.recommend import category_candidates
 from shelfwise.operators.segments import segments
-from shelfwise.operators.similarity import style_hits
+from shelfwise.operators.similarity import catalogue_words, style_hits
 from shelfwise.operators.text_index import TextIndex, build_index, open_index, publish_index, store_index
 from shelfwise.sources import files
 from shelfwise.sources.scratch import cut_lineage
@@ -40,6 +40,8 @@ INTENT_TABLE = "gold_category_intent_scores"
 SEGMENTS_TABLE = "gold_high_value_segments"
 CANDIDATES_TABLE = "gold_category_candidates"
 DAYS_TABLE = "bronze_click_days"
+ROLLUP_TABLE = "silver_purchase_rollup"
+HITS_TABLE = "gold_style_hits"
 
 COMMENTS = {
     CLICKS_TABLE: "Raw click events",
@@ -52,6 +54,8 @@ COMMENTS = {
     SEGMENTS_TABLE: "Customer segments",
     CANDIDATES_TABLE: "Products to recommend per category",
     DAYS_TABLE: "Rows and digest of each day's clicks",
+    ROLLUP_TABLE: "Purchase aggregates per customer",
+    HITS_TABLE: "Products in the style of their category",
 }
 
 
@@ -75,9 +79,14 @@ class Medallion:
     def enriched(self) -> DataFrame:
         return enrich_clicks(self.bronze.clicks, self.bronze.products)
 
+    @cached_property
+    def rollup(self) -> DataFrame:
+        """What the golden records tell of purchases; changes with those alone."""
+        return purchase_rollup(self.bronze.purchases)
+
     @cached_property
     def golden(self) -> DataFrame:
-        return golden_record(self.bronze.customers, self.bronze.purchases, self.as_of)
+        return golden_record(self.bronze.customers, self.bronze.purchases, self.as_of, rollup=self.rollup)
 
     @cached_property
     def intent(self) -> DataFrame:
@@ -87,11 +96,15 @@ class Medallion:
     def segments(self) -> DataFrame:
         return segments(self.golden, self.intent)
 
+    @cached_property
+    def hits(self) -> DataFrame:
+        """The style hits of every category; they change with the catalogue alone."""
+        return style_hits(self.bronze.products)
+
     @cached_property
     def candidates(self) -> DataFrame:
         """Products that recommendations choose from, a few per category."""
-        products = self.bronze.products
-        return category_candidates(products, self.intent, style_hits(products))
+        return category_candidates(self.bronze.products, self.intent, self.hits)
 
     @cached_property
     def text_index(self) -> TextIndex:
@@ -134,10 +147,23 @@ class _Tables:
     def name(self, table: str) -> str:
         return f"{self.database}.{table}"
 
+    def has(self, table: str) -> bool:
+        """False for a table that an earlier release did not write."""
+        return SparkSession.active().catalog.tableExists(self.name(table))
+
     def store(self, df: DataFrame, table: str, layer: str) -> DataFrame:
         by = [EVENT_DAY] if table in (CLICKS_TABLE, ENRICHED_TABLE) else []
         return publish_table(df, self.name(table), layer, COMMENTS[table], by)
 
+    def store_catalogue(self, products: DataFrame) -> tuple[TextIndex, DataFrame]:
+        """The catalogue's text index and style hits, from words that are counted once."""
+        counted = catalogue_words(products)
+        index, hits = _at_once(
+            lambda: publish_index(build_index(products, counted), self.database),
+            lambda: self.store(style_hits(products, counted=counted), HITS_TABLE, "gold"),
+        )
+        return index, hits
+
     def store_derived(self, layers: Medallion) -> None:
         """The layers that depend on the whole of others or on the clock."""
 
@@ -170,9 +196,10 @@ def publish(bronze: Bronze, database: str, as_of: AsOf = None, window: str = "ca
         lambda: tables.store(bronze.purchases, PURCHASES_TABLE, "bronze"),
     )
     layers = Medallion(Bronze(clicks, products, customers, purchases), as_of, window)
-    layers.enriched, layers.text_index, _ = _at_once(
+    layers.enriched, (layers.text_index, layers.hits), layers.rollup, _ = _at_once(
         lambda: tables.store(layers.enriched, ENRICHED_TABLE, "silver"),
-        lambda: publish_index(build_index(products), database),
+        lambda: tables.store_catalogue(products),
+        lambda: tables.store(layers.rollup, ROLLUP_TABLE, "silver"),
         lambda: tables.store(digests(clicks, [EVENT_DAY]), DAYS_TABLE, "bronze"),
     )
     tables.store_derived(layers)
@@ -188,13 +215,20 @@ def refresh(bronze: Bronze, database: str, as_of: AsOf = None, window: str = "ca
 
     Only days whose clicks differ from the stored ones are written again, in the click
     tables; the other days' files stay. A changed catalogue is replaced with its text
-    index, and then all days are enriched again. What depends on the clock is replaced.
+    index and style hits, and then all days are enriched again; changed purchases are
+    replaced with their aggregates. What depends on the clock is replaced.
     """
     spark, tables = bronze.clicks.sparkSession, _Tables(database)
     layers = open_layers(spark, database, as_of)
     layers.window = window
     clicks = with_event_day(bronze.clicks).select(*layers.bronze.clicks.columns)
-    days = cut_lineage(digests(clicks, [EVENT_DAY]), "days")
+    old = layers.bronze
+    days, new_products, new_customers, new_purchases = _at_once(
+        lambda: cut_lineage(digests(clicks, [EVENT_DAY]), "days"),
+        lambda: _changed(bronze.products, old.products),
+        lambda: _changed(bronze.customers, old.customers),
+        lambda: _changed(bronze.purchases, old.purchases),
+    )
     stored = spark.table(tables.name(DAYS_TABLE)).withColumnsRenamed({"rows": "old_rows", "digest": "old_digest"})
     same = F.col("rows").eqNullSafe(F.col("old_rows")) & F.col("digest").eqNullSafe(F.col("old_digest"))
     changed = sorted(row[0] for row in days.join(stored, EVENT_DAY, "full").where(~same).select(EVENT_DAY).collect())
@@ -202,16 +236,13 @@ def refresh(bronze: Bronze, database: str, as_of: AsOf = None, window: str = "ca
         replace_partitions(clicks.where(F.col(EVENT_DAY).isin(changed)), tables.name(CLICKS_TABLE), EVENT_DAY, changed)
         days.write.mode("overwrite").insertInto(tables.name(DAYS_TABLE))
     again = changed
-    if _changed(bronze.products, layers.bronze.products):
-        products = tables.store(bronze.products, PRODUCTS_TABLE, "bronze")
-        layers.text_index = publish_index(build_index(products), database)
+    if new_products:
+        tables.store(bronze.products, PRODUCTS_TABLE, "bronze")
         again = sorted(row[0] for row in days.select(EVENT_DAY).collect())
-    for new, old, table in (
-        (bronze.customers, layers.bronze.customers, CUSTOMERS_TABLE),
-        (bronze.purchases, layers.bronze.purchases, PURCHASES_TABLE),
-    ):
-        if _changed(new, old):
-            tables.store(new, table, "bronze")
+    if new_customers:
+        tables.store(bronze.customers, CUSTOMERS_TABLE, "bronze")
+    if new_purchases:
+        tables.store(bronze.purchases, PURCHASES_TABLE, "bronze")
     names = (CLICKS_TABLE, PRODUCTS_TABLE, CUSTOMERS_TABLE, PURCHASES_TABLE)
     for name in (*names, ENRICHED_TABLE, DAYS_TABLE):
         spark.catalog.refreshTable(tables.name(name))
@@ -221,6 +252,14 @@ def refresh(bronze: Bronze, database: str, as_of: AsOf = None, window: str = "ca
         replace_partitions(enrich_clicks(part, fresh.bronze.products), tables.name(ENRICHED_TABLE), EVENT_DAY, again)
         spark.catalog.refreshTable(tables.name(ENRICHED_TABLE))
     fresh.enriched, fresh.text_index = spark.table(tables.name(ENRICHED_TABLE)), layers.text_index
+    if new_products or not tables.has(HITS_TABLE):
+        fresh.text_index, fresh.hits = tables.store_catalogue(fresh.bronze.products)
+    else:
+        fresh.hits = layers.hits
+    if new_purchases or not tables.has(ROLLUP_TABLE):
+        fresh.rollup = tables.store(fresh.rollup, ROLLUP_TABLE, "silver")
+    else:
+        fresh.rollup = layers.rollup
     tables.store_derived(fresh)
     return fresh, changed
 
@@ -240,4 +279,8 @@ def open_layers(spark: SparkSession, database: str, as_of: AsOf = None) -> Medal
     layers.segments = table(SEGMENTS_TABLE)
     layers.candidates = table(CANDIDATES_TABLE)
     layers.text_index = open_index(spark, database)
+    # An earlier release did not write these: they are then computed.
+    for layer, name in (("rollup", ROLLUP_TABLE), ("hits", HITS_TABLE)):
+        if spark.catalog.tableExists(f"{database}.{name}"):
+            setattr(layers, layer, table(name))
     return layers

@@ -6,6 +6,7 @@ from datetime import date
 
 import pytest
 
+from shelfwise.operators import similarity
 from shelfwise.operators.enrich import with_event_day
 from shelfwise.plans import medallion
 from shelfwise.plans.queries import scratch_database
@@ -108,3 +109,54 @@ def test_digests_tell_repeated_rows(spark):
     assert digests(one).first() != digests(one.union(one)).first()
     assert digests(one).first() == digests(one.repartition(5)).first()
     assert digests(one.limit(0)).first().rows == 0
+
+
+def test_what_the_clock_does_not_change_is_kept(spark):
+    """Style hits change with the catalogue alone, purchase aggregates with purchases alone."""
+    sold = {"transaction_id": "T1", "customer_id": "C1", "product_id": "P1", "total_amount": 50.0}
+    before = _bronze(spark, _clicks())
+    bought = medallion.Bronze(before.clicks, before.products, before.customers, fx.purchases(spark, [sold]))
+    renamed = _bronze(spark, _clicks(), [{**PRODUCTS[0], "category": "Jeans"}])
+    with scratch_database(spark) as database, scratch_database(spark) as other:
+        medallion.publish(before, database, fx.AS_OF)
+
+        def files():
+            return [sorted(spark.table(f"{database}.{name}").inputFiles()) for name in (medallion.HITS_TABLE, medallion.ROLLUP_TABLE)]
+
+        hits, rollup = files()
+        later = [{"event_timestamp": "2026-03-05 06:00:00", "event_type": "search"}]
+        medallion.refresh(_bronze(spark, _clicks(*later)), database, fx.AS_OF)
+        assert files() == [hits, rollup]
+        layers, _ = medallion.refresh(bought, database, fx.AS_OF)
+        assert files()[0] == hits and files()[1] != rollup
+        assert {r.customer_id: r.total_transactions for r in layers.golden.collect()} == {"C1": 1, "C2": None}
+        rollup = files()[1]
+        both = medallion.Bronze(before.clicks, renamed.products, before.customers, bought.purchases)
+        layers, _ = medallion.refresh(both, database, fx.AS_OF)
+        assert files()[0] != hits and files()[1] == rollup
+        whole = medallion.publish(both, other, fx.AS_OF)
+        for name in LAYERS:
+            assert _rows(getattr(layers, name)) == _rows(getattr(whole, name)), name
+
+
+def test_tables_of_an_earlier_release_are_topped_up(spark):
+    with scratch_database(spark) as database:
+        medallion.publish(_bronze(spark, _clicks()), database, fx.AS_OF)
+        for table in (medallion.HITS_TABLE, medallion.ROLLUP_TABLE):
+            spark.sql(f"DROP TABLE {database}.{table}")
+        whole = _rows(medallion.open_layers(spark, database, fx.AS_OF).candidates)
+        layers, _ = medallion.refresh(_bronze(spark, _clicks()), database, fx.AS_OF)
+        assert _rows(layers.candidates) == whole
+        assert layers.rollup.count() == 0 and spark.table(f"{database}.{medallion.HITS_TABLE}").count() == 1
+
+
+def test_style_hits_need_not_take_texts_apart_again(spark):
+    products = fx.products(
+        spark,
+        [{"product_id": f"P{i}", "product_name": f"jeans {i % 3} style", "category": "Denim" if i % 2 else "Tops"} for i in range(9)],
+    )
+    plain = similarity.style_hits(products)
+    stored = similarity.style_hits(products, counted=similarity.catalogue_words(products))
+    assert "explode" in plain._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in stored._jdf.queryExecution().executedPlan().toString()
+    assert _rows(stored) == _rows(plain)
