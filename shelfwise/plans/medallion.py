@@ -148,9 +148,14 @@ class _Tables:
         return f"{self.database}.{table}"
 
     def has(self, table: str) -> bool:
-        """False for a table that an earlier release did not write."""
+        """False for a table that an earlier release, or a refresh that failed, did not write."""
         return SparkSession.active().catalog.tableExists(self.name(table))
 
+    def drop(self, table: str) -> None:
+        """Before what it is derived from is replaced: should that or the rest of a refresh
+        fail, the next one finds it missing."""
+        SparkSession.active().sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", {"name": self.name(table)})
+
     def store(self, df: DataFrame, table: str, layer: str) -> DataFrame:
         by = [EVENT_DAY] if table in (CLICKS_TABLE, ENRICHED_TABLE) else []
         return publish_table(df, self.name(table), layer, COMMENTS[table], by)
@@ -237,11 +242,13 @@ def refresh(bronze: Bronze, database: str, as_of: AsOf = None, window: str = "ca
         days.write.mode("overwrite").insertInto(tables.name(DAYS_TABLE))
     again = changed
     if new_products:
+        tables.drop(HITS_TABLE)
         tables.store(bronze.products, PRODUCTS_TABLE, "bronze")
         again = sorted(row[0] for row in days.select(EVENT_DAY).collect())
     if new_customers:
         tables.store(bronze.customers, CUSTOMERS_TABLE, "bronze")
     if new_purchases:
+        tables.drop(ROLLUP_TABLE)
         tables.store(bronze.purchases, PURCHASES_TABLE, "bronze")
     names = (CLICKS_TABLE, PRODUCTS_TABLE, CUSTOMERS_TABLE, PURCHASES_TABLE)
     for name in (*names, ENRICHED_TABLE, DAYS_TABLE):
@@ -279,7 +286,7 @@ def open_layers(spark: SparkSession, database: str, as_of: AsOf = None) -> Medal
     layers.segments = table(SEGMENTS_TABLE)
     layers.candidates = table(CANDIDATES_TABLE)
     layers.text_index = open_index(spark, database)
-    # An earlier release did not write these: they are then computed.
+    # An earlier release, or a refresh that failed, did not write these: they are then computed.
     for layer, name in (("rollup", ROLLUP_TABLE), ("hits", HITS_TABLE)):
         if spark.catalog.tableExists(f"{database}.{name}"):
             setattr(layers, layer, table(name))

@@ -160,3 +160,25 @@ def test_style_hits_need_not_take_texts_apart_again(spark):
     assert "explode" in plain._jdf.queryExecution().executedPlan().toString()
     assert "explode" not in stored._jdf.queryExecution().executedPlan().toString()
     assert _rows(stored) == _rows(plain)
+
+
+def test_a_refresh_that_failed_leaves_nothing_stale(spark, monkeypatch):
+    """The new purchases are stored, their aggregates are not; the next refresh makes up for it."""
+    before = _bronze(spark, _clicks())
+    sold = {"transaction_id": "T1", "customer_id": "C1", "product_id": "P1", "total_amount": 50.0}
+    bought = medallion.Bronze(before.clicks, before.products, before.customers, fx.purchases(spark, [sold]))
+    store = medallion._Tables.store
+
+    def failing(tables, df, table, layer):
+        if table == medallion.ROLLUP_TABLE:
+            raise OSError("no room")
+        return store(tables, df, table, layer)
+
+    with scratch_database(spark) as database:
+        medallion.publish(before, database, fx.AS_OF)
+        with monkeypatch.context() as patch:
+            patch.setattr(medallion._Tables, "store", failing)
+            with pytest.raises(OSError):
+                medallion.refresh(bought, database, fx.AS_OF)
+        layers, _ = medallion.refresh(bought, database, fx.AS_OF)
+        assert {r.customer_id: r.total_transactions for r in layers.golden.collect()} == {"C1": 1, "C2": None}
